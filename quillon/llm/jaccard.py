@@ -12,8 +12,8 @@ parts too, so that no link is lost.
 
 What meets in a bucket is tied to the smallest set there (a star, linear in the bucket). All sets tied to one centre are then
 compared with each other by dense parity sketches in blocks of bounded size: pairs whose Hamming distance exceeds D are ruled
-out exactly, and of the others a spanning forest is verified on the texts. Where a verified pair fails, the next round offers
-what may still join the parts it would have joined, until nothing untested is left.
+out exactly, and of the others a spanning forest is verified on the texts. Where a pair of that forest fails, a second round
+verifies every other pair between the parts that it would have joined, so nothing is left untested.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -32,6 +32,7 @@ from .text import U, chunks, mix, set_hash, shingle_sets, words
 
 DIVISIONS = 5  # divisions of the sketch that a set with many empty parts is tried under
 BLOCK = 1024  # sets of one centre that are compared in one task
+BROADCAST_PAIRS = 100_000  # pairs whose endpoints are broadcast, about 10 MB; more are joined by exchange
 FLUSH = 1 << 20  # entries that a task gathers before it sends them to their buckets
 _WORK = 1 << 22  # words of sketches that are compared at once
 
@@ -248,21 +249,19 @@ def likely_pairs(n: np.ndarray, sketches: list[np.ndarray], percent: int) -> Ite
                 at = to
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, cost: np.ndarray, linked: list[tuple[int, int]]) -> np.ndarray:
-    """Indices of the pairs (a, b) of a cheapest spanning forest over n nodes of which `linked` are joined already."""
-    label = np.arange(n)
+def join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the parts that x[i] and y[i] are in; labels are the parts' least nodes, in place."""
+    while len(x):
+        hi, lo = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+        apart = hi != lo
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, hi[apart], lo[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
 
-    def join(x: np.ndarray, y: np.ndarray) -> None:
-        while len(x):
-            hi, lo = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
-            apart = hi != lo
-            x, y = x[apart], y[apart]
-            np.minimum.at(label, hi[apart], lo[apart])
-            while (label[label] != label).any():
-                label[:] = label[label]
 
-    if linked:
-        join(*(np.array(v) for v in zip(*linked, strict=True)))
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (a, b) of a cheapest spanning forest; `label` is left with its parts."""
     order, out = np.argsort(cost, kind="stable"), []
     while True:
         order = order[label[a[order]] != label[b[order]]]
@@ -273,41 +272,58 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, cost: np.ndarray, linked: list[
         by = np.lexsort((rank, ends))
         pick = order[np.unique(rank[by][np.unique(ends[by], return_index=True)[1]])]  # each part's cheapest way out
         out.append(pick)
-        join(a[pick], b[pick])
+        join(label, a[pick], b[pick])
 
 
-def _offer(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Each group's next pairs to verify: a forest of the likeliest untested pairs over what is known to be linked."""
+def _offer(batches: Iterator[pa.RecordBatch], percent: int, again: bool) -> Iterator[pa.RecordBatch]:
+    """Each group's pairs to verify: a forest of its likeliest pairs; `again`, when some of them failed, all likely pairs between the parts that are left."""
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for centre, members, tested in zip(*(batch.column(c) for c in ("centre", "members", "tested")), strict=True):
-            centre, members, tested = centre.as_py(), list({m["name"]: m for m in members.as_py()}.values()), tested.as_py() or []
-            found = list(likely_pairs(np.array([m["n"] for m in members]), [np.frombuffer(m["sketch"], "<u8") for m in members], percent))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for row in range(batch.num_rows):
+            centre, members = batch.column("centre")[row].as_py(), batch.column("members")[row].values
+            names, first = np.unique(members.field("name").to_numpy(), return_index=True)
+            n, sketches = members.field("n").to_numpy()[first], members.field("sketch").take(pa.array(first))
+            found = list(likely_pairs(n, [np.frombuffer(x.as_buffer(), "<u8") for x in sketches], percent))
             if not found:
                 continue
             a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
-            place = {m["name"]: i for i, m in enumerate(members)}
-            tested = [(place[t["a"]], place[t["b"]], t["linked"]) for t in tested if t["a"] in place and t["b"] in place]
-            done = np.array([min(x, y) * len(members) + max(x, y) for x, y, _ in tested], np.int64)
-            new = ~np.isin(np.minimum(a, b) * len(members) + np.maximum(a, b), done)
-            a, b, far = a[new], b[new], far[new]
-            out += [(centre, members[a[i]]["name"], members[b[i]]["name"]) for i in forest(len(members), a, b, far, [(x, y) for x, y, yes in tested if yes]).tolist()]
+            a, b = np.minimum(a, b), np.maximum(a, b)  # names ascend
+            label = np.arange(len(names))
+            pick = forest(label, a, b, far)
+            if again:
+                failed = batch.column("failed")[row].values
+                lost = np.searchsorted(names, failed.field("a").to_numpy()) * len(names) + np.searchsorted(names, failed.field("b").to_numpy())
+                held = pick[~np.isin(a[pick] * len(names) + b[pick], lost)]
+                label = np.arange(len(names))
+                join(label, a[held], b[held])
+                pick = np.flatnonzero((label[a] != label[b]) & ~np.isin(a * len(names) + b, lost))
+            out.append((np.full(len(pick), centre), names[a[pick]], names[b[pick]]))
         if out:
-            c, x, y = (np.array(v, np.int64) for v in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["centre", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["centre", "a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to (a, b, linked), by the exact sets."""
+    """(a, b, ends: the texts of both) to (a, b, linked), by the exact sets."""
     for batch in batches:
         linked: list[bool] = []
-        for left, right in zip(chunks(batch.column("text_a"), 1), chunks(batch.column("text_b"), 1), strict=True):
-            x, y = (shingle_sets(words(c, lower=True), width)[0] for c in (left, right))
+        for row in range(batch.num_rows):
+            ends = {x["name"]: x["text"] for x in batch.column("ends")[row].as_py()}
+            pair = pa.array([ends[batch.column(c)[row].as_py()] for c in ("a", "b")], pa.large_string())
+            x, y = (s for c in chunks(pair) for s in shingle_sets(words(c, lower=True), width))
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b, linked) for distinct written pairs. Few pairs are broadcast to the sets, so that only their texts move."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("name"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        ends = F.broadcast(ends)
+    both = sets.select("name", "text").join(ends, "name").groupBy("a", "b").agg(F.collect_list(F.struct("name", "text")).alias("ends"))
+    return both.mapInArrow(partial(_verify, width=width, percent=percent), "a long, b long, linked boolean")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose word-shingle sets have Jaccard >= percent / 100: (doc_id, n_shingles, component_id).
 
@@ -315,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     Rows that repeat a doc_id are rows of their own with that id; where such rows fall in different components, each has
     its own component's least id. A row without doc_id keeps its size and has no component. Other columns aren't read.
     """
-    spark, shelf, n_buckets = docs.sparkSession, Shelf(docs.sparkSession, "jaccard"), buckets(docs.sparkSession)
+    shelf, n_buckets = Shelf(docs.sparkSession, "jaccard"), buckets(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = texts.where("doc_id is not null")
     entered = named.mapInArrow(partial(_enter, width=width, percent=percent, n_buckets=n_buckets), "bucket int, kind int, a binary, b binary, c binary")
@@ -326,8 +342,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     wanted = ties.select("centre").union(ties.select("name")).distinct().withColumnRenamed("centre", "name")
     least = members.groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(wanted, "name")
     chosen = named.join(least, "doc_id").select("name", "text").mapInArrow(partial(_sketch, width=width), "name long, n long, sketch binary, text string")
-    sets = shelf.put(chosen.dropDuplicates(["name"]), "sets")
-    links = _linked(spark, shelf, ties, sets, percent, width)
+    sets = shelf.put(chosen, "sets")
+    links = _linked(shelf, ties, sets, percent, width)
     parts = connected(links, shelf)
     labelled = members.join(parts, members.name == parts.node, "left").select("doc_id", members.name, "n", F.coalesce("root", members.name).alias("root"))
     labelled = shelf.put(labelled, "labelled")
@@ -347,7 +363,7 @@ def _without_id(texts: DataFrame, width: int) -> DataFrame:
     return texts.where("doc_id is null").select("text").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
 
 
-def _linked(spark: SparkSession, shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """Verified links (a, b) between names of sets that connect all that is linked."""
     # Members of a centre are dealt to blocks; every two blocks meet in one row of at most 2 * BLOCK members.
     of_centre = ties.union(ties.select("centre", F.col("centre").alias("name")).distinct())
@@ -363,24 +379,11 @@ def _linked(spark: SparkSession, shelf: Shelf, ties: DataFrame, sets: DataFrame,
         .agg(F.collect_list(F.struct("name", "n", "sketch")).alias("members"))
     )
     groups = shelf.put(groups, "groups")
-    tested: DataFrame | None = None
-    turn = 0
-    while True:
-        if tested is None:
-            todo = groups.withColumn("tested", F.expr("cast(null as array<struct<a:bigint,b:bigint,linked:boolean>>)"))
-        else:  # only groups with a failed pair may have more to offer
-            todo = groups.join(tested.groupBy("centre").agg(F.collect_list(F.struct("a", "b", "linked")).alias("tested"), F.bool_and("linked").alias("sound")).where("not sound").drop("sound"), "centre")
-        offered = shelf.put(todo.mapInArrow(partial(_offer, percent=percent), "centre long, a long, b long"), f"offered{turn}")
-        if offered.isEmpty():
-            break
-        pairs = offered.select("a", "b").distinct()
-        left = sets.select(F.col("name").alias("a"), F.col("text").alias("text_a"))
-        right = sets.select(F.col("name").alias("b"), F.col("text").alias("text_b"))
-        checked = pairs.join(left, "a").join(right, "b").mapInArrow(partial(_verify, width=width, percent=percent), "a long, b long, linked boolean")
-        checked = shelf.put(checked, f"checked{turn}")
-        more = offered.join(checked, ["a", "b"]).select("centre", "a", "b", "linked")
-        tested = more if tested is None else tested.union(more)
-        turn += 1
-    if tested is None:
-        return ties.select(F.col("centre").alias("a"), F.col("name").alias("b")).limit(0)
-    return tested.where("linked").select("a", "b").distinct()
+    tree = shelf.put(groups.mapInArrow(partial(_offer, percent=percent, again=False), "centre long, a long, b long"), "tree")
+    pairs = shelf.put(tree.select("a", "b").distinct(), "pairs")
+    checked = shelf.put(verified(pairs, sets, percent, width), "checked")
+    lost = tree.join(checked.where("not linked"), ["a", "b"]).groupBy("centre").agg(F.collect_list(F.struct("a", "b")).alias("failed"))
+    more = groups.join(lost, "centre").mapInArrow(partial(_offer, percent=percent, again=True), "centre long, a long, b long")
+    rest = shelf.put(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    links = checked.where("linked").select("a", "b")
+    return links.union(shelf.put(verified(rest, sets, percent, width), "rechecked").where("linked").select("a", "b"))
