@@ -308,10 +308,10 @@ def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, hash, text): a row's key is its doc_id (null: after all others) and its text's hash; equal rows share one key."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """(doc, hash, text, carried columns): a row's key is its doc_id (null: after all others) and its text's hash; equal rows share one key."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text, *(carry or []))
 
 
 def spans(keyed_docs: DataFrame, shelf: Shelf, rule: Rule, encode: Callable, resolve: Callable) -> DataFrame:

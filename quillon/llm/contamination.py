@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, ngrams, shingle_sets, words
+from .text import Chunk, chunks, ngrams, shingle_sets, words
 
 BLOCK_HASHES = 1 << 22
 PARTITIONS = 1.25  # sizes of items in one partition differ by this factor at most
@@ -61,33 +61,67 @@ def item_sets(items: list[tuple[int, str | None]], width: int) -> list[tuple[int
     return out
 
 
+def hits(at: Index, c: Chunk, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(text of the chunk, item of the index, shared shingles) of every held item."""
+    w = words(c, lower=True)
+    for width, (hashes, owner) in at.by_width.items():
+        grams = ngrams(w, width)
+        slot = np.searchsorted(hashes, grams)
+        hit = np.flatnonzero(hashes[np.minimum(slot, len(hashes) - 1)] == grams)
+        text = np.searchsorted(w.doc, hit, "right") - 1
+        inside = hit + width <= w.doc[text + 1]
+        hit, text = hit[inside], text[inside]
+        for t in np.unique(text).tolist():
+            found = np.unique(grams[hit[text == t]])
+            a, b = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            whole = np.unique(grams[w.doc[t] : w.doc[t + 1] - width + 1])
+            for i in np.unique(np.concatenate([owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])).tolist():
+                item = at.sets[i]
+                place = np.minimum(np.searchsorted(whole, item), len(whole) - 1)
+                shared = int((whole[place] == item).sum())
+                if 100 * shared >= percent * len(item):
+                    yield t, i, shared
+
+
 def _search(batches: Iterator[pa.RecordBatch], index, percent: int) -> Iterator[pa.RecordBatch]:
     at: Index = index.value
     for batch in batches:
         docs = batch.column(0).to_pylist()
-        out: list[tuple[int | None, int, int, int]] = []
-        for c in chunks(batch.column(1)):
-            w = words(c, lower=True)
-            for width, (hashes, owner) in at.by_width.items():
-                grams = ngrams(w, width)
-                slot = np.searchsorted(hashes, grams)
-                hit = np.flatnonzero(hashes[np.minimum(slot, len(hashes) - 1)] == grams)
-                text = np.searchsorted(w.doc, hit, "right") - 1
-                inside = hit + width <= w.doc[text + 1]
-                hit, text = hit[inside], text[inside]
-                for t in np.unique(text).tolist():
-                    found = np.unique(grams[hit[text == t]])
-                    a, b = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-                    whole = np.unique(grams[w.doc[t] : w.doc[t + 1] - width + 1])
-                    for i in np.unique(np.concatenate([owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])).tolist():
-                        item = at.sets[i]
-                        place = np.minimum(np.searchsorted(whole, item), len(whole) - 1)
-                        shared = int((whole[place] == item).sum())
-                        if 100 * shared >= percent * len(item):
-                            out.append((docs[c.first + t], int(at.ids[i]), len(item), shared))
+        out = [(docs[c.first + t], int(at.ids[i]), len(at.sets[i]), n) for c in chunks(batch.column(1)) for t, i, n in hits(at, c, percent)]
         if out:
-            d, i, n, s = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, i, n, s)], ["doc_id", "item_id", "n_shingles", "n_shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "item_id", "n_shingles", "n_shared"])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], index, percent: int, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for c in chunks(batch.column(text_col)):
+            for t, _, _ in hits(index.value, c, percent):
+                keep[c.first + t] = False
+        yield batch.filter(pa.array(keep))
+
+
+def indexes(docs: DataFrame, items: DataFrame, percent: int, width: int, item_id: str, item_text: str) -> list:
+    """Broadcast indexes over blocks of items, each of at most BLOCK_HASHES hashes; one block is all that the driver holds."""
+    sc, out = docs.sparkSession.sparkContext, []
+    block: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+    for row in items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), item_text).toLocalIterator():
+        for found in item_sets([(row[0], row[1])], width):
+            if size and size + len(found[2]) > BLOCK_HASHES:
+                out.append(sc.broadcast(Index(block, percent)))
+                block, size = [], 0
+            block.append(found)
+            size += len(found[2])
+    return [*out, sc.broadcast(Index(block, percent))]
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that hold no item (see `find_leaks`)."""
+    schema = docs.schema
+    for index in indexes(docs, items, percent, width, item_id, item_text):
+        docs = docs.mapInArrow(partial(_clean, index=index, percent=percent, text_col=text_col), schema)
+    return docs
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -97,20 +131,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int
     items and documents without words match nothing. Repeated rows give repeated results; a null doc_id is passed on, items with a null id are
     skipped. No exchange: documents are scanned once per block of items.
     """
-    sc = docs.sparkSession.sparkContext
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks: list[list[tuple[int, int, np.ndarray]]] = [[]]
-    size = 0
-    mine = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), item_text)
-    for row in mine.toLocalIterator():  # one partition of items at a time; a block is all that the driver holds
-        for found in item_sets([(row[0], row[1])], width):
-            if size and size + len(found[2]) > BLOCK_HASHES:
-                blocks.append([])
-                size = 0
-            blocks[-1].append(found)
-            size += len(found[2])
-    indexes = [sc.broadcast(Index(b, percent)) for b in blocks]
-    return reduce(DataFrame.union, [cols.mapInArrow(partial(_search, index=i, percent=percent), "doc_id long, item_id long, n_shingles long, n_shared long") for i in indexes])
+    found = [cols.mapInArrow(partial(_search, index=i, percent=percent), "doc_id long, item_id long, n_shingles long, n_shared long") for i in indexes(docs, items, percent, width, item_id, item_text)]
+    return reduce(DataFrame.union, found)
 
 
 def find_leaks_sql(percent: int = 80, width: int = 5) -> str:

@@ -23,7 +23,7 @@ from .shared import buckets
 from .text import U, chunks, mix, words
 
 LOW, HIGH = 0.002, 0.2
-RATES = (2, 8, 32, 128)  # one term in so many is in a subset
+RATES = (4, 32, 128, 512)  # one term in so many is in a subset
 PER_RATE = 8
 SUBSETS = len(RATES) * PER_RATE
 _FLUSH = 1 << 21

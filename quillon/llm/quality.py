@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U, Chunk, Words, chunks, mix, words
+from .text import Chunk, U, Words, chunks, lower_running, mix, span_hash, words
 
 SAMPLE = 8000  # labelled rows that the models are fitted on, at most
 SLOTS = 1 << 18
@@ -28,9 +28,10 @@ NOTHING = 2
 
 # Insults that the toxicity labeller knows.
 INSULTS = "clown disgusting dumb idiot idiots loser losers moron morons pathetic scum scumbag stupid trash worthless".split()
-# Frequent words of English, German, French and Spanish; prose holds many of them.
+# Frequent words of English, and of German, French and Spanish; prose holds many of them.
+ENGLISH = "the of and to is it that for on with as was by at from this be are or".split()
 FREQUENT = (
-    "the of and to in is it that for on with as was by at from this be are or an a der die und den von zu das mit sich des auf für ist im dem nicht "
+    "in an a der die und den von zu das mit sich des auf für ist im dem nicht "
     "ein eine als de la le et les en du un une que est pour qui dans par au sur pas el los las y del se por con su para es al lo"
 ).split()
 _SYMBOLS = np.zeros(256, bool)
@@ -61,11 +62,9 @@ def _bare(c: Chunk, w: Words) -> Words:
 
 def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of a chunk's texts: (text, slot, value). Values of one text are roots of shares of its words."""
-    from .text import _BYTE, _LOWER, running_hash, span_hash
-
     w = words(c, lower=True)
     bare = _bare(c, w)
-    running = running_hash(_BYTE[_LOWER[c.data]])
+    running = lower_running(c)
     docs, slots = [], []
     text = np.repeat(np.arange(c.last - c.first), np.diff(bare.doc))
     size = bare.end - bare.start
@@ -86,7 +85,6 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     loud = np.flatnonzero(upper[w.end] - upper[w.start] > 2)
     docs.append(every[loud])
     slots.append(np.full(len(loud), 0x10D, U))
-    seen = np.lexsort((np.arange(len(w.hash)), w.hash, every))
     if len(w.hash) > 3:  # pairs of words that the text has had before
         pair = w.hash[:-1] * U(3) + w.hash[1:]
         mine = every[:-1]
@@ -95,7 +93,6 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         again = np.flatnonzero((pair[order][1:] == pair[order][:-1]) & (mine[order][1:] == mine[order][:-1]) & inside[order][1:])
         docs.append(mine[order][again])
         slots.append(np.full(len(again), 0xDB, U))
-    del seen
     doc, slot = np.concatenate(docs), (np.concatenate(slots) & U(SLOTS - 1)).astype(np.int64)
     key = doc * SLOTS + slot
     key, n = np.unique(key, return_counts=True)
@@ -123,9 +120,7 @@ def votes(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.bincount(every[order], new, minlength=len(n)) / np.maximum(1, n)
     bare = _bare(c, w)
     text = np.repeat(np.arange(len(n)), np.diff(bare.doc))
-    from .text import _BYTE, _LOWER, running_hash, span_hash
-
-    known = np.isin(span_hash(running_hash(_BYTE[_LOWER[c.data]]), bare.start, bare.end), _INSULTS)
+    known = np.isin(span_hash(lower_running(c), bare.start, bare.end), _INSULTS)
     insults = np.bincount(text, known, minlength=len(n))
     say = lambda bad, good: np.where(bad, 0, np.where(good, 1, NOTHING))
     quality = np.stack(
@@ -138,11 +133,14 @@ def votes(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         ],
         1,
     )
-    toxic = np.stack([np.where(insults >= 2, 1, np.where(insults == 1, NOTHING, 0)), np.where(insults / np.maximum(1, n) > 0.01, 1, np.where(insults == 0, 0, NOTHING))], 1)
+    english = per_word(np.isin(w.hash, _ENGLISH)) > 0.08  # the list of insults tells nothing about other languages
+    clean = (insults == 0) & english
+    toxic = np.stack([say(clean, insults >= 2), say(clean & (n > 50), insults > 0.01 * n)], 1)
     return quality, toxic
 
 
-_FREQUENT = _hash_of(" ".join(FREQUENT))
+_FREQUENT = _hash_of(" ".join([*ENGLISH, *FREQUENT]))
+_ENGLISH = _hash_of(" ".join(ENGLISH))
 _INSULTS = _hash_of(" ".join(INSULTS))
 
 
@@ -223,26 +221,30 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     return Model(fit_linear(row, slot, value, good), fit_linear(row, slot, value, bad), {"quality": by_quality, "toxic": by_toxic})
 
 
-def _judge(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], model, text_col: str) -> Iterator[pa.RecordBatch]:
     at: Model = model.value
     for batch in batches:
         out = []
-        for c in chunks(batch.column("text")):
+        for c in chunks(batch.column(text_col)):
             doc, slot, value = features(c)
             out.append([1 / (1 + np.exp(-np.clip(np.bincount(doc, w[slot] * value, minlength=c.last - c.first) + b, -30, 30))) for w, b in (at.quality, at.toxic)])
         q, t = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 2
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q.round(6)), pa.array(t.round(6)), pa.array((q >= 0.5) & (t < 0.5))], [*names, "quality_score", "toxic_score", "keep"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q.round(6)), pa.array(t.round(6)), pa.array((q >= 0.5) & (t < 0.5))], [*batch.schema.names, *SCORES])
+
+
+SCORES = ("quality_score", "toxic_score", "keep")
 
 
-def judge(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns of every row with quality_score, toxic_score and keep (quality at least one half, toxicity below).
+def judge(docs: DataFrame, model: Model, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The carried columns (default: doc_id) of every row with quality_score, toxic_score and keep (quality at least one half, toxicity below).
 
-    A null or empty text has no features and gets the scorers' bias. One pass without an exchange; the model is of fixed size.
+    A null or empty text has no features and gets the scorers' bias. Carried columns may have any names; one that is called like
+    a score is followed by an underscore. One pass without an exchange; the model is of fixed size.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    cols = docs.select(*dict.fromkeys([*carry, "text"]))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols.columns) + ", quality_score double, toxic_score double, keep boolean"
-    out = cols.mapInArrow(partial(_judge, model=shipped), schema)
-    return out if "text" in carry else out.drop("text")
+    carry = carry or ["doc_id"]
+    inner = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), *([] if text_col in carry else [F.col(text_col).alias("text")]))
+    text = f"c{carry.index(text_col)}" if text_col in carry else "text"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields) + ", quality_score double, toxic_score double, keep boolean"
+    out = inner.mapInArrow(partial(_judge, model=shipped, text_col=text), schema)
+    return out.select(*(F.col(f"c{i}").alias(c + "_" * (c in SCORES)) for i, c in enumerate(carry)), *SCORES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import automata, chat, html, jaccard, suffixes, urls
+from . import automata, chat, contamination, html, imatch, jaccard, packing, quality, suffixes, urls
 from .shared import table
 
 
@@ -30,26 +30,48 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_packing": op5_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
+    "op10_imatch": op10_imatch,
 }
 
 ORACLE: dict[str, str] = {
     "op6_chat_formatting": chat.digests_sql(),
+    "op8_decontamination": contamination.find_leaks_sql(),
     "op9_url_filter": urls.judge_sql(),
 }

@@ -164,3 +164,21 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
 
     out = with_spans(all_docs, found).mapInArrow(cut, f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def cut_texts(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with the texts of `remove_repeats(as_text=True)` in place of theirs."""
+    all_docs, shelf = keyed(docs, id_col, text_col), Shelf(docs.sparkSession, "suffixes")
+    found = spans(all_docs, shelf, rule(window), encode, resolve(window))
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    key = keyed(docs.toDF(*inner), inner[names.index(id_col)], inner[names.index(text_col)], inner)
+    kinds = {f.name: f.dataType.simpleString() for f in key.schema.fields}
+    others = [c for c in inner if c != inner[names.index(text_col)]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _cut(batches, True, True):
+            yield out.select([*others, "kept"])
+
+    rows = key.drop(inner[names.index(text_col)]).join(found, ["doc", "hash"], "left").mapInArrow(cut, ", ".join(f"{c} {kinds[c]}" for c in others) + ", kept string")
+    return rows.select(*(F.col("kept" if c == inner[names.index(text_col)] else c).alias(n) for c, n in zip(inner, names, strict=True)))

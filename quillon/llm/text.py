@@ -116,6 +116,11 @@ def words(chunk: Chunk, lower: bool) -> Words:
     return Words(span_hash(running_hash(_BYTE[data]), start, end), start, end, np.searchsorted(start, chunk.offsets))
 
 
+def lower_running(chunk: Chunk) -> np.ndarray:
+    """Running hash of a chunk's lower-cased bytes; a span of it hashes as the same word does in `words`."""
+    return running_hash(_BYTE[_LOWER[chunk.data]])
+
+
 def ngrams(w: Words, n: int) -> np.ndarray:
     """Hash of the n words from each word on; the last n - 1 words of a text have no n-gram of their own (see `shingles`)."""
     running = running_hash(w.hash)
