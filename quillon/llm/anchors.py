@@ -142,14 +142,12 @@ def _spans(e: _Entries, which: np.ndarray, extra: np.ndarray) -> Iterator[tuple[
 def _enter(batches: Iterator[pa.RecordBatch], rule: Rule, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """(doc, hash, text) to (bucket, doc, hash, full, entries): settled spans of a document, or entries of a bucket."""
     held: list[tuple[np.ndarray, ...]] = []
-    size = turn = 0
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal turn
-        turn += 1
         e, settled = _Entries(held).settle(rule)
         held.clear()
-        rows = [(turn * 7919 % n_buckets, d, h, full, None) for d, h, full, _ in _spans(e, settled, np.zeros(len(settled), bool))]
+        rows = [(h % n_buckets, d, h, full, None) for d, h, full, _ in _spans(e, settled, np.zeros(len(settled), bool))]
         # Of a context met twice here one occurrence goes on, marked so.
         group = np.cumsum(e.first) - 1
         e.many = np.bincount(group, minlength=1)[group] > 1

@@ -117,14 +117,12 @@ def _enter(batches: Iterator[pa.RecordBatch], width: int, percent: int, n_bucket
     names: list[np.ndarray] = []
     keys: list[np.ndarray] = []
     seen: set[int] = set()
-    turn = held = 0
+    held = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal turn
-        turn += 1
         rows = []
         if docs:
-            rows.append((turn * 7919 % n_buckets, 0, np.concatenate(docs).tobytes(), b"", b""))
+            rows.append((int(docs[0][0, 1]) % n_buckets, 0, np.concatenate(docs).tobytes(), b"", b""))
         if keys:
             key, name = np.concatenate(keys), np.concatenate(names)
             slot = ((key >> U(32)) * U(n_buckets)) >> U(32)
