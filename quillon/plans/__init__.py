@@ -1,0 +1,3 @@
+"""Registered queries, by area; importing the package fills the registry."""
+
+from . import audit, discover, reconcile, scalars  # noqa: F401
