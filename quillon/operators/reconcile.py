@@ -64,28 +64,28 @@ def ladder(batch: DataFrame, pool: DataFrame) -> DataFrame:
 def in_batch(batch: DataFrame, pool: DataFrame) -> DataFrame:
     """The same where earlier batch rows that came out new are targets too: (pos, outcome, match, target, in_plan).
 
-    Rows are settled in rounds: one settles when all earlier rows that it shares a key with have. The number of rounds is the longest
-    chain of such rows, not the batch's length; each round is written, so a lost executor costs one round.
+    Rows are settled in rounds. A row waits for an earlier one only while that one could change its answer: not once a target that
+    is settled answers on a lower rung, or, where the answer is ambiguous, on the same one. So a group of equal titles takes two
+    rounds whatever its size. Each round is written; a lost executor costs one round.
     """
     shelf = Shelf(batch.sparkSession, "in-batch")
-    outer = edges(batch, pool).select("pos", "target", "rung", F.lit(False).alias("in_plan"))
+    batch = shelf.put(batch.withColumn("pos", c("pos").cast("long")), "batch")
+    outer = edges(batch, pool).select("pos", c("target").cast("long").alias("target"), "rung", F.lit(False).alias("in_plan"))
     inner = edges(batch, batch).where("target < pos").select("pos", "target", "rung", F.lit(True).alias("in_plan"))
-    links = shelf.put(outer.union(inner), "links")
-    waiting = shelf.put(links.where("in_plan").select("pos", "target").distinct(), "waiting")
-    schema = "pos long, outcome string, match string, target long, in_plan boolean"
-    done = batch.sparkSession.createDataFrame([], schema)
-    open_rows, turn = shelf.put(batch.select(c("pos").cast("long")), "open"), 0
-    while not open_rows.isEmpty():
-        blocked = waiting.join(open_rows.withColumnRenamed("pos", "target"), "target", "left_semi").select("pos").distinct()
-        ready = open_rows.join(blocked, "pos", "left_anti")
-        new = done.where("outcome = 'new'").select(c("pos").alias("target"), F.lit(True).alias("is_new"))
-        live = links.join(ready, "pos", "left_semi").join(new, "target", "left").where("not in_plan or is_new")
+    links = shelf.put(outer.union(inner).withColumn("rank", rank(c("rung"))), "links")
+    done = shelf.put(batch.join(links, "pos", "left_anti").select("pos", F.lit("new").alias("outcome"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("long").alias("target"), F.lit(None).cast("boolean").alias("in_plan")), "done")
+    left, turn = shelf.put(links, "left"), 0
+    while not left.isEmpty():
+        state = done.select(c("pos").alias("target"), (c("outcome") == "new").alias("is_new"))
+        known = left.join(state, "target", "left").withColumn("live", ~c("in_plan") | F.coalesce("is_new", F.lit(False))).withColumn("waits", c("in_plan") & c("is_new").isNull())
+        per = known.groupBy("pos").agg(F.min(F.when(c("live"), c("rank"))).alias("best"), F.min(F.when(c("waits"), c("rank"))).alias("open"))
+        ready = per.where("open is null or best < open or (best >= 3 and best = open)").select("pos")
         # Pool items come before planned rows; a planned row with a DOI overwrites the pool's.
-        ordered = live.select("pos", F.struct("in_plan", "target").alias("target"), "rung")
-        told = settle(ordered).select("pos", "outcome", "match", c("target.target").alias("target"), c("target.in_plan").alias("in_plan"))
-        settled = ready.join(told, "pos", "left").select("pos", F.coalesce("outcome", F.lit("new")).alias("outcome"), "match", c("target").cast("long").alias("target"), "in_plan")
-        done = shelf.put(done.union(settled), f"done{turn}")
-        open_rows = shelf.put(open_rows.join(done, "pos", "left_anti"), f"open{turn}")
+        live = known.where("live").join(ready, "pos", "left_semi").select("pos", F.struct("in_plan", "target").alias("target"), "rung")
+        told = settle(live).select("pos", "outcome", "match", c("target.target").alias("target"), c("target.in_plan").alias("in_plan"))
+        settled = shelf.put(ready.join(told, "pos", "left").select("pos", F.coalesce("outcome", F.lit("new")).alias("outcome"), "match", "target", "in_plan"), f"settled{turn}")
+        left = shelf.put(left.join(settled, "pos", "left_anti"), f"left{turn}")
+        done = done.union(settled)
         turn += 1
     return done
 

@@ -1,3 +1,3 @@
 """Registered queries, by area; importing the package fills the registry."""
 
-from . import audit, discover, hierarchy, merge, reconcile, scalars, scopes  # noqa: F401
+from . import audit, discover, hierarchy, merge, placement, reconcile, scalars, scopes, streams  # noqa: F401

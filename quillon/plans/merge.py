@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import merge as M
 from ..operators import reconcile as R
 from ..registry import query
+from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from .reconcile import pool
 from .scalars import part_items
@@ -132,7 +133,7 @@ def plan_warnings(t: Tables) -> DataFrame:
 @query("plan_build")
 def plan_build(t: Tables) -> DataFrame:
     """Merged rows that may go in, deduplicated against the pool and against earlier rows of their batch; the others keep their outcome."""
-    rows = M.plan_rows(entries(t))
+    rows = Shelf(t.spark, "plan").put(M.plan_rows(entries(t)).select("p_partkey", "outcome", "merged"), "rows")
     fresh = rows.where("outcome = 'new'").select(c("p_partkey").alias("pos"), C.family_value(c("merged"), "title").alias("title"), F.try_element_at("merged", F.lit("DOI")).alias("doi"), F.try_element_at("merged", F.lit("ISBN")).alias("isbn"), F.try_element_at("merged", F.lit("url")).alias("url"))
     told = R.in_batch(fresh, pool(t)).select(c("pos").alias("p_partkey"), c("outcome").alias("found"), "match", "in_plan")
     return rows.join(told, "p_partkey", "left").select("p_partkey", F.coalesce("found", "outcome").alias("outcome"), "match", "in_plan")
