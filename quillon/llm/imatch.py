@@ -38,15 +38,19 @@ def _terms(w, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], t[new]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text to (term, documents that hold it), summed up inside the task."""
+def _frequencies(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Text to (bucket, terms, counts): documents that hold each term, summed up inside the task and packed by hash bucket."""
     held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         term, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+        slot = (((term >> U(32)) * U(n_buckets)) >> U(32)).astype(np.int64)  # ascends with the term
+        cut = np.searchsorted(slot, np.arange(n_buckets + 1))
+        rows = [(b, term[x:y].astype("<u8").tobytes(), n[x:y].astype("<u4").tobytes()) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+        bucket, terms, counts = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "terms", "counts"])
 
     for batch in batches:
         for c in chunks(batch.column(0)):
@@ -59,11 +63,22 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _in_band(batches: Iterator[pa.RecordBatch], low: float, high: float) -> Iterator[pa.RecordBatch]:
+    """One bucket's counts, summed; the terms whose sum lies in the band."""
+    term, n = np.zeros(0, U), np.zeros(0, np.int64)
+    for batch in batches:
+        t = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("terms")]
+        k = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in batch.column("counts")]
+        term, back = np.unique(np.concatenate([term, *t]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n, *k]), minlength=len(term)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(term[(n >= low) & (n <= high)].astype(np.int64))], ["term"])
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str = "text") -> np.ndarray:
     """Hashes of the terms in the band, sorted. Frequencies are counted over all documents."""
-    total = docs.count()
-    counts = docs.select(text_col).mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counts.where((F.col("n") >= low * total) & (F.col("n") <= max(1.0, high * total))).select("term").collect()
+    total, n = docs.count(), buckets(docs.sparkSession)
+    packed = docs.select(text_col).mapInArrow(partial(_frequencies, n_buckets=n), "bucket int, terms binary, counts binary")
+    rows = packed.repartitionById(n, F.col("bucket")).mapInArrow(partial(_in_band, low=low * total, high=max(1.0, high * total)), "term long").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).astype(U))
 
 

@@ -1,4 +1,4 @@
-"""Tables that outlive a job's lineage.
+"""Tables that outlive a job's lineage, for the text operators.
 
 An intermediate result is written once, as Parquet, to the folder that the cluster names in `spark.checkpoint.dir`, and read
 again from there: executors may be lost at any time without a long lineage being run again.
@@ -6,29 +6,13 @@ again from there: executors may be lost at any time without a long lineage being
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shelf import Shelf as _Shelf
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a fresh temporary one only where none is set (tests on one machine)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-class Shelf:
-    """Named tables of one operator call, below one new folder of the shared directory."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+class Shelf(_Shelf):
+    """Named tables of one operator call; large ones are compressed well, and dropped when no later step reads them."""
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
