@@ -146,3 +146,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
+
+
+def remove_repeats_sql(window: int = 20) -> str:
+    """Digests of `remove_repeats` in DuckDB SQL over `documents`, from all windows of all texts."""
+    return f"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, unnest(range(1, len(w) - {window} + 2)) as i, w from d where len(w) >= {window}),
+grams as (select doc_id, i, array_to_string(w[i:i + {window} - 1], ' ') as g from win),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from grams) x where k > 1),
+gone as (select distinct doc_id, i + k as j from late, range(0, {window}) r(k)),
+flat as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from d),
+kept as (select f.doc_id, string_agg(word, ' ' order by f.j) as kept, count(*) as n from flat f anti join gone g on g.doc_id = f.doc_id and g.j = f.j group by f.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join kept k on k.doc_id = d.doc_id"""

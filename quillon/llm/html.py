@@ -177,3 +177,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kinds = dict(pages.dtypes)
     cols = pages.selectExpr(f"`{id_col}` as page_id", f"`{url_col}` as url", f"`{html_col}` as html")
     return cols.mapInArrow(_extract, f"page_id {kinds[id_col]}, url string, text string, n_chars long")
+
+
+def extract_sql() -> str:
+    """The same rows in DuckDB SQL for pages whose article is marked, as those of the table `pages` are."""
+    body = "regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
+    decoded = f"replace(replace(replace(replace({body}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+    return f"select page_id, url, text, length(text)::bigint as n_chars from (select page_id, url, trim(regexp_replace({decoded}, '\\s+', ' ', 'g')) as text from pages) x"

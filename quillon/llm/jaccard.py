@@ -385,3 +385,15 @@ def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width:
     rest = shelf.put(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     links = checked.where("linked").select("a", "b")
     return links.union(shelf.put(verified(rest, sets, percent, width), "rechecked").where("linked").select("a", "b"))
+
+
+def near_duplicates_sql(percent: int = 80, width: int = 5) -> str:
+    """The same rows in DuckDB SQL over `documents`, from all pairs that share a shingle."""
+    return f"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) < {width} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' ')) end)) as g from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= {percent} * (x.n + y.n - common)),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join l on l.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.root as component_id from d left join n on n.doc_id = d.doc_id join (select a, min(b) as root from reach group by a) r on r.a = d.doc_id"""

@@ -71,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_html_extraction": html.extract_sql(),
+    "op2_ngram_jaccard": jaccard.near_duplicates_sql(),
+    "op3_substring_dedup": automata.remove_repeats_sql(),
     "op6_chat_formatting": chat.digests_sql(),
     "op8_decontamination": contamination.find_leaks_sql(),
     "op9_url_filter": urls.judge_sql(),
