@@ -155,8 +155,8 @@ def _enter(batches: Iterator[pa.RecordBatch], rule: Rule, n_buckets: int) -> Ite
         slot = ((e.anchor >> U(32)) * U(n_buckets)) >> U(32)
         order = np.argsort(slot.astype(np.uint16) if n_buckets <= 1 << 16 else slot, kind="stable")
         e, slot = e.take(order), slot[order]
-        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else slot.astype(int)
-        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True):
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True) if len(slot) else ():
             rows.append((int(slot[at]), None, None, None, _pack(e.take(np.arange(at, to)))))
         b, d, h, f, x = zip(*rows, strict=True) if rows else ((), (), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(f, pa.binary()), pa.array(x, pa.binary())], ["bucket", "doc", "hash", "full", "entries"])

@@ -36,10 +36,10 @@ NAMED = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-# One token: a comment, a declaration, an element whose content isn't text (with its content), or a tag. Atomic groups keep
-# the time linear on broken markup.
+# One token: a comment, a declaration, an element whose content isn't text (with its content, to the end if it isn't closed), or a
+# tag. Atomic groups keep the time linear on broken attributes.
 TOKEN = re.compile(
-    rf"<!--(?>.*?)(?:-->|\Z)|<!(?>[^>]*)>?|<\?(?>[^>]*)>?|<({'|'.join(RAW.split())})\b(?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?>.*?)(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!(?>[^>]*)>?|<\?(?>[^>]*)>?|<({'|'.join(RAW.split())})\b(?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )

@@ -123,7 +123,7 @@ def _enter(batches: Iterator[pa.RecordBatch], width: int, percent: int, n_bucket
         rows = []
         if docs:
             rows.append((int(docs[0][0, 1]) % n_buckets, 0, np.concatenate(docs).tobytes(), b"", b""))
-        if keys:
+        if sum(map(len, keys)):
             key, name = np.concatenate(keys), np.concatenate(names)
             slot = ((key >> U(32)) * U(n_buckets)) >> U(32)
             order = np.argsort(slot.astype(np.uint16) if n_buckets <= 1 << 16 else slot, kind="stable")
@@ -131,7 +131,7 @@ def _enter(batches: Iterator[pa.RecordBatch], width: int, percent: int, n_bucket
             low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             run = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (slot[1:] != slot[:-1]))))
             count = np.diff(np.append(run, len(key)))
-            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(key) else run[:0]
+            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             for at, to in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
                 p, q = np.searchsorted(run, (at, to))
                 rows.append((int(slot[at]), 1, name[run[p:q]].tobytes(), count[p:q].astype("<u4").tobytes(), low[at:to].tobytes()))

@@ -25,6 +25,7 @@ SLOTS = 1 << 18
 PREFIXES = (5, 7)  # a word counts by itself and by its first letters
 ROUNDS = 60
 NOTHING = 2
+SIGNIFICANT = 4.0  # standard deviations from chance at which a slot is used
 
 # Insults that the toxicity labeller knows.
 INSULTS = "clown disgusting dumb idiot idiots loser losers moron morons pathetic scum scumbag stupid trash worthless".split()
@@ -60,45 +61,45 @@ def _bare(c: Chunk, w: Words) -> Words:
     return Words(w.hash[:0], start, end, kept[w.doc])
 
 
-def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of a chunk's texts: (text, slot, value). Values of one text are roots of shares of its words."""
+def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a chunk's texts, each once a text: (text, slot), sorted.
+
+    Lexical ones are a word and its first letters. Shapes are what marks end words, words and pairs of words that repeat, and loud
+    words, each with the order of magnitude of its share of the text's words.
+    """
     w = words(c, lower=True)
-    bare = _bare(c, w)
-    running = lower_running(c)
+    bare, running, n = _bare(c, w), lower_running(c), c.last - c.first
+    text, size = np.repeat(np.arange(n), np.diff(bare.doc)), bare.end - bare.start
     docs, slots = [], []
-    text = np.repeat(np.arange(c.last - c.first), np.diff(bare.doc))
-    size = bare.end - bare.start
-    for n in (0, *PREFIXES):
-        at = np.flatnonzero(size > n) if n else np.arange(len(size))
-        end = np.minimum(bare.end[at], bare.start[at] + n) if n else bare.end[at]
+    for k in (0, *PREFIXES):
+        at = np.flatnonzero(size > k) if k else np.arange(len(size))
+        end = np.minimum(bare.end[at], bare.start[at] + k) if k else bare.end[at]
         docs.append(text[at])
-        slots.append(mix(span_hash(running, bare.start[at], end) ^ U(n * 77 + 5)))
-    # The marks at a word's end, and how a word stands to the one before it: what makes junk junk.
-    every = np.repeat(np.arange(c.last - c.first), np.diff(w.doc))
-    tail = np.maximum(w.start, w.end - 2)
-    docs.append(every)
-    slots.append(mix(np.where(_LETTER[c.data[w.end - 1]], U(1), span_hash(running, tail, w.end)) ^ U(0xE4D)) if len(w.hash) else w.hash)
-    same = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (every[1:] == every[:-1])) + 1
-    docs.append(every[same])
-    slots.append(np.full(len(same), 0x5A3E, U))
-    upper = np.concatenate(([0], np.cumsum(_UPPER[c.data])))
-    loud = np.flatnonzero(upper[w.end] - upper[w.start] > 2)
-    docs.append(every[loud])
-    slots.append(np.full(len(loud), 0x10D, U))
-    if len(w.hash) > 3:  # pairs of words that the text has had before
-        pair = w.hash[:-1] * U(3) + w.hash[1:]
-        mine = every[:-1]
-        inside = every[:-1] == every[1:]
+        slots.append(mix(span_hash(running, bare.start[at], end) ^ U(k * 77 + 5)))
+    every = np.repeat(np.arange(n), np.diff(w.doc))
+    shape_doc, shape = [], []
+    if len(w.hash):
+        closed = ~_LETTER[c.data[w.end - 1]]
+        shape_doc.append(every[closed])
+        shape.append(mix(span_hash(running, np.maximum(w.start, w.end - 2), w.end) ^ U(0xE4D))[closed])
+        same = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (every[1:] == every[:-1])) + 1
+        upper = np.concatenate(([0], np.cumsum(_UPPER[c.data])))
+        loud = np.flatnonzero(upper[w.end] - upper[w.start] > 2)
+        pair, mine = w.hash[:-1] * U(3) + w.hash[1:], np.where(every[:-1] == every[1:], every[:-1], -1)
         order = np.lexsort((pair, mine))
-        again = np.flatnonzero((pair[order][1:] == pair[order][:-1]) & (mine[order][1:] == mine[order][:-1]) & inside[order][1:])
-        docs.append(mine[order][again])
-        slots.append(np.full(len(again), 0xDB, U))
-    doc, slot = np.concatenate(docs), (np.concatenate(slots) & U(SLOTS - 1)).astype(np.int64)
-    key = doc * SLOTS + slot
-    key, n = np.unique(key, return_counts=True)
-    doc, slot = key // SLOTS, key % SLOTS
-    total = np.maximum(1, np.diff(w.doc))
-    return doc, slot, np.sqrt(n / total[doc])
+        again = mine[order][1:][(pair[order][1:] == pair[order][:-1]) & (mine[order][1:] == mine[order][:-1]) & (mine[order][1:] >= 0)]
+        for name, at in ((0x5A3E, every[same]), (0x10D, every[loud]), (0xDB, again)):
+            shape_doc.append(at)
+            shape.append(np.full(len(at), name, U))
+        doc, kind = np.concatenate(shape_doc), np.concatenate(shape)
+        order = np.lexsort((kind, doc))
+        doc, kind = doc[order], kind[order]
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])))) if len(doc) else np.zeros(0, np.int64)
+        share = np.diff(np.append(first, len(doc))) / np.maximum(1, np.diff(w.doc))[doc[first]]
+        docs.append(doc[first])
+        slots.append(mix(kind[first] ^ mix(np.ceil(np.log2(share * 128 + 1)).astype(U) + U(0x511))))
+    key = np.unique(np.concatenate(docs) * SLOTS + (np.concatenate(slots) & U(SLOTS - 1)).astype(np.int64))
+    return key // SLOTS, key % SLOTS
 
 
 def votes(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -160,19 +161,29 @@ def label_model(vote: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
     return p, share
 
 
-def fit_linear(row: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch gradient steps with per-weight rates; deterministic."""
-    w, g2 = np.zeros(SLOTS), np.full(SLOTS, 1e-8)
-    bias, n = 0.0, max(1, len(target))
-    weight = np.where(target > 0.5, 0.5 / max(1e-9, (target > 0.5).mean()), 0.5 / max(1e-9, (target <= 0.5).mean())) if n > 1 else np.ones(n)
-    weight = np.minimum(weight, 8.0)
-    for _ in range(rounds):
-        z = np.bincount(row, w[slot] * value, minlength=n)[:n] + bias
-        miss = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        grad = np.bincount(slot, value * miss[row], minlength=SLOTS) + decay / n * w
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 500, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, over the slots that go with the label by more than chance; the rest weigh nothing.
+
+    Without that screening a few thousand rows would fit any label by words that occur once. Deterministic.
+    """
+    n = len(rows)
+    held, yes = np.zeros(SLOTS), np.zeros(SLOTS)
+    for slots, p in zip(rows, target.tolist(), strict=True):
+        held[slots] += 1
+        yes[slots] += p
+    prior = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
+    chance = (yes - held * prior) / np.sqrt(held * prior * (1 - prior) + 1)
+    good = (np.abs(chance) > SIGNIFICANT) & (held >= 3)
+    kept = [slots[good[slots]] for slots in rows]
+    row, slot = np.repeat(np.arange(n), [len(k) for k in kept]), np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64)
+    w, g2, bias = np.zeros(SLOTS), np.full(SLOTS, 1e-10), float(np.log(prior / (1 - prior)))
+    for _ in range(rounds if n else 0):
+        z = np.bincount(row, w[slot], minlength=n)[:n] + bias
+        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
+        grad = np.bincount(slot, miss[row], minlength=SLOTS) + decay / n * w
         g2 += grad**2
         w -= 0.3 * grad / np.sqrt(g2)
-        bias -= 2.0 * miss.sum()
+        bias -= 0.5 * miss.sum()
     return w, bias
 
 
@@ -200,25 +211,22 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
             ids, q, t = (batch.column(c).to_pylist() for c in ("doc_id", "quality", "toxic"))
             out = []
             for c in chunks(batch.column("text")):
-                doc, slot, value = features(c)
+                doc, slot = features(c)
                 quality, toxic = votes(c)
                 cut = np.searchsorted(doc, np.arange(c.last - c.first + 1))
                 for i in range(c.last - c.first):
                     k, a, b = c.first + i, cut[i], cut[i + 1]
                     given = [NOTHING if x is None else int(x > 0) for x in (q[k], t[k])]
-                    out.append((ids[k], slot[a:b].astype("<i4").tobytes(), value[a:b].astype("<f4").tobytes(), bytes([*quality[i].tolist(), given[0], *toxic[i].tolist(), given[1]])))
+                    out.append((ids[k], slot[a:b].astype("<i4").tobytes(), bytes([*quality[i].tolist(), given[0], *toxic[i].tolist(), given[1]])))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["doc_id", "slots", "values", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["doc_id", "slots", "votes"])
 
-    rows = sorted(picked.mapInArrow(prepare, "doc_id long, slots binary, values binary, votes binary").collect(), key=lambda r: (r[0] is None, r[0], bytes(r[1])))
+    rows = sorted(picked.mapInArrow(prepare, "doc_id long, slots binary, votes binary").collect(), key=lambda r: (r[0] is None, r[0], bytes(r[1])))
     vote = np.array([list(r["votes"]) for r in rows], np.int64).reshape(len(rows), 9)
     parts = [np.frombuffer(r["slots"], "<i4") for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-    slot = np.concatenate([*parts, np.zeros(0, "<i4")]).astype(np.int64)
-    value = np.concatenate([*(np.frombuffer(r["values"], "<f4") for r in rows), np.zeros(0, "<f4")]).astype(float)
     good, by_quality = label_model(vote[:, :6])
     bad, by_toxic = label_model(vote[:, 6:])
-    return Model(fit_linear(row, slot, value, good), fit_linear(row, slot, value, bad), {"quality": by_quality, "toxic": by_toxic})
+    return Model(fit_linear(parts, good), fit_linear(parts, bad), {"quality": by_quality, "toxic": by_toxic})
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -226,8 +234,8 @@ def _judge(batches: Iterator[pa.RecordBatch], model, text_col: str) -> Iterator[
     for batch in batches:
         out = []
         for c in chunks(batch.column(text_col)):
-            doc, slot, value = features(c)
-            out.append([1 / (1 + np.exp(-np.clip(np.bincount(doc, w[slot] * value, minlength=c.last - c.first) + b, -30, 30))) for w, b in (at.quality, at.toxic)])
+            doc, slot = features(c)
+            out.append([1 / (1 + np.exp(-np.clip(np.bincount(doc, w[slot], minlength=c.last - c.first) + b, -30, 30))) for w, b in (at.quality, at.toxic)])
         q, t = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 2
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q.round(6)), pa.array(t.round(6)), pa.array((q >= 0.5) & (t < 0.5))], [*batch.schema.names, *SCORES])
 
