@@ -6,7 +6,7 @@ and overlap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -31,15 +31,18 @@ def touched(found: DataFrame, runs: DataFrame) -> DataFrame:
 
 def placements(found: DataFrame, runs: DataFrame) -> DataFrame:
     """Hits with `first_run`, `last_run`, why (null: it can be placed) and shares_run (another hit touches its first or last run)."""
-    over = touched(found, runs)
     key = ["doc_id", "para", "marker", "hit"]
-    last = over.groupBy(*key).agg(F.max("run").alias("last_run"), F.min("run").alias("first_run"))
-    within = over.join(last, key).groupBy(*key).agg(F.first("first_run").alias("first_run"), F.first("last_run").alias("last_run"), F.bool_or(c("anchored") & (c("run") < c("last_run"))).alias("straddles"))
-    users = over.groupBy("doc_id", "para", "run").agg(F.count("*").alias("users"))
-    shared = over.join(users, ["doc_id", "para", "run"]).groupBy(*key).agg((F.max("users") > 1).alias("shares_run"))
-    rows = found.join(within, key, "left").join(shared, key, "left")
+    f, r = found.alias("f"), runs.alias("r")
+    on = (c("f.doc_id") == c("r.doc_id")) & (c("f.para") == c("r.para")) & (c("r.text_start") < c("f.end")) & (c("r.text_end") > c("f.start"))
+    over = f.join(r, on, "left").select(*(f"f.{k}" for k in key), "r.run", "r.anchored")
+    # Users are counted inside a paragraph, whose rows the join has brought together: both windows reuse its partitioning.
+    users = F.count("*").over(Window.partitionBy("doc_id", "para", "run"))
+    last = F.max("run").over(Window.partitionBy(*key))
+    rows = over.withColumn("users", users).withColumn("last", last).groupBy(*key).agg(
+        F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.bool_or(c("anchored") & (c("run") < c("last"))).alias("straddles"), F.max(F.when(c("run").isNotNull(), c("users"))).alias("users")
+    )
     why = F.when(c("first_run").isNull(), "no run holds it").when(c("straddles"), "it straddles a comment's anchor")
-    return rows.select(*key, "first_run", "last_run", why.alias("why"), F.coalesce("shares_run", F.lit(False)).alias("shares_run"))
+    return rows.select(*key, "first_run", "last_run", why.alias("why"), F.coalesce(c("users") > 1, F.lit(False)).alias("shares_run"))
 
 
 def report(markers: DataFrame, placed: DataFrame) -> DataFrame:
