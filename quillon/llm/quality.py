@@ -155,7 +155,7 @@ def label_model(vote: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.
         by = np.stack([1 - p, p], 1)
         share = np.einsum("nc,nlv->lcv", by, said) + np.array([[2.0, 0.5], [0.5, 2.0]])  # a prior for better than chance
         share /= share.sum(2, keepdims=True)
-        prior = np.clip(by.mean(0), 0.01, 0.99)
+        prior = np.clip(by.mean(0) if len(by) else np.full(2, 0.5), 0.01, 0.99)
         log = np.log(prior) + np.einsum("nlv,lcv->nc", said, np.log(share))
         p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
     return p, share
@@ -195,16 +195,18 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit both scorers on at most `sample` labelled documents (those with the least hash of their id), or, without labels, on as many documents."""
+    """Fit both scorers on at most `sample` documents, those with the least hashes of their ids: labelled ones first, then others.
+
+    A document on which no labeller says anything about a question isn't used for that question's scorer.
+    """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if labels is not None:
-        chosen = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = chosen.collect()  # bounded by `sample`
-        spark = docs.sparkSession
-        small = spark.createDataFrame([tuple(r) for r in ids] or [(None, None, None)], "doc_id long, quality int, toxic int")
-        picked = cols.join(F.broadcast(small), "doc_id")
-    else:
-        picked = cols.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+    least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # noqa: E731  bounded by `sample`
+    given = {r[0]: (r[1], r[2]) for r in least(labels.groupBy("doc_id").agg(F.max("quality"), F.max("toxic")))} if labels is not None else {}
+    for r in least(cols.select("doc_id").where("doc_id is not null").distinct()):
+        if len(given) < sample:
+            given.setdefault(r[0], (None, None))
+    small = docs.sparkSession.createDataFrame([(i, *v) for i, v in given.items()] or [(None, None, None)], "doc_id long, quality int, toxic int")
+    picked = cols.join(F.broadcast(small), "doc_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     parts = [np.frombuffer(r["slots"], "<i4") for r in rows]
     good, by_quality = label_model(vote[:, :6])
     bad, by_toxic = label_model(vote[:, 6:])
-    return Model(fit_linear(parts, good), fit_linear(parts, bad), {"quality": by_quality, "toxic": by_toxic})
+    said = [np.flatnonzero((v != NOTHING).any(1)) for v in (vote[:, :6], vote[:, 6:])]
+    return Model(*(fit_linear([parts[i] for i in at], p[at]) for at, p in zip(said, (good, bad), strict=True)), {"quality": by_quality, "toxic": by_toxic})
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model, text_col: str) -> Iterator[pa.RecordBatch]:
