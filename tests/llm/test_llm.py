@@ -219,10 +219,7 @@ def test_packing_rows(spark):
 
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool]\\", None]), st.one_of(st.none(), st.text(alphabet="ab\\</s>[INST] OLERANSY", max_size=30))), max_size=6))
 @settings(max_examples=12, deadline=None)
-def test_chat_round_trip(turns):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+def test_chat_round_trip(spark, turns):
     rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     got = chat.digests(chat.format_chats(rows)).collect()
     if not turns:
