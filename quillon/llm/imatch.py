@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match.
 
 A document's terms (lower-cased words) are kept where their inverse document frequency lies in a chosen band, i.e. where `low` to
-`high` of all documents hold them. The distinct terms that are left are sorted and hashed, once for each of several randomised
-subsets of the lexicon. Subsets come at four rates, so that for short and for long documents some of them hold a few terms only.
+`high` of all documents hold them. The distinct terms that are left are sorted and hashed, once as they are and once for each of
+several randomised subsets of the lexicon. Subsets come at four rates, so that for short and for long documents some of them hold a
+few terms only; the hash of the whole list tells texts apart whose terms no subset draws.
 
 The lexicon is a bounded table whatever the corpus: terms that a share of `low` of the documents hold number at most the mean
 number of distinct terms of a document divided by `low`. It alone is broadcast.
@@ -23,9 +24,9 @@ from .shared import buckets
 from .text import U, chunks, mix, words
 
 LOW, HIGH = 0.002, 0.2
-RATES = (4, 32, 128, 512)  # one term in so many is in a subset
 PER_RATE = 8
-SUBSETS = len(RATES) * PER_RATE
+RATES = (1, *(r for r in (4, 32, 128, 512) for _ in range(PER_RATE)))  # of each subset: one term in so many is in it
+SUBSETS = len(RATES)
 _FLUSH = 1 << 21
 
 
@@ -83,7 +84,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str
 
 
 def fingerprints(texts: pa.Array, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text and subset the hash of its kept terms, and whether there are any.
+    """For each text and subset the hash of its kept terms, and whether there are any; the first subset is the whole lexicon.
 
     A text none of whose terms lies in the band keeps all of them, as it would otherwise be equal to any other such text.
     """
@@ -100,7 +101,7 @@ def fingerprints(texts: pa.Array, band: np.ndarray) -> tuple[np.ndarray, np.ndar
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         value = mix(term + U(1))
         for i in range(SUBSETS):
-            member = mix(term ^ mix(np.array([i + 1], U))) % U(RATES[i // PER_RATE]) == 0
+            member = mix(term ^ mix(np.array([i + 1], U))) % U(RATES[i]) == 0
             # Terms are distinct and sorted; the sum of their mixed hashes is a hash of that list.
             sums = np.add.reduceat(np.where(member, value, U(0)), first)
             hashes[c.first + doc[first], i] = (mix(sums) >> U(32)).astype(np.uint32)
@@ -110,7 +111,7 @@ def fingerprints(texts: pa.Array, band: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Share of equal subset hashes among the subsets that hold a term of either; 1 where neither has any."""
+    """Share of equal subset hashes among the subsets that hold a term of either; 1 where neither text has a term."""
     either = a[1] | b[1]
     same = ((a[0] == b[0]) & a[1] & b[1]).sum(1)
     n = either.sum(1)

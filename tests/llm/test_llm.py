@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -297,6 +298,44 @@ def test_fingerprints(spark):
     assert lone.near_next == 1.0
 
 
+@pytest.mark.parametrize("low", [0.002, 0.03])
+def test_likeness_by_brute_force(spark, low):
+    rng = random.Random(7)
+    rows = [(k, "w%d" % k) for k in range(60)] + [(100 + k, "u%d v%d" % (k, k)) for k in range(30)] + [(200 + k, prose(rng, 1 + 9 * k)) for k in range(20)]
+    rows += [(300, None), (301, ""), (302, "One"), (303, "one"), (304, "two")]
+    line = [t or "" for _, t in sorted(rows, reverse=True)]
+    terms = [set(lower(t).split()) for t in line]
+    held = collections.Counter(w for t in terms for w in t)
+    band = {w for w, n in held.items() if low * len(rows) <= n <= 0.2 * len(rows)}
+    names = sorted({w for t in terms for w in t} | {lower(w) for t in line for w in imatch.edited(t, line[(line.index(t) + 1) % len(line)]).split()})
+    whole = pa.array(names, pa.large_string())
+    code = {w: h for c in text.chunks(whole) for w, h in zip(names[c.first : c.last], text.words(c, lower=True).hash, strict=True)}
+
+    def subsets(t):
+        kept = set(lower(t).split())
+        kept = kept & band or kept
+        out = []
+        for i, rate in enumerate(imatch.RATES):
+            salt = text.mix(np.array([i + 1], np.uint64))
+            out.append({w for w in kept if text.mix(np.array([code[w]], np.uint64) ^ salt)[0] % np.uint64(rate) == 0})
+        assert out[0] == kept
+        return out
+
+    def near(a, b):
+        pairs = [(x, y) for x, y in zip(subsets(a), subsets(b), strict=True) if x or y]
+        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+    out = sorted(imatch.compare_neighbours(table(spark, rows), low=low).collect(), key=lambda r: -r.doc_id)
+    for k, r in enumerate(out):
+        t, following = line[k], line[(k + 1) % len(line)]
+        assert r.near_next == pytest.approx(near(t, following)), (t, following)
+        assert r.near_edited == pytest.approx(near(t, imatch.edited(t, following))), (t, following)
+    prints = collections.defaultdict(set)
+    for r in out:
+        prints[r.fingerprint].add(frozenset(subsets(line[out.index(r)])[0]))
+    assert all(len(sets) == 1 for sets in prints.values())  # different kept terms never share a fingerprint
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
