@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillon.llm import contamination, jaccard, packing, quality, suffixes
 from quillon.llm.shared import Shelf, table
 
-#: Ids of removed documents that are broadcast, about 8 bytes each; more are joined by exchange.
+#: Keys of removed rows that are broadcast, about 8 bytes each; more are joined by exchange.
 BROADCAST_IDS = 1_000_000
+KEY = "near_duplicate_key"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +22,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where(F.col("keep")).select(*(F.col(c + "_" * (c in quality.SCORES)).alias(c) for c in docs.columns))
 
 
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, KEY, "left_anti")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near duplicates; documents without an id stay."""
-    shelf = Shelf(spark, "near-duplicates")
-    others = shelf.put(jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that with the least doc_id, of each group of near duplicates; rows without an id come last, texts without a word stay.
+
+    Rows are told apart by a hash of doc_id and text, so rows that share a doc_id but not the text are judged apart. Of rows
+    that agree in both any one stays; only these are exchanged with their texts.
+    """
+    shelf, keyed = Shelf(spark, "near-duplicates"), docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    found = jaccard.near_duplicates(keyed, id_col=KEY).where("n_shingles > 0").groupBy(F.col("doc_id").alias(KEY), "component_id").agg(F.count("*").alias("times"))
+    placed = shelf.put(found.join(keyed.select(KEY, "doc_id").distinct(), KEY), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY))[KEY].alias("first")
+    groups = placed.groupBy("component_id").agg(first, F.count("*").alias("n")).where("n > 1")
+    others = shelf.put(placed.join(groups, "component_id").where(F.col(KEY) != F.col("first")).select(KEY), "others")
+    kept = _without(keyed, others)
+    repeated = shelf.put(placed.where("times > 1").select(KEY).join(others, KEY, "left_anti"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
+    return _without(kept, repeated).union(once.select(*kept.columns)).select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,6 +368,25 @@ def test_empty_tables(spark, run):
     assert blank.count() in (0, 3)
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    a, b, d, e, f, g = (prose(rng, 120, 400) for _ in range(6))
+    near = a + " end"
+    rows = [(1, a), (1, b), (0, near)]  # 1 repeats: one row is a near copy of 0, the other is unique
+    rows += [(5, d), (5, d), (6, d + " end")]  # exact repeated rows lead a group
+    rows += [(None, e), (None, e), (None, e + " end"), (None, f), (7, f), (9, g), (9, g + " end")]
+    rows += [(None, None), (None, None), (8, ""), (8, ""), (2, " ")]
+    out = p.near_duplicate_stage(spark, table(spark, rows), SMALL)
+    assert out.columns == table(spark, rows).columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert all(got[x] == rows.count(x) for x in rows if not (x[1] or "").strip())
+    kept = [x for x in got.elements() if (x[1] or "").strip()]
+    assert {(0, near), (1, b), (5, d), (7, f)} <= set(kept) and len(kept) == 6
+    assert sum(t in (e, e + " end") for _, t in kept) == 1 and sum(t in (g, g + " end") for _, t in kept) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
