@@ -81,6 +81,15 @@ def gen_field_codes(t: Tables) -> DataFrame:
     return K.field_codes(parts(t)).select("doc_id", F.substring("codes", 1, 54).alias("head"))
 
 
+FIELD = """'ADDIN ZOTERO_ITEM CSL_CITATION {"citationID":"' || k || '","properties":{"noteIndex":0},"citationItems":[{"uris":["http://zotero.org/groups/1/items/' || k || '"],"itemData":{"title":"A & B"}}]}'"""
+
+
+@query("gen_field_codes_whole", f"select doc_id, case when doc_id % 3 = 0 then {FIELD} else '' end as codes from (select doc_id, lpad(doc_id::varchar, 8, '0') as k from {{documents}}) d")
+def gen_field_codes_whole(t: Tables) -> DataFrame:
+    """The whole instruction text of each document, where gen_field_codes has its head only."""
+    return K.field_codes(parts(t))
+
+
 @query("gen_citations", "select doc_id, 0 as ord, lpad(doc_id::varchar, 8, '0') as citation_id, 0 as note_index from {documents} where doc_id % 3 = 0")
 def gen_citations(t: Tables) -> DataFrame:
     return K.citations(parts(t)).drop("items")

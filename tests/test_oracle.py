@@ -16,6 +16,11 @@ def test_query_equals_sql(compare, name):
     assert ours == theirs
 
 
+def test_whole_field_codes_equal_sql(compare):
+    ours, theirs = compare("gen_field_codes_whole")
+    assert ours == theirs and any(len(codes) > 54 for codes, _ in ours)
+
+
 def test_registry_is_complete():
     import __spark_entry__ as entry
 
