@@ -9,6 +9,7 @@ from ..registry import query
 from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from ..streaming import ledger as L
+from .scopes import OUT, WHY, skip_reason
 
 c = F.col
 
@@ -76,3 +77,27 @@ def plan_apply(t: Tables) -> DataFrame:
     first = shelf.put(plan.distinct(), "first")
     again = shelf.put(plan.join(first, ["binding_id", "identifier"], "left_anti").distinct(), "again")
     return first.union(again).groupBy("binding_id").agg(F.count("*").alias("written"))
+
+
+PLANNED = OUT.replace(" from {events}", ", event_type || ':' || props as identifier from {events}")
+WRITTEN = "plan_id long, identifier string, call int"
+
+
+def _apply(plan: DataFrame, path: str, call: int) -> None:
+    """Applicable rows of a stored plan that no earlier call has written, once per plan and identifier."""
+    rows = plan.where(skip_reason(c("outcome"), c("in_plan"), c("force")).isNull()).select("plan_id", "identifier").distinct()
+    if call > 1:
+        held = plan.sparkSession.read.schema(WRITTEN).option("basePath", path).parquet(*(f"{path}/call={k}" for k in range(1, call)))
+        rows = rows.alias("r").join(held.alias("h"), F.expr("r.plan_id <=> h.plan_id and r.identifier <=> h.identifier"), "left_anti")
+    rows.write.mode("overwrite").parquet(f"{path}/call={call}")
+
+
+@query("plan_apply_all", f"select plan_id as binding_id, count(*) as written, 0::bigint as again from (select distinct plan_id, identifier from ({PLANNED}) o where {WHY} is null) x group by plan_id")
+def plan_apply_all(t: Tables) -> DataFrame:
+    """All events as a stored plan, applied twice against the ledger that was written: rows of the first call and of the second."""
+    shelf = Shelf(t.spark, "applied")
+    plan, path = shelf.put(t.sql(PLANNED), "plan"), f"{shelf.root}/ledger"
+    for call in (1, 2):
+        _apply(plan, path, call)
+    rows = t.spark.read.schema(WRITTEN).parquet(path)
+    return rows.groupBy(c("plan_id").alias("binding_id")).agg(F.count_if(c("call") == 1).alias("written"), F.count_if(c("call") == 2).alias("again"))

@@ -21,6 +21,11 @@ def test_whole_field_codes_equal_sql(compare):
     assert ours == theirs and any(len(codes) > 54 for codes, _ in ours)
 
 
+def test_whole_plan_applies_once(compare):
+    ours, theirs = compare("plan_apply_all")
+    assert ours == theirs and len(ours) > 0
+
+
 def test_registry_is_complete():
     import __spark_entry__ as entry
 
