@@ -260,16 +260,51 @@ def test_url_model_holds_out():
 @pytest.mark.parametrize(
     ("page", "want"),
     [
-        (None, ""), ("", ""), ("<p>short", ""), ("<article><p>x<b>y</b>z<p>Of.</article><footer>f</footer>", "xyz Of."),
+        (None, ""), ("", ""), ("<p>short", "short"), ("<article><p>x<b>y</b>z<p>Of.</article><footer>f</footer>", "xyz Of."),
         ("<main><h1>A&amp;B</h1><aside>no</aside><script>var t='</p>'</script><p>a<br>b &lt;i&gt;</p><div class='comment'>no</div></main>", "A&B a b <i>"),
         ("<body><div id=sidebar><p>" + "s " * 90 + "</p></div><div><p>" + "long " * 40 + "</p><p>tail</p></div><div class='cookie-notice'>no</div>", ("long " * 40).strip() + " tail"),
         ("<nav><a href=x>" + "menu " * 40 + "</a></nav>", ""), ("<article>unclosed <img alt='a>b'> end", "unclosed end"),
+        ("<h1>Title</h1><p>A short page.</p><p>Two lines.</p>", "Title A short page. Two lines."), ('<div id="page" class="has-sidebar"><article><p>body text</p></article></div>', "body text"),
+        ('<div class="entry-header"><h1>Title</h1></div>', "Title"), ('<section class="related-work">a</section><p class="search-term">b</p>', "a b"), ('<div class="sidebar"><h1>T</h1>x</div>', "T x"),
+        ('<p>one <span class="ad">buy <span>x</span> more ad</span> two</p>', "one two"), ("Let <math>x</math> be", "Let x be"), ("<article>" + "<div>" * 40 + "<b>deep</b></article><p class=ad>no", "deep"),
+        ("<article><header><h1>T</h1></header><p>Body <a href=x>link</a>.</p><ul><li><a href=y>see</a></ul></article><p>far out", "T Body link. see"), ("<p title='class=ad'>in", "in"),
     ],
 )
 def test_html(page, want):
     assert html.main_text(page) == want
 
 
+LINKS = "<ul>" + "<li><a href=/>m</a>" * 4 + "</ul>"
+
+
+def test_html_surge_decides():
+    """Nothing but the block lengths tells these lines apart: without the surge the first and last are kept."""
+    page = "<div>Welcome</div>" + LINKS + "<div>" + "long " * 40 + "</div><div>tail</div>" + LINKS + "<div>All rights reserved</div>"
+    assert html.main_text(page) == ("long " * 40).strip() + " tail"
+    assert html.main_text(page, share=1 << 30) == "Welcome " + ("long " * 40).strip() + " tail All rights reserved"
+    assert html.block_lengths([3, 0, 0, 0, 5, 1]) == [3, 0, 5, 6, 6, 1]
+
+
+def test_html_in_spark(spark):
+    """The pages of the table, with and without a marked article, against a plain reading; odd rows and clashing columns."""
+    import html as entities
+
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    want = {}
+    for i, _, h in rows:
+        body = re.search(r"(?s)<article>(.*)</article>", h)[1]
+        want[i] = " ".join(entities.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", body))).split())
+    plain = [(i + 10000, u, h.replace("<article>", "<div>").replace("</article>", "</div>")) for i, u, h in rows]
+    long = "<p>" + "word " * 400_000
+    odd = [(None, None, None), (None, "u", ""), (-1, "u", "<p>twice"), (-1, "u", "<p>twice"), (-2, None, long)]
+    pages = spark.createDataFrame([(*r, "t", 3) for r in [*rows, *plain, *odd]], "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(pages).collect()
+    is_odd = lambda r: r.page_id is None or r.page_id < 0
+    assert all(r.text == want[r.page_id % 10000] and r.n_chars == len(r.text) for r in got if not is_odd(r))
+    assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got if is_odd(r)) == [(-2, "", 1_999_999), (-1, "u", 5), (-1, "u", 5), (0, "", 0), (0, "u", 0)]
+    assert len(got) == len(rows) * 2 + 5 and html.extract(pages.limit(0)).count() == 0
+
+
 def test_contamination(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "Two words"), (3, None), (4, ""), (None, "a b c d e f")], "item_id long, text string")
     docs = table(spark, [(1, "x A B C D E F G H I J y"), (2, "a b c d e f g h i z"), (3, "these two words here"), (4, None), (5, "two"), (6, "a b c d x e f g h i j"), (None, "two words")])
