@@ -4,10 +4,17 @@ Over the tokens of a text (words or bytes) an anchor is the place of the smalles
 windows choose the same place, so two windows of W equal tokens always share an anchor, and only about 2/(W-k+2) of all places
 are one. An anchor's context is every token that a window around it can reach: W-k before it, W from it on.
 
-An occurrence is judged in three steps, each a hash exchange: (1) Occurrences whose whole context is found again are settled
-there and then, first inside a task (so a hot passage or a large group of copies sends one entry a task, not one a row), then
-in the anchor's bucket. (2) Anchors with different contexts send one occurrence of each distinct context on, with its tokens,
-to be compared (by `automata` or `suffixes`). (3) Spans return to their documents.
+An occurrence is judged in three steps, each a hash exchange: (1) Copies are merged: occurrences whose whole context is found again
+are settled there and then, first inside a task (so a hot passage or a large group of copies sends one entry a task, not one a
+row), then in the anchor's bucket. (2) Anchors with different contexts send one occurrence of each distinct context on, with its
+tokens, to be compared (by `automata` or `suffixes`). (3) Spans return to their documents.
+
+An anchor with many different contexts, as at the edges of a passage that a large part of the documents hold, is split before it is
+compared. Each window that holds the anchor reaches a number of tokens to the right of it; the numbers are cut into PARTS ranges, and
+two windows of one range that are equal agree over all but the range's width of their W tokens. That agreement is the new, longer anchor of a part,
+with a hash of its own, so the parts of an anchor spread over the buckets by what stands left and right of it. Parts that still
+have many contexts are split again, until a range is one window wide and its anchor is the whole window; then equal hashes settle
+everything. A task that meets many contexts of an anchor itself only tells the anchor's bucket so, and sends the parts.
 """
 
 from __future__ import annotations
@@ -26,24 +33,70 @@ from .text import U, Chunk, Words, chunks, mix, running_hash, span_hash, window_
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 FLUSH = 1 << 18
+PARTS = 8
 _FULL = np.dtype([("start", "<i4"), ("end", "<i4")])
-_NEED = np.dtype([("anchor", "<i8"), ("pos", "<i4")])
+_PICK = np.dtype([("anchor", "<i8"), ("pos", "<i4"), ("part", "u1"), ("hot", "u1")])
+_KEY = ["doc", "hash", "at"]
+MANY, SPLIT = 1, 2  # flags of an entry: its context was met again; its anchor was met with many contexts
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Tokens, window and anchor lengths, and whether the first occurrence of a repeated window stays."""
+    """Tokens, window and anchor lengths, whether the first occurrence of a repeated window stays, and from how many different
+    contexts on an anchor is split: met by one task, and in all. The last two change the plan, never the result."""
 
     by_words: bool
     window: int
     gram: int
     keep_first: bool
+    many_here: int = 64
+    many: int = 1024
+
+    def __post_init__(self) -> None:
+        if not self.gram <= self.window < 1 << 15:
+            raise ValueError("a window has fewer than 32,768 tokens, and no fewer than an anchor")
 
     @property
     def before(self) -> int:
         return self.window - self.gram
 
 
+@dataclass(frozen=True)
+class Part:
+    """Windows around an anchor that reach `right` to `right` + `width` - 1 tokens from its place on; `parent`: the part it is cut from."""
+
+    right: int
+    width: int
+    parent: int
+    window: int
+
+    @property
+    def left(self) -> int:
+        """Tokens before the place that all those windows hold."""
+        return self.window - self.right - self.width + 1
+
+    @property
+    def low(self) -> int:
+        """Tokens before the place that any of them holds."""
+        return self.window - self.right
+
+    @property
+    def high(self) -> int:
+        return self.right + self.width - 1
+
+
+def parts_of(rule: Rule) -> list[list[Part]]:
+    """The parts of each level of splitting: all windows of an anchor at first, single windows in the end."""
+    levels = [[Part(rule.gram, rule.before + 1, 0, rule.window)]]
+    while any(p.width > 1 for p in levels[-1]):
+        below = []
+        for i, p in enumerate(levels[-1]):
+            step = -(-p.width // PARTS)
+            below += [Part(p.right + a, min(step, p.width - a), i, rule.window) for a in range(0, p.width, step)]
+        levels.append(below)
+    return levels
+
+
 def tokens(c: Chunk, rule: Rule) -> tuple[np.ndarray, np.ndarray, Words | None]:
     """A chunk's token values, and the first token of each text (one more entry than texts)."""
     if rule.by_words:
@@ -65,8 +118,7 @@ def find(values: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
     pos = _minima(gram, rule.before + 1, limits, rule.gram)
     text = np.searchsorted(bounds, pos, "right") - 1
     low, high = np.maximum(bounds[text], pos - rule.before), np.minimum(bounds[text + 1], pos + rule.window)
-    context = mix(span_hash(running, low, high) ^ ((pos - low).astype(U) << U(40)) ^ (high - pos).astype(U))
-    return text, pos - bounds[text], gram[pos], context, pos - low, high - pos
+    return text, pos - bounds[text], gram[pos], _context(running, pos, pos - low, high - pos), pos - low, high - pos
 
 
 def _minima(gram: np.ndarray, width: int, bounds: np.ndarray, k: int) -> np.ndarray:
@@ -94,10 +146,28 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
+def _context(running: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mix(span_hash(running, pos - low, pos + high) ^ (low.astype(U) << U(40)) ^ high.astype(U))
+
+
+def find_parts(values: np.ndarray, bounds: np.ndarray, place: np.ndarray, of: np.ndarray, level: list[Part], window: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the next level in stretches of tokens, each around one place and cut for one part: stretch, part, hash, context's hash, tokens before and after."""
+    values = _BYTES[values] if values.dtype == np.uint8 else mix(values.astype(U) + U(1))
+    running, out = running_hash(values), []
+    low, high, pos = place, np.diff(bounds) - place, bounds[:-1] + place
+    for i, p in enumerate(level):
+        lo, hi = np.minimum(low, p.low), np.minimum(high, p.high)
+        at = np.flatnonzero((of == p.parent) & (lo >= p.left) & (hi >= p.right) & (lo + hi >= window))
+        if len(at):
+            anchor = mix(span_hash(running, pos[at] - p.left, pos[at] + p.right) ^ U((p.right << 20) + p.width))
+            out.append((at, np.full(len(at), i), anchor, _context(running, pos[at], lo[at], hi[at]), lo[at], hi[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
+
+
 class _Entries:
-    """Occurrences as columns: doc, hash (of the text), anchor, context, pos, low, high, many (its context was met again)."""
+    """Occurrences as columns: doc, hash (of the text), anchor, context, pos, low, high, part, flag."""
 
-    NAMES = ("doc", "hash", "anchor", "context", "pos", "low", "high", "many")
+    NAMES = ("doc", "hash", "anchor", "context", "pos", "low", "high", "part", "flag")
 
     def __init__(self, parts: list[tuple[np.ndarray, ...]]):
         for name, column in zip(self.NAMES, zip(*parts, strict=True), strict=True):
@@ -114,60 +184,85 @@ class _Entries:
         new = np.ones(n, bool)
         new[1:] = (e.anchor[1:] != e.anchor[:-1]) | (e.context[1:] != e.context[:-1])
         head, group = np.flatnonzero(new), np.cumsum(new) - 1
-        size, many = np.bincount(group, minlength=1), np.bincount(group, e.many, minlength=1)
+        size, many = np.bincount(group, minlength=1), np.bincount(group, e.flag == MANY, minlength=1)
         at = head[group]
         earliest = (e.doc == e.doc[at]) & (e.hash == e.hash[at]) & (e.pos == e.pos[at])  # an equal row is not earlier
-        e.first = new
+        e.first, e.size = new, size[group]
         whole = e.low + e.high >= rule.window  # otherwise no window holds the anchor
         return e, whole & (~earliest if rule.keep_first else ((size > 1) | (many > 0))[group])
 
+    def contexts(self) -> np.ndarray:
+        """For each settled row the number of different contexts of its anchor; rows stand sorted by anchor."""
+        new = np.concatenate(([True], self.anchor[1:] != self.anchor[:-1])) if len(self.anchor) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        return np.bincount(group, self.first, minlength=1)[group]
 
-def _spans(e: _Entries, which: np.ndarray, extra: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Rows (doc, hash, settled spans, occurrences to compare), one a document."""
-    order, _ = _grouped(e.doc, e.hash, e.pos)
-    order = order[(which | extra)[order]]
-    if not len(order):
-        return
-    doc, h = e.doc[order], e.hash[order]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))))
-    for at, to in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
-        o = order[at:to]
-        f, n = o[which[o]], o[extra[o]]
-        full, need = np.empty(len(f), _FULL), np.empty(len(n), _NEED)
-        full["start"], full["end"] = e.pos[f] - e.low[f], e.pos[f] + e.high[f]
-        need["anchor"], need["pos"] = e.anchor[n].astype(np.int64), e.pos[n]
-        yield int(doc[at]), int(h[at]), full.tobytes(), need.tobytes()
-
-
-def _enter(batches: Iterator[pa.RecordBatch], rule: Rule, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc, hash, text) to (bucket, doc, hash, full, entries): settled spans of a document, or entries of a bucket."""
+
+_ROW = "doc long, hash long, at int, full binary, pick binary"
+
+
+def _rows(e: _Entries, full: np.ndarray, need: np.ndarray, hot: np.ndarray, by_place: bool) -> list[tuple]:
+    """Rows (doc, hash, at, settled spans, occurrences to compare or to split), one a document, or one a place (`at`) of it."""
+    at = e.pos if by_place else np.zeros_like(e.pos)
+    order, group = _grouped(e.doc, e.hash, at)
+    told = (full | need | hot)[order]
+    order, group = order[told], group[told]
+    out = []
+    new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(order) else order
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True) if len(new) else ():
+        o = order[a:b]
+        f, n = o[full[o]], o[(need | hot)[o]]
+        span, pick = np.empty(len(f), _FULL), np.empty(len(n), _PICK)
+        span["start"], span["end"] = e.pos[f] - e.low[f], e.pos[f] + e.high[f]
+        pick["anchor"], pick["pos"], pick["part"], pick["hot"] = e.anchor[n].astype(np.int64), e.pos[n], e.part[n], hot[n]
+        out.append((int(e.doc[o[0]]), int(e.hash[o[0]]), int(at[o[0]]), span.tobytes(), pick.tobytes()))
+    return out
+
+
+def _enter(batches: Iterator[pa.RecordBatch], rule: Rule, n_buckets: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Texts, or at later levels stretches, to rows that go back to their document, and packed entries of a bucket."""
     held: list[tuple[np.ndarray, ...]] = []
-    size = 0
+    size, parts = 0, parts_of(rule)[level]
+    last = all(p.width == 1 for p in parts)
 
     def flush() -> pa.RecordBatch:
         e, settled = _Entries(held).settle(rule)
         held.clear()
-        rows = [(h % n_buckets, d, h, full, None) for d, h, full, _ in _spans(e, settled, np.zeros(len(settled), bool))]
-        # Of a context met twice here one occurrence goes on, marked so.
-        group = np.cumsum(e.first) - 1
-        e.many = np.bincount(group, minlength=1)[group] > 1
-        e = e.take(np.flatnonzero(e.first))
+        none = np.zeros(len(settled), bool)
+        hot = none if last else e.first & (e.contexts() > rule.many_here)
+        rows = [(h % n_buckets, d, h, at, full, pick, None) for d, h, at, full, pick in _rows(e, settled, none, hot, level > 0)]
+        # Of a context met twice here one occurrence goes on, marked so; of an anchor with many contexts only a mark.
+        e.flag = (e.size > 1).astype(np.uint8) * MANY
+        mark = hot & np.concatenate(([True], e.anchor[1:] != e.anchor[:-1]))
+        e.flag[mark] = SPLIT
+        e = e.take(np.flatnonzero(e.first & (~hot | mark)))
         slot = ((e.anchor >> U(32)) * U(n_buckets)) >> U(32)
         order = np.argsort(slot.astype(np.uint16) if n_buckets <= 1 << 16 else slot, kind="stable")
         e, slot = e.take(order), slot[order]
         first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True) if len(slot) else ():
-            rows.append((int(slot[at]), None, None, None, _pack(e.take(np.arange(at, to)))))
-        b, d, h, f, x = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(f, pa.binary()), pa.array(x, pa.binary())], ["bucket", "doc", "hash", "full", "entries"])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True) if len(slot) else ():
+            rows.append((int(slot[a]), None, None, None, None, None, _pack(e.take(np.arange(a, b)))))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["bucket", *_KEY, "full", "pick", "entries"])
+
+    def hold(row: np.ndarray, doc: np.ndarray, h: np.ndarray, anchor: np.ndarray, context: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray) -> None:
+        held.append((doc[row], h[row], anchor, context, pos.astype(np.int32), low.astype(np.int16), high.astype(np.int16), part.astype(np.uint8), np.zeros(len(pos), np.uint8)))
 
     for batch in batches:
         doc, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "hash"))
         for c in chunks(batch.column("text")):
-            values, bounds, _ = tokens(c, rule)
-            text, pos, gram, context, low, high = find(values, bounds, rule)
-            held.append((doc[c.first + text], h[c.first + text], gram, context, pos.astype(np.int32), low.astype(np.int16), high.astype(np.int16), np.zeros(len(pos), bool)))
-            size += len(pos)
+            if level:
+                row = np.arange(c.first, c.last)
+                place, part, pos = (batch.column(n).to_numpy(zero_copy_only=False)[row] for n in ("low", "part", "at"))
+                values, bounds = _stretches(c, rule)
+                at, part, anchor, context, low, high = find_parts(values, bounds, place, part, parts, rule.window)
+                hold(row[at], doc, h, anchor, context, pos[at], low, high, part)
+            else:
+                values, bounds, _ = tokens(c, rule)
+                at, pos, anchor, context, low, high = find(values, bounds, rule)
+                hold(c.first + at, doc, h, anchor, context, pos, low, high, np.zeros(len(pos)))
+            size += len(at)
             if size >= FLUSH:
                 yield flush()
                 size = 0
@@ -175,6 +270,11 @@ def _enter(batches: Iterator[pa.RecordBatch], rule: Rule, n_buckets: int) -> Ite
         yield flush()
 
 
+def _stretches(c: Chunk, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded tokens of a chunk of contexts, and where each starts."""
+    return (np.frombuffer(c.data, np.uint32), c.offsets // 4) if rule.by_words else (c.data, c.offsets)
+
+
 def _pack(e: _Entries) -> bytes:
     """Entries sorted by document, each document's id and hash once."""
     order, group = _grouped(e.doc, e.hash)
@@ -183,7 +283,8 @@ def _pack(e: _Entries) -> bytes:
     sizes = np.array([len(new), len(order)], "<i8")
     six = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     short = lambda x: x.astype("<u2").tobytes()
-    return b"".join([sizes.tobytes(), e.doc[new].astype("<i8").tobytes(), e.hash[new].astype("<i8").tobytes(), np.diff(np.append(new, len(order))).astype("<u4").tobytes(), six(e.anchor), six(e.context), e.pos.astype("<i4").tobytes(), short(e.low), short(e.high), e.many.tobytes()])
+    docs = (e.doc[new].astype("<i8").tobytes(), e.hash[new].astype("<i8").tobytes(), np.diff(np.append(new, len(order))).astype("<u4").tobytes())
+    return b"".join([sizes.tobytes(), *docs, six(e.anchor), six(e.context), e.pos.astype("<i4").tobytes(), short(e.low), short(e.high), e.part.tobytes(), e.flag.tobytes()])
 
 
 def _unpack(data: memoryview) -> tuple[np.ndarray, ...]:
@@ -203,25 +304,24 @@ def _unpack(data: memoryview) -> tuple[np.ndarray, ...]:
 
     doc, h, count = take("<i8", docs), take("<i8", docs), take("<u4", docs)
     anchor, context = six(), six()
-    return np.repeat(doc, count), np.repeat(h, count), anchor, context, take("<i4", n), take("<u2", n).astype(np.int32), take("<u2", n).astype(np.int32), take("u1", n).astype(bool)
+    return np.repeat(doc, count), np.repeat(h, count), anchor, context, take("<i4", n), take("<u2", n).astype(np.int32), take("<u2", n).astype(np.int32), take("u1", n), take("u1", n)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """A bucket's rows to (doc, hash, full, need)."""
+def _meet(batches: Iterator[pa.RecordBatch], rule: Rule, level: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's rows to (doc, hash, at, full, pick)."""
+    kinds, last = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), all(p.width == 1 for p in parts_of(rule)[level])
 
-    def batch_of(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
-        d, h, f, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(f, pa.binary()), pa.array(n, pa.binary())], ["doc", "hash", "full", "need"])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_KEY, "full", "pick"])
 
     parts = []
     for batch in batches:
-        done = [(d, h, f, b"") for d, h, f in zip(*(batch.column(c).to_pylist() for c in ("doc", "hash", "full")), strict=True) if f is not None]
+        done = [r for r in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "full", "pick")), strict=True) if r[3] is not None]
         if done:
             yield batch_of(done)
         for x in batch.column("entries"):
             if x.is_valid:
-                part = _unpack(memoryview(x.as_buffer()))
-                parts.append(part)
+                parts.append(_unpack(memoryview(x.as_buffer())))
     if not parts:
         return
     e = _Entries(parts)
@@ -230,39 +330,52 @@ def _meet(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
     a = e.anchor[order]
     again = np.concatenate((a[1:] == a[:-1], [False]))
     again[1:] |= a[1:] == a[:-1]
-    again |= e.many[order]
-    if not again.any():
+    again |= e.flag[order] == MANY
+    told = np.unique(e.anchor[e.flag == SPLIT])  # a task met many contexts of these
+    order = order[again & (e.flag[order] != SPLIT)]
+    if not len(order):
         return
-    e, settled = e.take(order[again]).settle(rule)
+    e, settled = e.take(order).settle(rule)
+    n, whole = e.contexts(), e.first & (e.low + e.high >= rule.window)
+    split = np.zeros(len(n), bool) if last else (n > rule.many) | np.isin(e.anchor, told)
     # Anchors with several contexts: the first occurrence of each is compared.
-    _, anchor = _grouped(e.anchor)
-    several = np.bincount(anchor[e.first], minlength=1)[anchor] > 1
-    rows = list(_spans(e, settled, e.first & several & (e.low + e.high >= rule.window)))
+    rows = _rows(e, settled, whole & ~split & (n > 1), whole & split, level > 0)
     for i in range(0, len(rows), 5000):
         yield batch_of(rows[i : i + 5000])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], rule: Rule, encode: Callable) -> Iterator[pa.RecordBatch]:
-    """(doc, hash, text, needs) to the occurrences to compare: (anchor, doc, hash, pos, low, context)."""
+_CONTEXT = "anchor long, doc long, hash long, at int, low int, part int, hot boolean, text binary"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], rule: Rule, encode: Callable, level: int) -> Iterator[pa.RecordBatch]:
+    """(doc, hash, at, text or stretch, picks) to the occurrences to compare or to split, with the tokens of their contexts."""
+    parts = parts_of(rule)[level]
+    left, right = np.array([p.low for p in parts]), np.array([p.high for p in parts])
+    parent = np.array([p.parent for p in parts])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    names = ["anchor", "doc", "hash", "at", "low", "part", "hot", "text"]
     for batch in batches:
-        doc, h, needs = (batch.column(c).to_pylist() for c in ("doc", "hash", "needs"))
+        doc, h, picks = (batch.column(c).to_pylist() for c in ("doc", "hash", "picks"))
         for c in chunks(batch.column("text")):
-            values, bounds, _ = tokens(c, rule)
-            values = encode(values)
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            if level:
+                values, bounds = _stretches(c, rule)
+            else:
+                values, bounds, _ = tokens(c, rule)
+                values = encode(values)
+            out: tuple[list, ...] = tuple([] for _ in kinds)
             for i in range(c.first, c.last):
-                part = values[bounds[i - c.first] : bounds[i - c.first + 1]]
-                need = np.frombuffer(b"".join(needs[i]), _NEED)
-                pos = need["pos"]
-                low = np.minimum(pos, rule.before)
-                out[0].extend(need["anchor"].tolist())
-                out[1].extend([doc[i]] * len(need))
-                out[2].extend([h[i]] * len(need))
-                out[3].extend(pos.tolist())
-                out[4].extend(low.tolist())
-                out[5].extend(part[p - b : p + rule.window].tobytes() for p, b in zip(pos.tolist(), low.tolist(), strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["anchor", "doc", "hash", "pos", "low", "context"])
+                stretch = values[bounds[i - c.first] : bounds[i - c.first + 1]]
+                pick = np.frombuffer(b"".join(picks[i]), _PICK)
+                base = 0
+                if level:
+                    pick = pick[parent[pick["part"]] == batch.column("part")[i].as_py()]
+                    base = batch.column("at")[i].as_py() - batch.column("low")[i].as_py()  # where in the document the stretch starts
+                pos, low, high = pick["pos"] - base, left[pick["part"]], right[pick["part"]]
+                low = np.minimum(low, pos)
+                for column, x in zip(out, (pick["anchor"], [doc[i]] * len(pick), [h[i]] * len(pick), pick["pos"], low, pick["part"], pick["hot"] > 0), strict=False):
+                    column.extend(x.tolist() if isinstance(x, np.ndarray) else x)
+                out[7].extend(stretch[p - b : p + a].tobytes() for p, b, a in zip(pos.tolist(), low.tolist(), high.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], resolve: Callable) -> Iterator[pa.RecordBatch]:
@@ -271,8 +384,8 @@ def _compare(batches: Iterator[pa.RecordBatch], resolve: Callable) -> Iterator[p
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        cols = [t.column(c).to_numpy() for c in ("anchor", "doc", "hash", "pos", "low")]
-        at, start, end = resolve(*cols, t.column("context"))
+        cols = [t.column(c).to_numpy() for c in ("anchor", "doc", "hash", "at", "low")]
+        at, start, end = resolve(*cols, t.column("text"))
         if len(at):
             order, group = _grouped(cols[1][at], cols[2][at])
             both = np.empty(len(at), _FULL)
@@ -314,13 +427,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None =
 
 def spans(keyed_docs: DataFrame, shelf: Shelf, rule: Rule, encode: Callable, resolve: Callable) -> DataFrame:
     """(doc, hash, spans): per document key a list of binaries of (start, end) pairs in tokens; without spans, no row."""
-    n = buckets(keyed_docs.sparkSession)
-    entered = keyed_docs.mapInArrow(partial(_enter, rule=rule, n_buckets=n), "bucket int, doc long, hash long, full binary, entries binary")
-    met = shelf.put(entered.repartitionById(n, F.col("bucket")).mapInArrow(partial(_meet, rule=rule), "doc long, hash long, full binary, need binary"), "met")
-    needs = met.where("length(need) > 0").groupBy("doc", "hash").agg(F.collect_list("need").alias("needs"))
-    contexts = keyed_docs.join(needs, ["doc", "hash"]).mapInArrow(partial(_contexts, rule=rule, encode=encode), "anchor long, doc long, hash long, pos int, low int, context binary")
-    compared = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(partial(_compare, resolve=resolve), "doc long, hash long, full binary")
-    every = met.where("length(full) > 0").select("doc", "hash", "full").union(compared)
+    n, found = buckets(keyed_docs.sparkSession), []
+    source = keyed_docs.withColumn("at", F.lit(0))
+    for level, parts in enumerate(parts_of(rule)):
+        entered = source.mapInArrow(partial(_enter, rule=rule, n_buckets=n, level=level), f"bucket int, {_ROW}, entries binary")
+        met = shelf.put(entered.repartitionById(n, F.col("bucket")).mapInArrow(partial(_meet, rule=rule, level=level), _ROW), f"met{level}")
+        found.append(met.where("length(full) > 0").select("doc", "hash", "full"))
+        if all(p.width == 1 for p in parts):
+            break
+        picks = met.where("length(pick) > 0").groupBy(*_KEY).agg(F.collect_list("pick").alias("picks"))
+        contexts = shelf.put(source.join(picks, _KEY).mapInArrow(partial(_contexts, rule=rule, encode=encode, level=level), _CONTEXT), f"contexts{level}")
+        compared = contexts.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor")
+        found.append(compared.mapInArrow(partial(_compare, resolve=resolve), "doc long, hash long, full binary"))
+        source = contexts.where("hot")
+        if source.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
     return every.groupBy("doc", "hash").agg(F.collect_list("full").alias("spans"))
 
 

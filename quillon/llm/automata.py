@@ -132,7 +132,7 @@ def _runs(start: np.ndarray, end: np.ndarray, data: np.ndarray) -> Iterator[tupl
     yield from zip(start[first].tolist(), end[np.concatenate((first[1:] - 1, [len(end) - 1]))].tolist(), strict=True)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", how: Rule | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text without the words of windows that start earlier elsewhere.
 
     Earlier means a smaller doc_id, or the same document at an earlier word; a null doc_id comes after all others (as does
@@ -141,7 +141,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     text has no words. One row per input row; other columns aren't read.
     """
     all_docs, shelf = keyed(docs, id_col, text_col), Shelf(docs.sparkSession, "automata")
-    found = spans(all_docs, shelf, rule(window), encode, resolve(window))
+    found = spans(all_docs, shelf, how or rule(window), encode, resolve(window))
     out = with_spans(all_docs, found).mapInArrow(_digests, "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 

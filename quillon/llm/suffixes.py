@@ -148,7 +148,7 @@ def _cut(batches: Iterator[pa.RecordBatch], whole_characters: bool, as_text: boo
         )
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, how: Rule | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text's UTF-8 bytes without those of `window`-byte strings found twice.
 
     All occurrences go, the first too, in the same document or in others, overlapping ones included; a repeated row is an
@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     row; a null doc_id stays null (as does 2^63-1, which it is read as).
     """
     all_docs, shelf = keyed(docs, id_col, text_col), Shelf(docs.sparkSession, "suffixes")
-    found = spans(all_docs, shelf, rule(window), encode, resolve(window))
+    found = spans(all_docs, shelf, how or rule(window), encode, resolve(window))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cut(batches, as_text, as_text)
@@ -166,10 +166,10 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def cut_texts(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_texts(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", how: Rule | None = None) -> DataFrame:
     """The rows of `docs`, all columns, with the texts of `remove_repeats(as_text=True)` in place of theirs."""
     all_docs, shelf = keyed(docs, id_col, text_col), Shelf(docs.sparkSession, "suffixes")
-    found = spans(all_docs, shelf, rule(window), encode, resolve(window))
+    found = spans(all_docs, shelf, how or rule(window), encode, resolve(window))
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
     key = keyed(docs.toDF(*inner), inner[names.index(id_col)], inner[names.index(text_col)], inner)

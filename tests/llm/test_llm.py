@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables, and their odd inputs."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.llm import automata, chat, contamination, html, imatch, jaccard, packing, quality, suffixes, text, urls
+from quillon.llm import anchors, automata, chat, contamination, html, imatch, jaccard, packing, quality, suffixes, text, urls
 from quillon.llm.queries import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,9 +147,22 @@ def test_sketches_bound_the_difference(members, flips):
         assert np.intersect1d(kx, ky).size
 
 
-def test_substrings_of_words(spark):
-    rows = corpus()
-    got = collections.Counter(map(tuple, automata.remove_repeats(table(spark, rows)).collect()))
+# From how many contexts on an anchor is split: never here, in its bucket only, by tasks and in buckets.
+SPLITS = [(64, 1024), (64, 1), (1, 2)]
+
+
+def crowd(n=30):
+    """One passage in many texts that differ before and after it: the anchors at its edges have as many contexts."""
+    rng = random.Random(9)
+    passage = prose(rng, 60, 900)
+    return [(1000 + i, prose(rng, rng.randint(0, 12), 3) + " " + passage + " " + prose(rng, rng.randint(0, 12), 3)) for i in range(n)]
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_substrings_of_words(spark, split):
+    rows = corpus() + crowd()
+    how = dataclasses.replace(automata.rule(20), many_here=split[0], many=split[1])
+    got = collections.Counter(map(tuple, automata.remove_repeats(table(spark, rows), how=how).collect()))
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     starts = collections.defaultdict(set)
     words = [WORD.findall(t or "") for _, t in rows]
@@ -166,15 +180,26 @@ def test_substrings_of_words(spark):
     assert not want - got and sum(got.values()) == len(rows)
 
 
+@pytest.mark.parametrize("rule", [automata.rule(20), suffixes.rule(200), automata.rule(3)])
+def test_parts_cover_every_window_once(rule):
+    levels = anchors.parts_of(rule)
+    for level in levels:
+        assert sorted(r for p in level for r in range(p.right, p.right + p.width)) == list(range(rule.gram, rule.window + 1))
+        assert all(p.left + p.right == rule.window - p.width + 1 for p in level) and len(level) < 256
+    assert all(p.width == 1 for p in levels[-1])
+
+
 def test_an_equal_row_is_not_earlier(spark):
     t = prose(random.Random(1), 50, 900)
     got = automata.remove_repeats(table(spark, [(1, t), (1, t), (2, t)])).orderBy("doc_id").collect()
     assert [r.n_removed for r in got] == [0, 0, 50]
 
 
-def test_substrings_of_bytes(spark):
-    rows = corpus() + [(400, "a" * 450), (401, "ñ" * 150 + "b" * 60)]
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(table(spark, rows)).collect())
+@pytest.mark.parametrize("split", SPLITS)
+def test_substrings_of_bytes(spark, split):
+    rows = corpus() + crowd() + [(400, "a" * 450), (401, "ñ" * 150 + "b" * 60)]
+    how = dataclasses.replace(suffixes.rule(200), many_here=split[0], many=split[1])
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(table(spark, rows), how=how).collect())
     data = [(t or "").encode() for _, t in rows]
     count = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
     want = collections.Counter()
