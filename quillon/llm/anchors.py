@@ -118,7 +118,8 @@ def find(values: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray
     pos = _minima(gram, rule.before + 1, limits, rule.gram)
     text = np.searchsorted(bounds, pos, "right") - 1
     low, high = np.maximum(bounds[text], pos - rule.before), np.minimum(bounds[text + 1], pos + rule.window)
-    return text, pos - bounds[text], gram[pos], _context(running, pos, pos - low, high - pos), pos - low, high - pos
+    anchor = mix(gram[pos] + U(0xA2C5))  # the smallest hashes are alike in their upper bits, which deal entries to buckets
+    return text, pos - bounds[text], anchor, _context(running, pos, pos - low, high - pos), pos - low, high - pos
 
 
 def _minima(gram: np.ndarray, width: int, bounds: np.ndarray, k: int) -> np.ndarray:
@@ -230,7 +231,7 @@ def _enter(batches: Iterator[pa.RecordBatch], rule: Rule, n_buckets: int, level:
         held.clear()
         none = np.zeros(len(settled), bool)
         hot = none if last else e.first & (e.contexts() > rule.many_here)
-        rows = [(h % n_buckets, d, h, at, full, pick, None) for d, h, at, full, pick in _rows(e, settled, none, hot, level > 0)]
+        rows = [((d * 1_000_003 + h + at) % n_buckets, d, h, at, full, pick, None) for d, h, at, full, pick in _rows(e, settled, none, hot, level > 0)]
         # Of a context met twice here one occurrence goes on, marked so; of an anchor with many contexts only a mark.
         e.flag = (e.size > 1).astype(np.uint8) * MANY
         mark = hot & np.concatenate(([True], e.anchor[1:] != e.anchor[:-1]))
