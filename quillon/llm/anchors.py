@@ -49,8 +49,8 @@ class Rule:
     window: int
     gram: int
     keep_first: bool
-    many_here: int = 64
-    many: int = 1024
+    many_here: int = 32
+    many: int = 256
 
     def __post_init__(self) -> None:
         if not self.gram <= self.window < 1 << 15:
