@@ -30,12 +30,6 @@ def _findings(rows: DataFrame, level: str, code: str, detail: Column | None = No
     return rows.where("n > 0").select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"), c("n").cast("long").alias("n"), (detail if detail is not None else F.lit("")).alias("detail"))
 
 
-def first_of(value: Column, k: int) -> Column:
-    """The first k values in document order, joined; each task keeps what it needs to order them."""
-    ordered = F.array_sort(F.collect_list(F.struct(*IN_ORDER, value.alias("value"))))
-    return F.array_join(F.transform(F.slice(ordered, 1, k), lambda x: x["value"]), "; ")
-
-
 def surrogates(items: DataFrame) -> DataFrame:
     """(doc_id, sig, n_uris, uris, label): one paper under several addresses in one document; no address counts as one."""
     label = F.concat(F.coalesce("first_author", F.lit("?")), F.lit(" "), F.coalesce(c("year").cast("string"), F.lit("?")), F.lit(": "), F.substring("title", 1, 60))
@@ -49,27 +43,48 @@ def duplicate_surrogate(items: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lit("error").alias("level"), F.lit("duplicate-surrogate").alias("code"), c("n_uris").alias("n"), F.concat_ws(" | ", "label", "uris").alias("detail"))
 
 
+def item_checks(items: DataFrame, k: int = 10) -> DataFrame:
+    """The five checks of single items, in one aggregate by document."""
+    library = C.uri_library(F.array_compact(F.array("uri")))
+    malformed = has_data() & (F.coalesce("doi", F.lit("")) != "") & ~C.looks_like_doi(c("doi"))
+    untitled = has_data() & (C.strip(F.coalesce("title", F.lit(""))) == "")
+    shown = F.concat(F.coalesce("first_author", F.lit("?")), F.lit(" "), F.coalesce(c("year").cast("string"), F.lit("?")), F.lit(": "), "doi")
+    rows = items.withColumns({"library": library, "malformed": malformed, "untitled": untitled, "local": C.is_local(library), "bare": ~has_data(), "shown": F.when(malformed, F.struct(*IN_ORDER, shown.alias("value")))})
+    per = rows.groupBy("doc_id").agg(
+        F.count_if(c("uri").isNull()).alias("no_uri"), F.count_if("local").alias("local"), F.array_join(F.array_sort(F.collect_set(F.when(c("local"), c("library")))), ", ").alias("profiles"),
+        F.count_if("bare").alias("bare"), F.count_if("malformed").alias("malformed"), F.collect_list("shown").alias("shown"), F.count_if("untitled").alias("untitled"),
+    )
+    finding = lambda level, code, n, detail=None: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), c(n).alias("n"), (detail if detail is not None else F.lit("")).alias("detail"))
+    first = F.array_join(F.transform(F.slice(F.array_sort("shown"), 1, k), lambda x: x["value"]), "; ")
+    found = F.array(
+        finding("error", "missing-uri", "no_uri"), finding("warning", "local-uri", "local", c("profiles")), finding("error", "missing-itemdata", "bare"),
+        finding("warning", "malformed-doi", "malformed", first), finding("warning", "missing-title", "untitled"),
+    )
+    return per.select("doc_id", F.inline(F.filter(found, lambda x: x["n"] > 0)))
+
+
+def _one(items: DataFrame, code: str) -> DataFrame:
+    return item_checks(items).where(c("code") == code)
+
+
 def missing_uri(items: DataFrame) -> DataFrame:
-    return _findings(items.groupBy("doc_id").agg(F.count_if(c("uri").isNull()).alias("n")), "error", "missing-uri")
+    return _one(items, "missing-uri")
 
 
 def local_uri(items: DataFrame) -> DataFrame:
-    rows = items.withColumn("library", C.uri_library(F.array_compact(F.array("uri")))).where(C.is_local(c("library")))
-    return _findings(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("library")), ", ").alias("profiles")), "warning", "local-uri", c("profiles"))
+    return _one(items, "local-uri")
 
 
 def missing_itemdata(items: DataFrame) -> DataFrame:
-    return _findings(items.groupBy("doc_id").agg(F.count_if(~has_data()).alias("n")), "error", "missing-itemdata")
+    return _one(items, "missing-itemdata")
 
 
-def malformed_doi(items: DataFrame, k: int = 10) -> DataFrame:
-    bad = items.where(has_data() & (F.coalesce("doi", F.lit("")) != "") & ~C.looks_like_doi(c("doi")))
-    shown = F.concat(F.coalesce("first_author", F.lit("?")), F.lit(" "), F.coalesce(c("year").cast("string"), F.lit("?")), F.lit(": "), "doi")
-    return _findings(bad.groupBy("doc_id").agg(F.count("*").alias("n"), first_of(shown, k).alias("shown")), "warning", "malformed-doi", c("shown"))
+def malformed_doi(items: DataFrame) -> DataFrame:
+    return _one(items, "malformed-doi")
 
 
 def missing_title(items: DataFrame) -> DataFrame:
-    return _findings(items.groupBy("doc_id").agg(F.count_if(has_data() & (F.trim(F.coalesce("title", F.lit(""))) == "")).alias("n")), "warning", "missing-title")
+    return _one(items, "missing-title")
 
 
 def citation_ids(citations: DataFrame, k: int = 8) -> DataFrame:
@@ -109,7 +124,7 @@ def no_fields(manuscripts: DataFrame, citations: DataFrame) -> DataFrame:
 
 def all_findings(items: DataFrame, citations: DataFrame, manuscripts: DataFrame, revisions: DataFrame) -> DataFrame:
     parts = [
-        duplicate_surrogate(items), missing_uri(items), local_uri(items), missing_itemdata(items), malformed_doi(items), missing_title(items),
+        duplicate_surrogate(items), item_checks(items),
         citation_ids(citations), note_style(citations), missing_prefs(manuscripts, citations), field_type(manuscripts),
         missing_bibliography(manuscripts, citations), tracked_changes(revisions), no_fields(manuscripts, citations),
     ]

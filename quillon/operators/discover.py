@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.shelf import Shelf
 
 c = F.col
 
@@ -18,7 +19,7 @@ c = F.col
 def numbered(paragraphs: DataFrame) -> DataFrame:
     """Trimmed paragraphs with their place `i` in the document, from 0."""
     w = Window.partitionBy("doc_id").orderBy("para")
-    return paragraphs.select("doc_id", "para", F.trim("text").alias("text"), (F.row_number().over(w) - 1).alias("i"))
+    return paragraphs.select("doc_id", "para", C.strip(c("text")).alias("text"), (F.row_number().over(w) - 1).alias("i"))
 
 
 def heading_start(paragraphs: DataFrame) -> DataFrame:
@@ -44,10 +45,17 @@ def list_start(paragraphs: DataFrame) -> DataFrame:
 
 
 def split(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with `in_list`: at or after their document's list start."""
+    """Paragraphs with `in_list`: at or after their document's list start. A table that is split already is passed on."""
+    if "in_list" in paragraphs.columns:
+        return paragraphs
     return numbered(paragraphs).join(list_start(paragraphs), "doc_id", "left").withColumn("in_list", F.coalesce(c("i") >= c("start"), F.lit(False)))
 
 
+def split_once(paragraphs: DataFrame) -> DataFrame:
+    """The same, written for several readers."""
+    return paragraphs if "in_list" in paragraphs.columns else Shelf(paragraphs.sparkSession, "discovery").put(split(paragraphs), "split")
+
+
 def references(paragraphs: DataFrame) -> DataFrame:
     """Parsed entries of the lists: (doc_id, entry_pos, body, surname, year, doi, url, isbn)."""
     rows = split(paragraphs).where(c("in_list") & (c("text") != "")).withColumn("body", C.entry_body(c("text")))
@@ -81,6 +89,7 @@ def first_references(refs: DataFrame) -> DataFrame:
 
 def linked(paragraphs: DataFrame) -> DataFrame:
     """Atoms with the entry they match, if any, and its best identifier."""
+    paragraphs = split_once(paragraphs)
     refs = first_references(references(paragraphs)).withColumn("b", C.best_identifier(c("doi"), c("isbn"), c("url")))
     refs = refs.select("doc_id", "surname_key", "year", "entry_pos", c("b.kind").alias("kind"), c("b.identifier").alias("identifier"))
     return atoms(paragraphs).join(refs, ["doc_id", "surname_key", "year"], "left")
@@ -92,6 +101,7 @@ def _count(condition: Column, name: str) -> Column:
 
 def summary(paragraphs: DataFrame) -> DataFrame:
     """Twelve measures per document with paragraphs."""
+    paragraphs = split_once(paragraphs)
     per = linked(paragraphs).groupBy("doc_id", "para", "cand").agg(
         F.count("*").alias("atoms"), F.bool_and(c("identifier").isNotNull()).alias("auto"), F.count_if(c("entry_pos").isNull()).alias("unmatched"), F.collect_set(C.fold_compact(c("atom"))).alias("keys")
     )

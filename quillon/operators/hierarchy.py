@@ -5,30 +5,47 @@ Trees are adjacency tables (collection_key, name, parent); items hold an array o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shelf import Shelf
+
 c = F.col
 
 
 def subtree(tree: DataFrame, root: str) -> DataFrame:
     """(collection_key, name, depth, path) of a root and all below it, by a recursive query; a cycle is not followed."""
-    spark = tree.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
+    spark, limit = tree.sparkSession, "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    below = spark.sql(
         """with recursive below(collection_key, name, depth, path) as (
              select collection_key, name, 0, array(collection_key) from {tree} where collection_key = :root
              union all select t.collection_key, t.name, b.depth + 1, array_append(b.path, t.collection_key) from below b join {tree} t on t.parent = b.collection_key where not array_contains(b.path, t.collection_key))
            select * from below""",
         args={"root": root}, tree=tree,
     )
+    # The limit is read when the plan runs: written here, the rows outlive the setting.
+    out = Shelf(spark, "subtree").put(below, "below")
+    spark.conf.set(limit, before)
+    return out
+
+
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with their `place` in an order over the whole table, from 0: sorted by ranges, numbered inside each range, and shifted by the rows of the ranges before it."""
+    shelf = Shelf(rows.sparkSession, "numbered")
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # The row's number inside its task; written, so that number and range are those of one run.
+    marked = shelf.put(spread.withColumn("in_part", F.monotonically_increasing_id() - F.shiftleft(c("part").cast("long"), 33)), "marked")
+    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    shift = sizes.select("part", before.alias("before"))
+    return marked.join(F.broadcast(shift), "part").withColumn("place", c("in_part") + c("before")).drop("part", "in_part", "before")
 
 
 def order_of(tree: DataFrame) -> DataFrame:
     """A subtree with each node's place: breadth first, siblings by name."""
-    from pyspark.sql import Window
-
-    return tree.withColumn("place", F.row_number().over(Window.orderBy("depth", "name", "collection_key")) - 1)
+    return numbered(tree, "depth", "name", "collection_key")
 
 
 def counts(items: DataFrame, tree: DataFrame) -> DataFrame:

@@ -1,47 +1,57 @@
 """Where citation markers stand in manuscripts, and which of them can be replaced.
 
-A marker is looked for in the paragraphs of its own document (an equi-join on doc_id); hits meet the runs of their paragraph by equi-key
-and overlap.
+A marker is looked for in the paragraphs of its own document (an equi-join on doc_id). Hits meet the runs of their paragraph in cells of
+CELL characters: both are entered in each cell that they touch, and a pair counts in the first cell that the two share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
+CELL = 128
 
 
 def hits(markers: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(doc_id, para, marker, hit, start, end): every occurrence, left to right without overlap, of every marker (doc_id, marker)."""
     met = paragraphs.select("doc_id", "para", "text").join(markers.where("marker <> ''"), "doc_id").where(F.contains("text", "marker"))
-    pieces = met.withColumn("pieces", F.transform(F.split("text", F.concat(F.lit("\\Q"), "marker", F.lit("\\E"))), lambda x: F.length(x)))
-    each = pieces.select("doc_id", "para", "marker", "pieces", F.explode(F.sequence(F.lit(0), F.size("pieces") - 2)).alias("hit"))
-    size = F.length("marker")
-    start = F.aggregate(F.slice("pieces", 1, c("hit") + 1), F.lit(0), lambda a, n: a + n) + c("hit") * size
-    return each.select("doc_id", "para", "marker", "hit", start.alias("start"), (start + size).alias("end"))
+    pieces = F.transform(F.split("text", F.concat(F.lit("\\Q"), "marker", F.lit("\\E"))), lambda x: F.length(x))
+    each = met.select("doc_id", "para", "marker", F.size(pieces).alias("n"), F.posexplode(pieces).alias("hit", "gap"))
+    before = F.sum("gap").over(Window.partitionBy("doc_id", "para", "marker").orderBy("hit"))
+    start = (before + c("hit") * F.length("marker")).cast("int")
+    rows = each.withColumn("start", start).where(c("hit") < c("n") - 1)
+    return rows.select("doc_id", "para", "marker", "hit", "start", (c("start") + F.length("marker")).alias("end"))
+
+
+def _cells(start: Column, end: Column) -> Column:
+    return F.sequence(F.floor(start / CELL), F.floor((F.greatest(end, start + 1) - 1) / CELL))
+
+
+def _met(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """Hits with each run that they touch."""
+    f = found.withColumn("cell", F.explode(_cells(c("start"), c("end"))))
+    r = runs.where("text_end > text_start").select("doc_id", "para", "run", "text_start", "text_end", "anchored", F.explode(_cells(c("text_start"), c("text_end"))).alias("cell"))
+    met = f.join(r, ["doc_id", "para", "cell"]).where((c("text_start") < c("end")) & (c("text_end") > c("start")))
+    return met.where(c("cell") == F.floor(F.greatest("start", "text_start") / CELL))
 
 
 def touched(found: DataFrame, runs: DataFrame) -> DataFrame:
     """Hits with each run that they touch."""
-    f, r = found.alias("f"), runs.alias("r")
-    on = (c("f.doc_id") == c("r.doc_id")) & (c("f.para") == c("r.para")) & (c("r.text_start") < c("f.end")) & (c("r.text_end") > c("f.start"))
-    return f.join(r, on).select("f.doc_id", "f.para", "f.marker", "f.hit", "f.start", "f.end", "r.run", "r.anchored")
+    return _met(found, runs).select("doc_id", "para", "marker", "hit", "start", "end", "run", "anchored")
 
 
 def placements(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Hits with `first_run`, `last_run`, why (null: it can be placed) and shares_run (another hit touches its first or last run)."""
+    """Hits with `first_run`, `last_run`, why (null: it can be placed) and shares_run (another hit touches one of its runs)."""
     key = ["doc_id", "para", "marker", "hit"]
-    f, r = found.alias("f"), runs.alias("r")
-    on = (c("f.doc_id") == c("r.doc_id")) & (c("f.para") == c("r.para")) & (c("r.text_start") < c("f.end")) & (c("r.text_end") > c("f.start"))
-    over = f.join(r, on, "left").select(*(f"f.{k}" for k in key), "r.run", "r.anchored")
-    # Users are counted inside a paragraph, whose rows the join has brought together: both windows reuse its partitioning.
+    over = touched(found, runs).select(*key, "run", "anchored")
     users = F.count("*").over(Window.partitionBy("doc_id", "para", "run"))
-    last = F.max("run").over(Window.partitionBy(*key))
-    rows = over.withColumn("users", users).withColumn("last", last).groupBy(*key).agg(
-        F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.bool_or(c("anchored") & (c("run") < c("last"))).alias("straddles"), F.max(F.when(c("run").isNotNull(), c("users"))).alias("users")
+    # A run with an anchor after it straddles the hit unless it is the hit's last.
+    per = over.withColumn("users", users).groupBy(*key).agg(
+        F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.min(F.when(c("anchored"), c("run"))).alias("anchor"), F.max("users").alias("users")
     )
-    why = F.when(c("first_run").isNull(), "no run holds it").when(c("straddles"), "it straddles a comment's anchor")
+    rows = found.select(*key).join(per, key, "left")
+    why = F.when(c("first_run").isNull(), "no run holds it").when(c("anchor") < c("last_run"), "it straddles a comment's anchor")
     return rows.select(*key, "first_run", "last_run", why.alias("why"), F.coalesce(c("users") > 1, F.lit(False)).alias("shares_run"))
 
 

@@ -23,18 +23,14 @@ def keys(items: DataFrame) -> DataFrame:
         F.array(one("doi", F.lower("doi")), one("url", C.url_key(c("url"))), one("title", C.fold_spaced(c("title")))),
         F.transform(C.isbns(c("isbn")), lambda x: one("isbn", x)),
     )
-    return items.select("pos", "title", F.inline(found)).where("key is not null and key <> ''").distinct()
-
-
-def _agree(a: str, b: str) -> Column:
-    return C.titles_agree(c(a), c(b))
+    return items.select("pos", C.fold_spaced(c("title")).alias("folded"), F.inline(found)).where("key is not null and key <> ''").distinct()
 
 
 def edges(batch: DataFrame, pool: DataFrame) -> DataFrame:
     """(pos, target, rung): each way in which a pool item answers a batch row; for a shared URL with other titles `same-url`."""
-    mine, theirs = keys(batch), keys(pool).select(c("pos").alias("target"), c("title").alias("other"), "rung", "key")
+    mine, theirs = keys(batch), keys(pool).select(c("pos").alias("target"), c("folded").alias("other"), "rung", "key")
     met = mine.join(theirs, ["rung", "key"])
-    rung = F.when(c("rung").isin("doi", "title"), c("rung")).when(_agree("title", "other"), c("rung")).when(c("rung") == "url", "same-url")
+    rung = F.when(c("rung").isin("doi", "title"), c("rung")).when(C.folded_agree(c("folded"), c("other")), c("rung")).when(c("rung") == "url", "same-url")
     return met.select("pos", "target", rung.alias("rung")).where("rung is not null")
 
 

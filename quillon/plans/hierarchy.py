@@ -114,15 +114,9 @@ def limit_items(t: Tables) -> DataFrame:
 
 @query("sort_recent", "select event_id, row_number() over (order by ts desc, event_id) as place from {events}")
 def sort_recent(t: Tables) -> DataFrame:
-    """Latest first, with the place: ids are sorted by range, then numbered inside each range and shifted by what lies before it."""
-    spread = t("events").select("event_id", "ts").repartitionByRange(c("ts").desc(), c("event_id")).sortWithinPartitions(c("ts").desc(), c("event_id"))
-    marked = spread.withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33) + 1)
-    marked = marked.checkpoint(eager=True) if marked.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else marked
-    from pyspark.sql import Window
-
-    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
-    shift = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return marked.join(F.broadcast(shift), "part").select("event_id", (c("in_part") + c("before")).alias("place"))
+    """Latest first, with the place."""
+    rows = H.numbered(t("events").select("event_id", "ts"), c("ts").desc(), c("event_id"))
+    return rows.select("event_id", (c("place") + 1).alias("place"))
 
 
 @query("except_keys", "select p_partkey, array_to_string(list_sort(list_filter(string_split(p_name || ' ' || lower(p_brand), ' '), lambda w: w not in ('red', 'blue', 'old', 'new'))), ' ') as rest from {part}")

@@ -165,12 +165,21 @@ def sink_items(t: Tables) -> DataFrame:
     return rows.select("page_id", _text("item").alias("item"), F.concat(F.lit("N"), c("page_id") % 3).alias("collection"), F.array_join(F.array_union(F.array(), F.array(F.lit("caller-metadata"))), ",").alias("tags"))
 
 
-@query("citation_field_json", "select doc_id, citation_id, count(*) as n_items, string_agg(coalesce(uri, '') , ' ' order by pos, coalesce(uri, ''), coalesce(title, '')) as uris from {v_citation_items} group by doc_id, citation_id")
+# A locator on two items in three, with and without a label, prefixes, suffixes and suppressed authors; pages of a citation are grouped.
+CITED = """select *, 'K' || pos || 'x' as item_id, case when pos % 3 <> 0 then '' || (pos * 7) end as locator, case when pos % 3 = 1 then 'sub verbo' end as label, case when pos % 4 = 1 then 'see "' || pos || '"' end as prefix,
+  case when pos % 4 = 2 then '' when pos % 4 = 3 then ' et al.' end as suffix, pos % 5 = 2 as suppress from {v_citation_items} where uri is not null"""
+
+
+@query("citation_field_json", f"""select doc_id, citation_id, count(*) as n_items, md5('ADDIN ZOTERO_ITEM CSL_CITATION {{{{"citationID":"' || lpad(citation_id::varchar, 8, '0') || '","properties":{{{{"formattedCitation":"","plainCitation":"","noteIndex":0}}}},"citationItems":[' ||
+  string_agg('{{{{"id":"' || case when pos % 2 = 0 then item_id else right(uri, 8) end || '","uris":["' || uri || '"],"itemData":{{{{' || case when pos % 2 = 0 then '"id":"' || item_id || '",' else '' end || '"title":"' || title || '","year":' || year || '}}}}'
+    || case when locator is not null then ',"locator":"' || locator || '","label":"' || coalesce(label, 'page') || '"' else '' end || case when prefix is not null then ',"prefix":"' || replace(prefix, '"', '\\"') || '"' else '' end
+    || case when suffix <> '' then ',"suffix":"' || suffix || '"' else '' end || case when suppress then ',"suppress-author":true' else '' end || '}}}}', ',' order by pos, uri, title, year) || '],"schema":"{C.SCHEMA}"}}}}') as field_md5
+  from ({CITED}) x group by doc_id, citation_id""".replace("{{", "{").replace("}}", "}"))
 def citation_field_json(t: Tables) -> DataFrame:
-    """A citation's field text: its items in order as JSON, read back for the comparison."""
-    item = F.struct("pos", F.coalesce("uri", F.lit("")).alias("uri"), F.coalesce("title", F.lit("")).alias("title"))
-    ordered = F.array_sort(F.collect_list(item))
-    body = F.to_json(F.struct(F.transform(ordered, lambda x: F.struct(F.array(x["uri"]).alias("uris"), F.struct(x["title"].alias("title")).alias("itemData"))).alias("citationItems")))
-    rows = t("v_citation_items").groupBy("doc_id", "citation_id").agg(body.alias("field"))
-    back = F.from_json("field", "struct<citationItems:array<struct<uris:array<string>,itemData:struct<title:string>>>>")["citationItems"]
-    return rows.select("doc_id", "citation_id", F.size(back).cast("long").alias("n_items"), F.array_join(F.transform(back, lambda x: x["uris"][0]), " ").alias("uris"))
+    """A citation's field text: its items in order with locator, label, prefix, suffix and suppressed author, grouped in one field."""
+    data = F.struct(F.when(c("pos") % 2 == 0, c("item_id")).alias("id"), "title", "year")
+    entry = C.citation_item(c("uri"), F.right("uri", F.lit(8)), data, c("locator"), c("label"), c("prefix"), c("suffix"), c("suppress"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "uri", "title", "year", entry.alias("entry")))), lambda x: x["entry"])
+    rows = t.sql(CITED).groupBy("doc_id", "citation_id").agg(F.count("*").alias("n_items"), ordered.alias("entries"))
+    field = C.citation_field(F.lpad(c("citation_id").cast("string"), 8, "0"), c("entries"))
+    return rows.select("doc_id", "citation_id", "n_items", F.md5(F.encode(field, "UTF-8")).alias("field_md5"))

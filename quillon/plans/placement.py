@@ -1,4 +1,9 @@
-"""Queries of packages and markers. The packages are built by Spark from `documents`: a paragraph per line, a run per sentence, a citation field in every third document."""
+"""Queries of packages and markers.
+
+The packages are built by Spark from `documents`: a paragraph per line, a run per sentence; then, in documents told by their number,
+paragraphs with citation fields (one split over runs, one that can't be read, one grouped), a bibliography, tracked changes, a
+marker over a comment's anchor, and text outside any run. `EXTRA` says the same for the SQL.
+"""
 
 from __future__ import annotations
 
@@ -33,41 +38,63 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def xml(t: Tables) -> DataFrame:
-    """(doc_id, main, custom): the two parts' XML."""
-    esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    sentences = lambda line: F.split(line, r"(?<=\. )")
-    run = lambda x: F.concat(F.lit('<w:r><w:t xml:space="preserve">'), esc(x), F.lit("</w:t></w:r>"))
-    para = lambda line: F.concat(F.lit("<w:p>"), F.array_join(F.transform(sentences(line), run), ""), F.lit("</w:p>"))
-    d = c("doc_id")
-    key = F.lpad(d.cast("string"), 8, "0")
-    body = F.concat(F.lit('{"citationID":"'), key, F.lit('","properties":{"noteIndex":0},"citationItems":[{"uris":["http://zotero.org/groups/1/items/'), key, F.lit('"],"itemData":{"title":"A &amp; B"}}]}'))
+    """(doc_id, main, custom, comments, footnotes): the parts' XML; the last two are null where there are none."""
+    d, none = c("doc_id"), F.lit(None).cast("string")
+    when = lambda n, x: F.when(d % n == 0, x)
+    swap = lambda x, *pairs: swap(F.replace(x, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else x
+    esc = lambda x: swap(x, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("é", "&#233;"), ("ä", "&#xE4;"), ("ß", "&szlig;"))
+    run = lambda x: F.concat(F.lit('<w:r><w:t xml:space="preserve">'), x, F.lit("</w:t></w:r>"))
+    para = lambda *xs: F.concat(F.lit("<w:p>"), *(F.lit(x) if isinstance(x, str) else x for x in xs), F.lit("</w:p>"))
     mark = lambda kind: F.lit(f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>')
     instr = lambda x: F.concat(F.lit("<w:r><w:instrText>"), x, F.lit("</w:instrText></w:r>"))
-    cut = F.lit("ADDIN ZOTERO_ITEM CSL_")
-    field = F.concat(F.lit("<w:p>"), mark("begin"), instr(cut), instr(F.concat(F.lit("CITATION "), body)), mark("separate"), F.lit("<w:r><w:t>(1)</w:t></w:r>"), F.when(d % 30 == 0, F.lit("")).otherwise(mark("end")), F.lit("</w:p>"))
-    lines = F.array_join(F.transform(F.split("text", "\n"), para), "")
-    main = F.concat(F.lit("<w:document><w:body>"), lines, F.when(d % 3 == 0, field).otherwise(""), F.lit("</w:body></w:document>"))
-    chunk = lambda n, v: F.concat(F.lit(f'<property name="ZOTERO_PREF_{n}"><vt:lpwstr>'), v, F.lit("</vt:lpwstr></property>"))
-    custom = F.concat(F.lit("<Properties>"), chunk(2, F.lit("&quot;/&gt;&lt;prefs&gt;&lt;pref name=&quot;fieldType&quot; value=&quot;Field&quot;/&gt;")), chunk(1, F.concat(F.lit("&lt;style id=&quot;http://www.zotero.org/styles/"), "lang")), F.lit("</Properties>"))
-    return t("documents").select("doc_id", main.alias("main"), custom.alias("custom"))
+    field = lambda codes, shown, end=None: para(mark("begin"), *(instr(x) for x in codes), mark("separate"), run(F.lit(shown)), end if end is not None else mark("end"))
+    key = F.lpad(d.cast("string"), 8, "0")
+    item = lambda uris, title: F.concat(F.lit('{"uris":['), uris, F.lit(f'],"itemData":{{"title":"{title}"}}}}'))
+    uri = lambda k: F.concat(F.lit('"http://zotero.org/groups/1/items/'), k, F.lit('"'))
+    citation = lambda name, note, items, schema: F.concat(F.lit('{"citationID":"'), name, F.lit('","properties":{"noteIndex":'), note, F.lit('},"citationItems":['), items, F.lit("]"), schema, F.lit("}"))
+    single = citation(key, F.lit("0"), item(uri(key), "A &amp; B"), F.when(d % 33 == 0, "").otherwise(',"schema":"csl"'))
+    name = when(18, key).otherwise(when(42, F.concat(key, F.lit("9"))).otherwise(F.concat(F.lit("G"), F.substring(key, 2, 7))))
+    second = item(F.when(d % 24 == 0, "").otherwise(uri(F.reverse(key))), "C")
+    grouped = citation(name, (d % 4).cast("string"), F.concat(item(uri(key), "A &amp; B"), F.lit(","), second), F.lit(',"schema":"csl"'))
+    extra = [
+        when(3, field([F.lit("ADDIN ZOTERO_ITEM CSL_"), F.concat(F.lit("CITATION "), single)], "(1)", F.when(d % 30 == 0, "").otherwise(mark("end")))),
+        when(12, field([F.lit("ADDIN ZOTERO_ITEM CSL_CITATION {broken")], "(2)")), when(6, field([F.concat(F.lit("ADDIN ZOTERO_ITEM CSL_CITATION "), grouped)], "(3)")),
+        when(9, field([F.lit('ADDIN ZOTERO_BIBL {"uncited":[]} CSL_BIBLIOGRAPHY')], "(list)")),
+        when(5, para('<w:ins w:id="1" w:author="A"><w:r><w:t>added</w:t></w:r></w:ins><w:del w:id="2" w:author="B"><w:r><w:delText>gone</w:delText></w:r></w:del>')),
+        when(7, para('<w:r><w:t>[@no</w:t></w:r><w:commentRangeEnd w:id="1"/><w:r><w:t>ne]</w:t></w:r>')), when(8, para("<w:t>der </w:t>")),
+    ]
+    lines = F.transform(F.split("text", "\n"), lambda line: para(F.array_join(F.transform(F.split(line, r"(?<=\. )"), lambda x: run(esc(x))), "")))
+    main = F.concat(F.lit("<w:document><w:body>"), F.array_join(lines, ""), *(F.coalesce(x, F.lit("")) for x in extra), F.lit("</w:body></w:document>"))
+    chunk = lambda n, *vs: F.concat(F.lit(f'<property name="ZOTERO_PREF_{n}"><vt:lpwstr>'), *(F.lit(v) if isinstance(v, str) else v for v in vs), F.lit("</vt:lpwstr></property>"))
+    kind, pad = F.when(d % 7 == 0, "Bookmarks").otherwise("Field"), F.when(d % 13 == 0, " " * 300).otherwise("")
+    style = F.when(d % 11 == 0, "&lt;nothing id=&quot;").otherwise("&lt;style id=&quot;http://www.zotero.org/styles/")
+    tail = ("&quot;/&gt;", pad, "&lt;prefs&gt;&lt;pref name=&quot;fieldType&quot; value=&quot;", kind, "&quot;/&gt;")
+    three = F.concat(chunk(3, *tail), chunk(1, style), chunk(2, c("lang")))
+    custom = F.concat(F.lit("<Properties>"), when(4, three).otherwise(F.concat(chunk(2, *tail), chunk(1, style, c("lang")))), F.lit("</Properties>"))
+    return t("documents").select("doc_id", main.alias("main"), custom.alias("custom"), when(7, '<w:comment w:id="1"/><w:comment w:id="2"/>').otherwise(none).alias("comments"), when(11, '<w:footnote w:id="1"/>' * 3).otherwise(none).alias("footnotes"))
 
 
 def parts(t: Tables) -> DataFrame:
-    both = F.explode(F.array(F.struct(F.lit(K.PARTS[0]).alias("part"), c("main").alias("xml")), F.struct(F.lit(K.PARTS[1]).alias("part"), c("custom").alias("xml"))))
-    return xml(t).select("doc_id", both.alias("p")).select("doc_id", "p.part", "p.xml", F.lit(None).cast("string").alias("error"))
+    held = {K.PARTS[0]: "main", K.PARTS[1]: "custom", K.PARTS[2]: "footnotes", K.PARTS[4]: "comments"}
+    every = F.filter(F.array(*(F.struct(F.lit(part).alias("part"), c(name).alias("xml")) for part, name in held.items())), lambda p: p["xml"].isNotNull())
+    return xml(t).select("doc_id", F.explode(every).alias("p")).select("doc_id", "p.part", "p.xml", F.lit(None).cast("string").alias("error"))
 
 
 def paras(t: Tables) -> DataFrame:
-    return K.paragraphs(parts(t)).where("text <> '(1)'")
+    return K.paragraphs(parts(t))
 
 
-LINES = "select doc_id, unnest(range(len(l))) as para, unnest(l) as text from (select doc_id, string_split(text, chr(10)) as l from {documents}) s"
-RUNS = "select doc_id, para, unnest(range(len(r))) as run, unnest(r) as text, r from (select doc_id, para, case when text = '' then [''] else list_filter(string_split(replace(text, '. ', '. ' || chr(1)), chr(1)), lambda x: true) end as r from (" + LINES + ") a) b"
+EXTRA = """list_filter([case when doc_id % 3 = 0 then {'t': '(1)', 'r': case when doc_id % 30 = 0 then ['', '', '', '', '(1)'] else ['', '', '', '', '(1)', ''] end} end,
+  case when doc_id % 12 = 0 then {'t': '(2)', 'r': ['', '', '', '(2)', '']} end, case when doc_id % 6 = 0 then {'t': '(3)', 'r': ['', '', '', '(3)', '']} end, case when doc_id % 9 = 0 then {'t': '(list)', 'r': ['', '', '', '(list)', '']} end,
+  case when doc_id % 5 = 0 then {'t': 'added', 'r': ['added', '']} end, case when doc_id % 7 = 0 then {'t': '[@none]', 'r': ['[@no', 'ne]']} end, case when doc_id % 8 = 0 then {'t': 'der ', 'r': []::varchar[]} end], lambda x: x is not null)"""
+BODY = "select doc_id, list_concat(list_transform(string_split(text, chr(10)), lambda x: {'t': x, 'r': case when x = '' then [''] else string_split(replace(x, '. ', '. ' || chr(1)), chr(1)) end}), " + EXTRA + ") as l from {documents}"
+LINES = "select doc_id, para, p.t as text, p.r as r from (select doc_id, unnest(range(len(l))) as para, unnest(l) as p from (" + BODY + ") s) s1"
+RUNS = "select doc_id, para, unnest(range(len(r))) as run, unnest(r) as text, r from (" + LINES + ") a"
 
 
 @query("src_parts", "select doc_id, case when doc_id % 50 = 7 then 'no main part' when doc_id % 50 = 9 then 'unreadable: BadZipFile' end as error, case when doc_id % 50 not in (7, 9) then 2 else 0 end as parts from {documents}")
 def src_parts(t: Tables) -> DataFrame:
-    packed = xml(t).mapInArrow(_zip, "doc_id long, content binary")
+    packed = xml(t).select("doc_id", "main", "custom").mapInArrow(_zip, "doc_id long, content binary")
     return K.unpack(packed).groupBy("doc_id").agg(F.max("error").alias("error"), F.count("part").alias("parts"))
 
 
@@ -76,41 +103,54 @@ def gen_paragraphs(t: Tables) -> DataFrame:
     return paras(t).select("doc_id", "para", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
-@query("gen_field_codes", "select doc_id, case when doc_id % 3 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {\"citationID\":\"' || lpad(doc_id::varchar, 8, '0') else '' end as head from {documents}")
-def gen_field_codes(t: Tables) -> DataFrame:
-    return K.field_codes(parts(t)).select("doc_id", F.substring("codes", 1, 54).alias("head"))
+URI = "'\"http://zotero.org/groups/1/items/' || {} || '\"'"
+TAIL = "']' || case when doc_id % 33 = 0 then '' else ',\"schema\":\"csl\"' end || '}'"
+NAME = "case when doc_id % 18 = 0 then k when doc_id % 42 = 0 then k || '9' else 'G' || substr(k, 2, 7) end"
+FIRST = f"""'{{"uris":[' || {URI.format('k')} || '],"itemData":{{"title":"A & B"}}}}'"""
+SECOND = f"""'{{"uris":[' || case when doc_id % 24 = 0 then '' else {URI.format('reverse(k)')} end || '],"itemData":{{"title":"C"}}}}'"""
+KEYED = "(select doc_id, lpad(doc_id::varchar, 8, '0') as k from {documents})"
+CODES = f"""select doc_id, case when doc_id % 3 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {{"citationID":"' || k || '","properties":{{"noteIndex":0}},"citationItems":[' || {FIRST} || {TAIL} else '' end
+  || case when doc_id % 12 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {{broken' else '' end
+  || case when doc_id % 6 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {{"citationID":"' || {NAME} || '","properties":{{"noteIndex":' || doc_id % 4 || '}},"citationItems":[' || {FIRST} || ',' || {SECOND} || '],"schema":"csl"}}' else '' end
+  || case when doc_id % 9 = 0 then 'ADDIN ZOTERO_BIBL {{"uncited":[]}} CSL_BIBLIOGRAPHY' else '' end as codes from {KEYED} d"""
 
 
-FIELD = """'ADDIN ZOTERO_ITEM CSL_CITATION {"citationID":"' || k || '","properties":{"noteIndex":0},"citationItems":[{"uris":["http://zotero.org/groups/1/items/' || k || '"],"itemData":{"title":"A & B"}}]}'"""
+@query("gen_field_codes", f"select doc_id, length(codes) as n, sha256(codes) as codes_sha256 from ({CODES}) c")
+def gen_field_codes(t: Tables) -> DataFrame:
+    return K.field_codes(parts(t)).select("doc_id", F.length("codes").cast("long").alias("n"), F.sha2("codes", 256).alias("codes_sha256"))
 
 
-@query("gen_field_codes_whole", f"select doc_id, case when doc_id % 3 = 0 then {FIELD} else '' end as codes from (select doc_id, lpad(doc_id::varchar, 8, '0') as k from {{documents}}) d")
+@query("gen_field_codes_whole", CODES)
 def gen_field_codes_whole(t: Tables) -> DataFrame:
-    """The whole instruction text of each document, where gen_field_codes has its head only."""
+    """The instruction text itself, where gen_field_codes has its hash."""
     return K.field_codes(parts(t))
 
 
-@query("gen_citations", "select doc_id, 0 as ord, lpad(doc_id::varchar, 8, '0') as citation_id, 0 as note_index from {documents} where doc_id % 3 = 0")
+@query("gen_citations", f"select doc_id, 0 as ord, k as citation_id, 0 as note_index from {KEYED} d where doc_id % 3 = 0 union all select doc_id, 1, {NAME}, (doc_id % 4)::int from {KEYED} d where doc_id % 6 = 0")
 def gen_citations(t: Tables) -> DataFrame:
-    return K.citations(parts(t)).drop("items")
+    return K.citations(parts(t)).drop("items", "schema")
 
 
-@query("gen_citation_items", "select doc_id, 0 as ord, 0 as pos, 'http://zotero.org/groups/1/items/' || lpad(doc_id::varchar, 8, '0') as uri, 'A & B' as title from {documents} where doc_id % 3 = 0")
+@query("gen_citation_items", f"""select doc_id, 0 as ord, 0 as pos, 'http://zotero.org/groups/1/items/' || k as uri, 'A & B' as title from {KEYED} d where doc_id % 3 = 0
+  union all select doc_id, 1, 0, 'http://zotero.org/groups/1/items/' || k, 'A & B' from {KEYED} d where doc_id % 6 = 0
+  union all select doc_id, 1, 1, case when doc_id % 24 <> 0 then 'http://zotero.org/groups/1/items/' || reverse(k) end, 'C' from {KEYED} d where doc_id % 6 = 0""")
 def gen_citation_items(t: Tables) -> DataFrame:
-    return K.citation_items(K.citations(parts(t))).select("doc_id", "ord", "pos", c("uris")[0].alias("uri"), F.element_at("itemData", "title").alias("title"))
+    return K.citation_items(K.citations(parts(t))).select("doc_id", "ord", "pos", F.get("uris", F.lit(0)).alias("uri"), F.element_at("itemData", "title").alias("title"))
 
 
-@query("prefs_reassemble", "select doc_id, 'http://www.zotero.org/styles/' || lang as style, 'Field' as field_type from {documents}")
+@query("prefs_reassemble", "select doc_id, case when doc_id % 11 <> 0 then 'http://www.zotero.org/styles/' || lang end as style, case when doc_id % 7 = 0 then 'Bookmarks' else 'Field' end as field_type from {documents}")
 def prefs_reassemble(t: Tables) -> DataFrame:
     return K.prefs(parts(t))
 
 
-@query("doc_counts", "select doc_id, len(string_split(text, chr(10))) + case when doc_id % 3 = 0 then 1 else 0 end as paragraphs, length(text) + case when doc_id % 3 = 0 then 4 else 0 end as characters, case when doc_id % 3 = 0 then 1 else 0 end as citation_fields from {documents}")
+@query("doc_counts", f"""select doc_id, len(l)::bigint as paragraphs, (list_sum(list_transform(l, lambda p: length(p.t))) + len(l) - 1)::bigint as characters, (doc_id % 3 = 0)::bigint + (doc_id % 12 = 0)::bigint + (doc_id % 6 = 0)::bigint as citation_fields,
+  (doc_id % 9 = 0)::bigint as bibliography_fields, (doc_id % 5 = 0)::bigint as insertions, (doc_id % 5 = 0)::bigint as deletions, 2 * (doc_id % 7 = 0)::bigint as comments, 3 * (doc_id % 11 = 0)::bigint as footnotes from ({BODY}) b""")
 def doc_counts(t: Tables) -> DataFrame:
-    return K.counts(parts(t)).select("doc_id", "paragraphs", "characters", "citation_fields")
+    return K.counts(parts(t))
 
 
-@query("field_invariants", "select doc_id, doc_id % 30 <> 0 as balanced, true as unique_ids, true as ids_8_long, true as no_notes, true as whole_items from {documents}")
+@query("field_invariants", """select doc_id, doc_id % 30 <> 0 as balanced, doc_id % 18 <> 0 as unique_ids, not (doc_id % 42 = 0 and doc_id % 18 <> 0) as ids_8_long, not (doc_id % 6 = 0 and doc_id % 4 <> 0) as no_notes,
+  doc_id % 24 <> 0 as whole_items, doc_id % 33 <> 0 as has_schema, doc_id % 13 <> 0 as short_prefs from {documents}""")
 def field_invariants(t: Tables) -> DataFrame:
     return K.invariants(parts(t))
 
@@ -138,22 +178,28 @@ def gen_marker_hits(t: Tables) -> DataFrame:
     return P.hits(markers(t), paras(t)).select("doc_id", "para", "marker", "hit", c("start").cast("long").alias("start"))
 
 
-OFFS = f"select doc_id, para, run, coalesce(list_sum(list_transform(r[1:run], lambda x: length(x))), 0) as s, coalesce(list_sum(list_transform(r[1:run + 1], lambda x: length(x))), 0) as e from ({RUNS}) q where text <> ''"
+OFFS = f"select doc_id, para, run, text = '[@no' as anchored, coalesce(list_sum(list_transform(r[1:run], lambda x: length(x))), 0) as s, coalesce(list_sum(list_transform(r[1:run + 1], lambda x: length(x))), 0) as e from ({RUNS}) q where text <> ''"
+OVER = f"from ({HITS}) h JOIN_ ({OFFS}) o on o.doc_id = h.doc_id and o.para = h.para and o.s < h.start + length(h.marker) and o.e > h.start"
 
 
-@query("range_marker_runs", f"select h.doc_id, h.para, h.marker, h.hit, o.run from ({HITS}) h join ({OFFS}) o on o.doc_id = h.doc_id and o.para = h.para and o.s < h.start + length(h.marker) and o.e > h.start")
+@query("range_marker_runs", f"select h.doc_id, h.para, h.marker, h.hit, o.run {OVER.replace("JOIN_", "join")}")
 def range_marker_runs(t: Tables) -> DataFrame:
     p = paras(t)
     return P.touched(P.hits(markers(t), p), K.runs(p)).select("doc_id", "para", "marker", "hit", "run")
 
 
-@query("marker_placement", f"select doc_id, para, marker, hit, min(run) as first_run, max(run) as last_run, cast(null as varchar) as why, max(users) > 1 as shares_run from (select h.doc_id, h.para, h.marker, h.hit, o.run, count(*) over (partition by h.doc_id, h.para, o.run) as users from ({HITS}) h join ({OFFS}) o on o.doc_id = h.doc_id and o.para = h.para and o.s < h.start + length(h.marker) and o.e > h.start) x group by doc_id, para, marker, hit")
+PLACED = f"""select doc_id, para, marker, hit, min(run) as first_run, max(run) as last_run, case when max(run) is null then 'no run holds it' when min(run) filter (anchored) < max(run) then 'it straddles a comment''s anchor' end as why,
+  coalesce(max(users) > 1, false) as shares_run
+  from (select h.doc_id, h.para, h.marker, h.hit, o.run, o.anchored, case when o.run is not null then count(*) over (partition by h.doc_id, h.para, o.run) end as users {OVER.replace("JOIN_", "left join")}) x group by doc_id, para, marker, hit"""
+
+
+@query("marker_placement", PLACED)
 def marker_placement(t: Tables) -> DataFrame:
     p = paras(t)
     return P.placements(P.hits(markers(t), p), K.runs(p))
 
 
-@query("placement_report", f"select d.doc_id, coalesce(placed, 0) as placed, 0::bigint as skipped, 4 - coalesce(found, 0) as unmatched from {{documents}} d left join (select doc_id, count(*) as placed, count(distinct marker) as found from ({HITS}) h group by doc_id) x on x.doc_id = d.doc_id")
+@query("placement_report", f"select d.doc_id, coalesce(placed, 0) as placed, coalesce(skipped, 0) as skipped, 4 - coalesce(found, 0) as unmatched from {{documents}} d left join (select doc_id, count(*) filter (why is null) as placed, count(why) as skipped, count(distinct marker) as found from ({PLACED}) h group by doc_id) x on x.doc_id = d.doc_id")
 def placement_report(t: Tables) -> DataFrame:
     p, m = paras(t), markers(t)
     return P.report(m, P.placements(P.hits(m, p), K.runs(p)))

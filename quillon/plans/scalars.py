@@ -16,15 +16,17 @@ COMPACT = lambda x: FOLD.format(x, "")
 EMPTY = lambda x: f"nullif({x}, '')"
 
 DUCK_DOI = "^10\\.[0-9]{4,9}/[^\\s]+$"
-KIND = r"""case when trim(raw) = '' then null
-  when regexp_matches(trim(raw), '^(https?://(dx\.)?doi\.org/)?10\.[0-9]{4,9}/\S+$', 'i') then 'doi'
-  when regexp_matches(trim(raw), '^(arxiv:\s*)?([0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|[a-z-]+/[0-9]{7})$', 'i') then 'arxiv'
-  when regexp_matches(replace(trim(raw), ' ', ''), '^(isbn:\s*)?(97[89])?[0-9-]{9,16}[0-9x]$', 'i') then 'isbn'
-  when regexp_matches(trim(raw), '^https?://', 'i') then 'url'
-  when regexp_matches(trim(raw), '^(pmid:\s*)?[0-9]{1,8}$', 'i') then 'pmid' end"""
-NORMAL = r"""case kind when 'doi' then regexp_extract(trim(raw), '10\.[0-9]{4,9}/\S+$') when 'arxiv' then regexp_replace(trim(raw), '^arxiv:\s*', '', 'i')
-  when 'isbn' then replace(regexp_replace(replace(trim(raw), ' ', ''), '^isbn:\s*', '', 'i'), '-', '')
-  when 'pmid' then regexp_replace(trim(raw), '^pmid:\s*', '', 'i') else trim(raw) end"""
+BLANKS = "'" + C.BLANKS + "'"
+KIND = r"""case when trim(raw, BLANKS_) = '' then null
+  when regexp_matches(trim(raw, BLANKS_), '^(https?://(dx\.)?doi\.org/)?10\.[0-9]{4,9}/\S+$', 'i') then 'doi'
+  when regexp_matches(trim(raw, BLANKS_), '^(arxiv:\s*)?([0-9]{4}\.[0-9]{4,5}(v[0-9]+)?|[a-z-]+/[0-9]{7})$', 'i') then 'arxiv'
+  when regexp_matches(replace(trim(raw, BLANKS_), ' ', ''), '^(isbn:\s*)?(97[89])?[0-9-]{9,16}[0-9x]$', 'i') then 'isbn'
+  when regexp_matches(trim(raw, BLANKS_), '^https?://', 'i') then 'url'
+  when regexp_matches(trim(raw, BLANKS_), '^(pmid:\s*)?[0-9]{1,8}$', 'i') then 'pmid' end"""
+NORMAL = r"""case kind when 'doi' then regexp_extract(trim(raw, BLANKS_), '10\.[0-9]{4,9}/\S+$') when 'arxiv' then regexp_replace(trim(raw, BLANKS_), '^arxiv:\s*', '', 'i')
+  when 'isbn' then replace(regexp_replace(replace(trim(raw, BLANKS_), ' ', ''), '^isbn:\s*', '', 'i'), '-', '')
+  when 'pmid' then regexp_replace(trim(raw, BLANKS_), '^pmid:\s*', '', 'i') else trim(raw, BLANKS_) end"""
+KIND, NORMAL = KIND.replace("BLANKS_", BLANKS), NORMAL.replace("BLANKS_", BLANKS)
 ISBN13 = lambda x: f"""case when length(regexp_replace({x}, '[^0-9Xx]', '', 'g')) = 13 and regexp_full_match(regexp_replace({x}, '[^0-9Xx]', '', 'g'), '[0-9]+') then regexp_replace({x}, '[^0-9Xx]', '', 'g')
   when regexp_full_match(upper(regexp_replace({x}, '[^0-9Xx]', '', 'g')), '[0-9]{{9}}[0-9X]') then '978' || substr(regexp_replace({x}, '[^0-9Xx]', '', 'g'), 1, 9) ||
     ((10 - list_sum(list_transform(range(1, 13), lambda i: (case when i % 2 = 1 then 1 else 3 end) * coalesce(try_cast(substr('978' || substr(regexp_replace({x}, '[^0-9Xx]', '', 'g'), 1, 9), i, 1) as int), 0))) % 10) % 10)::int end"""
@@ -168,21 +170,21 @@ def style_name(t: Tables) -> DataFrame:
     return t("pages").select("page_id", C.style_name(c("url")).alias("style"))
 
 
-MARKED = "select p_partkey, '<w:p><w:r><w:t xml:space=\"preserve\">' || p_name || ' &amp; </w:t><w:tab/></w:r><w:r><w:t>' || p_brand || ' &lt;' || p_size || '&gt;</w:t></w:r></w:p>' as xml from {part}"
+MARKED = "select p_partkey, '<w:p><w:r><w:t xml:space=\"preserve\">' || p_name || ' &amp;amp; &#' || (192 + p_partkey % 60) || '; &#x' || lower(hex(0x4E00 + p_partkey % 2000)) || ';</w:t><w:tab/></w:r><w:r><w:t>' || p_brand || ' &lt;' || p_size || '&gt;&eacute;&notit;&nosuch; &</w:t></w:r></w:p>' as xml from {part}"
 
 
-@query("visible_text", "select p_partkey, p_name || ' & ' || p_brand || ' <' || p_size || '>' as text from {part}")
+@query("visible_text", "select p_partkey, p_name || ' &amp; ' || chr((192 + p_partkey % 60)::int) || ' ' || chr((19968 + p_partkey % 2000)::int) || p_brand || ' <' || p_size || '>é¬it;&nosuch; &' as text from {part}")
 def visible_text(t: Tables) -> DataFrame:
-    return t.sql(MARKED).select("p_partkey", C.visible_text(c("xml")).alias("text"))
+    return t.sql(MARKED.replace("0x4E00", "19968")).select("p_partkey", C.visible_text(c("xml")).alias("text"))
 
 
-@query("entity_unescape", "select page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1) || '&lt;&quot;&apos;&gt;&amp;lt;', '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') as text from {pages}")
+@query("entity_unescape", """select page_id, replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') || '<"''>&lt;' || chr((256 + page_id % 300)::int) || '€' || chr(65533) || 'ẞ∯' as text from {pages}""")
 def entity_unescape(t: Tables) -> DataFrame:
-    title = F.concat(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit("&lt;&quot;&apos;&gt;&amp;lt;"))
-    return t("pages").select("page_id", C.entity_unescape(title).alias("text"))
+    more = F.concat(F.lit("&lt;&quot;&apos;&gt;&amp;lt;&#"), 256 + c("page_id") % 300, F.lit(";&#x80;&#0;&#7838;&DoubleContourIntegral;&#x1F;"))
+    return t("pages").select("page_id", C.entity_unescape(F.concat(F.regexp_extract("html", "<title>(.*?)</title>", 1), more)).alias("text"))
 
 
-@query("provenance_text", """select conv_id, '<p><b>Verified</b> — verdict <i>mixed</i>, run <code>' || conv_id || '</code>.</p>' || string_agg('<blockquote><p>' || trim(coalesce(text, '')) || '</p><p><i>' || turn || ' — ' || coalesce(nullif(role, ''), '?') || '</i></p></blockquote>', '' order by turn) as note from {conversations} group by conv_id""")
+@query("provenance_text", """select conv_id, '<table><caption>Run ' || conv_id || ': mixed</caption>' || string_agg('<tr><td>' || coalesce(role, '') || '</td><td>' || turn || '</td><td>' || trim(coalesce(text, ''), BLANKS_) || '</td><td></td></tr>', '' order by turn) || '</table>' as note from {conversations} group by conv_id""".replace("BLANKS_", BLANKS))
 def provenance_text(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     said = F.array_sort(F.collect_list(F.struct("turn", F.struct(c("text").alias("quote"), c("turn").cast("string").alias("location"), c("role").alias("bearing"), none.alias("why")).alias("p"))))
@@ -274,13 +276,14 @@ def creator_parse(t: Tables) -> DataFrame:
     return t("customer").select("c_custkey", C.creator(value, F.lit("author")).alias("x")).select("c_custkey", "x.*")
 
 
-@query("locator_valid", """select doc_id, citation_id, pos, case when pos % 3 = 0 and label is not null then 'label without locator' when label is not null and label not in ('act','appendix','article','book','chapter','column','figure','folio','issue','line','note','opus','page','paragraph','part','section') then 'unknown label' end as error,
-  case when pos % 3 <> 0 then coalesce(label, 'page') end as label from (select *, case pos % 4 when 0 then 'verse' when 1 then 'chapter' when 2 then 'section' end as label from {v_citation_items}) x""")
+LABELLED = """select *, case when pos % 3 <> 0 then '' || pos end as locator, case citation_id % 6 when 0 then 'verse' when 1 then 'chapter' when 2 then 'sub verbo' when 3 then 'article' when 4 then '' end as label from {v_citation_items}"""
+
+
+@query("locator_valid", f"""select doc_id, citation_id, pos, case when label = 'article' or label = '' then 'unknown label' when label is not null and locator is null then 'label without locator' end as error,
+  case when locator is not null then coalesce(nullif(label, ''), 'page') end as label from ({LABELLED}) x""")
 def locator_valid(t: Tables) -> DataFrame:
-    label = F.when(c("pos") % 4 == 0, "verse").when(c("pos") % 4 == 1, "chapter").when(c("pos") % 4 == 2, "section")
-    rows = t("v_citation_items").withColumn("label", label).withColumn("locator", F.when(c("pos") % 3 != 0, c("pos").cast("string")))
-    error = F.when(c("locator").isNull() & c("label").isNotNull(), "label without locator").when(~c("label").isin(*C.LOCATORS), "unknown label")
-    return rows.select("doc_id", "citation_id", "pos", error.alias("error"), F.when(c("locator").isNotNull(), F.coalesce("label", F.lit("page"))).alias("label"))
+    shown = F.when(c("locator").isNotNull(), F.coalesce(C.null_if_empty(c("label")), F.lit("page")))
+    return t.sql(LABELLED).select("doc_id", "citation_id", "pos", C.locator_error(c("locator"), c("label")).alias("error"), shown.alias("label"))
 
 
 @query("type_slot", """select p_partkey, case when p_partkey % 4 = 0 then 'nameOfAct' else 'title' end as title, (['dateEnacted', 'date', 'date', 'date'])[p_partkey % 4 + 1] as date, (['code', null, 'websiteTitle', null])[p_partkey % 4 + 1] as container from {part}""")
@@ -310,7 +313,15 @@ def bearing_tag(t: Tables) -> DataFrame:
     return t("v_items").select("page_id", F.try_element_at(tags, F.lower(verdict)).alias("tag"))
 
 
-@query("math", "select page_id, (10 - (page_id * 7) % 10) % 10 as digit, page_id % 7 / greatest(1, least(page_id % 5, page_id % 3)) >= 0.6 as overlaps, page_id % 13 >= 0.75 * (page_id % 17) as entries from {v_items}")
+@query("math", rf"""select 'digit' as what, page_id, substr({ISBN13("substr(isbn, 4, 9) || 'X'")}, 13, 1)::bigint as value from {{v_items}} where isbn is not null
+  union all select 'overlap', a.page_id, (len(list_intersect(string_split({SPACED('a.title')}, ' '), string_split({SPACED('b.title')}, ' '))) / greatest(1, least(len(list_distinct(string_split({SPACED('a.title')}, ' '))), len(list_distinct(string_split({SPACED('b.title')}, ' '))))) >= 0.6)::bigint from {{v_items}} a join {{v_items}} b on b.page_id = a.page_id + 1
+  union all select 'entries', doc_id, (count(*) filter (regexp_matches(text, '^([0-9]{{1,3}}[.)]\s*)?\p{{L}}[\p{{L}}\p{{N}}_''’-]+[,.]\s')) >= 0.75 * count(*))::bigint from {{v_paragraphs}} group by doc_id""")
 def math(t: Tables) -> DataFrame:
-    p = c("page_id")
-    return t("v_items").select("page_id", F.pmod(10 - (p * 7) % 10, F.lit(10)).alias("digit"), (p % 7 / F.greatest(F.lit(1), F.least(p % 5, p % 3)) >= 0.6).alias("overlaps"), (p % 13 >= (p % 17) * 0.75).alias("entries"))
+    """The three computations: an ISBN's check digit, the share of words that titles have in common, the share of entries among paragraphs."""
+    digit = C.check_digit(F.concat(F.lit("978"), F.substring("isbn", 4, 9)))
+    digits = t("v_items").where("isbn is not null").select(F.lit("digit").alias("what"), "page_id", digit.cast("long").alias("value"))
+    a, b = t("v_items"), t("v_items").select((c("page_id") - 1).alias("page_id"), c("title").alias("other"))
+    shared = C.overlap(C.fold_spaced(c("title")), C.fold_spaced(c("other"))) >= 0.6
+    shares = a.join(b, "page_id").select(F.lit("overlap"), "page_id", shared.cast("long"))
+    entries = t("v_paragraphs").groupBy("doc_id").agg((F.count_if(c("text").rlike(C.ENTRY)) >= F.count("*") * 0.75).cast("long").alias("value"))
+    return digits.union(shares).union(entries.select(F.lit("entries"), "doc_id", "value"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import html
 import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -48,15 +46,6 @@ def unpack(packages: DataFrame) -> DataFrame:
     return packages.select("doc_id", "content").mapInArrow(_unzip, f"doc_id {kind}, part string, xml string, error string")
 
 
-def _numeric(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(x) if x is not None else None)
-
-
-def numeric_entities(text: Column) -> Column:
-    """Numeric character references resolved; only rows that hold one are decoded in Python."""
-    return F.when(text.contains("&#"), F.pandas_udf(_numeric, "string")(F.when(text.contains("&#"), text))).otherwise(text)
-
-
 def paragraphs(parts: DataFrame) -> DataFrame:
     """(doc_id, para, xml, text, authors, has_anchor) of the main part; text leaves field codes out."""
     found = F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)(<w:p(?:\s[^>]*)?>.*?</w:p>)"), F.lit(1)))
@@ -71,39 +60,42 @@ def runs(paras: DataFrame) -> DataFrame:
     """(doc_id, para, run, text, text_start, text_end, anchored): runs with their place in the paragraph's text."""
     parts = F.regexp_extract_all("xml", F.lit(r"(?s)(<w:r(?:\s[^>]*)?>.*?</w:r>(?:<w:commentR[^>]*>)?)"), F.lit(1))
     texts = F.transform(parts, lambda x: F.struct(C.visible_text(x).alias("text"), x.rlike(r"<w:commentR[^>]*>$").alias("anchored")))
-    # Offsets are sums inside one paragraph's array: no window and no exchange.
-    sized = F.transform(texts, lambda x: F.length(x["text"]))
-    rows = paras.select("doc_id", "para", sized.alias("sizes"), F.posexplode(texts).alias("run", "x"))
-    start = F.aggregate(F.slice("sizes", 1, c("run")), F.lit(0), lambda a, n: a + n)
-    return rows.select("doc_id", "para", "run", c("x.text").alias("text"), start.alias("text_start"), (start + F.length("x.text")).alias("text_end"), c("x.anchored").alias("anchored"))
+    rows = paras.select("doc_id", "para", F.posexplode(texts).alias("run", "x")).select("doc_id", "para", "run", "x.text", "x.anchored")
+    # A running sum over a paragraph's runs: linear in their number, whatever a paragraph holds.
+    end = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id", "para").orderBy("run")), F.lit(0)).cast("int")
+    return rows.withColumn("text_end", end).select("doc_id", "para", "run", "text", (c("text_end") - F.length("text")).alias("text_start"), "text_end", "anchored")
 
 
 def field_codes(parts: DataFrame) -> DataFrame:
     return parts.where(c("part") == PARTS[0]).select("doc_id", C.instructions(c("xml")).alias("codes"))
 
 
-_CITATION = "struct<citationID:string,properties:struct<noteIndex:int>,citationItems:array<struct<uris:array<string>,itemData:map<string,string>>>>"
+_CITATION = "struct<citationID:string,properties:struct<noteIndex:int>,citationItems:array<struct<uris:array<string>,itemData:map<string,string>>>,schema:string>"
 
 
 def citations(parts: DataFrame) -> DataFrame:
-    """(doc_id, ord, citation_id, note_index, items): fields whose JSON can't be read are left out and take no number."""
+    """(doc_id, ord, citation_id, note_index, items, schema): fields whose JSON can't be read are left out and take no number."""
     pieces = F.slice(F.split("codes", ITEM), 2, 1 << 30)
     read = F.filter(F.transform(pieces, lambda b: F.from_json(b, _CITATION)), lambda j: j["citationItems"].isNotNull())
     rows = field_codes(parts).select("doc_id", F.posexplode(read).alias("ord", "j"))
-    return rows.select("doc_id", "ord", c("j.citationID").alias("citation_id"), F.coalesce("j.properties.noteIndex", F.lit(0)).alias("note_index"), c("j.citationItems").alias("items"))
+    return rows.select("doc_id", "ord", c("j.citationID").alias("citation_id"), F.coalesce("j.properties.noteIndex", F.lit(0)).alias("note_index"), c("j.citationItems").alias("items"), c("j.schema").alias("schema"))
 
 
 def citation_items(cits: DataFrame) -> DataFrame:
     return cits.select("doc_id", "ord", F.posexplode_outer("items").alias("pos", "item")).select("doc_id", "ord", "pos", "item.uris", "item.itemData")
 
 
+def _chunks(xml: Column) -> Column:
+    """Preference chunks (n, v) in the order of their numbers, unescaped."""
+    chunk = r'(?s)name="ZOTERO_PREF_(\d+)"><vt:lpwstr>(.*?)</vt:lpwstr>'
+    pairs = F.arrays_zip(F.regexp_extract_all(xml, F.lit(chunk), F.lit(1)).alias("n"), F.regexp_extract_all(xml, F.lit(chunk), F.lit(2)).alias("v"))
+    return F.array_sort(F.transform(pairs, lambda p: F.struct(p["n"].cast("int").alias("n"), C.entity_unescape(p["v"]).alias("v"))))
+
+
 def prefs(parts: DataFrame) -> DataFrame:
-    """(doc_id, style, field_type): preference chunks put together in the order of their numbers."""
+    """(doc_id, style, field_type): preference chunks put together in the order of their numbers; null for what they don't say."""
     rows = parts.where(c("part") == PARTS[1])
-    chunk = r'(?s)name="ZOTERO_PREF_(\d+)"><vt:lpwstr>(.*?)</vt:lpwstr>'
-    pairs = F.arrays_zip(F.regexp_extract_all("xml", F.lit(chunk), F.lit(1)).alias("n"), F.regexp_extract_all("xml", F.lit(chunk), F.lit(2)).alias("v"))
-    whole = F.array_join(F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p["n"].cast("int").alias("n"), p["v"].alias("v")))), lambda p: p["v"]), "")
-    text = C.entity_unescape(whole)
+    text = F.array_join(F.transform(_chunks(c("xml")), lambda p: p["v"]), "")
     return rows.select("doc_id", C.extract(text, r'<style id="([^"]*)"').alias("style"), C.extract(text, r'<pref name="fieldType" value="([^"]*)"').alias("field_type"))
 
 
@@ -122,12 +114,13 @@ def counts(parts: DataFrame) -> DataFrame:
 
 
 def invariants(parts: DataFrame) -> DataFrame:
-    """Whether a document's fields are whole: as many begins as separators and ends, ids unique and 8 long, addresses and data present."""
+    """Whether a document's fields are whole: as many begins as separators and ends, ids unique and 8 long, addresses, data and schema present, preference chunks of 255 characters at most."""
     n = lambda kind: F.regexp_count("xml", F.lit(f'w:fldCharType="{kind}"'))
     marks = parts.where(c("part") == PARTS[0]).select("doc_id", ((n("begin") == n("separate")) & (n("begin") == n("end"))).alias("balanced"))
-    cits = citations(parts)
     whole = F.forall("items", lambda i: (F.size(F.coalesce(i["uris"], F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(i["itemData"], F.create_map().cast("map<string,string>"))) > 0))
-    per = cits.groupBy("doc_id").agg(
-        (F.count("citation_id") == F.count_distinct("citation_id")).alias("unique_ids"), F.bool_and(F.length("citation_id") == 8).alias("ids_8_long"), F.bool_and(c("note_index") == 0).alias("no_notes"), F.bool_and(whole).alias("whole_items")
-    )
-    return marks.join(per, "doc_id", "left").na.fill(True)
+    per = citations(parts).groupBy("doc_id").agg(
+        (F.count("citation_id") == F.count_distinct("citation_id")).alias("unique_ids"), F.bool_and(F.length("citation_id") == 8).alias("ids_8_long"), F.bool_and(c("note_index") == 0).alias("no_notes"),
+        F.bool_and(whole).alias("whole_items"), F.bool_and(c("schema").isNotNull()).alias("has_schema"),
+    )
+    short = parts.where(c("part") == PARTS[1]).select("doc_id", F.forall(_chunks(c("xml")), lambda p: F.length(p["v"]) <= 255).alias("short_prefs"))
+    return marks.join(per, "doc_id", "left").join(short, "doc_id", "left").na.fill(True)

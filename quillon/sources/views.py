@@ -65,7 +65,9 @@ union all select page_id, 5, url from {v_items}
 union all select page_id, 6, 'pmid: ' || page_id from {v_items}
 union all select page_id, 7, 'arXiv:21' || lpad(cast(page_id % 12 + 1 as string), 2, '0') || '.' || lpad(cast(page_id % 100000 as string), 5, '0') from {v_items}
 union all select page_id, 8, substr(title, 1, 12) from {v_items}
-union all select page_id, 9, substr(isbn, 4, 9) || 'X' from {v_items}""",
+union all select page_id, 9, substr(isbn, 4, 9) || 'X' from {v_items}
+union all select page_id, 10, chr(9) || doi || chr(10) from {v_items}
+union all select page_id, 11, chr(160) || url || chr(13) || ' ' from {v_items}""",
 }
 
 
