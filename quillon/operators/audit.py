@@ -63,8 +63,8 @@ def item_checks(items: DataFrame, k: int = 10) -> DataFrame:
     return per.select("doc_id", F.inline(F.filter(found, lambda x: x["n"] > 0)))
 
 
-def _one(items: DataFrame, code: str) -> DataFrame:
-    return item_checks(items).where(c("code") == code)
+def _one(items: DataFrame, code: str, k: int = 10) -> DataFrame:
+    return item_checks(items, k).where(c("code") == code)
 
 
 def missing_uri(items: DataFrame) -> DataFrame:
@@ -79,8 +79,8 @@ def missing_itemdata(items: DataFrame) -> DataFrame:
     return _one(items, "missing-itemdata")
 
 
-def malformed_doi(items: DataFrame) -> DataFrame:
-    return _one(items, "malformed-doi")
+def malformed_doi(items: DataFrame, k: int = 10) -> DataFrame:
+    return _one(items, "malformed-doi", k)
 
 
 def missing_title(items: DataFrame) -> DataFrame:

@@ -52,9 +52,10 @@ def settle(found: DataFrame) -> DataFrame:
     )
 
 
-def ladder(batch: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every batch row's outcome against the pool: present, ambiguous or new."""
-    return batch.select("pos").join(settle(edges(batch, pool)), "pos", "left").withColumn("outcome", F.coalesce("outcome", F.lit("new")))
+def ladder(batch: DataFrame, pool: DataFrame, but_itself: bool = False) -> DataFrame:
+    """Every batch row's outcome against the pool: present, ambiguous or new; `but_itself`: rows are in the pool too and don't answer to themselves."""
+    found = edges(batch, pool)
+    return batch.select("pos").join(settle(found.where("target <> pos") if but_itself else found), "pos", "left").withColumn("outcome", F.coalesce("outcome", F.lit("new")))
 
 
 def in_batch(batch: DataFrame, pool: DataFrame) -> DataFrame:

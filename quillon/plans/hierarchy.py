@@ -69,7 +69,7 @@ def label_index(t: Tables) -> DataFrame:
     return missing.join(F.broadcast(known), how="inner")  # one row of labels, put beside every miss
 
 
-REQ = "select item_key, 'N' || (page_id % 4 + 5) as target, page_id % 3 = 0 as move, case when page_id % 11 = 0 then 0 else version end as version from {v_items} where page_id % 2 = 0 union all select 'X' || page_id, 'N1', false, 1 from {v_items} where page_id % 50 = 0"
+REQ = "select item_key, 'N' || (page_id % 4 + 5) as target, page_id % 3 = 0 as move, case when page_id % 11 = 0 then 0 else version end as version from {v_items} union all select 'X' || page_id, 'N1', false, 1 from {v_items} where page_id % 50 = 0"
 FILE = f"""with recursive {BELOW % 'R1'}, cur as (select *, exists (select 1 from below b where list_contains(collections, b.collection_key)) as inside from ({ITEMS}) i),
   j as (select r.*, cur.collections, cur.version as current, cur.inside, case when list_contains(cur.collections, target) then cur.collections else list_append(cur.collections, target) end as added from ({REQ}) r left join cur on cur.item_key = r.item_key),
   a as (select *, case when move and target <> 'R1' then list_filter(added, lambda x: x <> 'R1') else added end as after from j),
@@ -81,9 +81,9 @@ def file_items(t: Tables) -> DataFrame:
     return H.file_items(t.sql(REQ), items(t), below(t), "R1").withColumn("collections", F.array_join("collections", ","))
 
 
-@query("join_version", "select e.event_id, case when e.value::bigint % 9 + 1 = i.version then 'filed' else 'failed' end as outcome from {events} e join {v_items} i on i.page_id = e.user_id % 50")
+@query("join_version", "select e.event_id, case when e.value::bigint % 9 + 1 = i.version then 'filed' else 'failed' end as outcome from {events} e join {v_items} i on i.page_id = e.user_id")
 def join_version(t: Tables) -> DataFrame:
-    edits = t("events").select("event_id", (c("user_id") % 50).alias("page_id"), (F.bround("value").cast("long") % 9 + 1).alias("v"))
+    edits = t("events").select("event_id", c("user_id").alias("page_id"), (F.bround("value").cast("long") % 9 + 1).alias("v"))
     return edits.join(t("v_items").select("page_id", "version"), "page_id").select("event_id", F.when(c("v") == c("version"), "filed").otherwise("failed").alias("outcome"))
 
 

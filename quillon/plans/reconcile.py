@@ -22,10 +22,16 @@ def batch(t: Tables) -> DataFrame:
     return t("v_items").where("page_id % 2 = 1").withColumnRenamed("page_id", "pos")
 
 
-E = f"""select b.page_id as pos, p.page_id as target, 'doi' as rung from {{v_items}} b join {{v_items}} p on lower(p.doi) = lower(b.doi) where b.page_id % 2 = 1 and p.page_id % 2 = 0 and b.doi <> ''
-union select b.page_id, p.page_id, 'isbn' from {{v_items}} b join {{v_items}} p on {ISBN13('p.isbn')} = {ISBN13('b.isbn')} and {AGREE('b.title', 'p.title')} where b.page_id % 2 = 1 and p.page_id % 2 = 0
-union select b.page_id, p.page_id, case when {AGREE('b.title', 'p.title')} then 'url' else 'same-url' end from {{v_items}} b join {{v_items}} p on {URL_KEY('p.url')} = {URL_KEY('b.url')} where b.page_id % 2 = 1 and p.page_id % 2 = 0
-union select b.page_id, p.page_id, 'title' from {{v_items}} b join {{v_items}} p on {SPACED('p.title')} = {SPACED('b.title')} where b.page_id % 2 = 1 and p.page_id % 2 = 0 and {SPACED('b.title')} <> ''"""
+def others(t: Tables) -> DataFrame:
+    """How every item answers to each of the others."""
+    every = t("v_items").withColumnRenamed("page_id", "pos")
+    return R.edges(every, every).where("target <> pos")
+
+
+E = f"""select b.page_id as pos, p.page_id as target, 'doi' as rung from {{v_items}} b join {{v_items}} p on lower(p.doi) = lower(b.doi) and b.page_id <> p.page_id where b.doi <> ''
+union select b.page_id, p.page_id, 'isbn' from {{v_items}} b join {{v_items}} p on {ISBN13('p.isbn')} = {ISBN13('b.isbn')} and {AGREE('b.title', 'p.title')} and b.page_id <> p.page_id
+union select b.page_id, p.page_id, case when {AGREE('b.title', 'p.title')} then 'url' else 'same-url' end from {{v_items}} b join {{v_items}} p on {URL_KEY('p.url')} = {URL_KEY('b.url')} and b.page_id <> p.page_id
+union select b.page_id, p.page_id, 'title' from {{v_items}} b join {{v_items}} p on {SPACED('p.title')} = {SPACED('b.title')} and b.page_id <> p.page_id where {SPACED('b.title')} <> ''"""
 RANK = "case rung when 'doi' then 0 when 'isbn' then 1 when 'url' then 2 when 'same-url' then 3 else 4 end"
 SETTLED = f"""select pos, rung as match, case when rung in ('doi', 'isbn', 'url') then 'present' else 'ambiguous' end as outcome, case when rung = 'doi' then max(target) when rung in ('isbn', 'url') then min(target) end as target,
   case when rung not in ('doi', 'isbn', 'url') then string_agg(target::varchar, ',' order by target) end as candidates
@@ -40,19 +46,20 @@ for _rung in ("doi", "isbn", "url", "title"):
     _which = f"('{_rung}'{', ' + repr('same-url') if _rung == 'url' else ''})"
 
     def _f(t: Tables, which: str = _which) -> DataFrame:
-        return _flat(R.settle(R.edges(batch(t), pool(t)).where(f"rung in {which}")))
+        return _flat(R.settle(others(t).where(f"rung in {which}")))
 
     query(f"dedup_{_rung}", SETTLED.replace(f"({E}) e", f"(select * from ({E}) e0 where rung in {_which}) e"))(_f)
 
 
-@query("dedup_ladder", f"select b.page_id as pos, match, coalesce(outcome, 'new') as outcome, target, candidates from (select page_id from {{v_items}} where page_id % 2 = 1) b left join ({SETTLED}) s on s.pos = b.page_id")
+@query("dedup_ladder", f"select b.page_id as pos, match, coalesce(outcome, 'new') as outcome, target, candidates from {{v_items}} b left join ({SETTLED}) s on s.pos = b.page_id")
 def dedup_ladder(t: Tables) -> DataFrame:
-    return _flat(R.ladder(batch(t), pool(t)))
+    every = t("v_items").withColumnRenamed("page_id", "pos")
+    return _flat(R.ladder(every, every, but_itself=True))
 
 
 @query("win_candidate_order", f"select pos, string_agg(target::varchar, ',' order by target) as candidates from (select distinct pos, target from ({E}) e where rung in ('same-url', 'title')) x group by pos")
 def win_candidate_order(t: Tables) -> DataFrame:
-    found = R.edges(batch(t), pool(t)).where("rung in ('same-url', 'title')")
+    found = others(t).where("rung in ('same-url', 'title')")
     return found.groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_set("target")), lambda x: x.cast("string")), ",").alias("candidates"))
 
 

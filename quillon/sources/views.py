@@ -26,26 +26,30 @@ select o.o_custkey as doc_id, o.o_orderkey as citation_id, o.o_orderdate as cite
 from {orders} o join {lineitem} l on l.l_orderkey = o.o_orderkey join {part} p on p.p_partkey = l.l_partkey""",
     "v_manuscripts": """
 select c_custkey as doc_id, c_custkey % 5 <> 0 as has_prefs, case when c_custkey % 5 <> 0 then case when c_custkey % 7 = 0 then 'Bookmark' else 'Field' end end as field_type, c_custkey % 3 <> 0 as has_bibliography
-from {customer}""",
+from {customer}
+union all select c_custkey + 10000000, c_custkey % 2 = 0, case when c_custkey % 2 = 0 then 'Field' end, false from {customer} where c_custkey % 4 = 0""",
     "v_revisions": """
 select o_custkey as doc_id, 'Reviewer ' || (o_orderkey % 4) as author from {orders} where o_orderpriority = '1-URGENT'""",
     "v_citations": """
 select o_custkey as doc_id, o_orderkey as citation_id, o_orderdate as cited_at, 'c' || (o_orderkey % 40) as citation_code, case when o_orderkey % 11 = 0 then 1 else 0 end as note_index from {orders}""",
     "v_refs": """
 select distinct o.o_custkey as doc_id, p.p_partkey, upper(substr(p.p_name,1,1)) || substr(split_part(p.p_name,' ',1),2) as surname, 1970 + p.p_size as year, p.p_name as title, l.l_linenumber as pos, o.o_orderkey as citation_id
-from {orders} o join {lineitem} l on l.l_orderkey = o.o_orderkey join {part} p on p.p_partkey = l.l_partkey where l.l_linenumber <= 2""",
-    "v_paragraphs": """
-select doc_id, row_number() over (partition by doc_id order by citation_id) - 1 as para, 'As reported (' || a || coalesce('; ' || b, '') || ') in table 3(12).' as text
-from (select doc_id, citation_id, min(case when pos = 1 then surname || ' et al., ' || year end) as a, min(case when pos = 2 then surname || ' & Hall, ' || year end) as b from {v_refs} group by doc_id, citation_id) x where a is not null
-union all select distinct doc_id, 100000, 'REFERENCES (NOT FINAL)' from {v_refs}
+from {orders} o join {lineitem} l on l.l_orderkey = o.o_orderkey join {part} p on p.p_partkey = l.l_partkey""",
+    "v_paragraphs": f"""
+select doc_id, row_number() over (partition by doc_id order by citation_id) - 1 as para, 'As reported (' || a1 {' '.join(f"|| coalesce('; ' || a{k}, '')" for k in range(2, 8))} || ') in table 3(12).' as text
+from (select doc_id, citation_id, {', '.join(f"min(case when pos = {k} then surname || {'^^ & Hall, ^^' if k > 1 else '^^ et al., ^^'} || year end) as a{k}" for k in range(1, 8))} from {{v_refs}} group by doc_id, citation_id) x where a1 is not null
+""".replace("^^", "'")
+    + """union all select distinct doc_id, 100000, 'REFERENCES (NOT FINAL)' from {v_refs}
 union all select doc_id, 100000 + row_number() over (partition by doc_id order by p_partkey), case when p_partkey % 3 = 0 then p_partkey % 90 || '. ' else '' end || surname || ', A. (' || year || '). ' || title || '.' || case when p_partkey % 2 = 0 then ' https://doi.org/10.' || (1000 + p_partkey % 9000) || '/x.' || p_partkey || '.' when p_partkey % 5 = 0 then ' https://example.org/p/' || p_partkey else '' end
-from (select distinct doc_id, p_partkey, surname, year, title from {v_refs} where pos = 1) y""",
+from (select distinct doc_id, p_partkey, surname, year, title from {v_refs}) y""",
+    # Every tenth page is held twice: the other copy has no DOI and a tracked address.
     "v_items": """
 select page_id, 'K' || lpad(cast(page_id as string), 7, '0') as item_key, 'groups/' || (1 + page_id % 2) as library, url, title,
-  case when page_id % 3 = 0 then '10.' || (1000 + length(title)) || '/' || substr(md5(title), 1, 8) end as doi,
-  case when page_id % 5 = 0 then '978' || lpad(cast(length(title) * 7919 as string), 10, '0') end as isbn,
+  case when page_id % 3 = 0 and not again then '10.' || (1000 + length(title)) || '/' || substr(md5(title), 1, 8) end as doi,
+  case when isbn_at then '978' || lpad(cast(length(title) * 7919 as string), 10, '0') end as isbn,
   'N' || (page_id % 25) as collection_key, 1 + page_id % 9 as version
-from (select page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) as title from {pages}) t""",
+from (select page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1) as title, page_id % 5 = 0 as isbn_at, false as again from {pages}
+  union all select page_id + 5000001, url || case when contains(url, '?') then '&' else '?' end || 'utm_campaign=again', regexp_extract(html, '<title>(.*?)</title>', 1), true, true from {pages} where page_id % 10 = 5 and not contains(url, '#')) t""",
     "v_collections": """
 select 'ROOT' as collection_key, 'Root' as name, cast(null as string) as parent
 union all select 'R' || r_regionkey, r_name, 'ROOT' from {region}
