@@ -14,6 +14,11 @@ What meets in a bucket is tied to the smallest set there (a star, linear in the
 compared with each other by dense parity sketches in blocks of bounded size: pairs whose Hamming distance exceeds D are ruled
 out exactly, and of the others a spanning forest is verified on the texts. Where a pair of that forest fails, a second round
 verifies every other pair between the parts that it would have joined, so nothing is left untested.
+
+A large family, more than two blocks tied to one centre, is compared in three steps: each block inside itself; then one
+representative of each part that is connected by now with those of the other blocks' parts; and at last, exactly, the members of all
+smaller parts with everything outside their own part. Where a family is connected the last step has nothing to do, so its sketches
+are sent once, not once for every other block.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from .text import U, chunks, mix, set_hash, shingle_sets, words
 
 DIVISIONS = 5  # divisions of the sketch that a set with many empty parts is tried under
 BLOCK = 1024  # sets of one centre that are compared in one task
+LARGE = 1000  # rows of a component whose least id is broadcast
 BROADCAST_PAIRS = 100_000  # pairs whose endpoints are broadcast, about 10 MB; more are joined by exchange
 FLUSH = 1 << 20  # entries that a task gathers before it sends them to their buckets
 _WORK = 1 << 22  # words of sketches that are compared at once
@@ -276,9 +282,9 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) ->
 def _offer(batches: Iterator[pa.RecordBatch], percent: int, again: bool) -> Iterator[pa.RecordBatch]:
     """Each group's pairs to verify: a forest of its likeliest pairs; `again`, when some of them failed, all likely pairs between the parts that are left."""
     for batch in batches:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for row in range(batch.num_rows):
-            centre, members = batch.column("centre")[row].as_py(), batch.column("members")[row].values
+            centre, block, members = batch.column("centre")[row].as_py(), batch.column("block")[row].as_py(), batch.column("members")[row].values
             names, first = np.unique(members.field("name").to_numpy(), return_index=True)
             n, sketches = members.field("n").to_numpy()[first], members.field("sketch").take(pa.array(first))
             found = list(likely_pairs(n, [np.frombuffer(x.as_buffer(), "<u8") for x in sketches], percent))
@@ -286,18 +292,20 @@ def _offer(batches: Iterator[pa.RecordBatch], percent: int, again: bool) -> Iter
                 continue
             a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
             a, b = np.minimum(a, b), np.maximum(a, b)  # names ascend
-            label = np.arange(len(names))
+            part = np.unique(members.field("part").to_numpy()[first], return_inverse=True)[1]
+            start = np.unique(part, return_index=True)[1][part]  # parts that are connected already, by their first node
+            label = start.copy()
             pick = forest(label, a, b, far)
             if again:
                 failed = batch.column("failed")[row].values
                 lost = np.searchsorted(names, failed.field("a").to_numpy()) * len(names) + np.searchsorted(names, failed.field("b").to_numpy())
                 held = pick[~np.isin(a[pick] * len(names) + b[pick], lost)]
-                label = np.arange(len(names))
+                label = start.copy()
                 join(label, a[held], b[held])
                 pick = np.flatnonzero((label[a] != label[b]) & ~np.isin(a * len(names) + b, lost))
-            out.append((np.full(len(pick), centre), names[a[pick]], names[b[pick]]))
+            out.append((np.full(len(pick), centre), np.full(len(pick), block), names[a[pick]], names[b[pick]]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["centre", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["centre", "block", "a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -322,7 +330,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> Dat
     return both.mapInArrow(partial(_verify, width=width, percent=percent), "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Components of documents whose word-shingle sets have Jaccard >= percent / 100: (doc_id, n_shingles, component_id).
 
     One row per input row. A null, empty or blank text has the empty set, is linked with nothing and is a component of its own.
@@ -341,13 +349,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     least = members.groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(wanted, "name")
     chosen = named.join(least, "doc_id").select("name", "text").mapInArrow(partial(_sketch, width=width), "name long, n long, sketch binary, text string")
     sets = shelf.put(chosen, "sets")
-    links = _linked(shelf, ties, sets, percent, width)
+    links = _linked(shelf, ties, sets, percent, width, block)
     parts = connected(links, shelf)
     labelled = members.join(parts, members.name == parts.node, "left").select("doc_id", members.name, "n", F.coalesce("root", members.name).alias("root"))
     labelled = shelf.put(labelled, "labelled")
-    # The rows of one component may be a third of all: the least id is found by partial aggregates and joined back, not in a window.
-    roots = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    rows = labelled.where("n > 0").join(roots, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    shelf.drop("met", "ties", "sets", *(f"{t}{k}" for t in ("checked", "rechecked", "parts") for k in "123"), "large")
+    # The rows of one component may be a third of all: the least id is found by partial aggregates; those of large components are
+    # broadcast, if they are few enough, and so don't meet in one task.
+    roots = shelf.put(labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("docs")), "roots")
+    big = roots.where(F.col("docs") > LARGE).select("root", F.col("component_id").alias("of_large"))
+    big, small = (F.broadcast(big), roots.where(F.col("docs") <= LARGE)) if big.count() <= BROADCAST_PAIRS else (None, roots)
+    rows = labelled.where("n > 0")
+    if big is not None:
+        rows = rows.join(big, "root", "left")
+        met = rows.where("of_large is null").join(small.select("root", "component_id"), "root")
+        rows = rows.where("of_large is not null").select("doc_id", F.col("n").alias("n_shingles"), F.col("of_large").alias("component_id")).union(met.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    else:
+        rows = rows.join(small, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rows = rows.union(labelled.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return rows.union(_without_id(texts, width))
 
@@ -361,30 +379,68 @@ def _without_id(texts: DataFrame, width: int) -> DataFrame:
     return texts.where("doc_id is null").select("text").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
 
 
-def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
-    """Verified links (a, b) between names of sets that connect all that is linked."""
-    # Members of a centre are dealt to blocks; every two blocks meet in one row of at most 2 * BLOCK members.
-    of_centre = ties.union(ties.select("centre", F.col("centre").alias("name")).distinct())
-    blocks = of_centre.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    meets: Column = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
-    )
-    dealt = of_centre.join(blocks, "centre").withColumn("block", F.explode(meets)).select("centre", "block", "name")
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (centre, name, ...) with the number of blocks of their centre, and their own block."""
+    sized = rows.groupBy("centre").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return rows.join(sized, "centre").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+
+
+def _all_pairs() -> Column:
+    """The names of all pairs of blocks that a member's block is in; two blocks meet as one."""
+    pair = lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine"))
+    return F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
+
+
+def _compared(shelf: Shelf, dealt: DataFrame, sets: DataFrame, percent: int, width: int, step: str) -> DataFrame:
+    """Verified links (a, b) that connect all that is linked among the members of each (centre, block); `part` tells what is connected already."""
     groups = (
-        dealt.join(sets.select("name", "n", "sketch"), "name")
-        .groupBy("centre", "block")
-        .agg(F.collect_list(F.struct("name", "n", "sketch")).alias("members"))
-    )
-    groups = shelf.put(groups, "groups")
-    tree = shelf.put(groups.mapInArrow(partial(_offer, percent=percent, again=False), "centre long, a long, b long"), "tree")
-    pairs = shelf.put(tree.select("a", "b").distinct(), "pairs")
-    checked = shelf.put(verified(pairs, sets, percent, width), "checked")
-    lost = tree.join(checked.where("not linked"), ["a", "b"]).groupBy("centre").agg(F.collect_list(F.struct("a", "b")).alias("failed"))
-    more = groups.join(lost, "centre").mapInArrow(partial(_offer, percent=percent, again=True), "centre long, a long, b long")
-    rest = shelf.put(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    links = checked.where("linked").select("a", "b")
-    return links.union(shelf.put(verified(rest, sets, percent, width), "rechecked").where("linked").select("a", "b"))
+        dealt.join(sets.select("name", "n", "sketch"), "name").groupBy("centre", "block")
+        .agg(F.collect_list(F.struct("name", "n", "sketch", "part")).alias("members"))
+    )
+    groups = shelf.put(groups, f"groups{step}")
+    tree = shelf.put(groups.mapInArrow(partial(_offer, percent=percent, again=False), "centre long, block long, a long, b long"), f"tree{step}")
+    pairs = shelf.put(tree.select("a", "b").distinct(), f"pairs{step}")
+    checked = shelf.put(verified(pairs, sets, percent, width), f"checked{step}")
+    lost = tree.join(checked.where("not linked"), ["a", "b"]).groupBy("centre", "block").agg(F.collect_list(F.struct("a", "b")).alias("failed"))
+    more = groups.join(lost, ["centre", "block"]).mapInArrow(partial(_offer, percent=percent, again=True), "centre long, block long, a long, b long")
+    rest = shelf.put(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"rest{step}")
+    again = shelf.put(verified(rest, sets, percent, width), f"rechecked{step}")
+    shelf.drop(f"groups{step}", f"tree{step}", f"pairs{step}", f"rest{step}")
+    return checked.where("linked").select("a", "b").union(again.where("linked").select("a", "b"))
+
+
+def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width: int, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) between names of sets that connect all that is linked."""
+    spark, key = ties.sparkSession, ["centre", "block", "name", "part"]
+    members = _blocks(ties.union(ties.select("centre", F.col("centre").alias("name")).distinct()), block).withColumn("part", F.col("name"))
+    own = F.when(F.col("blocks") <= 2, F.lit(0)).otherwise(F.col("mine"))
+    links = _compared(shelf, members.withColumn("block", own.cast("long")).select(*key), sets, percent, width, "1")
+    large = shelf.put(members.where("blocks > 2").select("centre", "name"), "large")
+    if large.isEmpty():
+        return links
+
+    def parted(links: DataFrame, step: str) -> DataFrame:
+        found = connected(links, Shelf(spark, "jaccard-parts"))
+        rows = large.join(found, large.name == found.node, "left").select("centre", large.name, F.coalesce("root", large.name).alias("part"))
+        return shelf.put(rows, f"parts{step}")
+
+    leaders = _blocks(parted(links, "1").groupBy("centre", "part").agg(F.min("name").alias("name")), block)
+    dealt = leaders.withColumn("block", F.explode(_all_pairs().cast("array<bigint>"))).select(*key)
+    links = links.union(_compared(shelf, dealt, sets, percent, width, "2"))
+    # Whatever is still apart: members outside their centre's largest part meet everything there, blocks of like parts don't.
+    parts = parted(links, "2")
+    sizes = parts.groupBy("centre", "part").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("centre").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main")).where("`all` > in_main")
+    placed = parts.join(most, "centre").withColumn("outer", F.col("part") != F.col("main"))
+    inner_blocks, outer_blocks = F.ceil(F.col("in_main") / block).cast("int"), F.ceil((F.col("all") - F.col("in_main")) / block).cast("int")
+    placed = placed.withColumns({"inners": inner_blocks, "blocks": outer_blocks}).withColumn("mine", F.pmod(F.xxhash64("name"), F.when(F.col("outer"), F.col("blocks")).otherwise(F.col("inners"))).cast("int"))
+    # Names of meetings: below blocks^2 those of two outer blocks, from there on those of an outer and an inner one.
+    meeting = lambda outer, inner: F.col("blocks") * F.col("blocks") + outer * F.col("inners") + inner
+    with_inner = F.transform(F.sequence(F.lit(0), F.col("inners") - 1), lambda i: meeting(F.col("mine"), i))
+    with_outer = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: meeting(o, F.col("mine")))
+    meets = F.when(F.col("outer"), F.concat(_all_pairs(), with_inner)).otherwise(with_outer)
+    last = placed.withColumn("block", F.explode(meets.cast("array<bigint>"))).select(*key)
+    return links.union(_compared(shelf, last, sets, percent, width, "3"))
 
 
 def near_duplicates_sql(percent: int = 80, width: int = 5) -> str:

@@ -118,8 +118,9 @@ def test_jaccard(spark):
     assert got == components(rows)
 
 
-def test_jaccard_of_a_family(spark):
-    """Many copies with random edits of one text, near the threshold: no link may be lost."""
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard_of_a_family(spark, block):
+    """Many copies with random edits of one text, near the threshold: no link may be lost, in however many blocks it is compared."""
     rng = random.Random(5)
     base = prose(rng, 150, 5000).split()
     rows = []
@@ -129,10 +130,27 @@ def test_jaccard_of_a_family(spark):
             t[rng.randrange(len(t))] = "e%d" % rng.randint(0, 10**6)
         rows.append((i, " ".join(t)))
     rng.shuffle(rows)
-    got = collections.Counter(map(tuple, jaccard.near_duplicates(table(spark, rows)).collect()))
+    got = collections.Counter(map(tuple, jaccard.near_duplicates(table(spark, rows), block=block).collect()))
     assert got == components(rows)
 
 
+def test_a_connected_family_is_sent_once(spark):
+    """Rows of sketches grow with the family, not with its square."""
+    rng, base = random.Random(6), prose(random.Random(8), 120, 9000).split()
+    sent = []
+    for n in (200, 800):
+        rows = [(i, " ".join([*base[:k], "e%d" % i, *base[k + 1 :]])) for i in range(n) for k in [rng.randrange(120)]]
+        put, seen = jaccard.Shelf.put, []
+        jaccard.Shelf.put = lambda self, df, name: (out := put(self, df, name), seen.append(out.select(F.sum(F.size("members"))).first()[0] or 0) if name.startswith("groups") else None)[0]  # noqa: B023
+        try:
+            found = jaccard.near_duplicates(table(spark, rows), block=20).select("component_id").distinct().count()
+        finally:
+            jaccard.Shelf.put = put
+        assert found == 1
+        sent.append(sum(seen))
+    assert sent[1] < 8 * sent[0]
+
+
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=80), st.lists(st.integers(0, 300), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_sketches_bound_the_difference(members, flips):
