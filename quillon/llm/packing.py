@@ -74,7 +74,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens:
     whole = lambda xs: F.expr(f"cast(array({', '.join(map(str, xs))}) as array<bigint>)")
     bucket = F.size(F.filter(whole(ends), lambda e: e < F.col("n_tokens")))
     placed = rows.withColumn("bucket", bucket).withColumn("bucket_tokens", F.get(whole(ends), F.col("bucket")))
-    placed = placed.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.get(whole(shares), F.col("bucket"))))
+    # Rows of one id, or of none, are spread too: by their place in the task that reads them, which decides nothing but the share.
+    spread = F.xxhash64("doc_id", F.floor(F.monotonically_increasing_id() / 64))
+    placed = placed.withColumn("share", F.pmod(spread, F.get(whole(shares), F.col("bucket"))))
     placed = placed.withColumn("batch_docs", F.greatest(F.lit(1).cast("long"), F.expr(f"{budget}L div greatest(1L, bucket_tokens)")))
     line = F.row_number().over(Window.partitionBy("bucket", "share").orderBy("n_tokens", "doc_id")) - 1
     return placed.withColumn("line", line.cast("long")).select(

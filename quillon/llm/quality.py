@@ -1,8 +1,9 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote on a document: for one of two questions, quality and toxicity, each says yes, no or nothing.
-Expectation-maximisation over a bounded sample estimates every labeller's accuracy from how the votes agree (a naive-Bayes label
-model), and its posteriors are the training labels of a hashed linear scorer. The scorer alone judges the corpus, in one pass.
+Expectation-maximisation estimates every labeller's accuracy from how the votes of all documents agree (a naive-Bayes label
+model; votes are few enough to be counted by pattern, so the driver sees a bounded table whatever the corpus). Posteriors are the
+training labels of a hashed linear scorer, fitted on a bounded sample. The scorer alone judges the corpus, in one pass.
 
 Given labels, where there are any, are one more labeller, no truth: their accuracy is estimated like that of the others.
 """
@@ -18,17 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Shelf
 from .text import Chunk, U, Words, chunks, lower_running, mix, span_hash, words
 
-SAMPLE = 8000  # labelled rows that the models are fitted on, at most
+SAMPLE = 8000  # rows that the scorers are fitted on, at most
 SLOTS = 1 << 18
 PREFIXES = (5, 7)  # a word counts by itself and by its first letters
 ROUNDS = 60
 NOTHING = 2
 SIGNIFICANT = 4.0  # standard deviations from chance at which a slot is used
 
-# Insults that the toxicity labeller knows.
-INSULTS = "clown disgusting dumb idiot idiots loser losers moron morons pathetic scum scumbag stupid trash worthless".split()
+# Common English words of insult and abuse.
+INSULTS = (
+    "arse ass asshole bastard bitch blockhead bonehead bozo brainless bullshit clown clowns coward cowards crap creep cretin crook deadbeat degenerate despicable dimwit dirtbag "
+    "disgrace disgusting dolt dope dork douchebag dumb dumbass dunce dunderhead fool fools fraud freak freaks fuck fucking garbage goon halfwit hateful hypocrite idiot idiotic idiots ignoramus "
+    "imbecile imbeciles jackass jerk jerks liar liars loser losers lowlife lunatic maggot moron moronic morons nincompoop nitwit numbskull oaf parasite pathetic pig pigs prick psycho "
+    "repulsive retard retarded scoundrel scum scumbag shit shithead shameful simpleton sleazy slob slut snake stupid stupidity sucker swine thug toad trash troll twat twit "
+    "ugly vermin vile weasel weirdo whore wimp worthless wretch"
+).split()
 # Frequent words of English, and of German, French and Spanish; prose holds many of them.
 ENGLISH = "the of and to is it that for on with as was by at from this be are or".split()
 FREQUENT = (
@@ -145,20 +153,34 @@ _ENGLISH = _hash_of(" ".join(ENGLISH))
 _INSULTS = _hash_of(" ".join(INSULTS))
 
 
-def label_model(vote: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior P(yes) of each row, and each labeller's P(vote | class), by expectation-maximisation from the majority vote."""
+@dataclass
+class Labels:
+    """A fitted label model: P(yes), and P(vote | class) of each labeller."""
+
+    prior: np.ndarray
+    share: np.ndarray
+
+    def posterior(self, vote: np.ndarray) -> np.ndarray:
+        """P(yes) of each row of votes."""
+        said = np.stack([vote == 0, vote == 1], 2).astype(float)
+        log = np.log(self.prior) + np.einsum("nlv,lcv->nc", said, np.log(self.share))
+        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+
+
+def label_model(vote: np.ndarray, times: np.ndarray | None = None, rounds: int = ROUNDS) -> Labels:
+    """Expectation-maximisation from the majority vote; `times` is how many documents voted like each row. Rows without a vote say nothing."""
+    times = np.ones(len(vote)) if times is None else times.astype(float)
     said = np.stack([vote == 0, vote == 1], 2).astype(float)  # row, labeller, vote
     count = said.sum(1)
+    times = times * (count.sum(1) > 0)
     p = (count[:, 1] + 0.5) / (count.sum(1) + 1)
-    share = np.full((vote.shape[1], 2, 2), 0.5)
-    for _ in range(rounds):
-        by = np.stack([1 - p, p], 1)
+    model = Labels(np.full(2, 0.5), np.full((vote.shape[1], 2, 2), 0.5))
+    for _ in range(rounds if times.sum() else 0):
+        by = np.stack([1 - p, p], 1) * times[:, None]
         share = np.einsum("nc,nlv->lcv", by, said) + np.array([[2.0, 0.5], [0.5, 2.0]])  # a prior for better than chance
-        share /= share.sum(2, keepdims=True)
-        prior = np.clip(by.mean(0) if len(by) else np.full(2, 0.5), 0.01, 0.99)
-        log = np.log(prior) + np.einsum("nlv,lcv->nc", said, np.log(share))
-        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-    return p, share
+        model = Labels(np.clip(by.sum(0) / times.sum(), 0.01, 0.99), share / share.sum(2, keepdims=True))
+        p = model.posterior(vote)
+    return model
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 500, decay: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -173,18 +195,22 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 500, de
         yes[slots] += p
     prior = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
     chance = (yes - held * prior) / np.sqrt(held * prior * (1 - prior) + 1)
-    good = (np.abs(chance) > SIGNIFICANT) & (held >= 3)
-    kept = [slots[good[slots]] for slots in rows]
+    used = np.flatnonzero((np.abs(chance) > SIGNIFICANT) & (held >= 3))
+    place = np.full(SLOTS, -1)
+    place[used] = np.arange(len(used))
+    kept = [x[x >= 0] for x in (place[slots] for slots in rows)]
     row, slot = np.repeat(np.arange(n), [len(k) for k in kept]), np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64)
-    w, g2, bias = np.zeros(SLOTS), np.full(SLOTS, 1e-10), float(np.log(prior / (1 - prior)))
+    w, g2, bias = np.zeros(len(used)), np.full(len(used), 1e-10), float(np.log(prior / (1 - prior)))
     for _ in range(rounds if n else 0):
         z = np.bincount(row, w[slot], minlength=n)[:n] + bias
         miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        grad = np.bincount(slot, miss[row], minlength=SLOTS) + decay / n * w
+        grad = np.bincount(slot, miss[row], minlength=len(used)) + decay / n * w
         g2 += grad**2
         w -= 0.3 * grad / np.sqrt(g2)
         bias -= 0.5 * miss.sum()
-    return w, bias
+    out = np.zeros(SLOTS)
+    out[used] = w
+    return out, bias
 
 
 @dataclass
@@ -194,42 +220,70 @@ class Model:
     accuracies: dict[str, np.ndarray]
 
 
+def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, votes), and among them the labels' places, which are filled later."""
+    for batch in batches:
+        out = [np.concatenate([q, t], 1).astype(np.uint8) for q, t in map(votes, chunks(batch.column("text")))]
+        rows = np.concatenate(out) if out else np.zeros((0, 7), np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "votes"])
+
+
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for c in chunks(batch.column("text")):
+            doc, slot = features(c)
+            cut = np.searchsorted(doc, np.arange(c.last - c.first + 1))
+            out += [slot[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("q"), batch.column("t"), batch.column("votes"), pa.array(out, pa.binary())], ["doc_id", "q", "t", "votes", "slots"])
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit both scorers on at most `sample` documents, those with the least hashes of their ids: labelled ones first, then others.
+    """Fit the label model on the votes of all rows, and both scorers on at most `sample` rows.
 
-    A document on which no labeller says anything about a question isn't used for that question's scorer.
+    The sample holds the documents with the least hashes of their ids, those with a given label first; where rows repeat a doc_id one
+    of them, that with the least text, is in it. Rows without doc_id vote, but aren't sampled. A document on which no labeller
+    says anything about a question isn't used for that question. Labels of documents that aren't in the table count for nothing.
     """
+    spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # noqa: E731  bounded by `sample`
-    given = {r[0]: (r[1], r[2]) for r in least(labels.groupBy("doc_id").agg(F.max("quality"), F.max("toxic")))} if labels is not None else {}
-    for r in least(cols.select("doc_id").where("doc_id is not null").distinct()):
-        if len(given) < sample:
-            given.setdefault(r[0], (None, None))
-    small = docs.sparkSession.createDataFrame([(i, *v) for i, v in given.items()] or [(None, None, None)], "doc_id long, quality int, toxic int")
-    picked = cols.join(F.broadcast(small), "doc_id")
-
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, q, t = (batch.column(c).to_pylist() for c in ("doc_id", "quality", "toxic"))
-            out = []
-            for c in chunks(batch.column("text")):
-                doc, slot = features(c)
-                quality, toxic = votes(c)
-                cut = np.searchsorted(doc, np.arange(c.last - c.first + 1))
-                for i in range(c.last - c.first):
-                    k, a, b = c.first + i, cut[i], cut[i + 1]
-                    given = [NOTHING if x is None else int(x > 0) for x in (q[k], t[k])]
-                    out.append((ids[k], slot[a:b].astype("<i4").tobytes(), bytes([*quality[i].tolist(), given[0], *toxic[i].tolist(), given[1]])))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["doc_id", "slots", "votes"])
-
-    rows = sorted(picked.mapInArrow(prepare, "doc_id long, slots binary, votes binary").collect(), key=lambda r: (r[0] is None, r[0], bytes(r[1])))
-    vote = np.array([list(r["votes"]) for r in rows], np.int64).reshape(len(rows), 9)
+    shelf = Shelf(spark, "quality")
+    voted = cols.mapInArrow(_votes_of, "doc_id long, votes binary")
+    none = F.lit(None).cast("int")
+    if labels is not None:
+        given = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("q"), F.max("toxic").cast("int").alias("t"))
+        voted = voted.join(given, "doc_id", "left")
+    else:
+        voted = voted.withColumns({"q": none, "t": none})
+    voted = shelf.put(voted.select("doc_id", "q", "t", "votes"), "votes")
+    patterns = voted.groupBy("q", "t", "votes").agg(F.count("*").alias("n")).collect()  # 3^9 at most
+    said = lambda x: NOTHING if x is None else int(x > 0)
+    full = lambda r: [*r["votes"][:5], said(r["q"]), *r["votes"][5:], said(r["t"])]
+    counted = sorted((full(r), r["n"]) for r in patterns)
+    vote, times = np.array([v for v, _ in counted], np.int64).reshape(-1, 9), np.array([n for _, n in counted], np.int64)
+    good, bad = label_model(vote[:, :6], times), label_model(vote[:, 6:], times)
+    first = F.min(F.struct(F.when(F.col("q").isNull() & F.col("t").isNull(), 1).otherwise(0).alias("bare"), F.xxhash64("doc_id").alias("h")))
+    least = voted.where("doc_id is not null").groupBy("doc_id").agg(first.alias("o")).orderBy("o.bare", "o.h", "doc_id").limit(sample).select("doc_id")
+    picked = cols.join(F.broadcast(least), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    mine = voted.join(F.broadcast(least), "doc_id").groupBy("doc_id").agg(F.max("q").alias("q"), F.max("t").alias("t"))
+    rows = picked.join(mine, "doc_id").mapInArrow(_votes_again, "doc_id long, text string, q int, t int, votes binary")
+    rows = sorted(rows.mapInArrow(_features_of, "doc_id long, q int, t int, votes binary, slots binary").collect(), key=lambda r: r["doc_id"])
+    vote = np.array([full(r) for r in rows], np.int64).reshape(len(rows), 9)
     parts = [np.frombuffer(r["slots"], "<i4") for r in rows]
-    good, by_quality = label_model(vote[:, :6])
-    bad, by_toxic = label_model(vote[:, 6:])
-    said = [np.flatnonzero((v != NOTHING).any(1)) for v in (vote[:, :6], vote[:, 6:])]
-    return Model(*(fit_linear([parts[i] for i in at], p[at]) for at, p in zip(said, (good, bad), strict=True)), {"quality": by_quality, "toxic": by_toxic})
+    fitted = []
+    for model, v in ((good, vote[:, :6]), (bad, vote[:, 6:])):
+        at = np.flatnonzero((v != NOTHING).any(1))
+        fitted.append(fit_linear([parts[i] for i in at], model.posterior(v[at])))
+    shelf.drop("votes")
+    return Model(*fitted, {"quality": good.share, "toxic": bad.share})
+
+
+def _votes_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample's votes, of the very texts that are fitted on."""
+    for batch in batches:
+        pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+        (got,) = _votes_of(iter([pair]))
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "text", "q", "t")] + [got.column("votes")], ["doc_id", "text", "q", "t", "votes"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model, text_col: str) -> Iterator[pa.RecordBatch]:

@@ -248,6 +248,13 @@ def test_packing_is_optimal():
         assert sum(min(e for e in ends if e >= x) - x for x in ls) == best(0, k) and len(ends) <= k
 
 
+def test_packing_spreads_rows_of_one_id(spark):
+    rows = [(None, "a b c")] * 400 + [(5, "a b c d")] * 400
+    out = packing.pack(table(spark, rows).repartition(4), share=100, buckets=2).collect()
+    per = collections.Counter((r.bucket, r.share) for r in out)
+    assert len(out) == 800 and max(per.values()) <= 300
+
+
 def test_packing_rows(spark):
     rows = corpus()
     out = packing.pack(table(spark, rows), budget=500, share=10).collect()
@@ -289,15 +296,27 @@ def test_urls(spark):
     }
 
 
-def test_url_model_holds_out():
+def test_url_model_holds_out(spark):
     """Hosts that the labelled table doesn't hold."""
     import itertools
 
     model = urls.train()
     score = lambda u: sum(model.weights[s] for s in urls._slots(*urls._parts(u))) + model.bias * len(urls._slots(*urls._parts(u))) ** 0.5
-    bad = ["http://casino-pills.example.com/en/1", "https://free-casino.example.org/fr/2", "http://spam-pills.example.com/de/3"]
-    good = ["https://ththion.example.com/en/1", "http://archive.example.org/en/22", "https://blog.kitchen.example.com/fr/9"]
+    bad = ["http://casino-pills.example.com/en/1", "https://free-casino.example.org/fr/2", "http://spam-pills.example.com/de/3", "https://hot-porn-movies.example.net/", "http://ads-track.example.com/en/9"]
+    good = ["https://ththion.example.com/en/1", "http://archive.example.org/en/22", "https://blog.kitchen.example.com/fr/9", "http://m.theher.example.org/en/25", "https://www.tidewater.example.net/es/4"]
     assert all(score(b) > score(g) for b, g in itertools.product(bad, good))
+    assert all(score(g) < 0 for g in good)
+    held = {urls._parts(u)[0] for u, _ in urls.LABELLED}
+    pages = [r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    assert held.isdisjoint(urls._parts(u)[0] for u in pages)
+
+
+def test_urls_odd_rows(spark):
+    rows = [(None, None, "a", 1), (1, "http://x.net/", "b", 2), (1, "http://x.net/", "b", 2), (2, "http://" + "y" * 200_000 + ".org/fr/", None, None), (3, "", "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, score int")
+    got = urls.judge(pages).collect()
+    assert sorted(((r.page_id or 0), len(r.host), r.rule or "") for r in got) == [(0, 0, ""), (1, 5, "net/"), (1, 5, "net/"), (2, 200_004, "org/fr/"), (3, 0, "")]
+    assert urls.judge(pages.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -357,6 +376,56 @@ def test_contamination(spark):
     assert contamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def plain_fingerprints(texts, low, high):
+    """Per text the hash of its kept terms in each subset of the lexicon, or None where it has none there."""
+    terms = [set(WORD.findall(lower(t))) for t in texts]
+    held = collections.Counter(w for x in terms for w in x)
+    hashed = lambda w: next(text.chunks(pa.array([w])))
+    name = {w: int(text.words(hashed(w), lower=True).hash[0]) for w in held}
+    band = {w for w, n in held.items() if low * len(texts) <= n <= max(1.0, high * len(texts))}
+
+    def mixed(x):
+        return int(text.mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+    def of(t):
+        mine = set(WORD.findall(lower(t)))
+        for w in mine:
+            name.setdefault(w, int(text.words(hashed(w), lower=True).hash[0]))
+        kept = (mine & band) or mine
+        out = []
+        for i, rate in enumerate(imatch.RATES):
+            chosen = [name[w] for w in kept if mixed(name[w] ^ mixed(i + 1)) % rate == 0]
+            out.append(mixed(sum(mixed(x + 1) for x in chosen)) >> 32 if chosen else None)
+        return out
+
+    return of
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    """All fingerprints and likenesses of the smallest table."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    of = plain_fingerprints([t for _, t in rows], imatch.LOW, imatch.HIGH)
+    line = sorted(rows, key=lambda r: -r[0])
+    digits = lambda f: "".join(f"{x or 0:08x}" for x in f)
+
+    def like(a, b):
+        either = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    got = {r.doc_id: r for r in QUERIES["op10_imatch"](spark, SMALL).collect()}
+    for k, (i, t) in enumerate(line):
+        following = line[(k + 1) % len(line)][1]
+        a, b, c = of(t), of(imatch.edited(t, following)), of(following)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (digits(a), digits(b))
+        assert abs(got[i].near_edited - like(a, b)) < 1e-9 and abs(got[i].near_next - like(a, c)) < 1e-9
+
+
+def test_short_different_texts_differ(spark):
+    rows = [(i, "w%d" % i) for i in range(600)] + [(1000, None), (1001, "")]
+    got = {r.doc_id: r for r in imatch.compare_neighbours(table(spark, rows)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 601 and all(got[i].near_next < 1 for i in range(1, 600))
+
+
 def test_fingerprints(spark):
     rows = corpus()
     out = imatch.compare_neighbours(table(spark, rows)).collect()
@@ -414,23 +483,52 @@ def test_likeness_by_brute_force(spark, low):
     assert all(len(sets) == 1 for sets in prints.values())  # different kept terms never share a fingerprint
 
 
-def test_quality_on_held_out_labels(spark):
+@pytest.mark.parametrize(("given", "quality_share", "toxic_share"), [(True, 0.98, 0.96), (False, 0.9, 0.9)])
+def test_quality_on_held_out_labels(spark, given, quality_share, toxic_share):
+    """With half of the labels as one more labeller, and without any label."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0") if given else None)
     rows = quality.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    assert np.mean([(r.quality_score >= 0.5) == bool(r.quality) for r in rows]) > 0.98
-    assert np.mean([(r.toxic_score >= 0.5) == bool(r.toxic) for r in rows]) > 0.96
-    odd = quality.judge(table(spark, [(1, None), (2, ""), (None, "### $$$ %%%")]), model, carry=["doc_id", "keep"])
-    assert odd.columns == ["doc_id", "keep_", "quality_score", "toxic_score", "keep"] and odd.count() == 3
+    assert np.mean([(r.quality_score >= 0.5) == bool(r.quality) for r in rows]) > quality_share
+    assert np.mean([(r.toxic_score >= 0.5) == bool(r.toxic) for r in rows]) > toxic_share
+    odd = quality.judge(table(spark, [(1, None), (2, ""), (None, "### $$$ %%%"), (1, "word " * 300_000)]), model, carry=["doc_id", "keep"])
+    assert odd.columns == ["doc_id", "keep_", "quality_score", "toxic_score", "keep"] and odd.count() == 4
+
+
+def test_quality_sample_is_bounded(spark):
+    """Rows that repeat an id are one row of the sample; labels of other documents take no place; the order of rows doesn't matter."""
+    rng = random.Random(2)
+    rows = [(7, prose(rng, 40)) for _ in range(300)] + [(i, prose(rng, 30)) for i in range(10)] + [(None, "x y")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (7, 1, 1), (7, 0, 0), (999, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    real, seen = quality.fit_linear, []
+    quality.fit_linear = lambda parts, target, **k: (seen.append(len(parts)), real(parts, target, **k))[1]
+    try:
+        models = [quality.fit(table(spark, r), labels, sample=4) for r in (rows, rows[::-1])]
+    finally:
+        quality.fit_linear = real
+    assert max(seen) <= 4
+    assert np.array_equal(models[0].quality[0], models[1].quality[0]) and models[0].toxic[1] == models[1].toxic[1]
+
+
+def test_quality_of_plain_english(spark):
+    """Sentences that share no word list with the tables: abuse and symbols go, plain prose stays."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    good = "The museum on the hill is open to visitors from nine in the morning, and there is a small garden behind it that was planted by the founder of the town. " * 3
+    junk = "$$$ WIN ### NOW *** CLICK %%% HERE &&& FREE $$$ " * 12
+    got = {r.doc_id: r for r in quality.judge(table(spark, [(1, good), (2, junk)]), model).collect()}
+    assert got[1].keep and got[1].quality_score > got[2].quality_score
 
 
 def test_label_model_finds_the_bad_labeller():
     rng = np.random.default_rng(0)
     truth = rng.random(2000) < 0.4
     votes = np.stack([np.where(rng.random(2000) < a, truth, ~truth).astype(int) for a in (0.95, 0.9, 0.85, 0.55)], 1)
-    p, share = quality.label_model(votes)
-    assert ((p > 0.5) == truth).mean() > 0.95
-    assert share[0, 1, 1] > share[3, 1, 1]
+    model = quality.label_model(votes)
+    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
+    assert model.share[0, 1, 1] > model.share[3, 1, 1]
+    rows, times = np.unique(votes, axis=0, return_counts=True)
+    assert np.allclose(quality.label_model(rows, times).share, model.share)
 
 
 @pytest.mark.parametrize(
