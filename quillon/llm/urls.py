@@ -119,7 +119,7 @@ def score(host: Column, path: Column, model: Model) -> Column:
     The sign is the logistic regression's decision; the sum of whole numbers is exact.
     """
     text = F.concat(F.lit("^"), host, path, F.lit("$"))
-    weights = F.expr(f"array({','.join(map(str, model.weights))})")
+    weights = F.split(F.lit(",".join(map(str, model.weights))), ",").cast("array<int>")  # folded into one literal
 
     def of_length(n: int) -> Column:
         starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
