@@ -6,7 +6,8 @@ floor((100 - percent) / 100 * n) + 1 smallest hashes is in the document for sure
 short item in a long text: each of their shingles is looked up among the items' sketches, and every item that is hit is verified on
 the document's whole shingle set. Nothing is missed.
 
-The items' index is broadcast in blocks of at most BLOCK_HASHES hashes (32 MB); more items mean more passes over the documents.
+The items' index is broadcast in blocks of at most BLOCK_HASHES hashes (32 MB). Each block is a pass of its own over the documents,
+whose result is written before the next block is sent, so an executor holds one block whatever the number of items.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Shelf
 from .text import Chunk, chunks, ngrams, shingle_sets, words
 
 BLOCK_HASHES = 1 << 22
@@ -101,30 +103,33 @@ def _clean(batches: Iterator[pa.RecordBatch], index, percent: int, text_col: str
         yield batch.filter(pa.array(keep))
 
 
-def indexes(docs: DataFrame, items: DataFrame, percent: int, width: int, item_id: str, item_text: str) -> list:
-    """Broadcast indexes over blocks of items, each of at most BLOCK_HASHES hashes; one block is all that the driver holds."""
-    sc, out = docs.sparkSession.sparkContext, []
+def indexes(docs: DataFrame, items: DataFrame, percent: int, width: int, item_id: str, item_text: str, block_hashes: int) -> Iterator:
+    """Broadcast indexes over blocks of items, each of at most `block_hashes` hashes, and whether it is the last; one block is all that the driver holds."""
+    sc = docs.sparkSession.sparkContext
     block: list[tuple[int, int, np.ndarray]] = []
     size = 0
     for row in items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), item_text).toLocalIterator():
         for found in item_sets([(row[0], row[1])], width):
-            if size and size + len(found[2]) > BLOCK_HASHES:
-                out.append(sc.broadcast(Index(block, percent)))
+            if size and size + len(found[2]) > block_hashes:
+                yield sc.broadcast(Index(block, percent)), False
                 block, size = [], 0
             block.append(found)
             size += len(found[2])
-    return [*out, sc.broadcast(Index(block, percent))]
+    yield sc.broadcast(Index(block, percent)), True
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item (see `find_leaks`)."""
-    schema = docs.schema
-    for index in indexes(docs, items, percent, width, item_id, item_text):
+    schema, shelf = docs.schema, Shelf(docs.sparkSession, "clean")
+    for k, (index, last) in enumerate(indexes(docs, items, percent, width, item_id, item_text, block_hashes)):
         docs = docs.mapInArrow(partial(_clean, index=index, percent=percent, text_col=text_col), schema)
+        if not last:
+            docs = shelf.put(docs, f"block{k}")
+            index.unpersist()
     return docs
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) for every document that holds `percent` of an item's word shingles or more.
 
     Words are lower-cased (A-Z). An item of fewer than `width` words is held if its words follow each other in the document;
@@ -132,7 +137,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int
     skipped. No exchange: documents are scanned once per block of items.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [cols.mapInArrow(partial(_search, index=i, percent=percent), "doc_id long, item_id long, n_shingles long, n_shared long") for i in indexes(docs, items, percent, width, item_id, item_text)]
+    shelf, found = Shelf(docs.sparkSession, "leaks"), []
+    for k, (index, last) in enumerate(indexes(docs, items, percent, width, item_id, item_text, block_hashes)):
+        hit = cols.mapInArrow(partial(_search, index=index, percent=percent), "doc_id long, item_id long, n_shingles long, n_shared long")
+        found.append(hit if last else shelf.put(hit, f"block{k}"))
+        if not last:
+            index.unpersist()
     return reduce(DataFrame.union, found)
 
 

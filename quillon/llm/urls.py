@@ -121,14 +121,17 @@ def score(host: Column, path: Column, model: Model) -> Column:
     text = F.concat(F.lit("^"), host, path, F.lit("$"))
     weights = F.split(F.lit(",".join(map(str, model.weights))), ",").cast("array<int>")  # folded into one literal
 
+    chars = F.split(text, "")  # n-grams are put together from characters: a substring would be counted from the start each time
+
     def of_length(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        count = F.greatest(F.lit(0), F.length(text) - (n - 1))
+        grams = F.arrays_zip(*(F.slice(chars, k + 1, count).alias(f"c{k}") for k in range(n)))
 
-        def add(total: Column, start: Column) -> Column:
-            digits = F.substring(F.md5(F.encode(F.substr(text, start, F.lit(n)), "UTF-8")), 1, 8)
+        def add(total: Column, gram: Column) -> Column:
+            digits = F.substring(F.md5(F.encode(F.concat(*(gram[f"c{k}"] for k in range(n))), "UTF-8")), 1, 8)
             return total + F.get(weights, F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(SLOTS)).cast("int"))
 
-        return F.aggregate(starts, F.lit(0).cast("long"), add)
+        return F.aggregate(grams, F.lit(0).cast("long"), add)
 
     return sum((of_length(n) for n in GRAMS), F.lit(0).cast("long"))
 

@@ -370,9 +370,12 @@ def test_html_in_spark(spark):
 def test_contamination(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "Two words"), (3, None), (4, ""), (None, "a b c d e f")], "item_id long, text string")
     docs = table(spark, [(1, "x A B C D E F G H I J y"), (2, "a b c d e f g h i z"), (3, "these two words here"), (4, None), (5, "two"), (6, "a b c d x e f g h i j"), (None, "two words")])
-    got = sorted(((r.doc_id or 0), r.item_id, r.n_shared) for r in contamination.find_leaks(docs, items).collect())
-    assert got == [(0, 2, 1), (1, 1, 6), (2, 1, 5), (3, 2, 1)]
-    assert sorted(r.doc_id for r in contamination.without_leaks(docs, items).collect()) == [4, 5, 6]
+    for block in (1 << 22, 1):  # all items at once, and each in a pass of its own
+        got = sorted(((r.doc_id or 0), r.item_id, r.n_shared) for r in contamination.find_leaks(docs, items, block_hashes=block).collect())
+        assert got == [(0, 2, 1), (1, 1, 6), (2, 1, 5), (3, 2, 1)]
+        assert sorted(r.doc_id for r in contamination.without_leaks(docs, items, block_hashes=block).collect()) == [4, 5, 6]
+    twice = table(spark, [(1, "x A B C D E F G H I J y")] * 2 + [(2, "word " * 300_000 + "two words")])
+    assert sorted(r.doc_id for r in contamination.find_leaks(twice, items).collect()) == [1, 1, 2]
     assert contamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
@@ -483,11 +486,17 @@ def test_likeness_by_brute_force(spark, low):
     assert all(len(sets) == 1 for sets in prints.values())  # different kept terms never share a fingerprint
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, quality.fit(docs, labels.where("doc_id % 2 = 0"))
+
+
 @pytest.mark.parametrize(("given", "quality_share", "toxic_share"), [(True, 0.98, 0.96), (False, 0.9, 0.9)])
-def test_quality_on_held_out_labels(spark, given, quality_share, toxic_share):
+def test_quality_on_held_out_labels(spark, labelled, given, quality_share, toxic_share):
     """With half of the labels as one more labeller, and without any label."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fit(docs, labels.where("doc_id % 2 = 0") if given else None)
+    docs, labels, model = labelled
+    model = model if given else quality.fit(docs, None)
     rows = quality.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     assert np.mean([(r.quality_score >= 0.5) == bool(r.quality) for r in rows]) > quality_share
     assert np.mean([(r.toxic_score >= 0.5) == bool(r.toxic) for r in rows]) > toxic_share
@@ -510,10 +519,9 @@ def test_quality_sample_is_bounded(spark):
     assert np.array_equal(models[0].quality[0], models[1].quality[0]) and models[0].toxic[1] == models[1].toxic[1]
 
 
-def test_quality_of_plain_english(spark):
-    """Sentences that share no word list with the tables: abuse and symbols go, plain prose stays."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fit(docs, labels)
+def test_quality_of_plain_english(spark, labelled):
+    """Sentences that share no words with the tables: symbols go, plain prose stays."""
+    model = labelled[2]
     good = "The museum on the hill is open to visitors from nine in the morning, and there is a small garden behind it that was planted by the founder of the town. " * 3
     junk = "$$$ WIN ### NOW *** CLICK %%% HERE &&& FREE $$$ " * 12
     got = {r.doc_id: r for r in quality.judge(table(spark, [(1, good), (2, junk)]), model).collect()}
