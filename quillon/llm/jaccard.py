@@ -39,7 +39,7 @@ DIVISIONS = 5  # divisions of the sketch that a set with many empty parts is tri
 BLOCK = 1024  # sets of one centre that are compared in one task
 LARGE = 1000  # rows of a component whose least id is broadcast
 BROADCAST_PAIRS = 100_000  # pairs whose endpoints are broadcast, about 10 MB; more are joined by exchange
-FLUSH = 1 << 20  # entries that a task gathers before it sends them to their buckets
+FLUSH = 1 << 19  # entries that a task gathers before it sends them to their buckets
 _WORK = 1 << 22  # words of sketches that are compared at once
 
 
@@ -179,13 +179,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(0, d[:, 0], d[:, 1], d[:, 2])
     if not found:
         return
-    key, name = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys, names = zip(*found, strict=True)
     found.clear()
+    key = np.concatenate(keys)
+    del keys
     order = np.argsort(key, kind="stable")
-    key, name = key[order], name[order]
+    key = key[order]
     shared = np.concatenate((key[1:] == key[:-1], [False]))
     shared[1:] |= key[1:] == key[:-1]
-    key, name = key[shared], name[shared]
+    key, order = key[shared], order[shared]
+    name = np.concatenate(names)[order]
+    del names, order, shared
     if not len(key):
         return
     order = np.lexsort((name, key))
@@ -337,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     Rows that repeat a doc_id are rows of their own with that id; where such rows fall in different components, each has
     its own component's least id. A row without doc_id keeps its size and has no component. Other columns aren't read.
     """
-    shelf, n_buckets = Shelf(docs.sparkSession, "jaccard"), buckets(docs.sparkSession)
+    shelf, n_buckets = Shelf(docs.sparkSession, "jaccard"), 2 * buckets(docs.sparkSession)  # a task holds the keys of its bucket
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = texts.where("doc_id is not null")
     entered = named.mapInArrow(partial(_enter, width=width, percent=percent, n_buckets=n_buckets), "bucket int, kind int, a binary, b binary, c binary")
