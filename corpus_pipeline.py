@@ -36,7 +36,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard.near_duplicates(keyed, id_col=KEY).where("n_shingles > 0").groupBy(F.col("doc_id").alias(KEY), "component_id").agg(F.count("*").alias("times"))
     placed = shelf.put(found.join(keyed.select(KEY, "doc_id").distinct(), KEY), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY))[KEY].alias("first")
-    groups = placed.groupBy("component_id").agg(first, F.count("*").alias("n")).where("n > 1")
+    groups = shelf.put(placed.groupBy("component_id").agg(first, F.count("*").alias("n")).where("n > 1").select("component_id", "first"), "groups")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups  # a large group's rows needn't meet
     others = shelf.put(placed.join(groups, "component_id").where(F.col(KEY) != F.col("first")).select(KEY), "others")
     kept = _without(keyed, others)
     repeated = shelf.put(placed.where("times > 1").select(KEY).join(others, KEY, "left_anti"), "repeated")
