@@ -67,21 +67,32 @@ def join_atom_reference(t: Tables) -> DataFrame:
     return D.linked(t("v_paragraphs"))
 
 
-@query("discovery_summary", f"""with l as ({LINKED}), k as (select doc_id, para, cand, count(*) as atoms, bool_and(identifier is not null) as auto, count(*) filter (entry_pos is null) as unmatched from l group by doc_id, para, cand),
+SUMMARY = f"""with l as ({LINKED}), k as (select doc_id, para, cand, count(*) as atoms, bool_and(identifier is not null) as auto, count(*) filter (entry_pos is null) as unmatched from l group by doc_id, para, cand),
   f as (select doc_id, count(*) as candidates, count(*) filter (atoms > 1) as grouped, sum(atoms)::bigint as atoms, count(*) filter (auto) as auto, count(*) filter (not auto) as human, sum(unmatched)::bigint as unmatched_atoms from k group by doc_id),
   d as (select doc_id, count(distinct {COMPACT('atom')}) as distinct_atoms from l group by doc_id),
   e as (select doc_id, count(*) as entries, count(doi) as entries_doi, 0::bigint as entries_isbn, count(*) filter (doi is null and url is not null) as entries_url, count(*) filter (doi is null and url is null) as entries_none from ({REFS}) r group by doc_id)
   select p.doc_id, coalesce(candidates, 0) as candidates, coalesce(grouped, 0) as grouped, coalesce(atoms, 0) as atoms, coalesce(distinct_atoms, 0) as distinct_atoms, coalesce(auto, 0) as auto, coalesce(human, 0) as human, coalesce(unmatched_atoms, 0) as unmatched_atoms,
   coalesce(entries, 0) as entries, coalesce(entries_doi, 0) as entries_doi, coalesce(entries_isbn, 0) as entries_isbn, coalesce(entries_url, 0) as entries_url, coalesce(entries_none, 0) as entries_none
-  from (select distinct doc_id from {{v_paragraphs}}) p left join f on f.doc_id = p.doc_id left join d on d.doc_id = p.doc_id left join e on e.doc_id = p.doc_id""")
+  from (select distinct doc_id from {{v_paragraphs}}) p left join f on f.doc_id = p.doc_id left join d on d.doc_id = p.doc_id left join e on e.doc_id = p.doc_id"""
+
+
+@query("discovery_summary", SUMMARY)
 def discovery_summary(t: Tables) -> DataFrame:
     return D.summary(t("v_paragraphs"))
 
 
-@query("sink_discovery", f"""select doc_id, to_json(list(json_object('para', para, 'cand', cand, 'atom_pos', atom_pos, 'atom', atom, 'kind', coalesce(kind, ''), 'identifier', coalesce(identifier, '')) order by para, cand, atom_pos))::varchar as body from ({LINKED}) l group by doc_id""")
+_MEASURES = ["candidates", "grouped", "atoms", "distinct_atoms", "auto", "human", "unmatched_atoms", "entries", "entries_doi", "entries_isbn", "entries_url", "entries_none"]
+
+
+@query("sink_discovery", f"""select s.doc_id, to_json(json_object({', '.join(f"'{m}', s.{m}" for m in _MEASURES)}))::varchar as summary, coalesce(b.body, '[]') as body from ({SUMMARY}) s left join
+  (select doc_id, to_json(list(json_object('para', para, 'cand', cand, 'atom_pos', atom_pos, 'atom', atom, 'kind', coalesce(kind, ''), 'identifier', coalesce(identifier, '')) order by para, cand, atom_pos))::varchar as body from ({LINKED}) l group by doc_id) b on b.doc_id = s.doc_id""")
 def sink_discovery(t: Tables) -> DataFrame:
+    """A document's discovery as JSON: its measures, and its atoms in order with what they were resolved to."""
+    paragraphs = D.split_once(t("v_paragraphs"))
     row = F.struct("para", "cand", "atom_pos", "atom", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("identifier", F.lit("")).alias("identifier"))
-    return D.linked(t("v_paragraphs")).groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("body"))
+    body = D.linked(paragraphs).groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("body"))
+    summary = D.summary(paragraphs).select("doc_id", F.to_json(F.struct(*_MEASURES)).alias("summary"))
+    return summary.join(body, "doc_id", "left").na.fill("[]", ["body"])
 
 
 @query("discovery_resolvable", f"select doc_id, para, cand, bool_and(identifier is not null) as resolvable from ({LINKED}) l group by doc_id, para, cand")

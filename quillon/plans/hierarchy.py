@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import hierarchy as H
 from ..registry import query
+from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from .reconcile import LEG
 
@@ -93,6 +94,20 @@ def plan_filing(t: Tables) -> DataFrame:
     return rows.select("item_key", "filing")
 
 
+@query("plan_apply_filing", f"""with recursive {BELOW % 'R1'}, f as (select *, 'N' || (page_id % 5) as target, exists (select 1 from below b where list_contains(collections, b.collection_key)) as inside from ({ITEMS}) i
+  where library = 'groups/1' and page_id % 3 <> 0 and not list_contains(collections, 'N' || (page_id % 5)))
+  select item_key, case when inside then 'filed' else 'refused' end as outcome, case when inside then 'unchanged' else 'refused' end as again, array_to_string(case when inside then list_append(collections, target) else collections end, ',') as collections from f""")
+def plan_apply_filing(t: Tables) -> DataFrame:
+    """Rows of a plan that are to be filed edit the item's membership; the same plan against the edited items changes nothing."""
+    held, tree, shelf = items(t), below(t), Shelf(t.spark, "filing")
+    told = H.filing(held, tree, "groups/1", F.concat(F.lit("N"), c("page_id") % 5), c("page_id") % 3 != 0).where("filing = 'file'")
+    plan = shelf.put(told.select("item_key", F.concat(F.lit("N"), c("page_id") % 5).alias("target"), F.lit(False).alias("move"), "version"), "plan")
+    first = shelf.put(H.file_items(plan, held, tree, "R1"), "first")
+    edited = held.join(first.select("item_key", c("collections").alias("edited")), "item_key", "left").withColumn("collections", F.coalesce("edited", "collections")).drop("edited")
+    second = H.file_items(plan, edited, tree, "R1").select("item_key", c("outcome").alias("again"))
+    return first.join(second, "item_key").select("item_key", "outcome", "again", F.array_join("collections", ",").alias("collections"))
+
+
 @query("collection_view", f"""with recursive {BELOW % 'R1'}, i as ({ITEMS}), tree as (select distinct library, item_key from (select library, item_key, unnest(collections) as k from i) x where k in (select collection_key from below)),
   named as (select item_key, string_agg(name, '; ' order by place) as chapters from (select item_key, unnest(collections) as k, unnest(range(len(collections))) as place from i) x join below b on b.collection_key = k group by item_key),
   sigs as (select item_key, library, {LEG} as sig from i), src as (select sig, max(item_key) as cite from sigs where library = 'groups/2' group by sig)

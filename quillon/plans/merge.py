@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import hierarchy as H
 from ..operators import merge as M
 from ..operators import reconcile as R
 from ..registry import query
 from ..sources.shelf import Shelf
 from ..sources.views import Tables
-from .reconcile import pool
 from .scalars import part_items
 
 c = F.col
@@ -130,13 +130,28 @@ def plan_warnings(t: Tables) -> DataFrame:
     return M.plan_rows(entries(t)).select("p_partkey", F.array_join("warnings", "; ").alias("warnings"))
 
 
+def held(t: Tables) -> DataFrame:
+    """What the binding holds when the plan is made: the library's items, and the parts of some brands, some on the source leg, in two collections each."""
+    mine = t("part").where("p_brand like 'Brand#1%'")
+    parts = mine.select(
+        (c("p_partkey") + 10_000_000).alias("pos"), F.concat(F.upper("p_name"), F.lit(".")).alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("isbn"),
+        F.concat(F.lit("http://example.org/"), "p_partkey", F.lit("/")).alias("url"), F.when(c("p_size") < 25, "groups/1").otherwise("groups/2").alias("library"), F.array(F.concat(F.lit("N"), c("p_size") % 5), F.lit("R1")).alias("collections"),
+    )
+    every = t("v_items").select(c("page_id").alias("pos"), "title", "doi", "isbn", "url", "library", F.array("collection_key").alias("collections"))
+    return every.unionByName(parts)
+
+
 @query("plan_build")
 def plan_build(t: Tables) -> DataFrame:
-    """Merged rows that may go in, deduplicated against the pool and against earlier rows of their batch; the others keep their outcome."""
+    """The whole batch: merged rows that may go in are deduplicated against what the binding holds and against earlier rows, the others keep
+    their outcome; a row that is held already says whether it is filed into the plan's collection (N1, in groups/1)."""
     rows = Shelf(t.spark, "plan").put(M.plan_rows(entries(t)).select("p_partkey", "outcome", "merged"), "rows")
     fresh = rows.where("outcome = 'new'").select(c("p_partkey").alias("pos"), C.family_value(c("merged"), "title").alias("title"), F.try_element_at("merged", F.lit("DOI")).alias("doi"), F.try_element_at("merged", F.lit("ISBN")).alias("isbn"), F.try_element_at("merged", F.lit("url")).alias("url"))
-    told = R.in_batch(fresh, pool(t)).select(c("pos").alias("p_partkey"), c("outcome").alias("found"), "match", "in_plan")
-    return rows.join(told, "p_partkey", "left").select("p_partkey", F.coalesce("found", "outcome").alias("outcome"), "match", "in_plan")
+    there = held(t)
+    told = R.in_batch(fresh, there.select("pos", "title", "doi", "isbn", "url")).select(c("pos").alias("p_partkey"), c("outcome").alias("found"), "match", "target", "in_plan")
+    present = told.where("found = 'present' and not in_plan").select("p_partkey", c("target").alias("pos")).join(there.select("pos", "library", "collections"), "pos")
+    filed = H.filing(present, None, "groups/1", F.lit("N1"), F.lit(True)).select("p_partkey", "filing")
+    return rows.join(told, "p_partkey", "left").join(filed, "p_partkey", "left").select("p_partkey", F.coalesce("found", "outcome").alias("outcome"), "match", "target", "in_plan", "filing")
 
 
 @query("gen_entries", "select p_partkey as pos, p_brand as id, case when p_partkey % 8 = 0 then p_name end as hint from {part} union all select o_orderkey + (select max(p_partkey) + 1 from {part}), o_orderpriority, null from {orders}")

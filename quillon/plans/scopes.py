@@ -89,6 +89,9 @@ def sink_ledger(t: Tables) -> DataFrame:
 
 
 OUT = "select event_id, user_id as plan_id, event_type, case event_id % 5 when 0 then 'present' when 1 then 'new' when 2 then 'ambiguous' when 3 then 'unresolved' else 'invalid' end as outcome, event_id % 10 = 0 as in_plan, event_id % 2 = 0 as force from {events}"
+# Present rows that are to be filed into a collection, and rows that the library refuses when they are written.
+FILED = OUT.replace(" from {events}", ", event_id % 3 = 0 as file_into, case when event_id % 7 = 0 then 'refused' end as error from {events}")
+INTO = "outcome = 'present' and file_into and not in_plan"
 WHY = "case when outcome = 'present' and in_plan then 'earlier in this plan' when outcome = 'present' then 'already there' when outcome = 'unresolved' then 'nothing resolved it' when outcome = 'invalid' then 'its metadata does not fit' when outcome = 'ambiguous' and not force then 'not decided' end"
 
 
@@ -105,17 +108,31 @@ def flt_applicable(t: Tables) -> DataFrame:
     return t.sql(OUT).select("event_id", skip_reason(c("outcome"), c("in_plan"), c("force")).alias("why"))
 
 
-@query("plan_counts", f"select plan_id, outcome, count(*) as n from ({OUT}) o group by rollup(plan_id, outcome)")
+def is_filed(outcome: Column, in_plan: Column, file_into: Column) -> Column:
+    """Whether a row edits the membership of an item that was there before the plan."""
+    return (outcome == "present") & file_into & ~in_plan
+
+
+@query("plan_counts", f"select plan_id, outcome, count(*) as n, count(*) filter ({INTO}) as to_file from ({FILED}) o group by rollup(plan_id, outcome)")
 def plan_counts(t: Tables) -> DataFrame:
-    return t.sql(OUT).rollup("plan_id", "outcome").agg(F.count("*").alias("n"))
+    """Rows per outcome, and how many of them are to be filed; with totals by plan and of all."""
+    filed = is_filed(c("outcome"), c("in_plan"), c("file_into"))
+    return t.sql(FILED).rollup(c("plan_id"), c("outcome").alias("result")).agg(F.count("*").alias("n"), F.count_if(filed).alias("to_file")).withColumnRenamed("result", "outcome")
+
+
+_LISTS = ", ".join(f"string_agg(shown, ',' order by event_id) filter (part = '{p}') as {p}" for p in ("added", "filed", "skipped", "failed"))
 
 
-@query("apply_report", f"select plan_id, count(*) filter (why is null) as added, count(why) as skipped, string_agg(event_id::varchar, ',' order by event_id) filter (why is null) as written from (select *, {WHY} as why from ({OUT}) o) x group by plan_id")
+@query("apply_report", f"""select plan_id, {_LISTS} from (select *, event_id || case part when 'skipped' then ': ' || why when 'failed' then ': ' || error else '' end as shown
+  from (select *, case when not ({INTO}) and why is not null then 'skipped' when error is not null then 'failed' when {INTO} then 'filed' else 'added' end as part from (select *, {WHY} as why from ({FILED}) o) x) y) z group by plan_id""")
 def apply_report(t: Tables) -> DataFrame:
-    why = skip_reason(c("outcome"), c("in_plan"), c("force"))
-    rows = t.sql(OUT).withColumn("why", why)
-    ids = F.array_sort(F.collect_list(F.when(c("why").isNull(), c("event_id"))))
-    return rows.groupBy("plan_id").agg(F.count_if(c("why").isNull()).alias("added"), F.count("why").alias("skipped"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("written")).withColumn("written", C.null_if_empty(c("written")))
+    """What became of each plan's rows: added, filed into a collection, skipped and failed, the last two with their reason; null where there is none."""
+    why, filed = skip_reason(c("outcome"), c("in_plan"), c("force")), is_filed(c("outcome"), c("in_plan"), c("file_into"))
+    part = F.when(~filed & why.isNotNull(), "skipped").when(c("error").isNotNull(), "failed").when(filed, "filed").otherwise("added")
+    reason = F.when(part == "skipped", why).when(part == "failed", c("error"))
+    rows = t.sql(FILED).select("plan_id", part.alias("part"), F.struct("event_id", F.concat_ws(": ", c("event_id").cast("string"), reason).alias("shown")).alias("row"))
+    told = lambda p: C.null_if_empty(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("part") == p, c("row")))), lambda r: r["shown"]), ",")).alias(p)
+    return rows.groupBy("plan_id").agg(*(told(p) for p in ("added", "filed", "skipped", "failed")))
 
 
 @query("flt_irrelevant", "select conv_id, turn, case when turn % 4 = 3 then 'irrelevant' when coalesce(trim(text), '') = '' then 'no passages' end as refused from {conversations}")

@@ -69,16 +69,6 @@ def src_plan(t: Tables) -> DataFrame:
     return old.drop("gone").unionByName(new, allowMissingColumns=True)
 
 
-@query("plan_apply", "select user_id as binding_id, count(distinct event_type || ':' || props) as written from {events} where event_id % 5 = 1 group by user_id")
-def plan_apply(t: Tables) -> DataFrame:
-    """Applicable rows are written once per binding and identifier; applying the stored plan again adds nothing."""
-    shelf = Shelf(t.spark, "applied")
-    plan = shelf.put(t("v_ingest_events").where("event_id % 5 = 1").select("binding_id", "identifier"), "plan")
-    first = shelf.put(plan.distinct(), "first")
-    again = shelf.put(plan.join(first, ["binding_id", "identifier"], "left_anti").distinct(), "again")
-    return first.union(again).groupBy("binding_id").agg(F.count("*").alias("written"))
-
-
 PLANNED = OUT.replace(" from {events}", ", event_type || ':' || props as identifier from {events}")
 WRITTEN = "plan_id long, identifier string, call int"
 
@@ -92,6 +82,17 @@ def _apply(plan: DataFrame, path: str, call: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/call={call}")
 
 
+@query("plan_apply", "select user_id as binding_id, count(distinct event_type || ':' || props) as written from {events} group by user_id")
+def plan_apply(t: Tables) -> DataFrame:
+    """A plan that takes all events as new rows: each is written once per binding and identifier, and the stored plan, applied again, adds nothing."""
+    shelf = Shelf(t.spark, "applied")
+    rows = t("v_ingest_events").select(c("binding_id").alias("plan_id"), "identifier", F.lit("new").alias("outcome"), F.lit(False).alias("in_plan"), F.lit(False).alias("force"))
+    plan, path = shelf.put(rows, "plan"), f"{shelf.root}/ledger"
+    for call in (1, 2):
+        _apply(plan, path, call)
+    return t.spark.read.schema(WRITTEN).parquet(path).groupBy(c("plan_id").alias("binding_id")).agg(F.count("*").alias("written"))
+
+
 @query("plan_apply_all", f"select plan_id as binding_id, count(*) as written, 0::bigint as again from (select distinct plan_id, identifier from ({PLANNED}) o where {WHY} is null) x group by plan_id")
 def plan_apply_all(t: Tables) -> DataFrame:
     """All events as a stored plan, applied twice against the ledger that was written: rows of the first call and of the second."""

@@ -138,3 +138,34 @@ def test_ledger_survives_a_replay(spark, tmp_path):
 def test_views_read_alike(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert t("v_citation_items").count() == 6000 and t("v_collections").count() == 181
+
+
+def test_plan_build_as_one_by_one(spark):
+    """The whole batch against a plain loop over the same merged rows: every part has one row, with its outcome, what it met and its filing."""
+    from quillon.functions import columns as C
+    from quillon.plans import merge as plans
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    key, bare = F.try_element_at("merged", F.lit("url")), lambda u: (u or "").split("://")[-1].rstrip("/").lower()
+    words = lambda x: " ".join("".join(ch if ch.isalnum() else " " for ch in (x or "").lower()).split())
+    merged = merge.plan_rows(plans.entries(t)).select("p_partkey", "outcome", C.family_value(F.col("merged"), "title").alias("title"), key.alias("url")).orderBy("p_partkey").collect()
+    there, planned, want = plans.held(t).collect(), [], {}
+    for row in merged:
+        if row.outcome != "new":
+            want[row.p_partkey] = (row.outcome, None, None, None)
+            continue
+        known = [(False, h.pos, words(h.title), bare(h.url), h) for h in there] + planned
+        same = [k for k in known if row.url and k[3] == bare(row.url)]
+        agree = [k for k in same if k[2] == words(row.title)]
+        if agree:
+            plan, _, _, _, h = min(agree, key=lambda k: k[:2])
+            filing = None if plan else "other-leg" if h.library != "groups/1" else "already" if "N1" in h.collections else "file"
+            want[row.p_partkey] = ("present", "url", plan, filing)
+        elif same or any(words(row.title) and k[2] == words(row.title) for k in known):
+            want[row.p_partkey] = ("ambiguous", "same-url" if same else "title", None, None)
+        else:
+            want[row.p_partkey] = ("new", None, None, None)
+            planned.append((True, row.p_partkey, words(row.title), bare(row.url), None))
+    got = {r.p_partkey: (r.outcome, r.match, r.in_plan, r.filing) for r in plans.plan_build(t).collect()}
+    assert got == want
+    assert {w[0] for w in want.values()} >= {"new", "present", "ambiguous", "unresolved", "invalid"} and {w[3] for w in want.values()} >= {"file", "other-leg"}

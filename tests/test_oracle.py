@@ -6,7 +6,7 @@ NAMES = [
     "fold_spaced", "fold_compact", "classify_identifier", "normalise_identifier", "isbn13", "url_key", "titles_agree", "citation_key",
     "chk_duplicate_surrogate", "chk_malformed_doi", "audit_all", "sort_findings", "gen_candidates", "join_atom_reference", "discovery_summary",
     "dedup_ladder", "join_legs", "subtree", "join_target", "file_items", "collection_view", "merge_type_change", "merge_assert", "plan_one",
-    "scope_verdict", "anti_ledger", "sort_recent", "gen_runs", "marker_placement", "gen_citations", "field_invariants", "stream_ledger", "stream_version_guard",
+    "scope_verdict", "anti_ledger", "plan_apply", "plan_apply_filing", "plan_counts", "apply_report", "sink_discovery", "sort_recent", "gen_runs", "marker_placement", "gen_citations", "field_invariants", "stream_ledger", "stream_version_guard",
 ]
 
 
