@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import automata, chat, contamination, html, imatch, jaccard, packing, quality, suffixes, urls
+from . import automata, chat, contamination, contexts, html, imatch, jaccard, packing, quality, suffixes, urls
 from .shared import table
 
 
@@ -56,6 +56,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_imatch": op10_imatch,
+    "op11_context_tree": op11_context_tree,
 }
 
 ORACLE: dict[str, str] = {
