@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import automata, chat, contamination, contexts, html, imatch, jaccard, packing, quality, suffixes, urls
+from . import automata, chat, contamination, contexts, divergence, html, imatch, jaccard, packing, phrases, quality, suffixes, urls
 from .shared import table
 
 
@@ -60,6 +60,14 @@ def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.score(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_imatch": op10_imatch,
     "op11_context_tree": op11_context_tree,
+    "op12_divergence_audit": op12_divergence_audit,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -81,4 +91,6 @@ ORACLE: dict[str, str] = {
     "op6_chat_formatting": chat.digests_sql(),
     "op8_decontamination": contamination.find_leaks_sql(),
     "op9_url_filter": urls.judge_sql(),
+    "op12_divergence_audit": divergence.audit_sql(),
+    "op13_collocations": phrases.collocations_sql(),
 }

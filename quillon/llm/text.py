@@ -102,9 +102,10 @@ class Words:
     doc: np.ndarray
 
 
-def words(chunk: Chunk, lower: bool) -> Words:
+def words(chunk: Chunk, lower: bool, gaps: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that aren't `gaps` (by byte: whether it parts words)."""
     data = _LOWER[chunk.data] if lower else chunk.data
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
