@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .counting import FLUSH, Sums, batch_of, merged, packed, summed
 from .shared import Shelf, buckets
 from .text import U, Chunk, Words, chunks, mix, words
 
@@ -36,7 +37,6 @@ END, GAP = 10, 32
 _END_WORD = mix(np.array([0xE0D], U))  # stands for the end mark among the hashes of words
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_FLUSH = 1 << 21
 _CHUNK = 1 << 21
 _HALF = math.log(0.5)
 WORD, GRAM = 0, 1
@@ -79,16 +79,6 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.repeat(np.arange(len(n)), n), np.arange(len(n))]), np.concatenate([w.hash, np.repeat(_END_WORD, len(n))])
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of what each has."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(n[order], first)
-
-
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -104,59 +94,22 @@ def bucket_of(kind: int, keys: np.ndarray, n: int) -> np.ndarray:
 _COUNTS = "bucket int, kind int, keys binary, n binary"
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray, n_buckets: int) -> list[tuple]:
-    slot = bucket_of(kind, keys, n_buckets)
-    order = np.argsort(slot, kind="stable")  # keys stay in order inside a bucket
-    slot, keys, n = slot[order], keys[order], n[order]
-    cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))).tolist() if len(slot) else []
-    return [(int(slot[a]), kind, keys[a:b].astype("<u8").tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-    cols = [x.split() for x in names.split(", ")]
-    data = list(zip(*rows, strict=True)) if rows else [() for _ in cols]
-    return pa.RecordBatch.from_arrays([pa.array(d, kinds[t]) for d, (_, t) in zip(data, cols, strict=True)], [c for c, _ in cols])
-
-
-class _Sums:
-    """Counts of one kind inside a task: runs of keys are summed up when they are many, and go out when many different ones are left."""
-
-    def __init__(self):
-        self.raw, self.size, self.keys, self.n = [], 0, np.zeros(0, U), np.zeros(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> bool:
-        """Whether it is time to send."""
-        self.raw.append(keys)
-        self.size += len(keys)
-        if self.size >= _FLUSH:
-            self.fold()
-        return len(self.keys) >= _FLUSH
-
-    def fold(self) -> None:
-        if self.raw:
-            k, n = counted(np.concatenate(self.raw))
-            self.keys, self.n = summed(np.concatenate([self.keys, k]), np.concatenate([self.n, n]))
-            self.raw, self.size = [], 0
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        self.fold()
-        out = self.keys, self.n
-        self.keys, self.n = np.zeros(0, U), np.zeros(0, np.int64)
-        return out
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    return batch_of([(b, kind, k, m) for b, k, m in packed(keys, n, bucket_of(kind, keys, n_buckets))], _COUNTS)
 
 
 def _count(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Texts to packed counts of words and grams."""
-    held = {WORD: _Sums(), GRAM: _Sums()}
+    held = {WORD: Sums(), GRAM: Sums()}
     for batch in batches:
         for c in chunks(batch.column(0)):
             w = words(c, lower=True)
             for kind, keys in ((WORD, tokens(w)[1]), (GRAM, grams(c, w)[0])):
-                if held[kind].add(keys):
-                    yield _batch(_rows(kind, *held[kind].take(), n_buckets), _COUNTS)
+                held[kind].add(*counted(keys))
+                if held[kind].full:
+                    yield _rows(kind, *held[kind].take(), n_buckets)
     for kind, sums in held.items():
-        yield _batch(_rows(kind, *sums.take(), n_buckets), _COUNTS)
+        yield _rows(kind, *sums.take(), n_buckets)
 
 
 def _unpack(batch: pa.RecordBatch) -> list[tuple]:
@@ -165,20 +118,11 @@ def _unpack(batch: pa.RecordBatch) -> list[tuple]:
     return list(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), get("keys", "<u8"), get("n", "<i8"), strict=True))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket's counts, summed, in rows of at most _FLUSH keys."""
-    bucket = kind = None
-    keys, n, waiting, size = np.zeros(0, U), np.zeros(0, np.int64), [], 0
-    for batch in batches:
-        for bucket, kind, k, m in _unpack(batch):
-            waiting.append((k, m))
-            size += len(k)
-            if size > max(_FLUSH, len(keys)):
-                keys, n = summed(np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([n, *(x for _, x in waiting)]))
-                waiting, size = [], 0
-    keys, n = summed(np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([n, *(x for _, x in waiting)]))
-    for a in range(0, len(keys), _FLUSH):
-        yield _batch([(bucket, kind, keys[a : a + _FLUSH].tobytes(), n[a : a + _FLUSH].tobytes())], _COUNTS)
+def _merge(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """One bucket's counts, summed, in rows of at most FLUSH keys. A bucket's number tells its kind."""
+    bucket, keys, n = merged(batches)
+    for a in range(0, len(keys), FLUSH):
+        yield batch_of([(bucket, bucket // n_buckets, keys[a : a + FLUSH].tobytes(), n[a : a + FLUSH].tobytes())], _COUNTS)
 
 
 _SMALL = np.array([-math.inf, *(math.lgamma(k / 2) for k in range(1, 64))])  # lgamma at halves
@@ -289,7 +233,7 @@ def _common(batches: Iterator[pa.RecordBatch], least: dict[int, float], upper) -
         often = keys[n >= least[kind]]
         if len(often):
             value = np.log10(n[n >= least[kind]] + 0.1) if kind == WORD else Tree(keys, n).log10(often, upper.value)
-            yield _batch([(0, kind, often.tobytes(), value.astype("<f8").tobytes())], _COUNTS)
+            yield batch_of([(0, kind, often.tobytes(), value.astype("<f8").tobytes())], _COUNTS)
 
 
 class Model:
@@ -353,7 +297,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, n_buckets: int) -> Iterator
                     (np.diff(w.doc) + 1).astype("<i8").tobytes(), np.concatenate([sums[WORD], sums[GRAM]]).astype("<f8").tobytes(), known.astype("<i8").tobytes(),
                 )
             )
-            yield _batch(out, _PART)
+            yield batch_of(out, _PART)
 
 
 def _at_most(c: Chunk, rows: int) -> Iterator[Chunk]:
@@ -388,7 +332,7 @@ def _look_up(batches: Iterator[pa.RecordBatch], upper) -> Iterator[pa.RecordBatc
                 value = np.log10(np.where(known, count[at] if len(keys) else 0, 0) + 0.1)
             some, place = np.unique(doc, return_inverse=True)
             value, known = np.bincount(place, value[back] * n, len(some)), np.bincount(place, known[back] * n, len(some))
-            yield _batch([(kind, -1, chunk, b"", some.astype("<u2").tobytes(), b"", value.astype("<f8").tobytes(), known.astype("<i8").tobytes())], _PART)
+            yield batch_of([(kind, -1, chunk, b"", some.astype("<u2").tobytes(), b"", value.astype("<f8").tobytes(), known.astype("<i8").tobytes())], _PART)
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -427,8 +371,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     spark, n = docs.sparkSession, buckets(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
     shelf = Shelf(spark, "contexts")
-    packed = rows.where(~F.col("held")).select("text").mapInArrow(partial(_count, n_buckets=n), _COUNTS)
-    counts = shelf.put(packed.repartitionById(2 * n, F.col("bucket")).mapInArrow(_merge, _COUNTS), "counts")
+    counted_here = rows.where(~F.col("held")).select("text").mapInArrow(partial(_count, n_buckets=n), _COUNTS)
+    counts = shelf.put(counted_here.repartitionById(2 * n, F.col("bucket")).mapInArrow(partial(_merge, n_buckets=n), _COUNTS), "counts")
     by_bucket = lambda df: df.repartitionById(2 * n, F.col("bucket"))
     size = counts.select("kind", (F.length("keys") / 8).cast("long").alias("distinct"), F.col("n")).mapInArrow(_totals, "kind int, distinct long, total long")
     figures = {r["kind"]: r for r in size.groupBy("kind").agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total")).collect()}
