@@ -13,11 +13,25 @@ c = F.col
 CELL = 128
 
 
+_MARK = "\uffff"  # no character of XML
+
+
+def _between(text: Column, marker: Column) -> Column:
+    """What lies before, between and after the occurrences of a marker, taken literally, left to right without overlap."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(marker, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    plain = F.split(F.replace(text, marker, F.lit(_MARK)), _MARK)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, quoted)).otherwise(plain)
+
+
 def hits(markers: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, para, marker, hit, start, end): every occurrence, left to right without overlap, of every marker (doc_id, marker)."""
-    met = paragraphs.select("doc_id", "para", "text").join(markers.where("marker <> ''"), "doc_id").where(F.contains("text", "marker"))
-    pieces = F.transform(F.split("text", F.concat(F.lit("\\Q"), "marker", F.lit("\\E"))), lambda x: F.length(x))
-    each = met.select("doc_id", "para", "marker", F.size(pieces).alias("n"), F.posexplode(pieces).alias("hit", "gap"))
+    """(doc_id, para, marker, hit, start, end): every occurrence, left to right without overlap, of every marker (doc_id, marker).
+
+    A paragraph meets all markers of its document at once and goes on with those that it holds.
+    """
+    sought = markers.where("marker <> ''").groupBy("doc_id").agg(F.collect_set("marker").alias("markers"))
+    held = paragraphs.select("doc_id", "para", "text").join(sought, "doc_id").withColumn("marker", F.explode(F.filter("markers", lambda m: F.contains("text", m))))
+    pieces = F.transform(_between(c("text"), c("marker")), lambda x: F.length(x))
+    each = held.select("doc_id", "para", "marker", F.size(pieces).alias("n"), F.posexplode(pieces).alias("hit", "gap"))
     before = F.sum("gap").over(Window.partitionBy("doc_id", "para", "marker").orderBy("hit"))
     start = (before + c("hit") * F.length("marker")).cast("int")
     rows = each.withColumn("start", start).where(c("hit") < c("n") - 1)
@@ -31,27 +45,30 @@ def _cells(start: Column, end: Column) -> Column:
 def _met(found: DataFrame, runs: DataFrame) -> DataFrame:
     """Hits with each run that they touch."""
     f = found.withColumn("cell", F.explode(_cells(c("start"), c("end"))))
-    r = runs.where("text_end > text_start").select("doc_id", "para", "run", "text_start", "text_end", "anchored", F.explode(_cells(c("text_start"), c("text_end"))).alias("cell"))
+    r = runs.where("text_end > text_start").select("doc_id", "para", "run", "text_start", "text_end", "before", "upto", F.explode(_cells(c("text_start"), c("text_end"))).alias("cell"))
     met = f.join(r, ["doc_id", "para", "cell"]).where((c("text_start") < c("end")) & (c("text_end") > c("start")))
     return met.where(c("cell") == F.floor(F.greatest("start", "text_start") / CELL))
 
 
 def touched(found: DataFrame, runs: DataFrame) -> DataFrame:
     """Hits with each run that they touch."""
-    return _met(found, runs).select("doc_id", "para", "marker", "hit", "start", "end", "run", "anchored")
+    return _met(found, runs).select("doc_id", "para", "marker", "hit", "start", "end", "run", "before", "upto")
 
 
 def placements(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Hits with `first_run`, `last_run`, why (null: it can be placed) and shares_run (another hit touches one of its runs)."""
+    """Hits with `first_run`, `last_run`, why (null: it can be placed) and shares_run (another hit touches one of its runs).
+
+    A hit can't be replaced where a comment's anchor lies between the start of its first run and the end of its last: in one of these
+    runs, between them, in a run without text, or beside other markup.
+    """
     key = ["doc_id", "para", "marker", "hit"]
-    over = touched(found, runs).select(*key, "run", "anchored")
+    over = touched(found, runs).select(*key, "run", "before", "upto")
     users = F.count("*").over(Window.partitionBy("doc_id", "para", "run"))
-    # A run with an anchor after it straddles the hit unless it is the hit's last.
     per = over.withColumn("users", users).groupBy(*key).agg(
-        F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.min(F.when(c("anchored"), c("run"))).alias("anchor"), F.max("users").alias("users")
+        F.min("run").alias("first_run"), F.max("run").alias("last_run"), (F.max("upto") - F.min("before")).alias("cut"), F.max("users").alias("users")
     )
     rows = found.select(*key).join(per, key, "left")
-    why = F.when(c("first_run").isNull(), "no run holds it").when(c("anchor") < c("last_run"), "it straddles a comment's anchor")
+    why = F.when(c("first_run").isNull(), "no run holds it").when(c("cut") > 0, "it straddles a comment's anchor")
     return rows.select(*key, "first_run", "last_run", why.alias("why"), F.coalesce(c("users") > 1, F.lit(False)).alias("shares_run"))
 
 

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from ..operators import placement as P
 from ..registry import query
 from ..sources import packages as K
+from ..sources.shelf import Shelf
 from ..sources.views import Tables
 
 c = F.col
-MARKERS = ("Licensed", "the ", "der ", "[@none]")
+MARKERS = ("Licensed", "the ", "der ", "[@none]", r"[\E]")
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,12 +57,21 @@ def xml(t: Tables) -> DataFrame:
     name = when(18, key).otherwise(when(42, F.concat(key, F.lit("9"))).otherwise(F.concat(F.lit("G"), F.substring(key, 2, 7))))
     second = item(F.when(d % 24 == 0, "").otherwise(uri(F.reverse(key))), "C")
     grouped = citation(name, (d % 4).cast("string"), F.concat(item(uri(key), "A &amp; B"), F.lit(","), second), F.lit(',"schema":"csl"'))
+    # A marker over two runs: an anchor between them, in a run of its own there, behind a bookmark, behind a run without text, around
+    # both, in the first of them, and none.
+    two = lambda between, before="", after="", first="": para(f"{before}<w:r>{first}<w:t>[@no</w:t></w:r>{between}<w:r><w:t>ne]</w:t></w:r>{after}")
+    reference = '<w:commentReference w:id="1"/>'
+    cases = [
+        two('<w:commentRangeEnd w:id="1"/>'), two(f"<w:r>{reference}</w:r>"), two('<w:bookmarkStart w:id="3" w:name="b"/><w:commentRangeEnd w:id="1"/>'), two('<w:r><w:rPr/></w:r><w:commentRangeStart w:id="1"/>'),
+        two("", '<w:commentRangeStart w:id="1"/>', '<w:commentRangeEnd w:id="1"/>'), two("", first=reference), two(""),
+    ]
+    anchored = F.get(F.array(*cases), (d % 7).cast("int"))
     extra = [
         when(3, field([F.lit("ADDIN ZOTERO_ITEM CSL_"), F.concat(F.lit("CITATION "), single)], "(1)", F.when(d % 30 == 0, "").otherwise(mark("end")))),
         when(12, field([F.lit("ADDIN ZOTERO_ITEM CSL_CITATION {broken")], "(2)")), when(6, field([F.concat(F.lit("ADDIN ZOTERO_ITEM CSL_CITATION "), grouped)], "(3)")),
         when(9, field([F.lit('ADDIN ZOTERO_BIBL {"uncited":[]} CSL_BIBLIOGRAPHY')], "(list)")),
         when(5, para('<w:ins w:id="1" w:author="A"><w:r><w:t>added</w:t></w:r></w:ins><w:del w:id="2" w:author="B"><w:r><w:delText>gone</w:delText></w:r></w:del>')),
-        when(7, para('<w:r><w:t>[@no</w:t></w:r><w:commentRangeEnd w:id="1"/><w:r><w:t>ne]</w:t></w:r>')), when(8, para("<w:t>der </w:t>")),
+        anchored, when(8, para("<w:t>der </w:t>")), F.when(d % 4 == 1, para(run(F.lit(r"[\E] and [\E]")))),
     ]
     lines = F.transform(F.split("text", "\n"), lambda line: para(F.array_join(F.transform(F.split(line, r"(?<=\. )"), lambda x: run(esc(x))), "")))
     main = F.concat(F.lit("<w:document><w:body>"), F.array_join(lines, ""), *(F.coalesce(x, F.lit("")) for x in extra), F.lit("</w:body></w:document>"))
@@ -84,9 +94,15 @@ def paras(t: Tables) -> DataFrame:
     return K.paragraphs(parts(t))
 
 
+def laid(t: Tables) -> DataFrame:
+    """Paragraphs with their runs and anchors, written once: markers and runs are both read from them."""
+    return Shelf(t.spark, "paragraphs").put(K.laid_out(paras(t)), "laid")
+
+
 EXTRA = """list_filter([case when doc_id % 3 = 0 then {'t': '(1)', 'r': case when doc_id % 30 = 0 then ['', '', '', '', '(1)'] else ['', '', '', '', '(1)', ''] end} end,
   case when doc_id % 12 = 0 then {'t': '(2)', 'r': ['', '', '', '(2)', '']} end, case when doc_id % 6 = 0 then {'t': '(3)', 'r': ['', '', '', '(3)', '']} end, case when doc_id % 9 = 0 then {'t': '(list)', 'r': ['', '', '', '(list)', '']} end,
-  case when doc_id % 5 = 0 then {'t': 'added', 'r': ['added', '']} end, case when doc_id % 7 = 0 then {'t': '[@none]', 'r': ['[@no', 'ne]']} end, case when doc_id % 8 = 0 then {'t': 'der ', 'r': []::varchar[]} end], lambda x: x is not null)"""
+  case when doc_id % 5 = 0 then {'t': 'added', 'r': ['added', '']} end, {'t': '[@none]', 'r': case when doc_id % 7 in (1, 3) then ['[@no', '', 'ne]'] else ['[@no', 'ne]'] end},
+  case when doc_id % 8 = 0 then {'t': 'der ', 'r': []::varchar[]} end, case when doc_id % 4 = 1 then {'t': '[\\E] and [\\E]', 'r': ['[\\E] and [\\E]']} end], lambda x: x is not null)"""
 BODY = "select doc_id, list_concat(list_transform(string_split(text, chr(10)), lambda x: {'t': x, 'r': case when x = '' then [''] else string_split(replace(x, '. ', '. ' || chr(1)), chr(1)) end}), " + EXTRA + ") as l from {documents}"
 LINES = "select doc_id, para, p.t as text, p.r as r from (select doc_id, unnest(range(len(l))) as para, unnest(l) as p from (" + BODY + ") s) s1"
 RUNS = "select doc_id, para, unnest(range(len(r))) as run, unnest(r) as text, r from (" + LINES + ") a"
@@ -157,34 +173,34 @@ def field_invariants(t: Tables) -> DataFrame:
 
 @query("gen_runs", f"select doc_id, para, run, md5(text) as text_md5, coalesce(list_sum(list_transform(r[1:run], lambda x: length(x))), 0)::bigint as text_start from ({RUNS}) q where text <> '' or run = 0")
 def gen_runs(t: Tables) -> DataFrame:
-    return K.runs(paras(t)).where("text <> '' or run = 0").select("doc_id", "para", "run", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), c("text_start").cast("long").alias("text_start"))
+    return K.run_places(K.laid_out(paras(t))).where("text <> '' or run = 0").select("doc_id", "para", "run", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), c("text_start").cast("long").alias("text_start"))
 
 
 @query("win_run_offsets", f"select doc_id, para, sum(length(text))::bigint as chars, count(*) filter (text <> '') as runs from ({RUNS}) q group by doc_id, para")
 def win_run_offsets(t: Tables) -> DataFrame:
-    return K.runs(paras(t)).groupBy("doc_id", "para").agg(F.max("text_end").cast("long").alias("chars"), F.count_if(c("text") != "").alias("runs"))
+    return K.run_places(K.laid_out(paras(t))).groupBy("doc_id", "para").agg(F.max("text_end").cast("long").alias("chars"), F.count_if(c("text") != "").alias("runs"))
 
 
 def markers(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.explode(F.array(*(F.lit(m) for m in MARKERS))).alias("marker"))
 
 
-M_SQL = "(values ('Licensed'), ('the '), ('der '), ('[@none]')) m(marker)"
-HITS = f"select doc_id, para, marker, hit, (list_sum(list_transform(p[1:hit + 1], lambda x: length(x))) + hit * length(marker))::bigint as start from (select doc_id, para, marker, p, unnest(range(len(p) - 1)) as hit from (select doc_id, para, marker, string_split(text, marker) as p from ({LINES}) l, {M_SQL} where contains(text, marker)) a) b"
+M_SQL = "(values ('Licensed'), ('the '), ('der '), ('[@none]'), ('[\\E]')) m(marker)"
+HITS = f"select doc_id, para, marker, hit, (list_sum(list_transform(p[1:hit + 1], lambda x: length(x))) + hit * length(marker))::bigint as start from (select doc_id, para, marker, p, unnest(range(len(p) - 1)) as hit from (select doc_id, para, marker, string_split(text, marker) as p from (select doc_id, para, array_to_string(r, '') as text from ({LINES}) l) l1, {M_SQL} where contains(text, marker)) a) b"
 
 
 @query("gen_marker_hits", HITS)
 def gen_marker_hits(t: Tables) -> DataFrame:
-    return P.hits(markers(t), paras(t)).select("doc_id", "para", "marker", "hit", c("start").cast("long").alias("start"))
+    return P.hits(markers(t), K.laid_out(paras(t))).select("doc_id", "para", "marker", "hit", c("start").cast("long").alias("start"))
 
 
-OFFS = f"select doc_id, para, run, text = '[@no' as anchored, coalesce(list_sum(list_transform(r[1:run], lambda x: length(x))), 0) as s, coalesce(list_sum(list_transform(r[1:run + 1], lambda x: length(x))), 0) as e from ({RUNS}) q where text <> ''"
+OFFS = f"select doc_id, para, run, text = '[@no' and doc_id % 7 in (0, 1, 2, 3, 5) as anchored, coalesce(list_sum(list_transform(r[1:run], lambda x: length(x))), 0) as s, coalesce(list_sum(list_transform(r[1:run + 1], lambda x: length(x))), 0) as e from ({RUNS}) q where text <> ''"
 OVER = f"from ({HITS}) h JOIN_ ({OFFS}) o on o.doc_id = h.doc_id and o.para = h.para and o.s < h.start + length(h.marker) and o.e > h.start"
 
 
 @query("range_marker_runs", f"select h.doc_id, h.para, h.marker, h.hit, o.run {OVER.replace("JOIN_", "join")}")
 def range_marker_runs(t: Tables) -> DataFrame:
-    p = paras(t)
+    p = laid(t)
     return P.touched(P.hits(markers(t), p), K.runs(p)).select("doc_id", "para", "marker", "hit", "run")
 
 
@@ -195,11 +211,11 @@ PLACED = f"""select doc_id, para, marker, hit, min(run) as first_run, max(run) a
 
 @query("marker_placement", PLACED)
 def marker_placement(t: Tables) -> DataFrame:
-    p = paras(t)
+    p = laid(t)
     return P.placements(P.hits(markers(t), p), K.runs(p))
 
 
-@query("placement_report", f"select d.doc_id, coalesce(placed, 0) as placed, coalesce(skipped, 0) as skipped, 4 - coalesce(found, 0) as unmatched from {{documents}} d left join (select doc_id, count(*) filter (why is null) as placed, count(why) as skipped, count(distinct marker) as found from ({PLACED}) h group by doc_id) x on x.doc_id = d.doc_id")
+@query("placement_report", f"select d.doc_id, coalesce(placed, 0) as placed, coalesce(skipped, 0) as skipped, 5 - coalesce(found, 0) as unmatched from {{documents}} d left join (select doc_id, count(*) filter (why is null) as placed, count(why) as skipped, count(distinct marker) as found from ({PLACED}) h group by doc_id) x on x.doc_id = d.doc_id")
 def placement_report(t: Tables) -> DataFrame:
-    p, m = paras(t), markers(t)
+    p, m = laid(t), markers(t)
     return P.report(m, P.placements(P.hits(m, p), K.runs(p)))

@@ -56,14 +56,60 @@ def paragraphs(parts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "para", "xml", visible.alias("text"), authors.alias("authors"), c("xml").rlike(r"<w:commentR(?:eference|angeStart|angeEnd)\b").alias("has_anchor"))
 
 
-def runs(paras: DataFrame) -> DataFrame:
-    """(doc_id, para, run, text, text_start, text_end, anchored): runs with their place in the paragraph's text."""
-    parts = F.regexp_extract_all("xml", F.lit(r"(?s)(<w:r(?:\s[^>]*)?>.*?</w:r>(?:<w:commentR[^>]*>)?)"), F.lit(1))
-    texts = F.transform(parts, lambda x: F.struct(C.visible_text(x).alias("text"), x.rlike(r"<w:commentR[^>]*>$").alias("anchored")))
-    rows = paras.select("doc_id", "para", F.posexplode(texts).alias("run", "x")).select("doc_id", "para", "run", "x.text", "x.anchored")
-    # A running sum over a paragraph's runs: linear in their number, whatever a paragraph holds.
-    end = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id", "para").orderBy("run")), F.lit(0)).cast("int")
-    return rows.withColumn("text_end", end).select("doc_id", "para", "run", "text", (c("text_end") - F.length("text")).alias("text_start"), "text_end", "anchored")
+RUN = r"(?s)(<w:r(?:\s[^>]*)?>.*?</w:r>)"
+ANCHOR = r"(<w:commentR(?:eference|angeStart|angeEnd)\b[^>]*/?>)"
+
+
+def _spans(xml: Column, pattern: str) -> Column:
+    """Matches of a pattern in order: what each is, and how many characters lie between it and the one before."""
+    found = F.regexp_extract_all(xml, F.lit(pattern), F.lit(1))
+    return F.arrays_zip(found.alias("xml"), F.transform(F.slice(F.split(xml, pattern), F.lit(1), F.size(found)), lambda x: F.length(x)).alias("gap"))
+
+
+def laid_out(paras: DataFrame) -> DataFrame:
+    """(doc_id, para, text, runs, anchors): a paragraph's runs (text, gap, length) and comment anchors (gap, length), where gap is the
+    distance in the paragraph's XML from the one before; text is that of the runs end to end, in which markers are looked for.
+    """
+    runs = F.transform(_spans(c("xml"), RUN), lambda x: F.struct(C.visible_text(x["xml"]).alias("text"), x["gap"].alias("gap"), F.length(x["xml"]).alias("length")))
+    none = F.array().cast("array<struct<gap:int,length:int>>")
+    anchors = F.when(c("has_anchor"), F.transform(_spans(c("xml"), ANCHOR), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["xml"]).alias("length")))).otherwise(none)
+    rows = paras.select("doc_id", "para", runs.alias("runs"), anchors.alias("anchors"))
+    return rows.select("doc_id", "para", F.array_join(c("runs.text"), "").alias("text"), "runs", "anchors")
+
+
+def _running(x: Column, order: str) -> Column:
+    """A running sum over a paragraph's pieces: linear in their number, whatever a paragraph holds."""
+    return F.sum(x).over(Window.partitionBy("doc_id", "para").orderBy(order)).cast("int")
+
+
+def run_places(laid: DataFrame) -> DataFrame:
+    """(doc_id, para, run, text, text_start, text_end, xml_start, xml_end): runs with their places in the paragraph's text and XML."""
+    rows = laid.select("doc_id", "para", F.posexplode("runs").alias("run", "x"))
+    rows = rows.select("doc_id", "para", "run", "x.text", c("x.length").alias("length"), _running(F.length("x.text"), "run").alias("text_end"), _running(c("x.gap") + c("x.length"), "run").alias("xml_end"))
+    return rows.select("doc_id", "para", "run", "text", (c("text_end") - F.length("text")).alias("text_start"), "text_end", (c("xml_end") - c("length")).alias("xml_start"), "xml_end")
+
+
+def anchor_places(laid: DataFrame) -> DataFrame:
+    """(doc_id, para, anchor, place): where each comment anchor begins in the paragraph's XML, inside a run or between two."""
+    rows = laid.select("doc_id", "para", F.posexplode("anchors").alias("anchor", "x"))
+    return rows.select("doc_id", "para", "anchor", (_running(c("x.gap") + c("x.length"), "anchor") - c("x.length")).alias("place"))
+
+
+def runs(laid: DataFrame) -> DataFrame:
+    """The rows of `run_places` with `before` and `upto`: how many comment anchors of the paragraph begin before the run, and before its end.
+
+    Runs' ends and anchors are points of one order, summed up in one pass; runs of paragraphs without anchors don't take part.
+    """
+    key = ["doc_id", "para"]
+    rows = run_places(laid)
+    marked = laid.where(F.size("anchors") > 0)
+    apart = run_places(marked)
+    point = lambda df, place, run, side: df.select(*key, c(place).alias("place"), run.alias("run"), F.lit(side).alias("side"))
+    # At one place the run's bound comes first: an anchor there is behind it.
+    points = point(apart, "xml_start", c("run"), 0).union(point(apart, "xml_end", c("run"), 1)).union(point(anchor_places(marked), "place", F.lit(None).cast("int"), 2))
+    seen = F.sum((c("side") == 2).cast("int")).over(Window.partitionBy(*key).orderBy("place", "side").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = points.withColumn("seen", seen).where("run is not null").groupBy(*key, "run").agg(F.max(F.when(c("side") == 0, c("seen"))).alias("before"), F.max(F.when(c("side") == 1, c("seen"))).alias("upto"))
+    return rows.join(bounds, [*key, "run"], "left").na.fill(0, ["before", "upto"])
 
 
 def field_codes(parts: DataFrame) -> DataFrame:

@@ -100,12 +100,52 @@ def test_markers(spark):
     parts = spark.createDataFrame([("d", packages.PARTS[0], xml)], "doc_id string, part string, xml string")
     paras = packages.paragraphs(parts)
     markers = spark.createDataFrame([("d", "[@ab]"), ("d", "[@zz]")], "doc_id string, marker string")
-    placed = placement.placements(placement.hits(markers, paras), packages.runs(paras))
+    laid = packages.laid_out(paras)
+    placed = placement.placements(placement.hits(markers, laid), packages.runs(laid))
     got = sorted((r.para, r.hit, r.first_run, r.last_run, r.why, r.shares_run) for r in placed.collect())
     assert got == [(0, 0, 0, 1, None, True), (0, 1, 1, 1, None, True), (1, 0, 0, 1, "it straddles a comment's anchor", False)]
     assert tuple(placement.report(markers, placed).first()) == ("d", 2, 1, 1)
 
 
+ANCHORS = {  # what stands around a marker over two runs -> whether a comment's anchor is cut
+    "between": ("{a}<w:commentRangeEnd w:id='1'/>{b}", True), "run of its own": ("{a}<w:r><w:commentReference w:id='1'/></w:r>{b}", True),
+    "behind a bookmark": ("{a}<w:bookmarkStart w:id='3'/><w:commentRangeStart w:id='1'/>{b}", True), "behind an empty run": ("{a}<w:r><w:rPr/></w:r><w:commentRangeEnd w:id='1'/>{b}", True),
+    "before": ("<w:commentRangeStart w:id='1'/>{a}{b}", False), "after": ("{a}{b}<w:commentRangeEnd w:id='1'/>", False), "around other runs": ("{o}<w:commentRangeStart w:id='1'/>{o}{a}{b}{o}<w:commentRangeEnd w:id='1'/>{o}", False),
+    "in the first run": ("<w:r><w:commentReference w:id='1'/><w:t>[@a</w:t></w:r>{b}", True), "in the last run": ("{a}<w:r><w:t>b]</w:t><w:commentReference w:id='1'/></w:r>", True), "none": ("{a}{b}", False),
+}
+
+
+def test_anchors_are_points_of_their_own(spark):
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    rows = [(name, packages.PARTS[0], "<w:p>" + x.format(a=run.format("[@a"), b=run.format("b]"), o=run.format("other ")) + "</w:p>") for name, (x, _) in ANCHORS.items()]
+    laid = packages.laid_out(packages.paragraphs(spark.createDataFrame(rows, "doc_id string, part string, xml string")))
+    markers = spark.createDataFrame([(name, "[@ab]") for name in ANCHORS], "doc_id string, marker string")
+    placed = placement.placements(placement.hits(markers, laid), packages.runs(laid)).collect()
+    assert {r.doc_id: r.why is not None for r in placed} == {name: cut for name, (_, cut) in ANCHORS.items()}
+
+
+def test_markers_are_literal(spark):
+    texts = ["a[\\E]b[\\E][\\E]", "aaaa", "x\uffffaa\uffffa", "(a|b)* (a|b)*", "", None]
+    paras = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, para int, text string")
+    sought = ["[\\E]", "aa", "\uffff", "(a|b)*", "", "a", "$1"]
+    got = sorted((r.para, r.marker, r.start) for r in placement.hits(spark.createDataFrame([(1, m) for m in sought * 2], "doc_id long, marker string"), paras).collect())
+    want = []
+    for i, t in enumerate(texts):
+        for m in filter(None, sought):
+            at = (t or "").find(m)
+            while at >= 0:
+                want.append((i, m, at))
+                at = t.find(m, at + len(m))
+    assert got == sorted(want)
+
+
+def test_a_hit_outside_all_runs_is_reported(spark):
+    laid = packages.laid_out(packages.paragraphs(spark.createDataFrame([("d", packages.PARTS[0], "<w:p><w:t>the </w:t></w:p>")], "doc_id string, part string, xml string")))
+    assert placement.hits(spark.createDataFrame([("d", "the ")], "doc_id string, marker string"), laid).collect() == []  # as runs have no such text
+    found = spark.createDataFrame([("d", 0, "the ", 0, 0, 4)], "doc_id string, para int, marker string, hit int, start int, end int")
+    assert [r.why for r in placement.placements(found, packages.runs(laid)).collect()] == ["no run holds it"]
+
+
 def test_packages(spark, tmp_path):
     body = '<w:p><w:r><w:t>A &amp; &#x42;</w:t></w:r><w:tab/></w:p><w:p><w:ins w:author="Zoe"><w:r><w:t>x</w:t></w:r></w:ins></w:p>'
     held = io.BytesIO()
