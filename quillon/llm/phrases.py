@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import PACKED, Bitmap, batch_of, bits, frequent, sent
+from .counting import FLUSH, PACKED, Bitmap, bits, by_hash, frequent, sent
 from .counting import BITS as WIDTH
 from .shared import Shelf, buckets
 from .text import U, Words, chunks, mix, running_hash, span_hash, words
@@ -28,6 +28,7 @@ from .text import U, Words, chunks, mix, running_hash, span_hash, words
 LONGEST = 5
 LEAST = 100
 TOP = 2000
+_SENT = 1 << 17  # phrases that a task spells before it sends them
 EVERY = 32  # one word in so many ends a chunk
 BREAKS = r"[.,;:!?\x0A-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,14 +108,25 @@ def _counts(batches: Iterator[pa.RecordBatch], sizes: list[int], known, n_bucket
     return sent(parts(), n_buckets)
 
 
-_PHRASES = "key long, lang string, phrase string, lefts array<long>, rights array<long>"
+_SPELLED = "bucket int, keys binary, langs array<string>, phrases array<string>"
 
 
-def _spelled(batches: Iterator[pa.RecordBatch], known, pairs) -> Iterator[pa.RecordBatch]:
-    """Every phrase of two words or more whose hash is in the bitmap, once a task at least, with the hashes of what its cuts leave."""
-    seen = np.zeros(0, U)
+def _spelled(batches: Iterator[pa.RecordBatch], known, pairs, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Every phrase of two words or more whose hash is in the bitmap, packed by bucket; a task repeats one as rarely as its memory of them lasts."""
+    seen, held, size = np.zeros(0, U), [], 0
+
+    def flush() -> pa.RecordBatch:
+        key, which = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+        langs, texts = ([x for h in held for x in h[i]] for i in (1, 2))
+        cut = np.flatnonzero(np.diff(by_hash(key, n_buckets), prepend=-1)).tolist() + [len(key)]
+        of = lambda xs, a, b: [xs[i] for i in which[a:b].tolist()]
+        rows = [(int(by_hash(key[a : a + 1], n_buckets)[0]), key[a:b].tobytes(), of(langs, a, b), of(texts, a, b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        kinds = [pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())]
+        data = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], [x.split()[0] for x in _SPELLED.split(", ")])
+
     for batch, c, w, g in _entries(batches):
-        rows, langs, new = [], batch.column("lang"), []
+        langs, new = batch.column("lang"), []
         for k in range(2, LONGEST + 1):
             at = _candidates(g, k, pairs.value) if k > 2 else np.flatnonzero(g.starts & (np.arange(len(g.end)) + 2 <= g.end))
             key = g.hash(at, k)
@@ -125,16 +137,40 @@ def _spelled(batches: Iterator[pa.RecordBatch], known, pairs) -> Iterator[pa.Rec
                 fresh = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
                 key, at = key[fresh], at[fresh]
             new.append(key)
-            lefts = [g.hash(at, i).astype(np.int64) for i in range(1, k)]
-            rights = [g.hash(at + i, k - i).astype(np.int64) for i in range(1, k)]
-            for j, (x, a) in enumerate(zip(key.astype(np.int64).tolist(), at.tolist(), strict=True)):
-                text = c.data[w.start[a] : w.end[a + k - 1]].tobytes().decode()
-                rows.append((x, langs[c.first + int(g.entry[a])].as_py(), text, [int(y[j]) for y in lefts], [int(y[j]) for y in rights]))
-        if rows:
-            seen = np.union1d(seen, np.concatenate(new))
-            key, lang, phrase, lefts, rights = zip(*rows, strict=True)
-            whole = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lang), pa.array(phrase), pa.array(lefts, whole), pa.array(rights, whole)], [x.split()[0] for x in _PHRASES.split(", ")])
+            if len(key):
+                places = at.tolist()
+                held.append((key, [langs[c.first + int(g.entry[a])].as_py() for a in places], [c.data[w.start[a] : w.end[a + k - 1]].tobytes().decode() for a in places]))
+                size += len(key)
+        seen = np.union1d(seen, np.concatenate(new))
+        if size >= _SENT:
+            yield flush()
+            held, size = [], 0
+            seen = seen if len(seen) < FLUSH else np.zeros(0, U)
+    yield flush()
+
+
+_PHRASES = "key long, lang string, phrase string, lefts array<long>, rights array<long>"
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket's phrases, each once, with the hashes of the two sides of each cut."""
+    seen = np.zeros(0, U)
+    for batch in batches:
+        for keys, langs, texts in zip(batch.column("keys"), batch.column("langs"), batch.column("phrases"), strict=True):
+            key = np.frombuffer(keys.as_buffer(), "<u8")
+            new = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key if len(seen) else np.ones(len(key), bool)
+            key, langs, texts = key[new], langs.values.filter(pa.array(new)), texts.values.filter(pa.array(new))
+            seen = np.union1d(seen, key)
+            seeds = _seeds(langs)
+            for c in chunks(texts):
+                w = words(c, lower=False)
+                g, n = Grams(w, seeds[c.first : c.last], np.ones(c.last - c.first, np.int64)), np.diff(w.doc)
+                for k in range(2, LONGEST + 1):
+                    mine = np.flatnonzero(n == k)
+                    at, rows = w.doc[mine], pa.array(mine + c.first)
+                    sides = [np.stack([g.hash(at + (i if right else 0), k - i if right else i) for i in range(1, k)], 1).astype(np.int64) for right in (False, True)]
+                    lists = [pa.ListArray.from_arrays(np.arange(0, len(mine) * (k - 1) + 1, k - 1, dtype=np.int32), pa.array(x.ravel())) for x in sides]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[mine + c.first].astype(np.int64)), langs.take(rows), texts.take(rows), *lists], [x.split()[0] for x in _PHRASES.split(", ")])
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +200,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang_col:
     pair_bits = share(Bitmap(pairs))
     more, rest = level("longer", list(range(3, LONGEST + 1)), pair_bits)
     f = one.union(two).union(more).mapInArrow(_plain, "key long, f long")
-    found = entries.select("lang", "chunk", "own").mapInArrow(partial(_spelled, known=share(Bitmap([*pairs, *rest])), pairs=pair_bits), _PHRASES)
-    found = found.groupBy("key").agg(*(F.first(x).alias(x) for x in ("lang", "phrase", "lefts", "rights"))).join(f.withColumnRenamed("f", "a"), "key")
+    found = entries.select("lang", "chunk", "own").mapInArrow(partial(_spelled, known=share(Bitmap([*pairs, *rest])), pairs=pair_bits, n_buckets=n), _SPELLED)
+    found = found.repartitionById(n, F.col("bucket")).mapInArrow(_parted, _PHRASES).join(f.withColumnRenamed("f", "a"), "key")
     found = shelf.put(found, "found")
     inside = found.where(F.size("lefts") > 1).select(F.explode(F.array(F.element_at("lefts", -1), F.element_at("rights", 1))).alias("key"), "a")
     inside = inside.groupBy("key").agg(F.max("a").alias("longer"))
