@@ -6,7 +6,7 @@ title; empty keys are dropped before the join, so they never meet); agreement of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -26,12 +26,41 @@ def keys(items: DataFrame) -> DataFrame:
     return items.select("pos", C.fold_spaced(c("title")).alias("folded"), F.inline(found)).where("key is not null and key <> ''").distinct()
 
 
-def edges(batch: DataFrame, pool: DataFrame) -> DataFrame:
-    """(pos, target, rung): each way in which a pool item answers a batch row; for a shared URL with other titles `same-url`."""
-    mine, theirs = keys(batch), keys(pool).select(c("pos").alias("target"), c("folded").alias("other"), "rung", "key")
-    met = mine.join(theirs, ["rung", "key"])
-    rung = F.when(c("rung").isin("doi", "title"), c("rung")).when(C.folded_agree(c("folded"), c("other")), c("rung")).when(c("rung") == "url", "same-url")
-    return met.select("pos", "target", rung.alias("rung")).where("rung is not null")
+def _ends(theirs: DataFrame, by: list[str], but_itself: bool) -> DataFrame:
+    """Per class its size n, its first and last position (lo, hi) and, where rows may not answer to themselves, the second ones (lo2, hi2)."""
+    per = theirs.groupBy(*by).agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    if not but_itself:
+        return per
+    inner = theirs.select(*by, c("pos").alias("at")).join(per.where("n > 1"), by)
+    return per.join(inner.groupBy(*by).agg(F.min(F.when(c("at") > c("lo"), c("at"))).alias("lo2"), F.max(F.when(c("at") < c("hi"), c("at"))).alias("hi2")), by, "left")
+
+
+def _agreeing(mine: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rung, key, folded, other, lo): different titles under one ISBN or URL that agree; titles meet, not rows."""
+    wanted = mine.where("rung in ('isbn', 'url')").select("rung", "key", "folded").distinct()
+    met = wanted.join(parts.select("rung", "key", c("folded").alias("other"), "lo"), ["rung", "key"])
+    return met.where((c("folded") != c("other")) & C.folded_agree(c("folded"), c("other")))
+
+
+def answers(mine: DataFrame, theirs: DataFrame, but_itself: bool = False) -> DataFrame:
+    """(pos, rung, rank, target, key, n, first): how the pool's `keys` answer those of a batch, a row for each rung at most.
+
+    A pool's items with one key are a class. A row meets the class, not its members: a DOI gives the class's last item, an ISBN or URL the
+    first whose title agrees, a URL without one (`same-url`) and a title give the class itself, as `key`, with its size and its first item. So
+    rows and shuffle are linear in a class's size; `members` lists a class. `but_itself`: the batch is the pool, and no row answers to itself.
+    """
+    own = lambda end, x: F.when(c(end) == c("pos"), c(x)).otherwise(c(end)) if but_itself else c(end)
+    whole = mine.join(_ends(theirs, ["rung", "key"], but_itself), ["rung", "key"]).withColumn("n", c("n") - int(but_itself)).where("n > 0")
+    none = F.lit(None).cast("long")
+    place = whole.where("rung = 'doi'").select("pos", "rung", own("hi", "hi2").cast("long").alias("target"), F.lit(None).cast("string").alias("key"), none.alias("n"), none.alias("first"))
+    classes = whole.where("rung in ('url', 'title')").select("pos", F.when(c("rung") == "url", "same-url").otherwise(c("rung")).alias("rung"), none.alias("target"), "key", "n", own("lo", "lo2").cast("long").alias("first"))
+    parts = _ends(theirs.where("rung in ('isbn', 'url')"), ["rung", "key", "folded"], but_itself)
+    near = _agreeing(mine, parts).groupBy("rung", "key", "folded").agg(F.min("lo").alias("near"))
+    sides = mine.where("rung in ('isbn', 'url')").join(parts, ["rung", "key", "folded"], "left").join(near, ["rung", "key", "folded"], "left")
+    first = F.least(own("lo", "lo2"), c("near")).cast("long")
+    agreed = sides.select("pos", "rung", first.alias("target")).groupBy("pos", "rung").agg(F.min("target").alias("target")).where("target is not null")
+    agreed = agreed.select("pos", "rung", "target", F.lit(None).cast("string").alias("key"), none.alias("n"), none.alias("first"))
+    return place.union(classes).union(agreed).withColumn("rank", rank(c("rung")))
 
 
 def rank(rung: Column) -> Column:
@@ -42,49 +71,109 @@ def rank(rung: Column) -> Column:
 
 
 def settle(found: DataFrame) -> DataFrame:
-    """(pos, match, outcome, target, candidates): the lowest rung decides; a DOI takes the last target, an ISBN or URL the first; others list all."""
-    per = found.withColumn("rank", rank(c("rung"))).groupBy("pos", "rank", "rung").agg(F.min("target").alias("lo"), F.max("target").alias("hi"), F.array_sort(F.collect_set("target")).alias("all"))
-    best = per.groupBy("pos").agg(F.min_by(F.struct("rung", "lo", "hi", "all"), "rank").alias("e")).select("pos", "e.*")
+    """(pos, match, outcome, target, class, n_candidates, first_candidate): the lowest rung decides. A DOI, ISBN or URL gives one target; the
+    others leave the choice among the members of a class, of which the key, the size and the first are told."""
+    best = found.groupBy("pos").agg(F.min(F.struct("rank", "target", "rung", "key", "n", "first")).alias("e")).select("pos", "e.*")
     present = c("rung").isin("doi", "isbn", "url")
-    return best.select(
-        "pos", c("rung").alias("match"), F.when(present, "present").otherwise("ambiguous").alias("outcome"),
-        F.when(c("rung") == "doi", c("hi")).when(present, c("lo")).alias("target"), F.when(~present, c("all")).alias("candidates"),
-    )
+    return best.select("pos", c("rung").alias("match"), F.when(present, "present").otherwise("ambiguous").alias("outcome"), "target", c("key").alias("class"), c("n").alias("n_candidates"), c("first").alias("first_candidate"))
 
 
 def ladder(batch: DataFrame, pool: DataFrame, but_itself: bool = False) -> DataFrame:
-    """Every batch row's outcome against the pool: present, ambiguous or new; `but_itself`: rows are in the pool too and don't answer to themselves."""
-    found = edges(batch, pool)
-    return batch.select("pos").join(settle(found.where("target <> pos") if but_itself else found), "pos", "left").withColumn("outcome", F.coalesce("outcome", F.lit("new")))
+    """Every batch row's outcome against the pool: present, ambiguous or new; `but_itself`: the batch is the pool."""
+    found = answers(keys(batch), keys(pool), but_itself)
+    return batch.select("pos").join(settle(found), "pos", "left").withColumn("outcome", F.coalesce("outcome", F.lit("new")))
 
 
-def in_batch(batch: DataFrame, pool: DataFrame) -> DataFrame:
-    """The same where earlier batch rows that came out new are targets too: (pos, outcome, match, target, in_plan).
+def members(pool: DataFrame, part: int = 1 << 16) -> DataFrame:
+    """(rung, class, target, ord): the candidates of each class of URLs and titles in pool order, for classes of two items or more.
 
-    Rows are settled in rounds. A row waits for an earlier one only while that one could change its answer: not once a target that
-    is settled answers on a lower rung, or, where the answer is ambiguous, on the same one. So a group of equal titles takes two
-    rounds whatever its size. Each round is written; a lost executor costs one round.
+    A class's items are numbered in ranges of `part` positions, and the ranges by what stands before them, so no class is sorted in one task.
     """
-    shelf = Shelf(batch.sparkSession, "in-batch")
-    batch = shelf.put(batch.withColumn("pos", c("pos").cast("long")), "batch")
-    outer = edges(batch, pool).select("pos", c("target").cast("long").alias("target"), "rung", F.lit(False).alias("in_plan"))
-    inner = edges(batch, batch).where("target < pos").select("pos", "target", "rung", F.lit(True).alias("in_plan"))
-    links = shelf.put(outer.union(inner).withColumn("rank", rank(c("rung"))), "links")
-    done = shelf.put(batch.join(links, "pos", "left_anti").select("pos", F.lit("new").alias("outcome"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("long").alias("target"), F.lit(None).cast("boolean").alias("in_plan")), "done")
-    left, turn = shelf.put(links, "left"), 0
+    rows = keys(pool).where("rung in ('url', 'title')").select("rung", c("key").alias("class"), c("pos").alias("target"), F.floor(c("pos") / part).alias("part"))
+    per = rows.groupBy("rung", "class", "part").agg(F.count("*").alias("n"))
+    size, before = Window.partitionBy("rung", "class"), Window.partitionBy("rung", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("rung", "class", "part", F.sum("n").over(size).alias("size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).where("size > 1")
+    line = F.row_number().over(Window.partitionBy("rung", "class", "part").orderBy("target"))
+    return rows.join(per, ["rung", "class", "part"]).select("rung", "class", "target", (c("before") + line).cast("long").alias("ord"))
+
+
+def cliques(mine: DataFrame) -> DataFrame:
+    """(pos, rung, folded, a, b): the groups of batch rows of which each two answer to each other; (a, b) is a hash that names a group.
+
+    A DOI, a URL and a title make one each, an ISBN one for each title and one for each two titles that agree.
+    """
+    parts = mine.where("rung = 'isbn'").groupBy("rung", "key", "folded").agg(F.min("pos").alias("lo"))
+    pairs = _agreeing(mine.where("rung = 'isbn'"), parts).select("rung", "key", "folded", F.array_sort(F.array("folded", "other")).alias("titles"))
+    one = mine.select("pos", "rung", "key", "folded", F.when(c("rung") == "isbn", F.array("folded", "folded")).otherwise(F.array().cast("array<string>")).alias("titles"))
+    two = mine.where("rung = 'isbn'").join(pairs, ["rung", "key", "folded"]).select("pos", "rung", "key", "folded", "titles")
+    return one.union(two).select("pos", "rung", "folded", F.xxhash64("rung", "key", "titles").alias("a"), F.hash("key", "titles", "rung").alias("b"))
+
+
+def _pointed(left: DataFrame) -> DataFrame:
+    """(pos, to, odd, root) of undecided rows: `root` waits for none; a row that waits for one other alone points there, the rest to themselves."""
+    line = F.row_number().over(Window.partitionBy("a", "b").orderBy("pos"))
+    two = left.withColumn("line", line).where("line <= 2").groupBy("a", "b").agg(F.min("pos").alias("m1"), F.max("pos").alias("m2"))
+    waits = left.join(two, ["a", "b"]).select("pos", F.when(c("pos") > c("m1"), c("m1")).alias("one"), (c("pos") > c("m2")).alias("many"))
+    per = waits.groupBy("pos").agg(F.bool_or("many").alias("many"), F.min("one").alias("lo"), F.max("one").alias("hi"))
+    single = ~c("many") & (c("lo") == c("hi"))
+    single = F.coalesce(single, F.lit(False))
+    return per.select("pos", F.when(single, c("lo")).otherwise(c("pos")).alias("to"), single.alias("odd"), (~c("many") & c("lo").isNull()).alias("root"))
+
+
+def greedy(groups: DataFrame, shelf: Shelf) -> DataFrame:
+    """(pos, is_new) of every row of `groups` (pos, a, b): in order of pos, a row is new if no earlier row of its groups is.
+
+    Each phase settles rows that wait for nothing, and all chains that hang on them: a row that waits for one other alone is what that one
+    isn't, so chains are followed by doubling, in as many steps as the logarithm of their length. Then all rows in a group with a new
+    one are settled. Every step is written; a lost executor costs one step. The work of a phase is linear in the rows left.
+    """
+    left, done, turn = shelf.put(groups, "groups"), None, 0
     while not left.isEmpty():
-        state = done.select(c("pos").alias("target"), (c("outcome") == "new").alias("is_new"))
-        known = left.join(state, "target", "left").withColumn("live", ~c("in_plan") | F.coalesce("is_new", F.lit(False))).withColumn("waits", c("in_plan") & c("is_new").isNull())
-        per = known.groupBy("pos").agg(F.min(F.when(c("live"), c("rank"))).alias("best"), F.min(F.when(c("waits"), c("rank"))).alias("open"))
-        ready = per.where("open is null or best < open or (best >= 3 and best = open)").select("pos")
-        # Pool items come before planned rows; a planned row with a DOI overwrites the pool's.
-        live = known.where("live").join(ready, "pos", "left_semi").select("pos", F.struct("in_plan", "target").alias("target"), "rung")
-        told = settle(live).select("pos", "outcome", "match", c("target.target").alias("target"), c("target.in_plan").alias("in_plan"))
-        settled = shelf.put(ready.join(told, "pos", "left").select("pos", F.coalesce("outcome", F.lit("new")).alias("outcome"), "match", "target", "in_plan"), f"settled{turn}")
+        ways, step = shelf.put(_pointed(left), f"ways{turn}-0"), 0
+        while True:
+            there = ways.select(c("pos").alias("to"), c("to").alias("far"), c("odd").alias("far_odd"))
+            moved = ways.join(there, "to").select("pos", c("far").alias("to"), (c("odd") != c("far_odd")).alias("odd"), "root", (c("far") != c("to")).alias("moved"))
+            moved, step = shelf.put(moved, f"ways{turn}-{step + 1}"), step + 1
+            ways = moved.drop("moved")
+            if moved.where("moved").isEmpty():
+                break
+        roots = ways.where("root").select(c("pos").alias("to"))
+        told = shelf.put(ways.join(roots, "to").select("pos", (~c("odd")).alias("is_new")), f"told{turn}")
+        fresh = left.join(told.where("is_new"), "pos").select("a", "b").distinct()
+        met = left.join(fresh, ["a", "b"], "left_semi").select("pos").distinct().join(told, "pos", "left_anti").select("pos", F.lit(False).alias("is_new"))
+        settled = shelf.put(told.union(met), f"settled{turn}")
         left = shelf.put(left.join(settled, "pos", "left_anti"), f"left{turn}")
-        done = done.union(settled)
+        done = settled if done is None else done.union(settled)
         turn += 1
-    return done
+    return done if done is not None else left.select("pos", F.lit(False).alias("is_new"))
+
+
+def in_batch(batch: DataFrame, pool: DataFrame) -> DataFrame:
+    """The same where earlier batch rows that came out new are targets too: (pos, outcome, match, target, in_plan).
+
+    A row is new if neither the pool nor an earlier new row answers it (see `greedy`). Of the new rows of a group only one can be there,
+    so the others meet one target for each group that they are in.
+    """
+    shelf = Shelf(batch.sparkSession, "in-batch")
+    mine = shelf.put(keys(batch.withColumn("pos", c("pos").cast("long"))), "keys")
+    outer = shelf.put(answers(mine, keys(pool.withColumn("pos", c("pos").cast("long")))), "outer")
+    groups = shelf.put(cliques(mine), "cliques")
+    open_rows = groups.join(outer.select("pos").distinct(), "pos", "left_anti").select("pos", "a", "b").distinct()
+    several = open_rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    met = open_rows.join(several, ["a", "b"], "left_semi")
+    settled = greedy(met, shelf)
+    fresh = shelf.put(batch.select(c("pos").cast("long").alias("pos")).join(outer.select("pos").distinct(), "pos", "left_anti").join(settled.where("not is_new"), "pos", "left_anti"), "fresh")
+    taken = groups.join(fresh, "pos").select("a", "b", c("pos").alias("target"), c("folded").alias("other"))
+    inner = groups.join(taken, ["a", "b"]).where("target < pos")
+    rung = F.when((c("rung") == "url") & ~C.folded_agree(c("folded"), c("other")), "same-url").otherwise(c("rung"))
+    inner = inner.select("pos", rung.alias("rung"), "target", F.lit(True).alias("in_plan")).withColumn("rank", rank(c("rung")))
+    # Pool items come before planned rows; ambiguous rows have no target.
+    every = outer.select("pos", "rung", "target", F.lit(False).alias("in_plan"), "rank").union(inner)
+    best = every.groupBy("pos").agg(F.min(F.struct("rank", "in_plan", "target", "rung")).alias("e")).select("pos", "e.*")
+    present = c("rung").isin("doi", "isbn", "url")
+    told = best.select("pos", F.when(present, "present").otherwise("ambiguous").alias("outcome"), c("rung").alias("match"), F.when(present, c("target")).alias("target"), F.when(present, c("in_plan")).alias("in_plan"))
+    none = lambda t: F.lit(None).cast(t)
+    return fresh.select("pos", F.lit("new").alias("outcome"), none("string").alias("match"), none("long").alias("target"), none("boolean").alias("in_plan")).union(told)
 
 
 def union_pool(source: DataFrame, deposit: DataFrame, one_legged: bool = False) -> DataFrame:

@@ -24,8 +24,8 @@ def batch(t: Tables) -> DataFrame:
 
 def others(t: Tables) -> DataFrame:
     """How every item answers to each of the others."""
-    every = t("v_items").withColumnRenamed("page_id", "pos")
-    return R.edges(every, every).where("target <> pos")
+    every = R.keys(t("v_items").withColumnRenamed("page_id", "pos"))
+    return R.answers(every, every, but_itself=True)
 
 
 E = f"""select b.page_id as pos, p.page_id as target, 'doi' as rung from {{v_items}} b join {{v_items}} p on lower(p.doi) = lower(b.doi) and b.page_id <> p.page_id where b.doi <> ''
@@ -34,37 +34,50 @@ union select b.page_id, p.page_id, case when {AGREE('b.title', 'p.title')} then
 union select b.page_id, p.page_id, 'title' from {{v_items}} b join {{v_items}} p on {SPACED('p.title')} = {SPACED('b.title')} and b.page_id <> p.page_id where {SPACED('b.title')} <> ''"""
 RANK = "case rung when 'doi' then 0 when 'isbn' then 1 when 'url' then 2 when 'same-url' then 3 else 4 end"
 SETTLED = f"""select pos, rung as match, case when rung in ('doi', 'isbn', 'url') then 'present' else 'ambiguous' end as outcome, case when rung = 'doi' then max(target) when rung in ('isbn', 'url') then min(target) end as target,
-  case when rung not in ('doi', 'isbn', 'url') then string_agg(target::varchar, ',' order by target) end as candidates
-  from (select *, min({RANK}) over (partition by pos) as best from ({E}) e) x where {RANK} = best group by pos, rung"""
-
-
-def _flat(df: DataFrame) -> DataFrame:
-    return df.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ","))
-
+  case when rung = 'same-url' then any_value(url_key) when rung = 'title' then any_value(folded) end as class, case when rung in ('same-url', 'title') then count(*) end as n_candidates, case when rung in ('same-url', 'title') then min(target) end as first_candidate
+  from (select *, min({RANK}) over (partition by pos) as best from ({E}) e) x join (select page_id, {URL_KEY('url')} as url_key, {SPACED('title')} as folded from {{v_items}}) i on i.page_id = x.pos where {RANK} = best group by pos, rung"""
 
 for _rung in ("doi", "isbn", "url", "title"):
     _which = f"('{_rung}'{', ' + repr('same-url') if _rung == 'url' else ''})"
 
     def _f(t: Tables, which: str = _which) -> DataFrame:
-        return _flat(R.settle(others(t).where(f"rung in {which}")))
+        return R.settle(others(t).where(f"rung in {which}"))
 
     query(f"dedup_{_rung}", SETTLED.replace(f"({E}) e", f"(select * from ({E}) e0 where rung in {_which}) e"))(_f)
 
 
-@query("dedup_ladder", f"select b.page_id as pos, match, coalesce(outcome, 'new') as outcome, target, candidates from {{v_items}} b left join ({SETTLED}) s on s.pos = b.page_id")
+@query("dedup_ladder", f"select b.page_id as pos, match, coalesce(outcome, 'new') as outcome, target, class, n_candidates, first_candidate from {{v_items}} b left join ({SETTLED}) s on s.pos = b.page_id")
 def dedup_ladder(t: Tables) -> DataFrame:
     every = t("v_items").withColumnRenamed("page_id", "pos")
-    return _flat(R.ladder(every, every, but_itself=True))
+    return R.ladder(every, every, but_itself=True)
 
 
-@query("win_candidate_order", f"select pos, string_agg(target::varchar, ',' order by target) as candidates from (select distinct pos, target from ({E}) e where rung in ('same-url', 'title')) x group by pos")
+@query("win_candidate_order", f"""select rung, k as class, page_id as target, row_number() over (partition by rung, k order by page_id) as ord
+  from (select *, count(*) over (partition by rung, k) as n from (select page_id, 'url' as rung, {URL_KEY('url')} as k from {{v_items}} union all select page_id, 'title', {SPACED('title')} from {{v_items}}) x where k <> '') y where n > 1""")
 def win_candidate_order(t: Tables) -> DataFrame:
-    found = others(t).where("rung in ('same-url', 'title')")
-    return found.groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_set("target")), lambda x: x.cast("string")), ",").alias("candidates"))
+    return R.members(t("v_items").withColumnRenamed("page_id", "pos"))
+
 
+GREEDY = f"""with recursive e as ({E.replace("b.page_id <> p.page_id", "p.page_id < b.page_id")}), line as (select i.page_id as pos, row_number() over (order by i.page_id) as n, coalesce(earlier, []) as earlier
+  from {{v_items}} i left join (select pos, list(distinct target) as earlier from e group by pos) x on x.pos = i.page_id),
+walk as (select 0::bigint as n, []::bigint[] as fresh union all select l.n, case when list_has_any(l.earlier, w.fresh) then w.fresh else list_append(w.fresh, l.pos) end from walk w join line l on l.n = w.n + 1),
+fresh as (select unnest(fresh) as target from (select fresh from walk order by n desc limit 1) y),
+found as (select pos, e.target, rung, {RANK} as r from e join fresh using (target)),
+best as (select pos, rung, case rung when 'doi' then max(target) else min(target) end as target from (select *, min(r) over (partition by pos) as least from found) z where r = least group by pos, rung)
+select i.page_id as pos, case when rung is null then 'new' when rung in ('doi', 'isbn', 'url') then 'present' else 'ambiguous' end as outcome, rung as match,
+  case when rung in ('doi', 'isbn', 'url') then target end as target, case when rung in ('doi', 'isbn', 'url') then true end as in_plan from {{v_items}} i left join best b on b.pos = i.page_id"""
 
-@query("dedup_in_batch")
+
+@query("dedup_in_batch", GREEDY)
 def dedup_in_batch(t: Tables) -> DataFrame:
+    """All items in the order of their numbers, each against those before it that came out new."""
+    every = t("v_items").withColumnRenamed("page_id", "pos")
+    return R.in_batch(every, every.limit(0))
+
+
+@query("dedup_in_batch_pool")
+def dedup_in_batch_pool(t: Tables) -> DataFrame:
+    """The odd pages against the even ones and each other."""
     return R.in_batch(batch(t), pool(t))
 
 

@@ -1,7 +1,9 @@
 import io
+import math
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import discover, hierarchy, merge, placement, reconcile
@@ -33,30 +35,77 @@ def test_in_batch_chain(spark):
 
 
 def one_by_one(batch, pool):
-    """The in-batch ladder as it reads: each row against the pool and the rows before it that came out new."""
+    """The in-batch ladder as it reads: each row (pos, title, doi, isbn, url) against the pool and the rows before it that came out new."""
+    fold = lambda t: " ".join("".join(ch if ch.isalnum() else " " for ch in (t or "").lower()).split())
+    bare = lambda u: u.split("://")[-1].rstrip("/").lower() if u else ""
+
+    def agree(a, b):
+        a, b = fold(a), fold(b)
+        words = lambda x: set(x.split())
+        return not a or not b or a in b or b in a or len(words(a) & words(b)) >= 0.6 * max(1, min(len(words(a)), len(words(b))))
+
     planned, out = [], {}
-    for pos, title, doi in batch:
-        targets = [(False, p, t, d) for p, t, d in pool] + [(True, p, t, d) for p, t, d in planned]
-        by_doi = [(plan, p) for plan, p, _, d in targets if doi and d and d.lower() == doi.lower()]
-        by_title = [(plan, p) for plan, p, t, _ in targets if title and t and t.lower() == title.lower()]
+    for row in batch:
+        pos, title, doi, isbn, url = row
+        known = [(False, *p) for p in pool] + [(True, *p) for p in planned]
+        by_doi = [k for k in known if doi and k[3] and k[3].lower() == doi.lower()]
+        by_isbn = [k for k in known if isbn and k[4] == isbn and agree(title, k[2])]
+        by_url = [k for k in known if url and bare(k[5]) == bare(url)]
         if by_doi:
-            plan, p = max(by_doi)
-            out[pos] = ("present", "doi", p, plan)
-        elif by_title:
+            out[pos] = ("present", "doi", by_doi[-1][1], by_doi[-1][0])
+        elif by_isbn:
+            out[pos] = ("present", "isbn", by_isbn[0][1], by_isbn[0][0])
+        elif any(agree(title, k[2]) for k in by_url):
+            first = next(k for k in by_url if agree(title, k[2]))
+            out[pos] = ("present", "url", first[1], first[0])
+        elif by_url:
+            out[pos] = ("ambiguous", "same-url", None, None)
+        elif any(fold(title) and fold(title) == fold(k[2]) for k in known):
             out[pos] = ("ambiguous", "title", None, None)
         else:
             out[pos] = ("new", None, None, None)
-            planned.append((pos, title, doi))
+            planned.append(row)
     return out
 
 
-def test_in_batch_as_one_by_one(spark):
-    rng = random.Random(4)
-    for size, kinds in ((60, 12), (60, 40), (25, 3)):
-        make = lambda i: (i, rng.choice([None, "", *(f"Title {k}" for k in range(kinds))]), rng.choice([None, None, *(f"10.1/{k}" for k in range(kinds))]))  # noqa: B023, E731
-        batch, pool = [make(100 + i) for i in range(size)], [make(i) for i in range(size // 4)]
-        found = reconcile.in_batch(items(spark, *((*r, None, None) for r in batch)), items(spark, *((*r, None, None) for r in pool))).collect()
-        assert {r.pos: (r.outcome, r.match, r.target, r.in_plan) for r in found} == one_by_one(batch, pool)
+ISBNS = ["9781554042951", "9791090636071", "9780306406157"]
+
+
+@pytest.mark.parametrize(("size", "kinds"), [(60, 12), (70, 40), (25, 3)])
+def test_in_batch_as_one_by_one(spark, size, kinds):
+    rng = random.Random(4 + kinds)
+    title = lambda k: f"Quite another{k} thing{k} named{k} here{k % 3}"
+    make = lambda i: (i, rng.choice([None, "", *(title(k) for k in range(kinds)), *(title(k) + " and more" for k in range(3))]), rng.choice([None, None, *(f"10.1/{k}" for k in range(kinds))]), rng.choice([None] * 9 + ISBNS), rng.choice([None] * 4 + [f"http://x.org/{k}" for k in range(kinds)]))
+    batch, pool = [make(100 + i) for i in range(size)], [make(i) for i in range(size // 4)]
+    found = reconcile.in_batch(items(spark, *batch), items(spark, *pool)).collect()
+    assert {r.pos: (r.outcome, r.match, r.target, r.in_plan) for r in found} == one_by_one(batch, pool)
+
+
+def test_chains_settle_in_few_steps(spark, monkeypatch):
+    """4,000 rows that each share a DOI or a URL with the next: steps follow the logarithm of the chain, not its length."""
+    from quillon.sources.shelf import Shelf
+
+    written, put = [], Shelf.put
+    monkeypatch.setattr(Shelf, "put", lambda self, df, name: (written.append(name), put(self, df, name))[1])
+    n = 4000
+    links = spark.range(n).selectExpr("id as pos", "id div 2 as a", "0 as b").union(spark.range(n).selectExpr("id as pos", "(id + 1) div 2 as a", "1 as b"))
+    got = {r.pos: r.is_new for r in reconcile.greedy(links, Shelf(spark, "chain")).collect()}
+    assert got == {i: i % 2 == 0 for i in range(n)}
+    assert sum(w.startswith("ways") for w in written) <= 2 * math.log2(n) and sum(w.startswith("told") for w in written) <= 2
+
+
+def test_a_hot_title_meets_its_class(spark):
+    """Rows that come out of the joins follow the items, not their pairs."""
+    n = 3000
+    many = spark.range(n).selectExpr("id as pos", "'The same title' as title", "cast(null as string) as doi", "cast(null as string) as isbn", "case when id % 2 = 0 then 'http://x.org/a' else 'http://x.org/' || id end as url")
+    mine = reconcile.keys(many)
+    found = reconcile.answers(mine, mine, but_itself=True)
+    assert found.count() <= 4 * n
+    told = {r.pos: (r.match, r.target, r["class"], r.n_candidates, r.first_candidate) for r in reconcile.settle(found).collect()}
+    assert told[0] == ("url", 2, None, None, None) and told[2] == ("url", 0, None, None, None)
+    assert told[1] == ("title", None, "the same title", n - 1, 0) and len(told) == n
+    listed = reconcile.members(many, part=100).where("rung = 'title'").orderBy("target").collect()
+    assert [(r.target, r.ord) for r in listed] == [(i, i + 1) for i in range(n)]
 
 
 def test_discovery(spark):
