@@ -9,6 +9,7 @@ from ..registry import query
 from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from ..streaming import ledger as L
+from ..streaming import versions as V
 from .scopes import OUT, WHY, skip_reason
 
 c = F.col
@@ -36,16 +37,26 @@ def stream_apply_once(t: Tables) -> DataFrame:
     return t.spark.read.schema(L.APPLIED).parquet(f"{shelf.root}/applied").groupBy("plan_id").agg(F.count("*").alias("applied"))
 
 
-@query("stream_version_guard", "select e.event_id, 'K' || lpad((e.user_id)::varchar, 7, '0') as item_key, case when i.version is null then 'refused' when i.version = 1 + e.event_id % 9 then 'filed' else 'failed' end as outcome from {events} e left join {v_items} i on i.page_id = e.user_id")
+# Edits come in four batches by event_id % 4; each reads its item's first version, or one that an edit before it may have made.
+EDITS = "select event_id, 'K' || lpad(cast(user_id as string), 7, '0') as item_key, 1 + user_id % 9 + case when event_id % 3 = 0 then 0 else (event_id div 4) % 3 end as read_version from {events}"
+
+
+@query("stream_version_guard", f"""with recursive edits as (select e.*, i.version, row_number() over (partition by e.item_key order by event_id % 4, event_id) as n from ({EDITS.replace(" div ", " // ").replace("as string", "as varchar")}) e left join {{v_items}} i on i.item_key = e.item_key),
+walk as (select event_id, item_key, n, case when version is null then 'refused' when read_version = version then 'filed' else 'failed' end as outcome, version + case when read_version = version then 1 else 0 end as version from edits where n = 1
+  union all select e.event_id, e.item_key, e.n, case when w.version is null then 'refused' when e.read_version = w.version then 'filed' else 'failed' end, w.version + case when e.read_version = w.version then 1 else 0 end from walk w join edits e on e.item_key = w.item_key and e.n = w.n + 1)
+select event_id, item_key, outcome, version, outcome <> 'filed' as conflict from walk""")
 def stream_version_guard(t: Tables) -> DataFrame:
+    """Filed edits and conflicts of the whole stream, which is stopped and started anew after its first half."""
     shelf = Shelf(t.spark, "guard")
-    key = F.concat(F.lit("K"), F.lpad(c("user_id").cast("string"), 7, "0"))
-    edits = _stream(t, shelf, t("events").select("event_id", key.alias("item_key"), (c("event_id") % 9 + 1).alias("read_version")))
-    items = shelf.put(t("v_items").select("item_key", "version"), "items")
-    out = L.guard(edits, items)
-    q = out.writeStream.format("parquet").option("path", f"{shelf.root}/out").option("checkpointLocation", f"{shelf.root}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(f"{shelf.root}/out")
+    edits, items = t.sql(EDITS), shelf.put(t("v_items").select("item_key", "version"), "items")
+    source = f"{shelf.root}/source"
+    stream = lambda: t.spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for batch in range(4):
+        edits.where(c("event_id") % 4 == batch).coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(source)
+        if batch % 2:
+            V.file_edits(stream(), items, f"{shelf.root}/out", f"{shelf.root}/progress")
+    read = lambda part: t.spark.read.schema(V.OUTCOMES).parquet(*(f"{shelf.root}/out/{part}/batch={k}" for k in range(4)))
+    return read("filed").withColumn("conflict", F.lit(False)).union(read("conflicts").withColumn("conflict", F.lit(True)))
 
 
 PLAN = "select event_id, user_id as batch_id, event_type as outcome, props as payload from {events}"

@@ -59,12 +59,6 @@ def apply_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     drain(stream, each, checkpoint)
 
 
-def guard(edits: DataFrame, items: DataFrame) -> DataFrame:
-    """A stream of edits (event_id, item_key, read_version) against the items' current versions; stateless, so it can be one stream-static join."""
-    rows = edits.join(items.select("item_key", "version"), "item_key", "left")
-    return rows.select("event_id", "item_key", F.when(c("version").isNull(), "refused").when(c("version") == c("read_version"), "filed").otherwise("failed").alias("outcome"))
-
-
 def deduplicated(stream: DataFrame, time: str = "created_at", delay: str = "1 hour") -> DataFrame:
     """The in-stream form with bounded state: repeats within `delay` are dropped; the ledger catches later ones."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["binding_id", "identifier"])
