@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import PACKED, Bitmap, Sums, batch_of, bits, frequent, sent
+from .counting import FLUSH, PACKED, Bitmap, Sums, batch_of, bits, by_hash, frequent, sent
 from .counting import BITS as WIDTH
 from .shared import Shelf, buckets
 from .text import CHUNK_BYTES, U, Chunk, Words, chunks, mix, words
@@ -72,31 +72,64 @@ def _held_by(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.R
     return sent(parts(), n_buckets)
 
 
-def _spelled(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
-    """Terms whose key is in the bitmap, once a task at least."""
+_SPELLED = "bucket int, kind int, langs array<string>, keys binary, which binary, terms binary, lengths binary"
+
+
+def _texts(rows: list[tuple], names: str) -> pa.RecordBatch:
+    """Rows (number, kind, names, four byte strings) as a batch."""
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 4]
+    data = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], [x.split()[0] for x in names.split(", ")])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], kept, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Terms whose key is in the bitmap, packed by bucket; a task repeats one as rarely as its memory of them lasts."""
     seen = np.zeros(0, U)
-    for batch, c, w, key in _terms(batches):
+    for batch, c, w, key in _terms(batches, _CHUNK):
         key, at = np.unique(key, return_index=True)
         new = kept.value.has(key)
         if len(seen):
             new &= seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
-        if new.any():
-            seen = np.union1d(seen, key[new])
-            langs, of = _names(batch.column(1))
-            doc = np.searchsorted(w.doc, at[new], "right") - 1
-            low = _lowered(c)
-            term = [low[a:b].tobytes() for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].astype(np.int64)), pa.array([langs[i] for i in of[c.first + doc].tolist()]), pa.array(term, pa.binary())], ["key", "lang", "term"])
+        key, at = key[new], at[new]
+        if not len(key):
+            continue
+        seen = np.union1d(seen, key) if len(seen) < FLUSH else key
+        langs, of = _names(batch.column(1))
+        lang, start, end, low = of[c.first + np.searchsorted(w.doc, at, "right") - 1], w.start[at], w.end[at], _lowered(c)
+        slot = by_hash(key, n_buckets)
+        cut = np.flatnonzero(np.diff(slot, prepend=-1)).tolist() + [len(slot)]
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            names, which = np.unique(lang[a:b], return_inverse=True)
+            rows.append((int(slot[a]), 1, [langs[i] for i in names.tolist()], key[a:b].tobytes(), which.astype("<u4").tobytes(), _gathered(low, start[a:b], end[a:b]), (end[a:b] - start[a:b]).astype("<u4").tobytes()))
+        yield _texts(rows, _SPELLED)
 
 
-def _lowered(c: Chunk) -> np.ndarray:
-    return np.where((c.data > 64) & (c.data < 91), c.data + 32, c.data).astype(np.uint8)
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket's kept keys, which come first, then spelled terms: each kept term once."""
+    kept, left, known = [], None, np.zeros(0, bool)
+    for batch in batches:
+        for kind, langs, key, which, terms, lengths in zip(*(batch.column(x) for x in ("kind", "langs", "keys", "which", "terms", "lengths")), strict=True):
+            key = np.frombuffer(key.as_buffer(), "<u8")
+            if kind.as_py() == 0:
+                kept.append(key)
+                continue
+            if left is None:
+                left = np.sort(np.concatenate([np.zeros(0, U), *kept]))
+                known = np.zeros(len(left), bool)
+            if not len(left):
+                return
+            at = np.minimum(np.searchsorted(left, key), len(left) - 1)
+            new = np.flatnonzero((left[at] == key) & ~known[at])
+            known[at[new]] = True
+            ends = np.cumsum(np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64))
+            data, lang = terms.as_buffer().to_pybytes(), langs.values.take(pa.array(np.frombuffer(which.as_buffer(), "<u4")[new]))
+            spelled = [data[b - n : b] for b, n in zip(ends[new].tolist(), np.diff(ends, prepend=0)[new].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([lang, pa.array(spelled, pa.binary())], ["lang", "term"])
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys in batch.column("keys"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), "<i8"))], ["key"])
+def _lowered(c: Chunk) -> np.ndarray:
+    return np.where((c.data > 64) & (c.data < 91), c.data + 32, c.data).astype(np.uint8)
 
 
 def vocabulary(docs: DataFrame, shelf: Shelf, least: int = LEAST) -> tuple[DataFrame, Broadcast]:
@@ -105,9 +138,11 @@ def vocabulary(docs: DataFrame, shelf: Shelf, least: int = LEAST) -> tuple[DataF
     packed = docs.select("text", "lang").mapInArrow(partial(_held_by, n_buckets=n), PACKED)
     often = shelf.put(packed.repartitionById(n, F.col("bucket")).mapInArrow(partial(frequent, least=least), PACKED), "often")
     kept = docs.sparkSession.sparkContext.broadcast(Bitmap(often.mapInArrow(partial(bits, width=WIDTH), "place long, part binary").collect()))
-    spelled = docs.select("text", "lang").mapInArrow(partial(_spelled, kept=kept), "key long, lang string, term binary")
-    once = spelled.groupBy("key").agg(F.first("lang").alias("lang"), F.first("term").alias("term"))
-    return once.join(often.mapInArrow(_plain, "key long"), "key", "leftsemi").select("lang", "term"), kept
+    spelled = docs.select("text", "lang").mapInArrow(partial(_spelled, kept=kept, n_buckets=n), _SPELLED)
+    empty = F.lit(b"")
+    known = often.select("bucket", F.lit(0).alias("kind"), F.array().cast("array<string>").alias("langs"), "keys", empty.alias("which"), empty.alias("terms"), empty.alias("lengths"))
+    met = spelled.union(known).repartitionById(n, F.col("bucket")).sortWithinPartitions("kind")
+    return met.mapInArrow(_once, "lang string, term binary"), kept
 
 
 _SHARD = "lang string, first binary, size long, transducer binary"
@@ -179,15 +214,9 @@ def _recount(batches: Iterator[pa.RecordBatch], kept, firsts) -> Iterator[pa.Rec
             spans = w.start[at[mine]], w.end[at[mine]]
             out.append((int(shard[mine[0]]), 1, [sources[i] for i in names.tolist()], which.astype("<u4").tobytes(), _gathered(low, *spans), (spans[1] - spans[0]).astype("<u4").tobytes(), n[mine].astype("<i8").tobytes()))
         if len(out) >= 100:
-            yield _text_batch(out)
+            yield _texts(out, _TEXT)
             out = []
-    yield _text_batch(out)
-
-
-def _text_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 4]
-    data = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], [x.split()[0] for x in _TEXT.split(", ")])
+    yield _texts(out, _TEXT)
 
 
 _COUNTED = "shard int, source string, ordinals binary, n binary, total long"
