@@ -13,22 +13,30 @@ from ..sources.shelf import Shelf
 c = F.col
 
 
+class MissingRoot(ValueError):
+    """The collection that a tree is to hang on isn't in the library."""
+
+
 def subtree(tree: DataFrame, root: str) -> DataFrame:
-    """(collection_key, name, depth, path) of a root and all below it, by a recursive query; a cycle is not followed."""
-    spark, limit = tree.sparkSession, "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, "-1")
-    below = spark.sql(
-        """with recursive below(collection_key, name, depth, path) as (
-             select collection_key, name, 0, array(collection_key) from {tree} where collection_key = :root
-             union all select t.collection_key, t.name, b.depth + 1, array_append(b.path, t.collection_key) from below b join {tree} t on t.parent = b.collection_key where not array_contains(b.path, t.collection_key))
-           select * from below""",
-        args={"root": root}, tree=tree,
-    )
-    # The limit is read when the plan runs: written here, the rows outlive the setting.
-    out = Shelf(spark, "subtree").put(below, "below")
-    spark.conf.set(limit, before)
-    return out
+    """(collection_key, name, parent, depth) of a root and all below it; a root that isn't there is an error, a cycle away from it is left out.
+
+    Every node points to its parent, then to what that points to: after k steps 2^k levels up, so a tree takes as many steps as the
+    logarithm of its depth. The root points to itself. Each step is a join of the nodes with themselves, and is written.
+    """
+    shelf = Shelf(tree.sparkSession, "subtree")
+    nodes = shelf.put(tree.select("collection_key", "name", "parent"), "nodes")
+    if nodes.where(c("collection_key") == root).isEmpty():
+        raise MissingRoot(f"collection {root} is not in this library any more")
+    is_root = c("collection_key") == root
+    ways = nodes.where(is_root | c("parent").isNotNull()).select("collection_key", F.when(is_root, root).otherwise(c("parent")).alias("up"), F.when(is_root, 0).otherwise(1).cast("long").alias("depth"))
+    ways, turn, most = shelf.put(ways, "ways0"), 0, nodes.count().bit_length() + 1
+    while turn < most and not ways.where(c("up") != root).isEmpty():
+        there = ways.select(c("collection_key").alias("up"), c("up").alias("far"), c("depth").alias("more"))
+        turn += 1
+        # A node whose parent is missing points nowhere and goes; one in a cycle never comes to the root.
+        ways = shelf.put(ways.join(there, "up").select("collection_key", c("far").alias("up"), (c("depth") + c("more")).alias("depth")), f"ways{turn}")
+    reached = ways.where(c("up") == root).select("collection_key", "depth")
+    return nodes.join(reached, "collection_key").select("collection_key", "name", "parent", c("depth").cast("int").alias("depth"))
 
 
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
@@ -44,8 +52,20 @@ def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def order_of(tree: DataFrame) -> DataFrame:
-    """A subtree with each node's place: breadth first, siblings by name."""
-    return numbered(tree, "depth", "name", "collection_key")
+    """A subtree with each node's place: breadth first, under parents in their order, siblings by name.
+
+    Nodes of one depth stand in the order of the names on their paths from the root. Paths are ranked by doubling: from the rank of a
+    node's last 2^k names and that of its 2^k-th ancestor comes the rank of its last 2^(k+1), so no path is ever spelled out.
+    """
+    shelf = Shelf(tree.sparkSession, "order")
+    deepest = tree.agg(F.max("depth")).first()[0]
+    ranked = numbered(tree.select("collection_key", "name", "parent", "depth"), "name", "collection_key")
+    ways = shelf.put(ranked.select("collection_key", F.when(c("depth") > 0, c("parent")).alias("up"), c("place").alias("line")), "ways0")
+    for turn in range((deepest or 0).bit_length()):
+        there = ways.select(c("collection_key").alias("up"), c("up").alias("far"), c("line").alias("above"))
+        pairs = ways.join(there, "up", "left").select("collection_key", c("far").alias("up"), F.coalesce("above", F.lit(-1)).alias("above"), "line")
+        ways = shelf.put(numbered(pairs, "above", "line").select("collection_key", "up", c("place").alias("line")), f"ways{turn + 1}")
+    return numbered(tree.join(ways.select("collection_key", "line"), "collection_key"), "depth", "line").drop("line")
 
 
 def counts(items: DataFrame, tree: DataFrame) -> DataFrame:

@@ -24,14 +24,27 @@ def items(t: Tables) -> DataFrame:
 
 
 def below(t: Tables, root: str = "R1") -> DataFrame:
-    return H.subtree(t("v_collections"), root).drop("path")
+    return H.subtree(t("v_collections"), root)
 
 
-@query("subtree", f"with recursive {BELOW % 'R1'} select collection_key, name, depth, row_number() over (order by depth, name, collection_key) - 1 as place from below")
+@query("subtree", """with recursive below(collection_key, name, depth, line) as (select collection_key, name, 0, [name || chr(1) || collection_key] from {v_collections} where collection_key = 'R1'
+  union all select t.collection_key, t.name, b.depth + 1, list_append(b.line, t.name || chr(1) || t.collection_key) from below b join {v_collections} t on t.parent = b.collection_key)
+select collection_key, name, depth, row_number() over (order by depth, line) - 1 as place from below""")
 def subtree(t: Tables) -> DataFrame:
     return H.order_of(below(t)).select("collection_key", "name", "depth", "place")
 
 
+# Events as a deep tree: each hangs on the one before it or on that before; a lost parent now and then.
+DEEP = "select event_id as collection_key, event_type as name, case when event_id = 0 then null when event_id % 300 = 299 then -1 else event_id - 1 - case when event_id % 3 = 0 then 1 else 0 end end as parent from {events}"
+
+
+@query("subtree_deep", f"with recursive tree as ({DEEP}), below as (select collection_key, 0 as depth from tree where collection_key = 0 union all select t.collection_key, b.depth + 1 from below b join tree t on t.parent = b.collection_key) select 'E' || collection_key as collection_key, depth from below")
+def subtree_deep(t: Tables) -> DataFrame:
+    """A tree of thousands of levels."""
+    key = lambda x: F.concat(F.lit("E"), c(x).cast("string")).alias(x)
+    return H.subtree(t.sql(DEEP).select(key("collection_key"), "name", key("parent")), "E0").select("collection_key", "depth")
+
+
 @query("collection_counts", f"select library, k as collection_key, name, parent, count(*) as items from (select library, unnest(collections) as k from ({ITEMS}) i) x left join {{v_collections}} v on v.collection_key = k group by all")
 def collection_counts(t: Tables) -> DataFrame:
     return H.counts(items(t), t("v_collections"))
@@ -64,7 +77,7 @@ def join_target(t: Tables) -> DataFrame:
 @query("label_index", f"with recursive {BELOW % 'R1'} select w.c_mktsegment as wanted, (select string_agg(name, '; ' order by name) from below where depth = 1) as known from (select distinct c_mktsegment from {{customer}}) w where lower(w.c_mktsegment) not in (select lower(name) from below)")
 def label_index(t: Tables) -> DataFrame:
     tree = below(t)
-    known = tree.where("depth = 1").agg(F.listagg("name", F.lit("; ")).alias("unordered"), F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("known")).select("known")
+    known = tree.where("depth = 1").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("known"))
     wanted = t("customer").select(c("c_mktsegment").alias("wanted")).distinct()
     missing = wanted.join(tree.select(F.lower("name").alias("low")), F.lower("wanted") == c("low"), "left_anti")
     return missing.join(F.broadcast(known), how="inner")  # one row of labels, put beside every miss

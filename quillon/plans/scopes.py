@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import apply as A
+from ..operators import search as S
+from ..operators.apply import is_filed, skip_reason
 from ..registry import query
+from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from .scalars import SPACED
 
@@ -71,6 +75,25 @@ def limit_search(t: Tables) -> DataFrame:
     return t("v_items").where(has_terms(c("title"), ["the"])).orderBy("library", "page_id").limit(20).select("page_id", "library")
 
 
+# Parts as library items: a title, two creators and a library each; queries of one to three words, asked by the users of the grants.
+SHELVED = "select 'groups/' || (1 + p_partkey % 89) as library, 'P' || p_partkey as item_key, p_name as title, p_brand as first_creator, p_type as second_creator from {part}"
+ASKED = """select p_partkey as query, p_partkey % 25 as user_id, case p_partkey % 4 when 0 then split_part(p_name, ' ', 1) when 1 then upper(split_part(p_name, ' ', 1)) || ', ' || split_part(p_name, ' ', 2)
+  when 2 then p_brand || ' ' || split_part(p_name, ' ', 1) else split_part(p_name, ' ', 2) || ' ' || p_type || ' absent' || (p_partkey % 2) end as text from {part} where p_partkey % 5 = 0"""
+READABLE = "select distinct user_id, 'groups/' || group_id as library from {v_grants}"
+
+
+@query("search_index", f"""with i as (select library, item_key, string_split({SPACED("title || ' ' || first_creator || ' ' || second_creator")}, ' ') as words from ({SHELVED}) s),
+  q as (select query, user_id, string_split({SPACED('text')}, ' ') as wanted from ({ASKED}) a),
+  m as (select query, row_number() over (partition by query order by i.library, item_key) as place, i.library, item_key from q join i on list_has_all(words, wanted) join ({READABLE}) r on r.user_id = q.user_id and r.library = i.library)
+  select query, place, library, item_key from m where place <= 25""")
+def search_index(t: Tables) -> DataFrame:
+    """Many queries at once, each over the libraries that its user may read."""
+    shelf = Shelf(t.spark, "search")
+    items = t.sql(SHELVED).select("library", "item_key", "title", F.array("first_creator", "second_creator").alias("creators"))
+    postings, n = S.index(items)
+    return S.search(t.sql(ASKED), shelf.put(postings, "postings"), shelf.put(n, "frequencies"), t.sql(READABLE))
+
+
 LEDGER = "select distinct binding_id, identifier from {v_ingest_events} where event_id % 3 = 0"
 
 
@@ -81,11 +104,14 @@ def anti_ledger(t: Tables) -> DataFrame:
     return fresh.groupBy("binding_id", "identifier").agg(F.min("event_id").alias("event_id"))
 
 
-@query("sink_ledger", "select binding_id, identifier, min(event_id) as event_id from {v_ingest_events} group by binding_id, identifier")
+@query("sink_ledger", "select binding_id, identifier, event_id from (select *, row_number() over (partition by binding_id, identifier order by event_id % 2, event_id) as k from {v_ingest_events}) x where k = 1")
 def sink_ledger(t: Tables) -> DataFrame:
-    """The ledger after all requests: what was there, and each new identifier by its first request."""
-    w = Window.partitionBy("binding_id", "identifier").orderBy("event_id")
-    return t("v_ingest_events").withColumn("k", F.row_number().over(w)).where("k = 1").select("binding_id", "identifier", "event_id")
+    """The ledger after two calls, the requests with even numbers and those with odd ones: each takes the places that are still free."""
+    ledger = A.Ledger(t.spark, Shelf(t.spark, "sink").root)
+    requests = t("v_ingest_events").select("binding_id", "identifier", c("binding_id").alias("plan_id"), c("event_id").alias("pos"))
+    for half in (0, 1):
+        ledger.enter(requests.where(c("pos") % 2 == half))
+    return ledger.rows().select("binding_id", "identifier", c("pos").alias("event_id"))
 
 
 OUT = "select event_id, user_id as plan_id, event_type, case event_id % 5 when 0 then 'present' when 1 then 'new' when 2 then 'ambiguous' when 3 then 'unresolved' else 'invalid' end as outcome, event_id % 10 = 0 as in_plan, event_id % 2 = 0 as force from {events}"
@@ -95,24 +121,11 @@ INTO = "outcome = 'present' and file_into and not in_plan"
 WHY = "case when outcome = 'present' and in_plan then 'earlier in this plan' when outcome = 'present' then 'already there' when outcome = 'unresolved' then 'nothing resolved it' when outcome = 'invalid' then 'its metadata does not fit' when outcome = 'ambiguous' and not force then 'not decided' end"
 
 
-def skip_reason(outcome: Column, in_plan: Column, force: Column) -> Column:
-    """Why a planned row isn't written, null if it is."""
-    return (
-        F.when((outcome == "present") & in_plan, "earlier in this plan").when(outcome == "present", "already there").when(outcome == "unresolved", "nothing resolved it")
-        .when(outcome == "invalid", "its metadata does not fit").when((outcome == "ambiguous") & ~force, "not decided")
-    )
-
-
 @query("flt_applicable", f"select event_id, {WHY} as why from ({OUT}) o")
 def flt_applicable(t: Tables) -> DataFrame:
     return t.sql(OUT).select("event_id", skip_reason(c("outcome"), c("in_plan"), c("force")).alias("why"))
 
 
-def is_filed(outcome: Column, in_plan: Column, file_into: Column) -> Column:
-    """Whether a row edits the membership of an item that was there before the plan."""
-    return (outcome == "present") & file_into & ~in_plan
-
-
 @query("plan_counts", f"select plan_id, outcome, count(*) as n, count(*) filter ({INTO}) as to_file from ({FILED}) o group by rollup(plan_id, outcome)")
 def plan_counts(t: Tables) -> DataFrame:
     """Rows per outcome, and how many of them are to be filed; with totals by plan and of all."""

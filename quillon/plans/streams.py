@@ -10,7 +10,9 @@ from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from ..streaming import ledger as L
 from ..streaming import versions as V
-from .scopes import OUT, WHY, skip_reason
+from ..operators import apply as A
+from ..operators.apply import skip_reason
+from .scopes import FILED, INTO, OUT, WHY
 
 c = F.col
 
@@ -29,6 +31,19 @@ def stream_ledger(t: Tables) -> DataFrame:
     return t.spark.read.schema(L.LEDGER).parquet(f"{shelf.root}/ledger").groupBy("binding_id", "identifier").agg(F.count("*").alias("times"))
 
 
+@query("stream_ledger_late", "select binding_id, identifier, 1::bigint as times from (select distinct binding_id, identifier from {v_ingest_events}) x")
+def stream_ledger_late(t: Tables) -> DataFrame:
+    """The same with bounded state: repeats within an hour are dropped in the stream; later repeats, and rows that come later than the
+    watermark, meet the ledger. Batches come by event_id % 4, so most rows of the last three are late."""
+    shelf = Shelf(t.spark, "late")
+    rows, source = t("v_ingest_events").withColumn("created_at", c("created_at").cast("timestamp")), f"{shelf.root}/source"
+    for batch in range(4):
+        rows.where(c("event_id") % 4 == batch).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    L.into_ledger(stream, f"{shelf.root}/ledger", f"{shelf.root}/progress", "created_at")
+    return t.spark.read.schema(L.LEDGER).parquet(f"{shelf.root}/ledger").groupBy("binding_id", "identifier").agg(F.count("*").alias("times"))
+
+
 @query("stream_apply_once", "select user_id as plan_id, 1::bigint as applied from {events} group by user_id")
 def stream_apply_once(t: Tables) -> DataFrame:
     shelf = Shelf(t.spark, "apply")
@@ -113,3 +128,23 @@ def plan_apply_all(t: Tables) -> DataFrame:
         _apply(plan, path, call)
     rows = t.spark.read.schema(WRITTEN).parquet(path)
     return rows.groupBy(c("plan_id").alias("binding_id")).agg(F.count_if(c("call") == 1).alias("written"), F.count_if(c("call") == 2).alias("again"))
+
+
+# Every third plan comes again in a second call; of a plan's rows with one identifier the first takes its place.
+_PARTS = f"""select plan_id, 1 as call, case when {INTO} and error is not null then 'failed' when {INTO} then 'filed' when {WHY} is not null then 'skipped' when line > 1 then 'skipped' when error is not null then 'failed' else 'added' end as part
+  from (select *, case when {WHY} is null and not ({INTO}) then row_number() over (partition by plan_id, event_type || ':' || props, {WHY} is null and not ({INTO}) order by event_id) end as line from ({FILED.replace(" from {events}", ", props from {events}")}) f) x"""
+
+
+@query("plan_apply_ledger", f"""with first as ({_PARTS}) select plan_id, call, part, count(*) as n from (select * from first union all select plan_id, 2, 'refused' from first where plan_id % 3 = 0) y group by all
+  union all select plan_id, 3, 'open', count(*) from (select plan_id, error, row_number() over (partition by plan_id, event_type || ':' || props order by event_id) as line from ({FILED.replace(" from {events}", ", props from {events}")}) f where {WHY} is null and not ({INTO})) z
+  where line = 1 and error is not null group by plan_id""")
+def plan_apply_ledger(t: Tables) -> DataFrame:
+    """Stored plans over the write-ahead ledger: what became of the rows of two calls, and the ledger's rows without a key afterwards."""
+    shelf = Shelf(t.spark, "write-ahead")
+    rows = t.sql(FILED.replace(" from {events}", ", event_type || ':' || props as identifier from {events}"))
+    plans = shelf.put(rows.select("plan_id", c("plan_id").alias("binding_id"), c("event_id").alias("pos"), "identifier", "outcome", "in_plan", "force", "file_into", "error"), "plans")
+    ledger = A.Ledger(t.spark, f"{shelf.root}/ledger")
+    told = [shelf.put(A.apply(p, ledger), f"told{k}").withColumn("call", F.lit(k)) for k, p in ((1, plans), (2, plans.where("plan_id % 3 = 0")))]
+    left = ledger.open().select("plan_id", F.lit(3).alias("call"), F.lit("open").alias("part"))
+    both = told[0].union(told[1]).select("plan_id", "call", "part")
+    return both.union(left).groupBy("plan_id", "call", "part").agg(F.count("*").alias("n"))

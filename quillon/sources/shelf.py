@@ -22,6 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path of the session's file systems, and the one that it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below a path whose writing has been completed, in the order of their names; none where the path isn't there."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    below = [str(x.getPath().toString()) for x in fs.listStatus(at) if x.isDirectory()]
+    return sorted(x for x in below if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS")))
+
+
 class Shelf:
     """Named tables of one operator call, below one new folder of the shared directory."""
 

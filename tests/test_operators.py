@@ -1,3 +1,4 @@
+import datetime
 import io
 import math
 import random
@@ -6,10 +7,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import discover, hierarchy, merge, placement, reconcile
+from quillon.operators import apply, discover, hierarchy, merge, placement, reconcile, search
 from quillon.sources import packages
 from quillon.sources.views import Tables
-from quillon.streaming import ledger
+from quillon.streaming import ledger, versions
 
 ITEM = "pos long, item_key string, library string, title string, doi string, isbn string, url string"
 
@@ -138,12 +139,49 @@ def test_subtree_and_filing(spark):
     below = hierarchy.subtree(tree, "R")
     assert {(r.collection_key, r.depth) for r in below.collect()} == {("R", 0), ("A", 1), ("B", 2)}
     assert hierarchy.subtree(tree, "X").count() == 2  # a cycle ends
+    with pytest.raises(hierarchy.MissingRoot):
+        hierarchy.subtree(tree, "gone")
     held = spark.createDataFrame([("K1", "g", ["R"], 3), ("K2", "g", ["Z"], 1), ("K3", "g", ["A"], 2)], "item_key string, library string, collections array<string>, version long")
     req = spark.createDataFrame([("K1", "A", True, 3), ("K2", "A", False, 1), ("K3", "A", False, 2), ("K3", "B", False, 9), ("K9", "A", False, 1)], "item_key string, target string, move boolean, version long")
     out = sorted((r.item_key, r.outcome, ",".join(r.collections or [])) for r in hierarchy.file_items(req, held, below, "R").collect())
     assert out == [("K1", "filed", "A"), ("K2", "refused", "Z"), ("K3", "failed", "A"), ("K3", "unchanged", "A"), ("K9", "refused", "")]
 
 
+def test_a_deep_tree(spark, monkeypatch):
+    """A chain of 10,000 levels takes a number of steps that follows its logarithm."""
+    from quillon.sources.shelf import Shelf
+
+    written, put = [], Shelf.put
+    monkeypatch.setattr(Shelf, "put", lambda self, df, name: (written.append(name), put(self, df, name))[1])
+    n = 10_000
+    chain = spark.range(n).selectExpr("'k' || id as collection_key", "'n' as name", "case when id > 0 then 'k' || (id - 1) end as parent")
+    got = hierarchy.subtree(chain.union(spark.createDataFrame([("lost", "n", "nowhere")], chain.schema)), "k5").collect()
+    assert {(r.collection_key, r.depth) for r in got} == {(f"k{i}", i - 5) for i in range(5, n)}
+    assert sum(w.startswith("ways") for w in written) <= math.log2(n) + 4
+
+
+def test_order_of_a_tree(spark):
+    rng = random.Random(8)
+    rows = [(f"c{i}", rng.choice("abc"), f"c{rng.randrange(i)}" if i else None) for i in range(60)] + [(f"c{i}", "z", f"c{i - 1}") for i in range(60, 90)]
+    children = {}
+    for key, name, parent in rows:
+        children.setdefault(parent, []).append((name, key))
+    line, todo = [], ["c0"]
+    while todo:  # breadth first, siblings by name
+        line.append(todo.pop(0))
+        todo += [k for _, k in sorted(children.get(line[-1], []))]
+    tree = hierarchy.subtree(spark.createDataFrame(rows, "collection_key string, name string, parent string"), "c0")
+    assert [r.collection_key for r in hierarchy.order_of(tree).orderBy("place").collect()] == line
+
+
+def test_search(spark):
+    items = spark.createDataFrame([("g/1", "a", "The Élan of Ducks", ["Okoro, B."]), ("g/2", "b", "Ducks", ["Élan Body"]), ("g/3", "c", "ducks elan", None), ("g/1", "d", None, None), ("g/1", "e", "Ducks elan", [])], "library string, item_key string, title string, creators array<string>")
+    queries = spark.createDataFrame([(1, 7, "elan DUCKS"), (2, 7, "okoro"), (3, 7, "absent ducks"), (4, 7, " - "), (5, 8, "ducks"), (6, 7, None), (7, 7, "ducks ducks")], "query long, user_id long, text string")
+    readable = spark.createDataFrame([(7, "g/1"), (7, "g/2"), (7, "g/2"), (8, "g/3")], "user_id long, library string")
+    found = search.search(queries, *search.index(items), readable, limit=2)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "g/1", "a"), (1, 2, "g/1", "e"), (2, 1, "g/1", "a"), (5, 1, "g/3", "c"), (7, 1, "g/1", "a"), (7, 2, "g/1", "e")]
+
+
 def test_markers(spark):
     xml = '<w:p><w:r><w:t>See [@a</w:t></w:r><w:r><w:t>b] and [@ab]</w:t></w:r></w:p><w:p><w:r><w:t>[@</w:t></w:r><w:commentRangeStart w:id="1"/><w:r><w:t>ab]</w:t></w:r></w:p>'
     parts = spark.createDataFrame([("d", packages.PARTS[0], xml)], "doc_id string, part string, xml string")
@@ -224,6 +262,61 @@ def test_ledger_survives_a_replay(spark, tmp_path):
     assert got == [(1, "a", 1), (2, "a", 3)]
 
 
+PLANS = "plan_id long, binding_id long, pos long, identifier string, outcome string, in_plan boolean, force boolean, file_into boolean, error string"
+
+
+def test_a_call_that_dies_leaves_no_duplicate(spark, tmp_path):
+    new = lambda plan, pos, x, error=None: (plan, 1, pos, x, "new", False, False, False, error)
+    plans = spark.createDataFrame([new(1, 1, "a"), new(1, 2, "b", "no room"), new(1, 3, "a"), (1, 1, 4, "c", "present", False, False, True, None), (1, 1, 5, "d", "ambiguous", False, False, False, None)], PLANS)
+    ledger, asked = apply.Ledger(spark, str(tmp_path)), []
+
+    def dies(rows):
+        asked.append(rows.count())
+        raise RuntimeError("lost between the places and the items")
+
+    with pytest.raises(RuntimeError):
+        apply.apply(plans, ledger, dies)
+    assert asked == [2] and sorted((r.identifier, r.item_key) for r in ledger.open().collect()) == [("a", None), ("b", None)]
+    again = sorted((r.pos, r.part, r.reason) for r in apply.apply(plans, ledger).collect())  # it wasn't applied, so it may come again
+    mine = "already ingested into this binding"
+    assert again == [(1, "skipped", mine), (2, "skipped", mine), (3, "skipped", mine), (4, "filed", None), (5, "skipped", "not decided")]
+    assert {r.part for r in apply.apply(plans, ledger).collect()} == {"refused"}
+    other = spark.createDataFrame([new(2, 1, "a"), new(2, 2, "e"), new(2, 3, "f", "no room")], PLANS)
+    assert sorted((r.pos, r.part, r.reason) for r in apply.apply(other, ledger).collect()) == [(1, "skipped", mine), (2, "added", None), (3, "failed", "no room")]
+    assert sorted(r.identifier for r in ledger.open().collect()) == ["a", "b", "f"] and ledger.rows().where("item_key is not null").count() == 1
+
+
+def test_an_unfinished_folder_does_not_count(spark, tmp_path):
+    ledger = apply.Ledger(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "a", 1, 1)], apply.INTENTS)
+    ledger.enter(rows)
+    (tmp_path / "intents" / "call=0" / "_SUCCESS").unlink()
+    assert ledger.rows().count() == 0 and ledger.enter(rows).count() == 1
+
+
+def test_late_rows_meet_the_ledger(spark, tmp_path):
+    at = lambda h: datetime.datetime(2026, 1, 1, h)
+    batches = [[(1, "a", 1, at(1)), (1, "a", 2, at(1)), (1, "b", 3, at(9))], [(1, "c", 4, at(2)), (1, "a", 5, at(2)), (1, "d", 6, at(9))], [(1, "c", 7, at(3)), (1, "e", 8, at(1)), (2, "a", 9, at(12))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "binding_id long, identifier string, event_id long, created_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("binding_id long, identifier string, event_id long, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ledger.into_ledger(stream, str(tmp_path / "ledger"), str(tmp_path / "progress"), "created_at")
+    got = sorted((r.binding_id, r.identifier, r.event_id) for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
+    assert got == [(1, "a", 1), (1, "b", 3), (1, "c", 4), (1, "d", 6), (1, "e", 8), (2, "a", 9)]
+
+
+def test_two_edits_of_one_version(spark, tmp_path):
+    """One is filed, the other is a conflict, though the stream is started anew between them."""
+    items = spark.createDataFrame([("K1", 3), ("K2", 1)], "item_key string, version long")
+    schema = "event_id long, item_key string, read_version long"
+    for rows in ([(1, "K1", 3), (2, "K9", 1)], [(3, "K1", 3), (4, "K1", 4), (5, "K2", 2)], [(6, "K2", 1), (7, "K1", 5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        versions.file_edits(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), items, str(tmp_path / "out"), str(tmp_path / "progress"))
+    read = lambda part: sorted((r.event_id, r.outcome, r.version) for r in spark.read.parquet(str(tmp_path / "out" / part)).collect())
+    assert read("filed") == [(1, "filed", 4), (4, "filed", 5), (6, "filed", 2), (7, "filed", 6)]
+    assert read("conflicts") == [(2, "refused", None), (3, "failed", 4), (5, "failed", 1)]
+
+
 def test_views_read_alike(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert t("v_citation_items").count() == 6000 and t("v_collections").count() == 181
