@@ -17,11 +17,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import FLUSH, PACKED, Bitmap, Sums, batch_of, bits, by_hash, frequent, sent
+from .counting import FLUSH, PACKED, Bitmap, Sums, batch_of, bits, by_hash, frequent, sent, summed
 from .counting import BITS as WIDTH
 from .shared import Shelf, buckets
 from .text import CHUNK_BYTES, U, Chunk, Words, chunks, mix, words
@@ -186,9 +186,12 @@ def _gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 _TEXT = "shard int, kind int, sources array<string>, which binary, terms binary, lengths binary, n binary"
 
 
-def _recount(batches: Iterator[pa.RecordBatch], kept, firsts) -> Iterator[pa.RecordBatch]:
-    """Texts to the terms of each chunk with their counts by source, cut by shard. Rows are text, lang, source."""
-    out = []
+def _recount(batches: Iterator[pa.RecordBatch], kept, firsts, parts: int) -> Iterator[pa.RecordBatch]:
+    """Texts to the terms of each chunk with their counts by source, cut by shard. Rows are text, lang, source.
+
+    A shard's terms are dealt to `parts` tasks, chunk by chunk; the task's number stands in for the shard's.
+    """
+    out, line = [], TaskContext.get().partitionId()
     for batch, c, w, key in _terms(batches, _CHUNK):
         langs, lang = _names(batch.column(1))
         sources, source = _names(batch.column(2))
@@ -212,7 +215,8 @@ def _recount(batches: Iterator[pa.RecordBatch], kept, firsts) -> Iterator[pa.Rec
             mine = order[a:b]
             names, which = np.unique(source[doc[at[mine]]], return_inverse=True)
             spans = w.start[at[mine]], w.end[at[mine]]
-            out.append((int(shard[mine[0]]), 1, [sources[i] for i in names.tolist()], which.astype("<u4").tobytes(), _gathered(low, *spans), (spans[1] - spans[0]).astype("<u4").tobytes(), n[mine].astype("<i8").tobytes()))
+            out.append((int(shard[mine[0]]) * parts + line % parts, 1, [sources[i] for i in names.tolist()], which.astype("<u4").tobytes(), _gathered(low, *spans), (spans[1] - spans[0]).astype("<u4").tobytes(), n[mine].astype("<i8").tobytes()))
+        line += 1
         if len(out) >= 100:
             yield _texts(out, _TEXT)
             out = []
@@ -222,14 +226,14 @@ def _recount(batches: Iterator[pa.RecordBatch], kept, firsts) -> Iterator[pa.Rec
 _COUNTED = "shard int, source string, ordinals binary, n binary, total long"
 
 
-def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's transducer, which comes first, then texts' terms: counts by source and ordinal."""
+def _through(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """A shard's transducer, which comes first, then a part of the texts' terms: counts by source and ordinal."""
     machine, shard, ids, held = None, None, {}, Sums()
     for batch in batches:
         for i, row in enumerate(batch.select(["shard", "kind", "sources"]).to_pylist()):
             terms, which, lengths, n = (batch.column(x)[i].as_buffer() for x in ("terms", "which", "lengths", "n"))
             if row["kind"] == 0:
-                machine, shard = Transducer.unpack(terms.to_pybytes()), row["shard"]
+                machine, shard = Transducer.unpack(terms.to_pybytes()), row["shard"] // parts
                 continue
             own = np.array([ids.setdefault(x, len(ids)) for x in row["sources"]], np.int64)[np.frombuffer(which, "<u4")]
             ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64))
@@ -318,12 +322,12 @@ def _audit(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBat
             if row["transducer"] is not None:
                 head = row
             else:
-                counts[row["source"]] = np.frombuffer(row["ordinals"], "<i8"), np.frombuffer(row["n"], "<i8")
+                counts.setdefault(row["source"], []).append((np.frombuffer(row["ordinals"], "<i8"), np.frombuffer(row["n"], "<i8")))
     if head is None:
         return
     machine, names = Transducer.unpack(head["transducer"]), head["sources"]
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums, best = compare([counts.get(x, none) for x in names], head["totals"], head["size"], machine.size, top)
+    of = lambda name: summed(*(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in counts.get(name, []))]) for i in (0, 1)))
+    sums, best = compare([of(x) for x in names], head["totals"], head["size"], machine.size, top)
     rows = [("term", head["lang"], names[s], machine.string(i).decode(), v, head["base"] + i) for s, i, v in best]
     rows += [("pair", head["lang"], a, b, int(sums[i, j]), 0) for i, a in enumerate(names) for j, b in enumerate(names) if i != j]
     yield batch_of(rows, _FOUND)
@@ -353,11 +357,14 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, shard: int = SHAR
         sizes[lang] = sizes.get(lang, 0) + size
     firsts = {lang: (np.array(begins, U), base) for lang, (begins, base) in firsts.items()}
     shards = spark.createDataFrame(listed, "shard int, lang string, first binary, base long").join(made, ["lang", "first"])
-    texts = rows.mapInArrow(partial(_recount, kept=bitmap, firsts=sc.broadcast(firsts)), _TEXT)
+    # As many tasks as the session's exchanges have, however few shards there are: a shard's texts are summed up in parts.
+    parts = max(1, -(-n // max(1, len(entries))))
+    texts = rows.mapInArrow(partial(_recount, kept=bitmap, firsts=sc.broadcast(firsts), parts=parts), _TEXT)
     empty = F.lit(b"")
-    heads = shards.select("shard", F.lit(0).alias("kind"), F.array().cast("array<string>").alias("sources"), empty.alias("which"), F.col("transducer").alias("terms"), empty.alias("lengths"), empty.alias("n"))
-    dealt = texts.union(heads).repartitionById(max(1, len(entries)), F.col("shard")).sortWithinPartitions("kind")
-    counts = shelf.put(dealt.mapInArrow(_through, _COUNTED), "counts")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.col("shard") * parts + i))
+    heads = shards.select(each.alias("shard"), F.lit(0).alias("kind"), F.array().cast("array<string>").alias("sources"), empty.alias("which"), F.col("transducer").alias("terms"), empty.alias("lengths"), empty.alias("n"))
+    dealt = texts.union(heads).repartitionById(max(1, len(entries)) * parts, F.col("shard")).sortWithinPartitions("kind")
+    counts = shelf.put(dealt.mapInArrow(partial(_through, parts=parts), _COUNTED), "counts")
     totals = counts.join(shards.select("shard", "lang"), "shard").groupBy("lang", "source").agg(F.sum("total").alias("total"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
     line = F.sort_array(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).alias("total"))))

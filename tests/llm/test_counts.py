@@ -174,7 +174,8 @@ def plain_audit(rows, least, top):
 @pytest.mark.parametrize(("least", "shard"), [(3, 1 << 15), (1, 3), (1000, 5)])
 def test_divergence_against_a_plain_version(spark, least, shard):
     rows = corpus()
-    assert sorted(tuple(r) for r in divergence.audit(table(spark, rows), least=least, top=7, shard=shard).collect()) == plain_audit(rows, least, 7)
+    docs = table(spark, rows).repartition(3)  # few shards are counted in parts
+    assert sorted(tuple(r) for r in divergence.audit(docs, least=least, top=7, shard=shard).collect()) == plain_audit(rows, least, 7)
 
 
 @given(st.lists(st.lists(st.integers(0, 3), min_size=12, max_size=12), min_size=1, max_size=5), st.integers(1, 20))
