@@ -30,10 +30,16 @@ def _findings(rows: DataFrame, level: str, code: str, detail: Column | None = No
     return rows.where("n > 0").select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"), c("n").cast("long").alias("n"), (detail if detail is not None else F.lit("")).alias("detail"))
 
 
+def address(items: DataFrame) -> Column:
+    """An item's address in whole: its sorted list of URIs, or the one that it has; none has a name of its own."""
+    listed = F.array_join(F.array_sort(F.coalesce("uris", F.array().cast("array<string>"))), "|") if "uris" in items.columns else c("uri")
+    return F.coalesce(C.null_if_empty(listed), F.lit("<no uri>"))
+
+
 def surrogates(items: DataFrame) -> DataFrame:
     """(doc_id, sig, n_uris, uris, label): one paper under several addresses in one document; no address counts as one."""
     label = F.concat(F.coalesce("first_author", F.lit("?")), F.lit(" "), F.coalesce(c("year").cast("string"), F.lit("?")), F.lit(": "), F.substring("title", 1, 60))
-    rows = items.select("doc_id", *IN_ORDER, signature().alias("sig"), F.coalesce("uri", F.lit("<no uri>")).alias("uri"), label.alias("label"))
+    rows = items.select("doc_id", *IN_ORDER, signature().alias("sig"), address(items).alias("uri"), label.alias("label"))
     grouped = rows.groupBy("doc_id", "sig").agg(F.collect_set("uri").alias("uris"), F.min(F.struct(*IN_ORDER, "label")).alias("first"))
     return grouped.where(F.size("uris") > 1).select("doc_id", "sig", F.size("uris").cast("long").alias("n_uris"), F.array_join(F.array_sort("uris"), " ").alias("uris"), "first.label")
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import audit as A
 from ..operators import placement as P
 from ..registry import query
 from ..sources import packages as K
@@ -50,13 +51,16 @@ def xml(t: Tables) -> DataFrame:
     instr = lambda x: F.concat(F.lit("<w:r><w:instrText>"), x, F.lit("</w:instrText></w:r>"))
     field = lambda codes, shown, end=None: para(mark("begin"), *(instr(x) for x in codes), mark("separate"), run(F.lit(shown)), end if end is not None else mark("end"))
     key = F.lpad(d.cast("string"), 8, "0")
-    item = lambda uris, title: F.concat(F.lit('{"uris":['), uris, F.lit(f'],"itemData":{{"title":"{title}"}}}}'))
+    # Two URIs in either order; the year as text or number, in a nested date; a body with a literal name behind an author without one.
+    item = lambda uris, title, more="": F.concat(F.lit('{"uris":['), uris, F.lit(f'],"itemData":{{"title":"{title}"'), F.lit(more) if isinstance(more, str) else more, F.lit("}}"))
+    year = F.when(d % 2 == 0, F.concat(F.lit('"'), (d % 60 + 1960).cast("string"), F.lit('"'))).otherwise((d % 60 + 1960).cast("string"))
+    csl = F.concat(F.lit(',"issued":{"date-parts":[['), year, F.lit(',6]]},"author":[{"family":""},{"'), F.when(d % 4 == 0, "literal").otherwise("family"), F.lit('":" Body '), d.cast("string"), F.lit(' "}]'))
     uri = lambda k: F.concat(F.lit('"http://zotero.org/groups/1/items/'), k, F.lit('"'))
-    citation = lambda name, note, items, schema: F.concat(F.lit('{"citationID":"'), name, F.lit('","properties":{"noteIndex":'), note, F.lit('},"citationItems":['), items, F.lit("]"), schema, F.lit("}"))
-    single = citation(key, F.lit("0"), item(uri(key), "A &amp; B"), F.when(d % 33 == 0, "").otherwise(',"schema":"csl"'))
+    citation = lambda name, note, items, schema: F.concat(F.lit('{"citationID":"'), name, F.lit('","properties":{"formattedCitation":"(Body, '), name, F.lit(')","noteIndex":'), note, F.lit('},"citationItems":['), items, F.lit("]"), schema, F.lit("}"))
+    single = citation(key, F.lit("0"), item(F.concat(uri(key), F.lit(","), uri(F.reverse(key))), "A &amp; B", csl), F.when(d % 33 == 0, "").otherwise(',"schema":"csl"'))
     name = when(18, key).otherwise(when(42, F.concat(key, F.lit("9"))).otherwise(F.concat(F.lit("G"), F.substring(key, 2, 7))))
     second = item(F.when(d % 24 == 0, "").otherwise(uri(F.reverse(key))), "C")
-    grouped = citation(name, (d % 4).cast("string"), F.concat(item(uri(key), "A &amp; B"), F.lit(","), second), F.lit(',"schema":"csl"'))
+    grouped = citation(name, (d % 4).cast("string"), F.concat(item(F.when(d % 12 == 0, uri(key)).otherwise(F.concat(uri(F.reverse(key)), F.lit(","), uri(key))), "A &amp; B", csl), F.lit(","), second), F.lit(',"schema":"csl"'))
     # A marker over two runs: an anchor between them, in a run of its own there, behind a bookmark, behind a run without text, around
     # both, in the first of them, and none.
     two = lambda between, before="", after="", first="": para(f"{before}<w:r>{first}<w:t>[@no</w:t></w:r>{between}<w:r><w:t>ne]</w:t></w:r>{after}")
@@ -77,8 +81,9 @@ def xml(t: Tables) -> DataFrame:
     main = F.concat(F.lit("<w:document><w:body>"), F.array_join(lines, ""), *(F.coalesce(x, F.lit("")) for x in extra), F.lit("</w:body></w:document>"))
     chunk = lambda n, *vs: F.concat(F.lit(f'<property name="ZOTERO_PREF_{n}"><vt:lpwstr>'), *(F.lit(v) if isinstance(v, str) else v for v in vs), F.lit("</vt:lpwstr></property>"))
     kind, pad = F.when(d % 7 == 0, "Bookmarks").otherwise("Field"), F.when(d % 13 == 0, " " * 300).otherwise("")
-    style = F.when(d % 11 == 0, "&lt;nothing id=&quot;").otherwise("&lt;style id=&quot;http://www.zotero.org/styles/")
-    tail = ("&quot;/&gt;", pad, "&lt;prefs&gt;&lt;pref name=&quot;fieldType&quot; value=&quot;", kind, "&quot;/&gt;")
+    # Some documents have no style, some preferences are cut off.
+    style = F.when(d % 11 == 0, "&lt;data&gt;&lt;nothing id=&quot;").otherwise("&lt;data&gt;&lt;style locale=&quot;fr-FR&quot; id=&quot;http://www.zotero.org/styles/")
+    tail = ("&quot;/&gt;", pad, "&lt;prefs&gt;&lt;pref name=&quot;fieldType&quot; value=&quot;", kind, "&quot;/&gt;&lt;/prefs&gt;", F.when(d % 17 == 0, "").otherwise("&lt;/data&gt;"))
     three = F.concat(chunk(3, *tail), chunk(1, style), chunk(2, c("lang")))
     custom = F.concat(F.lit("<Properties>"), when(4, three).otherwise(F.concat(chunk(2, *tail), chunk(1, style, c("lang")))), F.lit("</Properties>"))
     return t("documents").select("doc_id", main.alias("main"), custom.alias("custom"), when(7, '<w:comment w:id="1"/><w:comment w:id="2"/>').otherwise(none).alias("comments"), when(11, '<w:footnote w:id="1"/>' * 3).otherwise(none).alias("footnotes"))
@@ -122,12 +127,15 @@ def gen_paragraphs(t: Tables) -> DataFrame:
 URI = "'\"http://zotero.org/groups/1/items/' || {} || '\"'"
 TAIL = "']' || case when doc_id % 33 = 0 then '' else ',\"schema\":\"csl\"' end || '}'"
 NAME = "case when doc_id % 18 = 0 then k when doc_id % 42 = 0 then k || '9' else 'G' || substr(k, 2, 7) end"
-FIRST = f"""'{{"uris":[' || {URI.format('k')} || '],"itemData":{{"title":"A & B"}}}}'"""
+CSL = """',"issued":{"date-parts":[[' || case when doc_id % 2 = 0 then '"' || (doc_id % 60 + 1960) || '"' else (doc_id % 60 + 1960)::varchar end || ',6]]},"author":[{"family":""},{"' || case when doc_id % 4 = 0 then 'literal' else 'family' end || '":" Body ' || doc_id || ' "}]'"""
+ONE = lambda uris: f"""'{{"uris":[' || {uris} || '],"itemData":{{"title":"A & B"' || {CSL} || '}}}}'"""
+BOTH, SWAPPED = f"{URI.format('k')} || ',' || {URI.format('reverse(k)')}", f"{URI.format('reverse(k)')} || ',' || {URI.format('k')}"
 SECOND = f"""'{{"uris":[' || case when doc_id % 24 = 0 then '' else {URI.format('reverse(k)')} end || '],"itemData":{{"title":"C"}}}}'"""
 KEYED = "(select doc_id, lpad(doc_id::varchar, 8, '0') as k from {documents})"
-CODES = f"""select doc_id, case when doc_id % 3 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {{"citationID":"' || k || '","properties":{{"noteIndex":0}},"citationItems":[' || {FIRST} || {TAIL} else '' end
+HEAD = lambda name, note: f"""'ADDIN ZOTERO_ITEM CSL_CITATION {{"citationID":"' || {name} || '","properties":{{"formattedCitation":"(Body, ' || {name} || ')","noteIndex":' || {note} || '}},"citationItems":['"""
+CODES = f"""select doc_id, case when doc_id % 3 = 0 then {HEAD('k', '0')} || {ONE(BOTH)} || {TAIL} else '' end
   || case when doc_id % 12 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {{broken' else '' end
-  || case when doc_id % 6 = 0 then 'ADDIN ZOTERO_ITEM CSL_CITATION {{"citationID":"' || {NAME} || '","properties":{{"noteIndex":' || doc_id % 4 || '}},"citationItems":[' || {FIRST} || ',' || {SECOND} || '],"schema":"csl"}}' else '' end
+  || case when doc_id % 6 = 0 then {HEAD(NAME, 'doc_id % 4')} || {ONE(f"case when doc_id % 12 = 0 then {URI.format('k')} else {SWAPPED} end")} || ',' || {SECOND} || '],"schema":"csl"}}' else '' end
   || case when doc_id % 9 = 0 then 'ADDIN ZOTERO_BIBL {{"uncited":[]}} CSL_BIBLIOGRAPHY' else '' end as codes from {KEYED} d"""
 
 
@@ -142,19 +150,33 @@ def gen_field_codes_whole(t: Tables) -> DataFrame:
     return K.field_codes(parts(t))
 
 
-@query("gen_citations", f"select doc_id, 0 as ord, k as citation_id, 0 as note_index from {KEYED} d where doc_id % 3 = 0 union all select doc_id, 1, {NAME}, (doc_id % 4)::int from {KEYED} d where doc_id % 6 = 0")
+@query("gen_citations", f"select doc_id, 0 as ord, k as citation_id, '(Body, ' || k || ')' as formatted, 0 as note_index from {KEYED} d where doc_id % 3 = 0 union all select doc_id, 1, {NAME}, '(Body, ' || {NAME} || ')', (doc_id % 4)::int from {KEYED} d where doc_id % 6 = 0")
 def gen_citations(t: Tables) -> DataFrame:
     return K.citations(parts(t)).drop("items", "schema")
 
 
-@query("gen_citation_items", f"""select doc_id, 0 as ord, 0 as pos, 'http://zotero.org/groups/1/items/' || k as uri, 'A & B' as title from {KEYED} d where doc_id % 3 = 0
-  union all select doc_id, 1, 0, 'http://zotero.org/groups/1/items/' || k, 'A & B' from {KEYED} d where doc_id % 6 = 0
-  union all select doc_id, 1, 1, case when doc_id % 24 <> 0 then 'http://zotero.org/groups/1/items/' || reverse(k) end, 'C' from {KEYED} d where doc_id % 6 = 0""")
+_AT = "'http://zotero.org/groups/1/items/' || "
+_CITED = f"""select doc_id, 0 as ord, 0 as pos, [{_AT} k, {_AT} reverse(k)] as uris, 'A & B' as title, (doc_id % 60 + 1960)::varchar as year, 'Body ' || doc_id as first_author from {KEYED} d where doc_id % 3 = 0
+  union all select doc_id, 1, 0, case when doc_id % 12 = 0 then [{_AT} k] else [{_AT} reverse(k), {_AT} k] end, 'A & B', (doc_id % 60 + 1960)::varchar, 'Body ' || doc_id from {KEYED} d where doc_id % 6 = 0
+  union all select doc_id, 1, 1, case when doc_id % 24 <> 0 then [{_AT} reverse(k)] else [] end, 'C', null, null from {KEYED} d where doc_id % 6 = 0"""
+
+
+@query("gen_citation_items", f"select doc_id, ord, pos, array_to_string(uris, ' ') as uris, title, year, first_author from ({_CITED}) x")
 def gen_citation_items(t: Tables) -> DataFrame:
-    return K.citation_items(K.citations(parts(t))).select("doc_id", "ord", "pos", F.get("uris", F.lit(0)).alias("uri"), F.element_at("itemData", "title").alias("title"))
+    """Items with their addresses, and what is read from the record that each holds: nested dates and names keep their types."""
+    rows = K.cited(K.citation_items(K.citations(parts(t))))
+    return rows.select("doc_id", c("citation_id").alias("ord"), "pos", F.array_join("uris", " ").alias("uris"), "title", "year", "first_author")
+
+
+@query("chk_surrogate_lists", f"""select doc_id, 'error' as level, 'duplicate-surrogate' as code, count(distinct u) as n, any_value(first_author) || ' ' || any_value(year) || ': ' || any_value(title) || ' | ' || string_agg(distinct u, ' ' order by u) as detail
+  from (select *, coalesce(nullif(array_to_string(list_sort(uris), '|'), ''), '<no uri>') as u from ({_CITED}) x) y where title <> 'C' group by doc_id having count(distinct u) > 1""")
+def chk_surrogate_lists(t: Tables) -> DataFrame:
+    """The duplicate check over the packages themselves: an address is the whole list of URIs, in whatever order it stands."""
+    return A.duplicate_surrogate(K.cited(K.citation_items(K.citations(parts(t)))))
 
 
-@query("prefs_reassemble", "select doc_id, case when doc_id % 11 <> 0 then 'http://www.zotero.org/styles/' || lang end as style, case when doc_id % 7 = 0 then 'Bookmarks' else 'Field' end as field_type from {documents}")
+@query("prefs_reassemble", """select doc_id, case when doc_id % 11 <> 0 and doc_id % 17 <> 0 then 'http://www.zotero.org/styles/' || lang end as style, case when doc_id % 11 <> 0 and doc_id % 17 <> 0 then 'fr-FR' end as locale,
+  case when doc_id % 17 <> 0 then case when doc_id % 7 = 0 then 'Bookmarks' else 'Field' end end as field_type, case when doc_id % 4 = 0 then 3 else 2 end as chunks from {documents}""")
 def prefs_reassemble(t: Tables) -> DataFrame:
     return K.prefs(parts(t))
 

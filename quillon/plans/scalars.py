@@ -210,21 +210,19 @@ JSON = "select doc_id, citation_id, pos, '{\"issued\": {\"date-parts\": [[\"' ||
 
 @query("csl_year", "select doc_id, citation_id, pos, year::varchar as year from {v_citation_items}")
 def csl_year(t: Tables) -> DataFrame:
-    return csl_json(t).select("doc_id", "citation_id", "pos", F.get_json_object("j", "$.issued.date-parts[0][0]").alias("year"))
+    return csl_json(t).select("doc_id", "citation_id", "pos", C.csl_year(c("j")).alias("year"))
 
 
 def csl_json(t: Tables) -> DataFrame:
-    """Citation items with their embedded record as JSON text."""
+    """Citation items with their embedded record as a variant."""
     people = F.array(F.create_map(F.lit("family"), F.lit("")), F.create_map(F.when(c("pos") % 2 == 0, "family").otherwise("literal"), F.concat(F.lit(" "), "first_author", F.lit(" "))))
     issued = F.create_map(F.lit("date-parts"), F.array(F.array(c("year").cast("string"), F.lit("3"))))
-    return t("v_citation_items").withColumn("j", F.to_json(F.struct(issued.alias("issued"), people.alias("author"))))
+    return t("v_citation_items").withColumn("j", F.parse_json(F.to_json(F.struct(issued.alias("issued"), people.alias("author")))))
 
 
 @query("csl_first_author", "select doc_id, citation_id, pos, first_author as author from {v_citation_items}")
 def csl_first_author(t: Tables) -> DataFrame:
-    authors = F.from_json(F.get_json_object("j", "$.author"), "array<struct<family:string,literal:string>>")
-    names = F.transform(authors, lambda a: F.trim(F.coalesce(C.null_if_empty(a["family"]), a["literal"], F.lit(""))))
-    return csl_json(t).select("doc_id", "citation_id", "pos", F.get(F.filter(names, lambda n: n != ""), F.lit(0)).alias("author"))
+    return csl_json(t).select("doc_id", "citation_id", "pos", C.csl_first_author(c("j")).alias("author"))
 
 
 @query("first_creator", "select p_partkey, case when p_partkey % 3 = 0 then p_brand else split_part(p_name, ' ', 1) end as creator from {part}")

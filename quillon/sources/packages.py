@@ -116,19 +116,36 @@ def field_codes(parts: DataFrame) -> DataFrame:
     return parts.where(c("part") == PARTS[0]).select("doc_id", C.instructions(c("xml")).alias("codes"))
 
 
-_CITATION = "struct<citationID:string,properties:struct<noteIndex:int>,citationItems:array<struct<uris:array<string>,itemData:map<string,string>>>,schema:string>"
-
-
 def citations(parts: DataFrame) -> DataFrame:
-    """(doc_id, ord, citation_id, note_index, items, schema): fields whose JSON can't be read are left out and take no number."""
+    """(doc_id, ord, citation_id, formatted, note_index, items, schema): fields whose JSON can't be read are left out and take no number.
+
+    Items stay as they are written, variants whose members keep their types.
+    """
     pieces = F.slice(F.split("codes", ITEM), 2, 1 << 30)
-    read = F.filter(F.transform(pieces, lambda b: F.from_json(b, _CITATION)), lambda j: j["citationItems"].isNotNull())
+    read = F.filter(F.transform(pieces, lambda b: F.try_parse_json(b)), lambda j: F.coalesce(F.schema_of_variant(j).startswith("OBJECT<"), F.lit(False)))
     rows = field_codes(parts).select("doc_id", F.posexplode(read).alias("ord", "j"))
-    return rows.select("doc_id", "ord", c("j.citationID").alias("citation_id"), F.coalesce("j.properties.noteIndex", F.lit(0)).alias("note_index"), c("j.citationItems").alias("items"), c("j.schema").alias("schema"))
+    get = lambda path, kind="string": F.try_variant_get("j", path, kind)
+    items = F.coalesce(get("$.citationItems", "array<variant>"), F.array().cast("array<variant>"))
+    return rows.select(
+        "doc_id", "ord", get("$.citationID").alias("citation_id"), F.coalesce(get("$.properties.formattedCitation"), F.lit("")).alias("formatted"),
+        F.coalesce(get("$.properties.noteIndex", "int"), F.lit(0)).alias("note_index"), items.alias("items"), get("$.schema").alias("schema"),
+    )
 
 
 def citation_items(cits: DataFrame) -> DataFrame:
-    return cits.select("doc_id", "ord", F.posexplode_outer("items").alias("pos", "item")).select("doc_id", "ord", "pos", "item.uris", "item.itemData")
+    """(doc_id, ord, pos, uris, item_data): the items of each citation; a citation without any has one row of nulls."""
+    rows = cits.select("doc_id", "ord", F.posexplode_outer("items").alias("pos", "item"))
+    uris = F.coalesce(F.try_variant_get("item", "$.uris", "array<string>"), F.array().cast("array<string>"))
+    return rows.select("doc_id", "ord", "pos", F.when(c("item").isNotNull(), uris).alias("uris"), F.try_variant_get("item", "$.itemData", "variant").alias("item_data"))
+
+
+def cited(items: DataFrame) -> DataFrame:
+    """Citation items as the audit reads them: (doc_id, citation_id, cited_at, pos, uris, doi, title, year, first_author)."""
+    get = lambda path: F.try_variant_get("item_data", path, "string")
+    return items.where("pos is not null").select(
+        "doc_id", c("ord").alias("citation_id"), c("ord").alias("cited_at"), "pos", "uris", C.null_if_empty(C.strip(get("$.DOI"))).alias("doi"), C.strip(F.coalesce(get("$.title"), F.lit(""))).alias("title"),
+        C.csl_year(c("item_data")).alias("year"), C.csl_first_author(c("item_data")).alias("first_author"),
+    )
 
 
 def _chunks(xml: Column) -> Column:
@@ -139,10 +156,18 @@ def _chunks(xml: Column) -> Column:
 
 
 def prefs(parts: DataFrame) -> DataFrame:
-    """(doc_id, style, field_type): preference chunks put together in the order of their numbers; null for what they don't say."""
-    rows = parts.where(c("part") == PARTS[1])
-    text = F.array_join(F.transform(_chunks(c("xml")), lambda p: p["v"]), "")
-    return rows.select("doc_id", C.extract(text, r'<style id="([^"]*)"').alias("style"), C.extract(text, r'<pref name="fieldType" value="([^"]*)"').alias("field_type"))
+    """(doc_id, style, locale, field_type, chunks): preference chunks put together in the order of their numbers.
+
+    Null for what they don't say, and for all three where together they are no well-formed XML; `chunks` is how many there are.
+    """
+    rows = parts.where(c("part") == PARTS[1]).select("doc_id", _chunks(c("xml")).alias("held"))
+    text = F.array_join(F.transform("held", lambda p: p["v"]), "")
+    whole = text.rlike(r"^\s*<data\b[^<>]*>(?:[^<>]++|<[^<>]++>)*</data>\s*$")
+    said = lambda pattern: F.when(whole, C.extract(text, pattern))
+    return rows.where(F.size("held") > 0).select(
+        "doc_id", said(r'<style\s[^<>]*?\bid="([^"]*)"').alias("style"), said(r'<style\s[^<>]*?\blocale="([^"]*)"').alias("locale"),
+        said(r'<pref name="fieldType" value="([^"]*)"').alias("field_type"), F.size("held").alias("chunks"),
+    )
 
 
 def counts(parts: DataFrame) -> DataFrame:
@@ -163,7 +188,7 @@ def invariants(parts: DataFrame) -> DataFrame:
     """Whether a document's fields are whole: as many begins as separators and ends, ids unique and 8 long, addresses, data and schema present, preference chunks of 255 characters at most."""
     n = lambda kind: F.regexp_count("xml", F.lit(f'w:fldCharType="{kind}"'))
     marks = parts.where(c("part") == PARTS[0]).select("doc_id", ((n("begin") == n("separate")) & (n("begin") == n("end"))).alias("balanced"))
-    whole = F.forall("items", lambda i: (F.size(F.coalesce(i["uris"], F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(i["itemData"], F.create_map().cast("map<string,string>"))) > 0))
+    whole = F.forall("items", lambda i: (F.coalesce(F.size(F.try_variant_get(i, "$.uris", "array<string>")), F.lit(0)) > 0) & (F.coalesce(F.size(F.try_variant_get(i, "$.itemData", "map<string,variant>")), F.lit(0)) > 0))
     per = citations(parts).groupBy("doc_id").agg(
         (F.count("citation_id") == F.count_distinct("citation_id")).alias("unique_ids"), F.bool_and(F.length("citation_id") == 8).alias("ids_8_long"), F.bool_and(c("note_index") == 0).alias("no_notes"),
         F.bool_and(whole).alias("whole_items"), F.bool_and(c("schema").isNotNull()).alias("has_schema"),
