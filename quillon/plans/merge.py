@@ -12,7 +12,7 @@ from ..operators import reconcile as R
 from ..registry import query
 from ..sources.shelf import Shelf
 from ..sources.views import Tables
-from .scalars import part_items
+from .scalars import ISBN13, part_items
 
 c = F.col
 
@@ -71,7 +71,7 @@ def merge_assert(t: Tables) -> DataFrame:
     return M.merge(told).select("p_partkey", changed.alias("overridden"), _text("asserted").alias("asserted"))
 
 
-@query("merge_creators", "select p_partkey, case when p_partkey % 5 in (0, 1) then 'author,editor,translator' when p_partkey % 5 = 4 then case when p_partkey % 4 = 1 then 'author,editor,translator' else 'author,editor,translator' end when p_partkey % 5 = 2 then case when p_partkey % 4 = 3 then 'author,editor,translator' else 'author' end else case when p_partkey % 4 = 0 then 'author,editor,translator' else 'author' end end as roles from {part}")
+@query("merge_creators", "select p_partkey, case when p_partkey % 5 in (0, 1) then 'author,editor,translator' when p_partkey % 5 = 4 then case when p_partkey % 4 = 1 then 'author,editor,translator' else 'author,editor,translator' end when p_partkey % 5 = 2 then case when p_partkey % 4 = 3 then 'author,editor,translator' else 'author,translator' end else case when p_partkey % 4 = 0 then 'author,editor,translator' else 'author' end end as roles from {part}")
 def merge_creators(t: Tables) -> DataFrame:
     plain = entries(t).withColumns({"authors": F.lit(None).cast("array<string>"), "editors": F.lit(None).cast("array<string>")})
     return M.merge(plain).select("p_partkey", F.array_join(F.transform("merged_creators", lambda x: x["creator_type"]), ",").alias("roles"))
@@ -104,18 +104,40 @@ def flt_uncertain_type(t: Tables) -> DataFrame:
     return entries(t).where(c("item_type").isNull() & c("source_type").isin(*C.UNCERTAIN_TYPES)).select("p_partkey")
 
 
-@query("merge_record")
+_META = """select p_partkey, target, unnest(['title', 'publisher', 'place', 'isbn']) as k, unnest([case p_partkey % 3 when 0 then p_name when 1 then p_name || '!' end, case when p_partkey % 7 < 3 then p_brand end, case when p_partkey % 2 = 0 then 'Rome' end, case when p_partkey % 11 = 0 then lpad(p_partkey::varchar, 10, '0') end]) as v from typed"""
+RECORD = BASE + f""", meta as ({_META}),
+  stated as (select m.p_partkey, m.target, coalesce(slot.field, case k when 'place' then 'place' when 'isbn' then 'ISBN' end) as f, case when k = 'isbn' then coalesce({ISBN13('m.v')}, m.v) else m.v end as v, 1 as pass
+    from meta m left join slot on slot.type = m.target and slot.family = m.k where m.v is not null union all select p_partkey, target, 'language', 'en', 2 from typed where p_partkey % 13 = 0),
+  put as (select s.p_partkey, s.f, s.v, h.v as before from stated s join tf on tf.type = s.target and tf.field = s.f left join homed h on h.p_partkey = s.p_partkey and h.home = s.f),
+  final as (select p_partkey, home as f, v from homed h where home is not null and not exists (select 1 from put where put.p_partkey = h.p_partkey and put.f = h.home) union all select p_partkey, f, v from put),
+  told as (select p_partkey, count(*) filter (before <> v) as n_overridden, string_agg(f || '=' || v, ';' order by f) filter (before is null) as asserted from put group by p_partkey),
+  dropped as (select p_partkey, string_agg(k || '=' || v, ';' order by k) as dropped from homed where home is null and source_type <> target group by p_partkey),
+  fill as (select p_partkey, 'url' as f, 'https://example.org/' || p_partkey as v from typed where p_partkey % 4 = 2
+    union all select t.p_partkey, 'accessDate', '2026-01-01' from typed t join told using (p_partkey) where p_partkey % 4 = 2 and (n_overridden > 0 or asserted is not null)),
+  every as (select * from final union all select * from fill),
+  record as (select p_partkey, string_agg(f || '=' || v, ';' order by f) as merged from every group by p_partkey), filled as (select p_partkey, string_agg(f || '=' || v, ';' order by f) as defaulted from fill group by p_partkey),
+  valid as (select p_partkey as id, error from ({VALID}) e)
+  select t.p_partkey, target as target_type, case when item_type is null and p_partkey % 3 = 2 and p_partkey % 7 >= 3 and p_partkey % 2 <> 0 and p_partkey % 11 <> 0 and p_partkey % 97 <> 0 and p_partkey % 13 <> 0 then 'translator' else 'translator+caller' end as source,
+  merged, coalesce(asserted, '') as asserted, coalesce(dropped, '') as dropped, coalesce(defaulted, '') as defaulted, coalesce(n_overridden, 0)::int as n_overridden, error
+  from typed t join record using (p_partkey) left join told using (p_partkey) left join dropped using (p_partkey) left join filled using (p_partkey) left join valid on valid.id = p_partkey"""
+
+
+@query("merge_record", RECORD)
 def merge_record(t: Tables) -> DataFrame:
     m = M.merge(entries(t))
     return m.select("p_partkey", "target_type", "source", _text("merged").alias("merged"), _text("asserted").alias("asserted"), _text("dropped").alias("dropped"), _text("defaulted").alias("defaulted"), F.size("overridden").alias("n_overridden"), "error")
 
 
-SOURCE = "case when item_type is not null or p_partkey % 3 <> 2 or p_partkey % 7 < 3 or p_partkey % 2 = 0 or p_partkey % 11 = 0 or p_partkey % 97 = 0 or p_partkey % 13 = 0 then true else false end"
-OUTCOME = VALID.replace(" select p_partkey, case when", f", checked as (select *, {SOURCE} as caller, case when", 1).rsplit(" from typed", 1)[0] + " from typed) "
-OUTCOME += "select p_partkey, case when p_partkey % 19 = 0 and p_partkey % 4 <> 2 then 'unresolved' when p_partkey % 19 = 0 and not caller then 'unresolved' when caller and error is not null then 'invalid' else 'new' end as outcome from checked"
+# An identifier that wasn't resolved leaves nothing of what it seemed to hold: the type, the title and the rest are the caller's.
+PLANNED = BASE.replace(" src as (select *,", " src as (select *, p_partkey % 19 <> 0 as resolved, case when p_partkey % 4 = 2 then 'url' else 'doi' end as kind,", 1) + """,
+  row as (select *, coalesce(item_type, case when resolved then source_type end) as aim, item_type is not null or p_partkey % 3 <> 2 or p_partkey % 7 < 3 or p_partkey % 2 = 0 or p_partkey % 11 = 0 or p_partkey % 97 = 0 or p_partkey % 13 = 0 as caller from typed),
+  wrong as (select *, case when p_partkey % 97 = 0 then 'unknown metadata keys' when aim is null then 'no item type'
+    when (p_partkey % 7 < 3 and aim in ('webpage', 'statute')) or (p_partkey % 2 = 0 and aim in ('webpage', 'statute')) or (p_partkey % 11 = 0 and aim <> 'book') then 'no field for a metadata key'
+    when p_partkey % 17 = 0 and aim <> 'book' then 'role not allowed' when not resolved and p_partkey % 3 = 2 then 'no title' end as error from row),
+  way as (select *, case when not resolved and kind = 'doi' then 'registered' when not resolved and not caller then 'bare' when caller and error is not null then 'bad' else 'fine' end as way from wrong)"""
 
 
-@query("plan_one", OUTCOME)
+@query("plan_one", PLANNED + " select p_partkey, case way when 'registered' then 'unresolved' when 'bare' then 'unresolved' when 'bad' then 'invalid' else 'new' end as outcome from way")
 def plan_one(t: Tables) -> DataFrame:
     return M.plan_rows(entries(t)).select("p_partkey", "outcome")
 
@@ -125,7 +147,13 @@ def flt_registered_unresolved(t: Tables) -> DataFrame:
     return entries(t).where(~c("resolved") & c("kind").isin("doi", "pmid", "arxiv")).select("p_partkey")
 
 
-@query("plan_warnings")
+@query("plan_warnings", PLANNED + """, lost as (select p_partkey as id, string_agg(k, ', ' order by k) as ks from homed where home is null group by p_partkey)
+  select w.p_partkey, concat_ws('; ', case when not resolved then 'the identifier led to nothing' end, case when way = 'registered' then 'a doi that leads nowhere was probably copied wrong' end,
+    case when not resolved and way in ('bad', 'fine') then 'nothing was read: built from the caller''s metadata' end, case when way = 'bad' then error end,
+    case when way = 'fine' and aim in ('webpage', 'report') and item_type is null then 'uncertain type' end, case when way = 'fine' and resolved and source_type <> target and ks is not null then 'no room for: ' || ks end,
+    case when way = 'fine' and not resolved then 'caller''s metadata alone' end,
+    case when way = 'fine' and w.p_partkey % 8 = 0 and not contains(lower(p_name), trim(regexp_replace(lower(got), '[^a-z0-9]+', ' ', 'g'))) and not contains(trim(regexp_replace(lower(got), '[^a-z0-9]+', ' ', 'g')), lower(p_name)) then 'another first author' end) as warnings
+  from (select *, case when resolved then p_brand when p_partkey % 6 = 0 then 'Rossi' else '' end as got from way) w left join lost on id = w.p_partkey""")
 def plan_warnings(t: Tables) -> DataFrame:
     return M.plan_rows(entries(t)).select("p_partkey", F.array_join("warnings", "; ").alias("warnings"))
 

@@ -119,6 +119,17 @@ def src_parts(t: Tables) -> DataFrame:
     return K.unpack(packed).groupBy("doc_id").agg(F.max("error").alias("error"), F.count("part").alias("parts"))
 
 
+@query("src_parts_stored", """select doc_id, case when doc_id % 50 = 7 then 'no main part' when doc_id % 50 = 9 then 'unreadable: BadZipFile' else md5(lang) end as found from {documents}""")
+def src_parts_stored(t: Tables) -> DataFrame:
+    """Packages as files' contents, unpacked once into parts and a quarantine; then the hash of a language from one part, and what was set aside."""
+    shelf = Shelf(t.spark, "packages")
+    content = shelf.put(xml(t).join(t("documents").select("doc_id", "lang"), "doc_id").select("doc_id", "main", F.concat(F.lit("<lang>"), F.md5(F.encode("lang", "UTF-8")), F.lit("</lang>")).alias("custom")).mapInArrow(_zip, "doc_id long, content binary"), "content")
+    K.take_in(content, f"{shelf.root}/parts")
+    rows = K.stored(t.spark, f"{shelf.root}/parts", "long")
+    custom = rows.where(c("part") == K.PARTS[1]).select("doc_id", F.regexp_extract("xml", "<lang>(.*)</lang>", 1).alias("found"))
+    return custom.union(rows.where(c("part") == K.QUARANTINE).select("doc_id", c("error").alias("found")))
+
+
 @query("gen_paragraphs", f"select doc_id, para, md5(text) as text_md5 from ({LINES}) l")
 def gen_paragraphs(t: Tables) -> DataFrame:
     return paras(t).select("doc_id", "para", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))

@@ -268,10 +268,15 @@ def synthetic_id(t: Tables) -> DataFrame:
     return t("v_items").select("page_id", C.synthetic_id(c("title"), F.lit(None).cast("string"), c("library")).alias("id"))
 
 
-@query("creator_parse", "select c_custkey, 'author' as creator_type, case when c_custkey % 2 = 0 then c_name end as last_name, case when c_custkey % 2 = 0 then c_mktsegment end as first_name, case when c_custkey % 2 = 1 then c_name end as name from {customer}")
+# A name as text of a person or of a body, or empty; as an object with a family name, with a whole one, with neither; a number.
+NAMED = """select c_custkey, case c_custkey % 7 when 0 then '" ' || c_name || ' , ' || c_mktsegment || '"' when 1 then '"' || c_name || '"' when 2 then '"  "' when 3 then '{{"family":"' || c_name || '","given":"' || c_mktsegment || '","name":"x"}}'
+  when 4 then '{{"lastName":"","literal":"' || c_name || '"}}' when 5 then '{{"given":"' || c_name || '"}}' else cast(c_custkey as string) end as j from {customer}"""
+
+
+@query("creator_parse", """select c_custkey, case when c_custkey % 7 in (0, 1, 3, 4) then 'author' end as creator_type, case when c_custkey % 7 in (0, 3) then c_name end as last_name, case when c_custkey % 7 in (0, 3) then c_mktsegment end as first_name,
+  case when c_custkey % 7 in (1, 4) then c_name end as name, case c_custkey % 7 when 2 then 'an empty name' when 5 then 'no creator can be read' when 6 then 'no creator can be read' end as error from {customer}""")
 def creator_parse(t: Tables) -> DataFrame:
-    value = F.when(c("c_custkey") % 2 == 0, F.concat(F.lit(" "), "c_name", F.lit(" , "), "c_mktsegment")).otherwise(c("c_name"))
-    return t("customer").select("c_custkey", C.creator(value, F.lit("author")).alias("x")).select("c_custkey", "x.*")
+    return t.sql(NAMED).select("c_custkey", C.creator_of(F.parse_json("j"), F.lit("author")).alias("x")).select("c_custkey", "x.*")
 
 
 LABELLED = """select *, case when pos % 3 <> 0 then '' || pos end as locator, case citation_id % 6 when 0 then 'verse' when 1 then 'chapter' when 2 then 'sub verbo' when 3 then 'article' when 4 then '' end as label from {v_citation_items}"""

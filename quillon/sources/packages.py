@@ -19,7 +19,7 @@ ITEM, BIBLIOGRAPHY = "ADDIN ZOTERO_ITEM CSL_CITATION ", "ADDIN ZOTERO_BIBL "
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, part, xml, error) of every package under a path; see `unpack`."""
+    """(doc_id, part, xml, error) of every package under a path; see `unpack`. Spark doesn't list files without a byte."""
     return unpack(spark.read.format("binaryFile").load(path).select(c("path").alias("doc_id"), "content"))
 
 
@@ -46,6 +46,23 @@ def unpack(packages: DataFrame) -> DataFrame:
     return packages.select("doc_id", "content").mapInArrow(_unzip, f"doc_id {kind}, part string, xml string, error string")
 
 
+QUARANTINE = "quarantine"
+
+
+def take_in(packages: DataFrame, path: str) -> None:
+    """Packages (doc_id, content) to a table of parts with a folder for each, and one for files that can't be read: one scan, one write.
+
+    What is written is read by `stored`, which goes to the folders of the parts that are asked for.
+    """
+    rows = unpack(packages).withColumn("part", F.when(c("error").isNull(), c("part")).otherwise(QUARANTINE))
+    rows.write.partitionBy("part").option("compression", "zstd").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, key: str = "string") -> DataFrame:
+    """(doc_id, xml, error, part) of a table that `take_in` wrote; `key` is the type of doc_id."""
+    return spark.read.schema(f"doc_id {key}, xml string, error string, part string").parquet(path)
+
+
 def paragraphs(parts: DataFrame) -> DataFrame:
     """(doc_id, para, xml, text, authors, has_anchor) of the main part; text leaves field codes out."""
     found = F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)(<w:p(?:\s[^>]*)?>.*?</w:p>)"), F.lit(1)))

@@ -134,6 +134,54 @@ def test_merge_rules(spark):
     assert [got[n].error for n in (3, 4, 5)] == ["no title", "no item type", "unknown item type"]
 
 
+def test_every_warning(spark):
+    """Each of the fifteen kinds, with the outcome of its row."""
+    schema = "n int, said_keys array<string>, identifier string, kind string, resolved boolean, source_type string, item map<string,string>, creators array<struct<creator_type:string,last_name:string,first_name:string,name:string>>, item_type string, metadata map<string,string>, fields map<string,string>, authors array<string>, editors array<string>, hint string"
+    people = [("author", "Okoro", "B.", None)]
+    row = lambda n, keys=None, ident=None, kind=None, ok=True, of=None, item=None, made=None, kind_of=None, meta=None, hint=None, authors=None: (n, keys, ident, kind, ok, of, item, made, kind_of, meta, None, authors, None, hint)
+    rows = [
+        row(1, ["id", "colour", "x"], "10.1/a", "doi"), row(2), row(3, None, "words", None, False), row(4, None, "words", None, False, kind_of="book", meta={"title": "T"}), row(5, None, "10.1/a", "doi", False, kind_of="book", meta={"title": "T"}),
+        row(6, None, "http://x.org/a.pdf", "url", False), row(7, None, "9781554042951", "isbn", False), row(8, None, "http://x.org/a", "url", False, kind_of="webpage", meta={"title": "T"}), row(9, None, "http://x.org/a", "url", False, kind_of="webpage", meta={"place": "Rome"}),
+        row(10, None, "http://x.org/a", "url", True, "webpage", {"title": "T"}, people), row(11, None, "http://x.org/a.pdf", "url", True, "book", {"title": "T"}, people), row(12, None, "10.1/a", "doi", True, "book", {"title": "T", "edition": "2"}, people, "webpage"),
+        row(13, None, "10.1/a", "doi", True, "book", {"title": "The one book"}, people, None, {"title": "Quite another thing"}), row(14, None, None, None, True, kind_of="book", meta={"title": "T"}), row(15, None, "10.1/a", "doi", True, "book", {"title": "T"}, people, None, None, "Smith"),
+        row(16, None, "10.1/a", "doi", True, "book", {"title": "T"}, people, None, None, "okoro"), row(17, None, "10.1/a", "doi", True, "book", {"title": "T"}, people, "book", None, None, [" "]),
+    ]
+    got = {r.n: (r.outcome, r.warnings) for r in merge.plan_rows(spark.createDataFrame(rows, schema)).collect()}
+    lost, alone = "the identifier led to nothing", "nothing was read: built from the caller's metadata"
+    assert got == {
+        1: ("invalid", ["unknown entry keys: colour, x"]), 2: ("invalid", ["neither an identifier nor a record"]), 3: ("unresolved", [lost]), 4: ("invalid", [lost, "leave out an identifier that is none"]),
+        5: ("unresolved", [lost, "a doi that leads nowhere was probably copied wrong"]), 6: ("unresolved", [lost, "a PDF is rarely read: give type and metadata"]), 7: ("unresolved", [lost, "no catalogue has this ISBN: give type and metadata"]),
+        8: ("new", [lost, alone, "caller's metadata alone"]), 9: ("invalid", [lost, alone, "no field for a metadata key"]), 10: ("new", ["uncertain type"]), 11: ("new", ["read from a PDF"]), 12: ("new", ["no room for: edition"]),
+        13: ("new", ["titles disagree"]), 14: ("new", ["caller's metadata alone"]), 15: ("new", ["another first author"]), 16: ("new", []), 17: ("invalid", ["an empty name"]),
+    }
+
+
+def test_item_types_are_tables(spark):
+    """A library's own types in place of the fixed ones."""
+    fields, roles = merge.type_tables(spark, {"map": ["caseName", "date", "genre"]}, {"map": ["cartographer"]})
+    told = merge.types(fields, roles).first()
+    assert (told.valid, told.roles, told.slots) == (["caseName", "date", "genre"], ["cartographer"], {"title": "caseName", "date": "date", "kind": "genre"}) and sorted(told.takes) == ["date", "kind", "title"]
+    schema = "source_type string, item map<string,string>, creators array<struct<creator_type:string,last_name:string,first_name:string,name:string>>, item_type string, metadata map<string,string>, fields map<string,string>, authors array<string>, editors array<string>, identifier string, kind string"
+    r = merge.merge(spark.createDataFrame([("book", {"title": "T", "place": "Rome"}, [("author", "A", "B", None)], "map", None, None, None, None, None, None)], schema), merge.types(fields, roles)).first()
+    assert r.merged == {"caseName": "T"} and r.dropped == {"place": "Rome"} and r.error is None
+
+
+def test_quarantine_and_pruning(spark, tmp_path):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for part in packages.PARTS[:2]:
+            z.writestr(part, f"<{part[:2]}/>")
+    (tmp_path / "in").mkdir()
+    for name, content in (("a", held.getvalue()), ("b", b"no package"), ("c", b"PK")):
+        (tmp_path / "in" / f"{name}.docx").write_bytes(content)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in")).select(F.col("path").alias("doc_id"), "content")
+    packages.take_in(files, str(tmp_path / "out"))
+    rows = packages.stored(spark, str(tmp_path / "out"))
+    one = rows.where(F.col("part") == packages.PARTS[1])
+    assert [r.xml for r in one.collect()] == ["<do/>"] and "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString()
+    assert sorted((r.doc_id[-6:], r.error) for r in rows.where(F.col("part") == packages.QUARANTINE).collect()) == [("b.docx", "unreadable: BadZipFile"), ("c.docx", "unreadable: BadZipFile")]
+
+
 def test_subtree_and_filing(spark):
     tree = spark.createDataFrame([("R", "Root", None), ("A", "Ann", "R"), ("B", "Bob", "A"), ("X", "Loop", "Y"), ("Y", "Loop2", "X")], "collection_key string, name string, parent string")
     below = hierarchy.subtree(tree, "R")
