@@ -125,7 +125,16 @@ def file_items(requests: DataFrame, items: DataFrame, below: DataFrame, root: st
     return out.select("item_key", "outcome", F.when(c("outcome") == "filed", after).otherwise(c("collections")).alias("collections"))
 
 
-def filing(present: DataFrame, below: DataFrame, deposit: str, target: Column, file_present: Column) -> DataFrame:
-    """What happens to an item that is already there when a plan targets a collection: other-leg, already, file or left."""
-    held = F.array_contains(c("collections"), target)
-    return present.withColumn("filing", F.when(c("library") != deposit, "other-leg").when(held, "already").when(file_present, "file").otherwise("left"))
+def filing(present: DataFrame, below: DataFrame, deposit: str, target: Column, file_present: Column, key: str = "item_key") -> DataFrame:
+    """What happens to an item that is already there when a plan targets a collection: `filing` is other-leg, already, file or left.
+
+    `held_in` names the item's collections inside the target's tree, in the order of its list; those elsewhere don't count. `key` names a row.
+    """
+    rows = present.withColumn("target", target).withColumn("wanted", file_present)
+    inside = rows.select(key, F.posexplode("collections").alias("at", "collection_key")).join(below.select("collection_key", "name"), "collection_key")
+    inside = inside.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "name", "collection_key"))).alias("held"))
+    rows = rows.join(inside, key, "left")
+    names, keys = (F.coalesce(F.transform("held", lambda x: x[i]), F.array().cast("array<string>")) for i in ("name", "collection_key"))
+    own = c("library") == deposit
+    told = F.when(~own, "other-leg").when(F.array_contains(keys, c("target")), "already").when(c("wanted"), "file").otherwise("left")
+    return rows.withColumn("filing", told).withColumn("held_in", F.when(own, names)).drop("target", "wanted", "held")

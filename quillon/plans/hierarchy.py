@@ -101,10 +101,12 @@ def join_version(t: Tables) -> DataFrame:
     return edits.join(t("v_items").select("page_id", "version"), "page_id").select("event_id", F.when(c("v") == c("version"), "filed").otherwise("failed").alias("outcome"))
 
 
-@query("plan_filing", f"select item_key, case when library <> 'groups/1' then 'other-leg' when list_contains(collections, 'N' || (page_id % 5)) then 'already' when page_id % 3 <> 0 then 'file' else 'left' end as filing from ({ITEMS}) i")
+@query("plan_filing", f"""with recursive {BELOW % 'R1'}, held as (select item_key, string_agg(name, '; ' order by place) as held_in, list(b.collection_key) as ks from (select item_key, unnest(collections) as k, unnest(range(len(collections))) as place from ({ITEMS}) i) x join below b on b.collection_key = k group by item_key)
+  select i.item_key, case when library <> 'groups/1' then 'other-leg' when coalesce(list_contains(ks, 'N' || (page_id % 5)), false) then 'already' when page_id % 3 <> 0 then 'file' else 'left' end as filing, case when library = 'groups/1' then coalesce(held_in, '') end as held_in from ({ITEMS}) i left join held h on h.item_key = i.item_key""")
 def plan_filing(t: Tables) -> DataFrame:
+    """What happens to items that are there already, and which of their collections lie in the plan's tree."""
     rows = H.filing(items(t), below(t), "groups/1", F.concat(F.lit("N"), c("page_id") % 5), c("page_id") % 3 != 0)
-    return rows.select("item_key", "filing")
+    return rows.select("item_key", "filing", F.array_join("held_in", "; ").alias("held_in"))
 
 
 @query("plan_apply_filing", f"""with recursive {BELOW % 'R1'}, f as (select *, 'N' || (page_id % 5) as target, exists (select 1 from below b where list_contains(collections, b.collection_key)) as inside from ({ITEMS}) i
@@ -113,7 +115,7 @@ def plan_filing(t: Tables) -> DataFrame:
 def plan_apply_filing(t: Tables) -> DataFrame:
     """Rows of a plan that are to be filed edit the item's membership; the same plan against the edited items changes nothing."""
     held, tree, shelf = items(t), below(t), Shelf(t.spark, "filing")
-    told = H.filing(held, tree, "groups/1", F.concat(F.lit("N"), c("page_id") % 5), c("page_id") % 3 != 0).where("filing = 'file'")
+    told = H.filing(held, below(t, "ROOT"), "groups/1", F.concat(F.lit("N"), c("page_id") % 5), c("page_id") % 3 != 0).where("filing = 'file'")
     plan = shelf.put(told.select("item_key", F.concat(F.lit("N"), c("page_id") % 5).alias("target"), F.lit(False).alias("move"), "version"), "plan")
     first = shelf.put(H.file_items(plan, held, tree, "R1"), "first")
     edited = held.join(first.select("item_key", c("collections").alias("edited")), "item_key", "left").withColumn("collections", F.coalesce("edited", "collections")).drop("edited")

@@ -178,7 +178,7 @@ def plan_build(t: Tables) -> DataFrame:
     there = held(t)
     told = R.in_batch(fresh, there.select("pos", "title", "doi", "isbn", "url")).select(c("pos").alias("p_partkey"), c("outcome").alias("found"), "match", "target", "in_plan")
     present = told.where("found = 'present' and not in_plan").select("p_partkey", c("target").alias("pos")).join(there.select("pos", "library", "collections"), "pos")
-    filed = H.filing(present, None, "groups/1", F.lit("N1"), F.lit(True)).select("p_partkey", "filing")
+    filed = H.filing(present, H.subtree(t("v_collections"), "ROOT"), "groups/1", F.lit("N1"), F.lit(True), "p_partkey").select("p_partkey", "filing")
     return rows.join(told, "p_partkey", "left").join(filed, "p_partkey", "left").select("p_partkey", F.coalesce("found", "outcome").alias("outcome"), "match", "target", "in_plan", "filing")
 
 
