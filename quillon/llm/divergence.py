@@ -33,7 +33,7 @@ SHARD = 1 << 15  # terms of one transducer
 #: Bytes that no term holds: all of ASCII but the letters.
 GAPS = np.ones(256, bool)
 GAPS[0x41:0x5B] = GAPS[0x61:0x7B] = GAPS[0x80:] = False
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _BLOCK = 1 << 20
 _PLACE = 40  # bits of an ordinal
 
