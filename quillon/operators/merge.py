@@ -210,3 +210,17 @@ def plan_rows(entries: DataFrame, kinds: DataFrame | None = None, today: str = "
     s = _steps(m)
     outcome = F.when(s["unknown"] | s["nothing"] | (s["nameless"] & s["caller"]) | s["bad"], "invalid").when(s["nameless"] | s["registered"] | s["bare"], "unresolved").otherwise("new")
     return m.withColumn("outcome", outcome).withColumn("warnings", warnings(m))
+
+
+CALLER_TAG = "caller-metadata"
+
+
+def written(rows: DataFrame, collection: Column, verdict: Column) -> DataFrame:
+    """Merged rows as the library gets them: `item` without bookkeeping, its one `collections`, and `tags`.
+
+    A row that a caller had a hand in is tagged, and so is the bearing of a verified one; a verdict without a bearing adds none.
+    """
+    bearing = F.try_element_at(F.create_map(*(F.lit(x) for kv in C.BEARINGS.items() for x in kv)), F.lower(verdict))
+    tags = F.array_compact(F.array(F.when(c("source") != "translator", CALLER_TAG), bearing))
+    kept = F.map_filter("merged", lambda k, v: ~k.isin(*C.BOOKKEEPING))
+    return rows.withColumns({"item": kept, "collections": F.array(collection), "tags": tags})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import discover as D
 from ..registry import query
+from ..sources.shelf import Shelf
 from ..sources.views import Tables
 from .scalars import COMPACT, SURNAME_OF, YEAR_IN
 
@@ -87,12 +88,14 @@ _MEASURES = ["candidates", "grouped", "atoms", "distinct_atoms", "auto", "human"
 @query("sink_discovery", f"""select s.doc_id, to_json(json_object({', '.join(f"'{m}', s.{m}" for m in _MEASURES)}))::varchar as summary, coalesce(b.body, '[]') as body from ({SUMMARY}) s left join
   (select doc_id, to_json(list(json_object('para', para, 'cand', cand, 'atom_pos', atom_pos, 'atom', atom, 'kind', coalesce(kind, ''), 'identifier', coalesce(identifier, '')) order by para, cand, atom_pos))::varchar as body from ({LINKED}) l group by doc_id) b on b.doc_id = s.doc_id""")
 def sink_discovery(t: Tables) -> DataFrame:
-    """A document's discovery as JSON: its measures, and its atoms in order with what they were resolved to."""
+    """A document's discovery written as JSON lines, and read again: its measures, and its atoms in order with what they were resolved to."""
     paragraphs = D.split_once(t("v_paragraphs"))
     row = F.struct("para", "cand", "atom_pos", "atom", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("identifier", F.lit("")).alias("identifier"))
     body = D.linked(paragraphs).groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("body"))
     summary = D.summary(paragraphs).select("doc_id", F.to_json(F.struct(*_MEASURES)).alias("summary"))
-    return summary.join(body, "doc_id", "left").na.fill("[]", ["body"])
+    out, path = summary.join(body, "doc_id", "left").na.fill("[]", ["body"]), f"{Shelf(t.spark, 'discovered').root}/lines"
+    out.write.option("compression", "gzip").json(path)
+    return t.spark.read.schema(out.schema).json(path)
 
 
 @query("discovery_resolvable", f"select doc_id, para, cand, bool_and(identifier is not null) as resolvable from ({LINKED}) l group by doc_id, para, cand")

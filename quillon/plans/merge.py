@@ -200,12 +200,20 @@ def add_tags(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
-@query("sink_items", "select page_id, 'title=' || title || ';url=' || url as item, 'N' || (page_id % 3) as collection, 'caller-metadata' as tags from {v_items}")
+VERDICT = "case split_part(p_type, ' ', 1) when 'STANDARD' then 'Supports_Directly' when 'SMALL' then 'contradicts' when 'MEDIUM' then 'mixed' when 'LARGE' then 'irrelevant' when 'ECONOMY' then 'supports' end"
+
+
+@query("sink_items", f"""select r.p_partkey, merged as item, 'N' || (r.p_partkey % 3) as collections, concat_ws(',', case when source <> 'translator' then 'caller-metadata' end,
+  case {VERDICT} when 'Supports_Directly' then 'supports' when 'supports' then 'supports' when 'contradicts' then 'contradicts' when 'mixed' then 'qualifies' end) as tags from ({RECORD}) r join {{part}} p on p.p_partkey = r.p_partkey""")
 def sink_items(t: Tables) -> DataFrame:
-    """Items as they are written: without bookkeeping, in the plan's collection, with their tags."""
-    item = F.create_map(F.lit("title"), c("title"), F.lit("url"), c("url"), F.lit("key"), c("item_key"), F.lit("version"), c("version").cast("string"))
-    rows = t("v_items").select("page_id", F.map_filter(item, lambda k, v: ~k.isin(*C.BOOKKEEPING)).alias("item"))
-    return rows.select("page_id", _text("item").alias("item"), F.concat(F.lit("N"), c("page_id") % 3).alias("collection"), F.array_join(F.array_union(F.array(), F.array(F.lit("caller-metadata"))), ",").alias("tags"))
+    """Merged parts written as items, a folder for each collection: without bookkeeping, with the tags of caller and verdict; read again."""
+    shelf = Shelf(t.spark, "items")
+    rows = M.merge(entries(t)).join(t("part").select("p_partkey", F.expr(VERDICT).alias("verdict")), "p_partkey")
+    kept = F.create_map(F.lit("key"), c("p_partkey").cast("string"), F.lit("version"), F.lit("3"), F.lit("dateAdded"), F.lit("2026-01-01"))
+    out = M.written(rows.withColumn("merged", F.map_concat("merged", kept)), F.concat(F.lit("N"), c("p_partkey") % 3), c("verdict"))
+    out = out.select("p_partkey", _text("item").alias("item"), F.array_join("collections", ",").alias("collections"), F.array_join("tags", ",").alias("tags"))
+    out.write.partitionBy("collections").parquet(f"{shelf.root}/items")
+    return t.spark.read.schema(out.schema).parquet(f"{shelf.root}/items")
 
 
 # A locator on two items in three, with and without a label, prefixes, suffixes and suppressed authors; pages of a citation are grouped.
