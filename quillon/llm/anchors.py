@@ -215,6 +215,7 @@ def _rows(e: _Entries, full: np.ndarray, need: np.ndarray, hot: np.ndarray, by_p
         f, n = o[full[o]], o[(need | hot)[o]]
         span, pick = np.empty(len(f), _FULL), np.empty(len(n), _PICK)
         span["start"], span["end"] = e.pos[f] - e.low[f], e.pos[f] + e.high[f]
+        span = np.unique(span.view("<i8")).view(_FULL)  # rows that are equal have equal spans
         pick["anchor"], pick["pos"], pick["part"], pick["hot"] = e.anchor[n].astype(np.int64), e.pos[n], e.part[n], hot[n]
         out.append((int(e.doc[o[0]]), int(e.hash[o[0]]), int(at[o[0]]), span.tobytes(), pick.tobytes()))
     return out
@@ -345,17 +346,23 @@ def _meet(batches: Iterator[pa.RecordBatch], rule: Rule, level: int) -> Iterator
         yield batch_of(rows[i : i + 5000])
 
 
-_CONTEXT = "anchor long, doc long, hash long, at int, low int, part int, hot boolean, text binary"
+_CONTEXT = "anchor long, doc long, hash long, at int, low int, part int, hot boolean, text binary, repeated boolean"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], rule: Rule, encode: Callable, level: int) -> Iterator[pa.RecordBatch]:
-    """(doc, hash, at, text or stretch, picks) to the occurrences to compare or to split, with the tokens of their contexts."""
+    """(doc, hash, at, text or stretch, picks, repeated) to the occurrences to compare or to split, with the tokens of their contexts; of a
+    document whose row is repeated, those of one row a task."""
     parts = parts_of(rule)[level]
     left, right = np.array([p.low for p in parts]), np.array([p.high for p in parts])
     parent = np.array([p.parent for p in parts])
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-    names = ["anchor", "doc", "hash", "at", "low", "part", "hot", "text"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_())
+    names = ["anchor", "doc", "hash", "at", "low", "part", "hot", "text", "repeated"]
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
+        if not level:
+            again = zip(*(batch.column(c).to_pylist() for c in ("doc", "hash", "again")), strict=True)
+            batch = batch.take(pa.array([i for i, (d, x, r) in enumerate(again) if not r or not ((d, x) in seen or seen.add((d, x)))], pa.int64()))
+        repeated = [False] * batch.num_rows if level else batch.column("again").to_pylist()
         doc, h, picks = (batch.column(c).to_pylist() for c in ("doc", "hash", "picks"))
         for c in chunks(batch.column("text")):
             if level:
@@ -376,6 +383,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], rule: Rule, encode: Callable, l
                 for column, x in zip(out, (pick["anchor"], [doc[i]] * len(pick), [h[i]] * len(pick), pick["pos"], low, pick["part"], pick["hot"] > 0), strict=False):
                     column.extend(x.tolist() if isinstance(x, np.ndarray) else x)
                 out[7].extend(stretch[p - b : p + a].tobytes() for p, b, a in zip(pos.tolist(), low.tolist(), high.tolist(), strict=True))
+                out[8].extend([repeated[i]] * len(pick))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
@@ -430,14 +438,22 @@ def spans(keyed_docs: DataFrame, shelf: Shelf, rule: Rule, encode: Callable, res
     """(doc, hash, spans): per document key a list of binaries of (start, end) pairs in tokens; without spans, no row."""
     n, found = buckets(keyed_docs.sparkSession), []
     source = keyed_docs.withColumn("at", F.lit(0))
+    repeated = shelf.put(keyed_docs.groupBy("doc", "hash").agg(F.count("*").alias("n")).where("n > 1").select("doc", "hash", F.lit(True).alias("again")), "repeated")
+    twice = not repeated.isEmpty()  # equal rows: one of them stands for all
+    gather = F.collect_set if twice else F.collect_list
     for level, parts in enumerate(parts_of(rule)):
         entered = source.mapInArrow(partial(_enter, rule=rule, n_buckets=n, level=level), f"bucket int, {_ROW}, entries binary")
         met = shelf.put(entered.repartitionById(n, F.col("bucket")).mapInArrow(partial(_meet, rule=rule, level=level), _ROW), f"met{level}")
         found.append(met.where("length(full) > 0").select("doc", "hash", "full"))
         if all(p.width == 1 for p in parts):
             break
-        picks = met.where("length(pick) > 0").groupBy(*_KEY).agg(F.collect_list("pick").alias("picks"))
+        picks = met.where("length(pick) > 0").groupBy(*_KEY).agg(gather("pick").alias("picks"))
+        if not level:
+            picks = picks.join(repeated, ["doc", "hash"], "left") if twice else picks.withColumn("again", F.lit(False))
         contexts = shelf.put(source.join(picks, _KEY).mapInArrow(partial(_contexts, rule=rule, encode=encode, level=level), _CONTEXT), f"contexts{level}")
+        if twice and not level:
+            once = contexts.where("repeated").dropDuplicates(["anchor", *_KEY, "part"])
+            contexts = shelf.put(contexts.where("not coalesce(repeated, false)").union(once), "distinct")
         compared = contexts.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor")
         found.append(compared.mapInArrow(partial(_compare, resolve=resolve), "doc long, hash long, full binary"))
         source = contexts.where("hot")
@@ -446,7 +462,7 @@ def spans(keyed_docs: DataFrame, shelf: Shelf, rule: Rule, encode: Callable, res
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    return every.groupBy("doc", "hash").agg(F.collect_list("full").alias("spans"))
+    return every.groupBy("doc", "hash").agg(gather("full").alias("spans"))
 
 
 def with_spans(keyed_docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ PARTITIONS = 1.25  # sizes of items in one partition differ by this factor at mo
 class Index:
     """Items of one block: their shingle sets, by the length of their shingles, and sketches to look up."""
 
-    def __init__(self, items: list[tuple[int, int, np.ndarray]], percent: int):
-        self.ids = np.array([i for i, _, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, int, np.ndarray]], percent: int):
+        self.ids = [i for i, _, _ in items]
         self.sets = [x for _, _, x in items]
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for width in sorted({w for _, w, _ in items}):
@@ -51,7 +51,7 @@ class Index:
             self.by_width[width] = (flat[order], owner[order])
 
 
-def item_sets(items: list[tuple[int, str | None]], width: int) -> list[tuple[int, int, np.ndarray]]:
+def item_sets(items: list[tuple[int | None, str | None]], width: int) -> list[tuple[int | None, int, np.ndarray]]:
     """(id, shingle length, set) of every item with a word; one with fewer than `width` words is one shingle of them all."""
     out = []
     texts = pa.array([t or "" for _, t in items], pa.large_string())
@@ -89,7 +89,7 @@ def _search(batches: Iterator[pa.RecordBatch], index, percent: int) -> Iterator[
     at: Index = index.value
     for batch in batches:
         docs = batch.column(0).to_pylist()
-        out = [(docs[c.first + t], int(at.ids[i]), len(at.sets[i]), n) for c in chunks(batch.column(1)) for t, i, n in hits(at, c, percent)]
+        out = [(docs[c.first + t], at.ids[i], len(at.sets[i]), n) for c in chunks(batch.column(1)) for t, i, n in hits(at, c, percent)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "item_id", "n_shingles", "n_shared"])
 
@@ -106,9 +106,9 @@ def _clean(batches: Iterator[pa.RecordBatch], index, percent: int, text_col: str
 def indexes(docs: DataFrame, items: DataFrame, percent: int, width: int, item_id: str, item_text: str, block_hashes: int) -> Iterator:
     """Broadcast indexes over blocks of items, each of at most `block_hashes` hashes, and whether it is the last; one block is all that the driver holds."""
     sc = docs.sparkSession.sparkContext
-    block: list[tuple[int, int, np.ndarray]] = []
+    block: list[tuple[int | None, int, np.ndarray]] = []
     size = 0
-    for row in items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), item_text).toLocalIterator():
+    for row in items.select(F.col(item_id).cast("long"), item_text).toLocalIterator():
         for found in item_sets([(row[0], row[1])], width):
             if size and size + len(found[2]) > block_hashes:
                 yield sc.broadcast(Index(block, percent)), False
@@ -133,8 +133,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int
     """(doc_id, item_id, n_shingles, n_shared) for every document that holds `percent` of an item's word shingles or more.
 
     Words are lower-cased (A-Z). An item of fewer than `width` words is held if its words follow each other in the document;
-    items and documents without words match nothing. Repeated rows give repeated results; a null doc_id is passed on, items with a null id are
-    skipped. No exchange: documents are scanned once per block of items.
+    items and documents without words match nothing. Repeated rows give repeated results, of documents and of items alike; a null
+    doc_id is passed on, and so is a null item_id: an item without an id is looked for like any other. No exchange: documents are scanned once per block of items.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shelf, found = Shelf(docs.sparkSession, "leaks"), []
@@ -148,12 +148,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, width: int
 
 def find_leaks_sql(percent: int = 80, width: int = 5) -> str:
     """The same rows in DuckDB SQL over `documents` and `benchmark`."""
-    listed = lambda t, i: f"select {i} as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {t}"
+    listed = lambda t, i: f"select {i} as id, row_number() over () as k_row, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {t}"
     return f"""
 with d as ({listed('documents', 'doc_id')}), b as ({listed('benchmark', 'item_id')}),
-items as (select id, least({width}, len(w)) as k, unnest(list_distinct(list_transform(range(1, len(w) - least({width}, len(w)) + 2), lambda i: array_to_string(w[i:i + least({width}, len(w)) - 1], ' ')))) as g from b where len(w) > 0),
-sizes as (select id, count(*) as n from items group by id),
-held as (select id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) as g from d, (select distinct k from items) where len(w) >= k)
+items as (select id, k_row, least({width}, len(w)) as k, unnest(list_distinct(list_transform(range(1, len(w) - least({width}, len(w)) + 2), lambda i: array_to_string(w[i:i + least({width}, len(w)) - 1], ' ')))) as g from b where len(w) > 0),
+sizes as (select k_row, count(*) as n from items group by k_row),
+held as (select id, k_row, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) as g from d, (select distinct k from items) where len(w) >= k)
 select h.id as doc_id, i.id as item_id, any_value(s.n) as n_shingles, count(*) as n_shared
-from held h join items i on h.g = i.g and h.k = i.k join sizes s on s.id = i.id
-group by h.id, i.id having 100 * count(*) >= {percent} * any_value(s.n)"""
+from held h join items i on h.g = i.g and h.k = i.k join sizes s on s.k_row = i.k_row
+group by h.k_row, h.id, i.k_row, i.id having 100 * count(*) >= {percent} * any_value(s.n)"""

@@ -114,7 +114,7 @@ def _key(word: np.ndarray, band: np.ndarray, part: np.ndarray, division: int) ->
 
 
 def _enter(batches: Iterator[pa.RecordBatch], width: int, percent: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (bucket, kind, a, b, c): kind 0 holds documents (id, set's name, size), kind 1 entries of sets: names,
+    """(doc_id, text, text's hash) to (bucket, kind, a, b, c): kind 0 holds documents (id, set's name, size, text's hash), kind 1 entries of sets: names,
     how many keys follow for each, and the keys' lower six bytes.
 
     Sets that a task has entered since the last flush aren't entered again, so copies cost one entry a task, not one a row.
@@ -146,11 +146,11 @@ def _enter(batches: Iterator[pa.RecordBatch], width: int, percent: int, n_bucket
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c))], ["bucket", "kind", "a", "b", "c"])
 
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, digest = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
         for c in chunks(batch.column(1)):
             sets = shingle_sets(words(c, lower=True), width)
             name = np.array([set_hash(x) for x in sets], np.int64)
-            docs.append(np.stack([ids[c.first : c.last], name, np.array([len(x) for x in sets])], 1).astype("<i8"))
+            docs.append(np.stack([ids[c.first : c.last], name, np.array([len(x) for x in sets]), digest[c.first : c.last]], 1).astype("<i8"))
             new = [i for i, x in enumerate(name.tolist()) if not (x in seen or seen.add(x))]
             who, key = part_keys([sets[i] for i in new], percent)
             keys.append(key)
@@ -164,7 +164,7 @@ def _enter(batches: Iterator[pa.RecordBatch], width: int, percent: int, n_bucket
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket's entries to (kind, a, b, n): kind 0 a document (id, set, size), kind 1 a set b tied to a centre a."""
+    """One bucket's entries to (kind, a, b, n, digest): kind 0 a document (id, set, size, text's hash), kind 1 a set b tied to a centre a."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for kind, a, b, c in zip(batch.column("kind").to_pylist(), batch.column("a"), batch.column("b"), batch.column("c"), strict=True):
@@ -175,8 +175,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key[:, :6] = low
                 found.append((key.view("<u8").ravel(), np.repeat(a, np.frombuffer(b.as_buffer(), "<u4"))))
             else:
-                d = a.reshape(-1, 3)
-                yield _rows(0, d[:, 0], d[:, 1], d[:, 2])
+                yield _rows(0, *a.reshape(-1, 4).T)
     if not found:
         return
     keys, names = zip(*found, strict=True)
@@ -199,11 +198,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     other = centre != name
     tied = np.unique(np.stack([centre[other], name[other]], 1), axis=0)
     if len(tied):
-        yield _rows(1, tied[:, 0], tied[:, 1], np.zeros(len(tied), np.int64))
+        yield _rows(1, *tied.T, np.zeros(len(tied), np.int64), np.zeros(len(tied), np.int64))
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (a, b, n))], ["kind", "a", "b", "n"])
+def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = pa.array(np.full(len(columns[0]), kind, np.int32))
+    return pa.RecordBatch.from_arrays([kinds, *(pa.array(np.ascontiguousarray(x)) for x in columns)], ["kind", "a", "b", "n", "digest"])
 
 
 def dense_sketch(x: np.ndarray) -> np.ndarray:
@@ -224,17 +224,20 @@ def fold(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(name, text, rep) to (name, n, sketch, text, rep), for texts whose set has that name."""
+    """(name, text, repeated) to (name, n, sketch, text, repeated), for texts whose set has that name; of repeated rows one a task."""
+    seen: set[int] = set()
     for batch in batches:
+        name, repeated = batch.column("name").to_pylist(), batch.column("repeated").to_pylist()
+        rows = pa.array([i for i, (x, r) in enumerate(zip(name, repeated, strict=True)) if not r or not (x in seen or seen.add(x))], pa.int64())
+        batch = batch.take(rows)
         name = batch.column("name").to_numpy(zero_copy_only=False)
         for c in chunks(batch.column("text")):
             sets = shingle_sets(words(c, lower=True), width)
             at = [i for i, x in enumerate(sets) if set_hash(x) == name[c.first + i]]
             rows = pa.array([c.first + i for i in at], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("name").take(rows), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([dense_sketch(sets[i]).tobytes() for i in at], pa.binary()), batch.column("text").take(rows)],
-                ["name", "n", "sketch", "text"],
-            )
+            named, text, twice = (batch.column(x).take(rows) for x in ("name", "text", "repeated"))
+            size, sketch = pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([dense_sketch(sets[i]).tobytes() for i in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([named, size, sketch, text, twice], ["name", "n", "sketch", "text", "repeated"])
 
 
 def likely_pairs(n: np.ndarray, sketches: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -343,21 +346,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     """
     shelf, n_buckets = Shelf(docs.sparkSession, "jaccard"), 2 * buckets(docs.sparkSession)  # a task holds the keys of its bucket
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = texts.where("doc_id is not null")
+    named = texts.where("doc_id is not null").withColumn("digest", F.xxhash64("text"))
     entered = named.mapInArrow(partial(_enter, width=width, percent=percent, n_buckets=n_buckets), "bucket int, kind int, a binary, b binary, c binary")
-    met = shelf.put(entered.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_meet, "kind int, a long, b long, n long"), "met")
-    members = met.where("kind = 0").selectExpr("a as doc_id", "b as name", "n")
+    met = shelf.put(entered.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_meet, "kind int, a long, b long, n long, digest long"), "met")
+    members = met.where("kind = 0").selectExpr("a as doc_id", "b as name", "n", "digest")
     ties = shelf.put(met.where("kind = 1").select(F.col("a").alias("centre"), F.col("b").alias("name")).distinct(), "ties")
-    # Any document of a class of equal sets can stand for it: the one with the least id does.
+    # Any document of a class of equal sets can stand for it: the one with the least id does, and of rows with that id the one whose
+    # text has the least hash. Rows that agree in both are told by their number, and become one.
     wanted = ties.select("centre").union(ties.select("name")).distinct().withColumnRenamed("centre", "name")
-    least = members.groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(wanted, "name")
-    chosen = named.join(least, "doc_id").select("name", "text").mapInArrow(partial(_sketch, width=width), "name long, n long, sketch binary, text string")
-    sets = shelf.put(chosen, "sets")
+    rows = members.where("n > 0").groupBy("name", "doc_id", "digest").agg((F.count("*") > 1).alias("repeated"))
+    least = rows.groupBy("name").agg(F.min(F.struct("doc_id", "digest", "repeated")).alias("row")).select("name", "row.*").join(wanted, "name")
+    chosen = named.join(least, ["doc_id", "digest"]).select("name", "text", "repeated").mapInArrow(partial(_sketch, width=width), "name long, n long, sketch binary, text string, repeated boolean")
+    sets = shelf.put(chosen, "chosen")
+    repeated = sets.where("repeated")
+    if not repeated.isEmpty():
+        sets = shelf.put(sets.where("not repeated").union(repeated.dropDuplicates(["name"])), "sets")
     links = _linked(shelf, ties, sets, percent, width, block)
     parts = connected(links, shelf)
     labelled = members.join(parts, members.name == parts.node, "left").select("doc_id", members.name, "n", F.coalesce("root", members.name).alias("root"))
     labelled = shelf.put(labelled, "labelled")
-    shelf.drop("met", "ties", "sets", *(f"{t}{k}" for t in ("checked", "rechecked", "parts") for k in "123"), "large")
+    shelf.drop("met", "ties", "chosen", "sets", *(f"{t}{k}" for t in ("checked", "rechecked", "parts") for k in "123"), "large")
     # The rows of one component may be a third of all: the least id is found by partial aggregates; those of large components are
     # broadcast, if they are few enough, and so don't meet in one task.
     roots = shelf.put(labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("docs")), "roots")

@@ -151,6 +151,48 @@ def test_a_connected_family_is_sent_once(spark):
     assert sent[1] < 8 * sent[0]
 
 
+def written(run):
+    """Rows of each table that `run` writes, and its result."""
+    put, seen = jaccard.Shelf.put, collections.Counter()
+    jaccard.Shelf.put = lambda self, df, name: (out := put(self, df, name), seen.update({name: out.count()}))[0]
+    try:
+        return seen, run().collect()
+    finally:
+        jaccard.Shelf.put = put
+
+
+@pytest.mark.parametrize("times", [3, 3000])
+def test_equal_rows_are_compared_once(spark, times):
+    t = prose(random.Random(2), 150, 5000)
+    rows = [(4, t)] * times + [(4, t + " end"), (9, "start " + t)]
+    seen, got = written(lambda: jaccard.near_duplicates(table(spark, rows)))
+    assert seen["sets"] == 3 and seen["chosen"] <= 2 + spark.sparkContext.defaultParallelism
+    assert collections.Counter(map(tuple, got)) == components(rows)
+
+
+def test_rows_of_one_id_are_sketched_once(spark):
+    """Near copies under one id cost what they cost under ids of their own."""
+    t = prose(random.Random(3), 150, 5000)
+    rows = [(7, f"{t} e{i}") for i in range(200)]
+    seen, got = written(lambda: jaccard.near_duplicates(table(spark, rows)))
+    assert seen["chosen"] == 200 and {(r.doc_id, r.component_id) for r in got} == {(7, 7)} and len(got) == 200
+
+
+@pytest.mark.parametrize("op", [automata, suffixes])
+def test_contexts_of_equal_rows_are_sent_once(spark, op):
+    """A passage, edited on both sides, in many equal rows: as many contexts as if there were two of them, and the same bytes or words go."""
+    rng = random.Random(4)
+    passage, a, b = prose(rng, 80, 900), prose(rng, 30, 900), prose(rng, 30, 900)
+    sizes, results = [], []
+    for times in (2, 1000):
+        rows = [(1, f"{a} {passage} {b}")] * times + [(2, f"{b} {passage} {a}")]
+        seen, got = written(lambda: op.remove_repeats(table(spark, rows)))  # noqa: B023
+        sizes.append(seen["distinct"])
+        results.append({tuple(r) for r in got})
+        assert len(got) == times + 1 and seen["contexts0"] <= sizes[-1] * spark.sparkContext.defaultParallelism
+    assert 0 < sizes[1] <= sizes[0] and results[0] == results[1]
+
+
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=80), st.lists(st.integers(0, 300), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_sketches_bound_the_difference(members, flips):
@@ -371,12 +413,14 @@ def test_contamination(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "Two words"), (3, None), (4, ""), (None, "a b c d e f")], "item_id long, text string")
     docs = table(spark, [(1, "x A B C D E F G H I J y"), (2, "a b c d e f g h i z"), (3, "these two words here"), (4, None), (5, "two"), (6, "a b c d x e f g h i j"), (None, "two words")])
     for block in (1 << 22, 1):  # all items at once, and each in a pass of its own
-        got = sorted(((r.doc_id or 0), r.item_id, r.n_shared) for r in contamination.find_leaks(docs, items, block_hashes=block).collect())
-        assert got == [(0, 2, 1), (1, 1, 6), (2, 1, 5), (3, 2, 1)]
+        got = sorted(((r.doc_id or 0), r.item_id or 0, r.n_shared) for r in contamination.find_leaks(docs, items, block_hashes=block).collect())
+        assert got == [(0, 2, 1), (1, 0, 2), (1, 1, 6), (2, 0, 2), (2, 1, 5), (3, 2, 1)]  # an item without an id is looked for too
         assert sorted(r.doc_id for r in contamination.without_leaks(docs, items, block_hashes=block).collect()) == [4, 5, 6]
     twice = table(spark, [(1, "x A B C D E F G H I J y")] * 2 + [(2, "word " * 300_000 + "two words")])
     assert sorted(r.doc_id for r in contamination.find_leaks(twice, items).collect()) == [1, 1, 2]
     assert contamination.find_leaks(docs, items.limit(0)).count() == 0
+    nameless = items.where("item_id is null").union(items.where("item_id = 2").selectExpr("null", "text"))
+    assert sorted(r.doc_id for r in contamination.without_leaks(docs, nameless).collect()) == [4, 5, 6]
 
 
 def plain_fingerprints(texts, low, high):
