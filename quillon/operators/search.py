@@ -29,13 +29,18 @@ def index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def search(queries: DataFrame, postings: DataFrame, frequencies: DataFrame, readable: DataFrame, limit: int = 25) -> DataFrame:
     """Queries (query, user_id, text) to (query, place, library, item_key): the first `limit` items in order of library and key.
 
+    Queries of the same words are one: they meet the items once, a library's first `limit` are kept, then those of each user's libraries.
     Only libraries that the user may read are searched (readable: user_id, library). A query without words finds nothing, and one
     with a word that no item has finds nothing either.
     """
-    asked = queries.select("query", "user_id", words_of(c("text")).alias("wanted")).where(F.size("wanted") > 0)
-    known = asked.select("query", F.explode("wanted").alias("word")).join(frequencies, "word", "left")
-    rarest = known.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("query", c("r.word").alias("word"))
-    met = asked.join(rarest, "query").join(postings, "word").where(F.size(F.array_except("wanted", "words")) == 0)
-    mine = met.join(readable.select("user_id", "library").distinct(), ["user_id", "library"])
-    place = F.row_number().over(Window.partitionBy("query").orderBy("library", "item_key"))
-    return mine.select("query", place.alias("place"), "library", "item_key").where(c("place") <= limit)
+    asked = queries.select("query", "user_id", F.sort_array(words_of(c("text"))).alias("wanted")).where(F.size("wanted") > 0)
+    texts = asked.select("wanted").distinct()
+    known = texts.select("wanted", F.explode("wanted").alias("word")).join(frequencies, "word", "left")
+    rarest = known.groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("wanted", c("r.word").alias("word"))
+    met = rarest.join(postings, "word").where(F.size(F.array_except("wanted", "words")) == 0).select("wanted", "library", "item_key")
+    first = lambda rows, per, by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(*by))).where(c("place") <= limit)
+    met = first(met, ["wanted", "library"], ["item_key"]).drop("place")
+    asks = asked.select("user_id", "wanted").distinct().join(readable.select("user_id", "library").distinct(), "user_id")
+    held = first(asks.join(met, ["wanted", "library"]), ["user_id", "wanted"], ["library", "item_key"]).drop("place")
+    mine = first(asked.join(held, ["user_id", "wanted"]), ["query"], ["library", "item_key"])
+    return mine.select("query", "place", "library", "item_key")

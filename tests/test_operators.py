@@ -2,6 +2,7 @@ import datetime
 import io
 import math
 import random
+import time
 import zipfile
 
 import pytest
@@ -429,3 +430,15 @@ def test_titles_of_one_isbn_dont_all_meet(spark):
         texts = titled(spark, titles)[0].select("rung", "key", "folded")
         compared.append(reconcile._meeting(texts, reconcile.Shelf(spark, "test")).count())
     assert compared[1] < 3 * compared[0] < 400 * 400
+
+
+def test_search_of_repeated_texts(spark):
+    """20,000 queries of the same words over 20,000 items that have them meet the items once, and each gets its own answer."""
+    items = spark.range(20000).selectExpr("concat('groups/', id % 3) as library", "lpad(id, 5, '0') as item_key", "'Common words here' as title", "array('A B') as creators")
+    queries = spark.range(20000).selectExpr("id as query", "id % 2 as user_id", "if(id % 5 = 0, 'words COMMON', 'common, words') as text")
+    readable = spark.createDataFrame([(0, "groups/1"), (0, "groups/2"), (1, "groups/0")], "user_id long, library string")
+    start = time.time()
+    got = search.search(queries, *search.index(items), readable, limit=2).orderBy("query", "place").collect()
+    assert time.time() - start < 60
+    want = {0: ["00001", "00004"], 1: ["00000", "00003"]}
+    assert [(r.query, r.place, r.item_key) for r in got] == [(q, i + 1, want[q % 2][i]) for q in range(20000) for i in (0, 1)]
