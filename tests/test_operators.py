@@ -449,3 +449,26 @@ def test_titles_of_one_url_that_do_not_agree_are_told(spark):
     pool = items(spark, (0, "A study of birds", None, None, url), (2, "A study of birds", None, None, url), (4, "Other thing", None, None, url + "/"), (6, "Other thing again", None, None, url), (8, "", None, None, url), (10, "Far away", None, None, "http://y.org"))
     got = {(r["class"], r.target, r.other) for r in reconcile.differing(pool).collect()}
     assert got == {("x.org/p", a, b) for x in (4, 6) for a, b in ((0, x), (x, 0))}
+
+
+def test_list_starts_take_one_shuffle(spark):
+    """Heading and shape are found in one pass over a document; both starts as before, blank and short windows included."""
+    entry, text = "Smith, A. (2001). A title.", "Some prose (Smith, 2001)."
+    docs = {
+        1: [text, "References", "", "", entry, entry], 2: [text] * 3 + [entry] * 12, 3: [entry] * 3, 4: [text, "References"], 5: [text] * 25 + [entry] * 8 + ["", ""],
+        6: [text, None, "References", "", "", "", "", entry], 7: [text, *[entry, text] * 15],
+    }
+    rows = spark.createDataFrame([(d, 3 * i, x) for d, lines in docs.items() for i, x in enumerate(lines)], "doc_id long, para long, text string")
+    assert {r.doc_id: r.start for r in discover.heading_start(rows).collect()} == {1: 4, 4: 2, 6: 3}
+    shaped = {r.doc_id: r.start for r in discover.shape_start(rows).collect()}
+    is_entry = lambda x: x == entry
+    want = {}
+    for d, lines in docs.items():
+        for i in range(len(lines) - 3):
+            part = lines[i : i + 20]
+            solid = sum(bool(x) for x in part)
+            if d not in want and solid >= 8 and sum(map(is_entry, part)) >= 0.75 * solid:
+                want[d] = i
+    assert shaped == want and 2 in want and 5 in want
+    plan = discover.split(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
