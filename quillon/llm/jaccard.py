@@ -39,6 +39,7 @@ DIVISIONS = 5  # divisions of the sketch that a set with many empty parts is tri
 BLOCK = 1024  # sets of one centre that are compared in one task
 LARGE = 1000  # rows of a component whose least id is broadcast
 BROADCAST_PAIRS = 100_000  # pairs whose endpoints are broadcast, about 10 MB; more are joined by exchange
+VERIFIED = 256  # pairs that are worth a task of their own
 FLUSH = 1 << 19  # entries that a task gathers before it sends them to their buckets
 _WORK = 1 << 22  # words of sketches that are compared at once
 
@@ -329,12 +330,12 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b, linked) for distinct written pairs. Few pairs are broadcast to the sets, so that only their texts move."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("name"))
-    if pairs.count() <= BROADCAST_PAIRS:
+    """(a, b, linked) for distinct written pairs. Few pairs are broadcast to the sets, so that only their texts move, and go to few tasks."""
+    ends, n = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("name")), pairs.count()
+    if n <= BROADCAST_PAIRS:
         ends = F.broadcast(ends)
     both = sets.select("name", "text").join(ends, "name").groupBy("a", "b").agg(F.collect_list(F.struct("name", "text")).alias("ends"))
-    return both.mapInArrow(partial(_verify, width=width, percent=percent), "a long, b long, linked boolean")
+    return both.coalesce(n // VERIFIED + 1).mapInArrow(partial(_verify, width=width, percent=percent), "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -365,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     parts = connected(links, shelf)
     labelled = members.join(parts, members.name == parts.node, "left").select("doc_id", members.name, "n", F.coalesce("root", members.name).alias("root"))
     labelled = shelf.put(labelled, "labelled")
-    shelf.drop("met", "ties", "chosen", "sets", *(f"{t}{k}" for t in ("checked", "rechecked", "parts") for k in "123"), "large")
+    shelf.drop("met", "ties", "chosen", "sets", *(f"{t}{k}" for t in ("checked", "rechecked", "parts") for k in "123"), "large", "members")
     # The rows of one component may be a third of all: the least id is found by partial aggregates; those of large components are
     # broadcast, if they are few enough, and so don't meet in one task.
     roots = shelf.put(labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("docs")), "roots")
@@ -403,8 +404,8 @@ def _all_pairs() -> Column:
     return F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
 
 
-def _compared(shelf: Shelf, dealt: DataFrame, sets: DataFrame, percent: int, width: int, step: str) -> DataFrame:
-    """Verified links (a, b) that connect all that is linked among the members of each (centre, block); `part` tells what is connected already."""
+def _compared(shelf: Shelf, dealt: DataFrame, sets: DataFrame, percent: int, width: int, step: str) -> DataFrame | None:
+    """Verified links (a, b) that connect all that is linked among the members of each (centre, block), None where there is no pair; `part` tells what is connected already."""
     groups = (
         dealt.join(sets.select("name", "n", "sketch"), "name").groupBy("centre", "block")
         .agg(F.collect_list(F.struct("name", "n", "sketch", "part")).alias("members"))
@@ -412,21 +413,34 @@ def _compared(shelf: Shelf, dealt: DataFrame, sets: DataFrame, percent: int, wid
     groups = shelf.put(groups, f"groups{step}")
     tree = shelf.put(groups.mapInArrow(partial(_offer, percent=percent, again=False), "centre long, block long, a long, b long"), f"tree{step}")
     pairs = shelf.put(tree.select("a", "b").distinct(), f"pairs{step}")
+    if pairs.isEmpty():
+        shelf.drop(f"groups{step}", f"tree{step}", f"pairs{step}")
+        return None
     checked = shelf.put(verified(pairs, sets, percent, width), f"checked{step}")
-    lost = tree.join(checked.where("not linked"), ["a", "b"]).groupBy("centre", "block").agg(F.collect_list(F.struct("a", "b")).alias("failed"))
-    more = groups.join(lost, ["centre", "block"]).mapInArrow(partial(_offer, percent=percent, again=True), "centre long, block long, a long, b long")
-    rest = shelf.put(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"rest{step}")
-    again = shelf.put(verified(rest, sets, percent, width), f"rechecked{step}")
-    shelf.drop(f"groups{step}", f"tree{step}", f"pairs{step}", f"rest{step}")
-    return checked.where("linked").select("a", "b").union(again.where("linked").select("a", "b"))
+    links, failed = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
+    if n := failed.count():
+        few = F.broadcast if n <= BROADCAST_PAIRS else lambda df: df  # the groups with their sketches stay where they are
+        lost = shelf.put(tree.join(few(failed), ["a", "b"]), f"lost{step}")
+        few = F.broadcast if lost.count() <= BROADCAST_PAIRS else lambda df: df
+        lost = lost.groupBy("centre", "block").agg(F.collect_list(F.struct("a", "b")).alias("failed"))
+        more = groups.join(few(lost), ["centre", "block"]).mapInArrow(partial(_offer, percent=percent, again=True), "centre long, block long, a long, b long")
+        rest = shelf.put(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"rest{step}")
+        if not rest.isEmpty():
+            links = links.union(shelf.put(verified(rest, sets, percent, width), f"rechecked{step}").where("linked").select("a", "b"))
+        shelf.drop(f"lost{step}", f"rest{step}")
+    shelf.drop(f"groups{step}", f"tree{step}", f"pairs{step}")
+    return links
 
 
 def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width: int, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between names of sets that connect all that is linked."""
     spark, key = ties.sparkSession, ["centre", "block", "name", "part"]
     members = _blocks(ties.union(ties.select("centre", F.col("centre").alias("name")).distinct()), block).withColumn("part", F.col("name"))
+    members = shelf.put(members, "members")
     own = F.when(F.col("blocks") <= 2, F.lit(0)).otherwise(F.col("mine"))
     links = _compared(shelf, members.withColumn("block", own.cast("long")).select(*key), sets, percent, width, "1")
+    if links is None:
+        return ties.select(F.col("centre").alias("a"), F.col("name").alias("b")).limit(0)
     large = shelf.put(members.where("blocks > 2").select("centre", "name"), "large")
     if large.isEmpty():
         return links
@@ -436,11 +450,13 @@ def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width:
         rows = large.join(found, large.name == found.node, "left").select("centre", large.name, F.coalesce("root", large.name).alias("part"))
         return shelf.put(rows, f"parts{step}")
 
-    leaders = _blocks(parted(links, "1").groupBy("centre", "part").agg(F.min("name").alias("name")), block)
+    parts = parted(links, "1")
+    leaders = _blocks(parts.groupBy("centre", "part").agg(F.min("name").alias("name")), block)
     dealt = leaders.withColumn("block", F.explode(_all_pairs().cast("array<bigint>"))).select(*key)
-    links = links.union(_compared(shelf, dealt, sets, percent, width, "2"))
+    if (more := _compared(shelf, dealt, sets, percent, width, "2")) is not None:
+        links = links.union(more)
+        parts = parted(links, "2")
     # Whatever is still apart: members outside their centre's largest part meet everything there, blocks of like parts don't.
-    parts = parted(links, "2")
     sizes = parts.groupBy("centre", "part").agg(F.count("*").alias("n"))
     most = sizes.groupBy("centre").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main")).where("`all` > in_main")
     placed = parts.join(most, "centre").withColumn("outer", F.col("part") != F.col("main"))
@@ -452,7 +468,8 @@ def _linked(shelf: Shelf, ties: DataFrame, sets: DataFrame, percent: int, width:
     with_outer = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: meeting(o, F.col("mine")))
     meets = F.when(F.col("outer"), F.concat(_all_pairs(), with_inner)).otherwise(with_outer)
     last = placed.withColumn("block", F.explode(meets.cast("array<bigint>"))).select(*key)
-    return links.union(_compared(shelf, last, sets, percent, width, "3"))
+    more = _compared(shelf, last, sets, percent, width, "3")
+    return links if more is None else links.union(more)
 
 
 def near_duplicates_sql(percent: int = 80, width: int = 5) -> str:

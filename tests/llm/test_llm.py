@@ -632,3 +632,21 @@ def test_pipeline(spark):
     packed = p.run(spark, SMALL)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in seen.collect()}
     assert packed.where(F.col("padding") < 0).count() == 0
+
+
+def test_small_steps_take_few_tasks(spark):
+    """A small graph's steps and few pairs to verify aren't dealt over all shuffle partitions, and steps without a pair are left out."""
+    rng = random.Random(8)
+    base = prose(rng, 120, 5000).split()
+    rows = [(i, " ".join([*base[: i % 9], f"x{i}", *base[i % 9 :]])) for i in range(40)]
+    parts, put = {}, jaccard.Shelf.put
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "7"), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    jaccard.Shelf.put = lambda self, df, name: (name in ("large1", "edges1", "checked1") and parts.update({name: df.rdd.getNumPartitions()}), put(self, df, name))[1]
+    try:
+        got = jaccard.near_duplicates(table(spark, rows), block=8).collect()
+    finally:
+        jaccard.Shelf.put = put
+        spark.conf.set("spark.sql.shuffle.partitions", old[0]), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    assert collections.Counter(map(tuple, got)) == components(rows)
+    assert parts["large1"] == parts["edges1"] == parts["checked1"] == 1
