@@ -5,6 +5,8 @@ Trees are adjacency tables (collection_key, name, parent); items hold an array o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,28 +19,53 @@ class MissingRoot(ValueError):
     """The collection that a tree is to hang on isn't in the library."""
 
 
-def subtree(tree: DataFrame, root: str) -> DataFrame:
+FEW = 50_000  # nodes of a tree that is followed as it is
+STOP = 16  # of a larger one, a node in so many is a stop
+
+
+def subtree(tree: DataFrame, root: str, few: int = FEW) -> DataFrame:
     """(collection_key, name, parent, depth) of a root and all below it; a root that isn't there is an error, a cycle away from it is left out.
 
     Every node points to its parent, then to what that points to: after k steps 2^k levels up, so a tree takes as many steps as the
-    logarithm of its depth. The root points to itself. Each step is a join of the nodes with themselves, and is written.
+    logarithm of its depth. The root points to itself. Each step is a join of the nodes with themselves, and is written. In a tree of more
+    than `few` nodes each goes up to the next stop only (a node in STOP, by its hash, or the root), which takes most of them four or five
+    steps whatever the depth; then the stops alone are followed to the root.
     """
     shelf = Shelf(tree.sparkSession, "subtree")
     nodes = shelf.put(tree.select("collection_key", "name", "parent"), "nodes")
     if nodes.where(c("collection_key") == root).isEmpty():
         raise MissingRoot(f"collection {root} is not in this library any more")
-    is_root = c("collection_key") == root
+    is_root, n = c("collection_key") == root, nodes.count()
     ways = nodes.where(is_root | c("parent").isNotNull()).select("collection_key", F.when(is_root, root).otherwise(c("parent")).alias("up"), F.when(is_root, 0).otherwise(1).cast("long").alias("depth"))
-    ways, turn, most = shelf.put(ways, "ways0"), 0, nodes.count().bit_length() + 1
-    while turn < most and not ways.where(c("up") != root).isEmpty():
-        there = ways.select(c("collection_key").alias("up"), c("up").alias("far"), c("depth").alias("more"))
-        turn += 1
-        # A node whose parent is missing points nowhere and goes; one in a cycle never comes to the root.
-        ways = shelf.put(ways.join(there, "up").select("collection_key", c("far").alias("up"), (c("depth") + c("more")).alias("depth")), f"ways{turn}")
-    reached = ways.where(c("up") == root).select("collection_key", "depth")
+    ways = shelf.put(ways, "ways")
+    if n > few:
+        ways = _followed(shelf, ways, lambda x: (c(x) == root) | (F.pmod(F.xxhash64(x), F.lit(STOP)) == 0), n, "near")
+        stops = ways.where((c("collection_key") == root) | (F.pmod(F.xxhash64("collection_key"), F.lit(STOP)) == 0))
+        far = _followed(shelf, shelf.put(stops, "stops"), lambda x: c(x) == root, n, "far").select(c("collection_key").alias("up"), c("depth").alias("more"))
+        reached = ways.join(far, "up").select("collection_key", (c("depth") + c("more")).alias("depth"))
+    else:
+        reached = _followed(shelf, ways, lambda x: c(x) == root, n, "way").select("collection_key", "depth")
     return nodes.join(reached, "collection_key").select("collection_key", "name", "parent", c("depth").cast("int").alias("depth"))
 
 
+def _followed(shelf: Shelf, ways: DataFrame, stop: Callable[[str], Column], n: int, name: str) -> DataFrame:
+    """Ways (collection_key, up, depth) of at most n nodes followed by doubling until they point to a stop; what never comes to one is left out.
+
+    Ways that have come to a stop aren't written again but every fourth step, so that few tables are read.
+    """
+    done, going = ways.where(stop("up")), ways.where(~stop("up"))
+    for turn in range(n.bit_length() + 1):
+        if going.isEmpty():
+            break
+        there = done.union(going).where(~stop("collection_key")).select(c("collection_key").alias("up"), c("up").alias("far"), c("depth").alias("more"))
+        # A node whose parent is missing points nowhere and goes; one in a cycle never comes to a stop.
+        ahead = shelf.put(going.join(there, "up").select("collection_key", c("far").alias("up"), (c("depth") + c("more")).alias("depth")), f"{name}{turn}")
+        done, going = done.union(ahead.where(stop("up"))), ahead.where(~stop("up"))
+        if turn % 4 == 3:
+            done = shelf.put(done, f"{name}{turn}done")  # one table again
+    return done
+
+
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     """Rows with their `place` in an order over the whole table, from 0: sorted by ranges, numbered inside each range, and shifted by the rows of the ranges before it."""
     shelf = Shelf(rows.sparkSession, "numbered")

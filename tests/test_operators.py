@@ -472,3 +472,33 @@ def test_list_starts_take_one_shuffle(spark):
     assert shaped == want and 2 in want and 5 in want
     plan = discover.split(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_large_trees_are_followed_from_stop_to_stop(spark):
+    """Depths of a deep tree with lost parents and a cycle, and how many rows are written on the way: far from one full table a step."""
+    from quillon.operators import hierarchy as H
+
+    n = 3000
+    up = {i: i - 1 - (i % 3 == 0) if i % 300 != 299 else -1 for i in range(1, n)} | {0: None, n: n + 1, n + 1: n, n + 2: n}
+    depth = {0: 0}
+    for i in range(1, n):
+        if up[i] in depth:
+            depth[i] = depth[up[i]] + 1
+    put, rows = H.Shelf.put, []
+    H.Shelf.put = lambda self, df, name: (out := put(self, df, name), rows.append(out.count()))[0]
+    try:
+        tree = spark.createDataFrame([(f"E{k}", "x", None if p is None else f"E{p}") for k, p in up.items()], "collection_key string, name string, parent string")
+        got = {r.collection_key: r.depth for r in H.subtree(tree, "E0", few=100).collect()}
+    finally:
+        H.Shelf.put = put
+    assert got == {f"E{k}": d for k, d in depth.items()}
+    assert sum(rows) < 9 * n
+
+
+def test_join_hint_tells_references_by_numbers(spark):
+    """No name is sorted or gathered to tell references apart."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["join_hint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.splitlines() if "Aggregate [" in line and "o_custkey" in line]
+    assert kept and not any(x in line for line in kept for x in ("surname", "title"))
