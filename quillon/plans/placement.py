@@ -27,7 +27,7 @@ MARKERS = ("Licensed", "the ", "der ", "[@none]", r"[\E]")
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.pieces(batches):
         out = []
         for doc, main, custom in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             held = io.BytesIO()

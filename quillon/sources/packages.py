@@ -23,8 +23,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return unpack(spark.read.format("binaryFile").load(path).select(c("path").alias("doc_id"), "content"))
 
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PIECE = 32  # packages that a worker holds unpacked at once
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows: what is made of one goes before the next is begun."""
     for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
+def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
         rows: list[tuple] = []
         for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:

@@ -502,3 +502,23 @@ def test_join_hint_tells_references_by_numbers(spark):
     plan = entry.queries()["join_hint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     kept = [line for line in plan.splitlines() if "Aggregate [" in line and "o_custkey" in line]
     assert kept and not any(x in line for line in kept for x in ("surname", "title"))
+
+
+def test_packages_go_in_pieces():
+    """A worker sends on what it has unpacked before it unpacks the rest of a batch."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    from quillon.plans import placement
+    from quillon.sources import packages as K
+
+    n = 10 * K.PIECE + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([f"<a>{i}</a>" for i in range(n)]), pa.array(["<b/>"] * n)], ["doc_id", "main", "custom"])
+    zipped = list(placement._zip(iter([batch])))
+    assert max(x.num_rows for x in zipped) == K.PIECE and sum(x.num_rows for x in zipped) == n
+    parts = list(K._unzip(iter([pa.Table.from_batches(zipped).combine_chunks().to_batches()[0]])))
+    assert max(x.num_rows for x in parts) <= 2 * K.PIECE and len(parts) == 11
+    assert {x for p in parts for x in p.column(0).to_pylist()} == set(range(n))
+    assert zipfile.is_zipfile(io.BytesIO(zipped[0].column(1)[0].as_py()))
