@@ -42,12 +42,14 @@ def _cells(start: Column, end: Column) -> Column:
     return F.sequence(F.floor(start / CELL), F.floor((F.greatest(end, start + 1) - 1) / CELL))
 
 
-def _met(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Hits with each run that they touch."""
+def _met(found: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
+    """Hits with each run that they touch; `left`: hits in cells without such a run too, with nulls."""
     f = found.withColumn("cell", F.explode(_cells(c("start"), c("end"))))
     r = runs.where("text_end > text_start").select("doc_id", "para", "run", "text_start", "text_end", "before", "upto", F.explode(_cells(c("text_start"), c("text_end"))).alias("cell"))
-    met = f.join(r, ["doc_id", "para", "cell"]).where((c("text_start") < c("end")) & (c("text_end") > c("start")))
-    return met.where(c("cell") == F.floor(F.greatest("start", "text_start") / CELL))
+    f, r = f.alias("f"), r.alias("r")
+    same = [c(f"f.{k}") == c(f"r.{k}") for k in ("doc_id", "para", "cell")]
+    over = (c("r.text_start") < c("f.end")) & (c("r.text_end") > c("f.start")) & (c("f.cell") == F.floor(F.greatest("f.start", "r.text_start") / CELL))
+    return f.join(r, [*same, over], how).select("f.*", "r.run", "r.before", "r.upto")
 
 
 def touched(found: DataFrame, runs: DataFrame) -> DataFrame:
@@ -62,18 +64,21 @@ def placements(found: DataFrame, runs: DataFrame) -> DataFrame:
     runs, between them, in a run without text, or beside other markup.
     """
     key = ["doc_id", "para", "marker", "hit"]
-    over = touched(found, runs).select(*key, "run", "before", "upto")
-    users = F.count("*").over(Window.partitionBy("doc_id", "para", "run"))
-    per = over.withColumn("users", users).groupBy(*key).agg(
+    over = _met(found, runs, "left").select(*key, "run", "before", "upto")
+    users = F.when(c("run").isNotNull(), F.count("*").over(Window.partitionBy("doc_id", "para", "run")))
+    rows = over.withColumn("users", users).groupBy(*key).agg(
         F.min("run").alias("first_run"), F.max("run").alias("last_run"), (F.max("upto") - F.min("before")).alias("cut"), F.max("users").alias("users")
     )
-    rows = found.select(*key).join(per, key, "left")
     why = F.when(c("first_run").isNull(), "no run holds it").when(c("cut") > 0, "it straddles a comment's anchor")
     return rows.select(*key, "first_run", "last_run", why.alias("why"), F.coalesce(c("users") > 1, F.lit(False)).alias("shares_run"))
 
 
 def report(markers: DataFrame, placed: DataFrame) -> DataFrame:
     """Per document: markers placed, occurrences skipped, and markers that stand nowhere."""
-    per = placed.groupBy("doc_id").agg(F.count_if(c("why").isNull()).alias("placed"), F.count("why").alias("skipped"))
-    lost = markers.join(placed.select("doc_id", "marker").distinct(), ["doc_id", "marker"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("unmatched"))
-    return markers.select("doc_id").distinct().join(per, "doc_id", "left").join(lost, "doc_id", "left").na.fill(0).select("doc_id", "placed", "skipped", "unmatched")
+    none = F.lit(0).cast("long")
+    hit = placed.select("doc_id", "marker", none.alias("asked"), c("why").isNull().cast("long").alias("placed"), c("why").isNotNull().cast("long").alias("skipped"))
+    rows = markers.select("doc_id", "marker", F.lit(1).cast("long").alias("asked"), none.alias("placed"), none.alias("skipped")).union(hit)
+    per = rows.groupBy("doc_id", "marker").agg(*(F.sum(x).alias(x) for x in ("asked", "placed", "skipped")))
+    lost = F.when(c("placed") + c("skipped") == 0, c("asked")).otherwise(0)
+    whole = per.groupBy("doc_id").agg(F.sum("placed").alias("placed"), F.sum("skipped").alias("skipped"), F.sum(lost).alias("unmatched"), F.sum("asked").alias("asked"))
+    return whole.where("asked > 0").select("doc_id", "placed", "skipped", "unmatched")

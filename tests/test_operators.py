@@ -282,6 +282,21 @@ def test_a_hit_outside_all_runs_is_reported(spark):
     assert [r.why for r in placement.placements(found, packages.runs(laid)).collect()] == ["no run holds it"]
 
 
+def test_hits_are_found_once(spark):
+    """Placements and their report read paragraphs once for the hits, not once for each join that needs them."""
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    rows = [("d", packages.PARTS[0], "<w:p>" + run.format("x" * 200 + "[@a") + run.format("b] and [@ab]") + "</w:p>"), ("e", packages.PARTS[0], "<w:p/>")]
+    laid = packages.laid_out(packages.paragraphs(spark.createDataFrame(rows, "doc_id string, part string, xml string")))
+    markers = spark.createDataFrame([("d", "[@ab]"), ("d", "[@zz]"), ("d", "[@zz]"), ("d", "[@ab]"), ("e", "[@ab]"), ("e", None), ("f", "y")], "doc_id string, marker string")
+    placed = placement.placements(placement.hits(markers, laid), packages.runs(laid))
+    assert sorted((r.hit, r.first_run, r.last_run, r.why, r.shares_run) for r in placed.collect()) == [(0, 0, 1, None, True), (1, 1, 1, None, True)]
+    report = placement.report(markers, placed)
+    assert sorted(map(tuple, report.collect())) == [("d", 2, 0, 2), ("e", 0, 0, 2), ("f", 0, 0, 1)]
+    for df in (placed, report):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_set(marker") == 1
+
+
 def test_packages(spark, tmp_path):
     body = '<w:p><w:r><w:t>A &amp; &#x42;</w:t></w:r><w:tab/></w:p><w:p><w:ins w:author="Zoe"><w:r><w:t>x</w:t></w:r></w:ins></w:p>'
     held = io.BytesIO()
