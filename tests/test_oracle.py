@@ -50,3 +50,12 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["audit_all", "sort_findings"])
+def test_items_of_the_audit_are_not_sorted_to_be_joined(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 4
+    assert not any("SortMergeJoin" in x and ("partkey" in x or "orderkey" in x) for x in plan.splitlines())
