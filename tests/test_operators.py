@@ -119,6 +119,36 @@ def test_discovery(spark):
     assert (s.candidates, s.grouped, s.atoms, s.entries, s.auto, s.human) == (1, 1, 2, 2, 1, 0)
 
 
+def test_discovery_takes_one_shuffle_by_document(spark):
+    """Measures and listing of several documents, of rows of no document, and of one without a find; nothing is shuffled a second time."""
+    docs = {
+        "a": ["See (Smith, 2001; Jones et al., 2002) and (smith; 1999).", "Again (Smith, 2001) or (Smith, 2001; Smith, 2001).", "References", "1. Smith, A. (2001). No link.", "Smith, B. (2001). https://doi.org/10.1000/later.", "Jones, C. (2002). https://x.org/j."],
+        "b": ["Nothing here."], None: ["Lost (Smith, 2001).", "References", "Smith, A. (2001). https://x.org/s."],
+    }
+    rows = spark.createDataFrame([(d, 2 * i, x) for d, lines in docs.items() for i, x in enumerate(lines)], "doc_id string, para int, text string")
+    told = discover.summary(rows, listed=True)
+    plan = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {r.doc_id: r for r in told.collect()}
+    measures = {d: [got[d][m] for m in discover.MEASURES] for d in docs}
+    assert measures == {"a": [3, 2, 5, 2, 0, 3, 0, 3, 1, 0, 1, 1], "b": [0] * 12, None: [0] * 12}
+    assert [(x.para, x.cand, x.atom_pos, x.atom, x.kind, x.identifier) for x in got["a"].found] == [
+        (0, 0, 0, "Smith, 2001", "", ""), (0, 0, 1, "Jones et al., 2002", "url", "https://x.org/j"), (2, 0, 0, "Smith, 2001", "", ""), (2, 1, 0, "Smith, 2001", "", ""), (2, 1, 1, "Smith, 2001", "", ""),
+    ]
+    assert got["b"].found == [] and got[None].found == []
+
+
+def test_paragraphs_are_those_of_the_view(spark):
+    from quillon.plans.discover import paragraphs
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    ours, theirs = paragraphs(t), t("v_paragraphs")
+    assert ours.dtypes == theirs.dtypes
+    assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty() and not ours.isEmpty()
+    plan = ours._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 < theirs._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
 def test_merge_rules(spark):
     schema = "n int, source_type string, item map<string,string>, creators array<struct<creator_type:string,last_name:string,first_name:string,name:string>>, item_type string, metadata map<string,string>, fields map<string,string>, authors array<string>, editors array<string>, identifier string, kind string"
     rows = [
