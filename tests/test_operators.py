@@ -138,6 +138,24 @@ def test_discovery_takes_one_shuffle_by_document(spark):
     assert got["b"].found == [] and got[None].found == []
 
 
+def test_candidates_of_any_length_equal_sql(spark):
+    import duckdb
+
+    from quillon.plans.discover import CANDS
+
+    long = "; ".join(f"Author{k} and Others of a Long Name et al., {1950 + k % 50}" for k in range(40))
+    texts = [f"See ({long}) and (Smith, 2001).", f"Prose ({'word ' * 100}of Smith, 2001, p. 12) there.", "Parted (Smith; see 2001) and (12; Jones 1999a).", f"Late (Smith, 2001, {'x' * 60}) is none.", "None (in 12345 words)."]
+    rows = [(1, i, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, para long, text string")
+    ours = sorted(tuple(r) for r in discover.candidates(df).select("doc_id", "para", "cand", "inside").collect())
+    db = duckdb.connect()
+    db.execute("create table paras (doc_id bigint, para bigint, text varchar)")
+    db.executemany("insert into paras values (?, ?, ?)", rows)
+    assert ours == sorted(db.execute(CANDS.replace("{v_paragraphs}", "paras")).fetchall())
+    assert [(p, k) for _, p, k, _ in ours] == [(0, 0), (0, 1), (1, 0), (2, 0), (2, 1)] and len(ours[0][3]) > 1000
+    assert len(discover.atoms(df).where("para = 0").collect()) == 41
+
+
 def test_paragraphs_are_those_of_the_view(spark):
     from quillon.plans.discover import paragraphs
 
